@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import idfiles, lexicon, packing, tokencount
+from gaugeflow.llm import covertree, fingerprint, idfiles, lexicon, neardup, packing, sharding, substring, tokencount
 from gaugeflow.llm.shared import new_folder, tables
 
 
@@ -18,15 +18,37 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.encode_decode(tables(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(tables(spark, sf_dir, "documents"))
+
+
+def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(tables(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(tables(spark, sf_dir, "documents")).drop("kept")
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = covertree.whole_vectors(tables(spark, sf_dir, "embeddings"))
+    return covertree.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "ids")
     idfiles.write_ids(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return idfiles.with_starts(idfiles.read_ids(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32", F.col("file").alias("file"), "segment")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe_codec, op5_token_counts, op8_id_files)}
-ORACLES: dict[str, str] = {}
+def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(tables(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_packing, op2_bpe_codec, op3_near_duplicates, op4_multiset_hash, op5_token_counts, op6_substring_dedup, op7_exact_top_k, op8_id_files, op9_interleaved_shards)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op7_exact_top_k": covertree.ORACLE, "op9_interleaved_shards": sharding.ORACLE}

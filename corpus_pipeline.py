@@ -1,12 +1,49 @@
-"""The corpus pipeline: toxicity filter, near-duplicate removal, substring removal, packing."""
+"""The corpus pipeline: toxicity filter, near-duplicate removal, substring removal, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir); its result is written and read again as the next stage's docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeflow.llm import neardup, packing, substring, toxicity
+from gaugeflow.llm.shared import stored, tables
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold; the model is fitted on the labelled documents among them."""
+    model = toxicity.train(docs, tables(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each class of near-duplicates."""
+    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the 50-word passages that a smaller doc_id has too."""
+    return substring.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed training sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("substrings", cut_repeats), ("packing", pack)]
+
+#: Model scores and subword ids are beyond SQL: tests/llm holds the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies the stages to documents, one after another."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all documents."""
+    docs = tables(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else stored(docs, "stage"), sf_dir)
     return docs

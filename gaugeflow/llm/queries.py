@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import covertree, fingerprint, idfiles, lexicon, neardup, packing, sharding, substring, tokencount
+from gaugeflow.llm import covertree, fingerprint, idfiles, lexicon, neardup, packing, sharding, substring, tokencount, toxicity
 from gaugeflow.llm.shared import new_folder, tables
 
 
@@ -49,6 +49,10 @@ def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(tables(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_packing, op2_bpe_codec, op3_near_duplicates, op4_multiset_hash, op5_token_counts, op6_substring_dedup, op7_exact_top_k, op8_id_files, op9_interleaved_shards)
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_packing, op2_bpe_codec, op3_near_duplicates, op4_multiset_hash, op5_token_counts, op6_substring_dedup, op7_exact_top_k, op8_id_files, op9_interleaved_shards, op10_toxicity)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op7_exact_top_k": covertree.ORACLE, "op9_interleaved_shards": sharding.ORACLE}

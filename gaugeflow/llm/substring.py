@@ -235,6 +235,41 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR,
     return hits.select("doc_id", "row_key", starts.alias("starts")).groupBy("doc_id", "row_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with the repeated words of `text` taken out: a text that loses words becomes its kept words, joined by a space; others stay as they are.
+
+    Needs doc_id and text; all columns are returned, and n_chars, if there is one, is counted anew where words went. Null texts stay null.
+    """
+    names = docs.columns
+    keyed = docs.withColumn("row_key", F.xxhash64("text"))
+    hits = covered_windows(keyed.select("doc_id", "row_key", "text"), window)
+    joined = keyed.join(hits, ["doc_id", "row_key"], "left").select(*names, "starts")
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+            texts, sizes = out["text"].to_pylist(), out["n_chars"].to_pylist() if "n_chars" in out else None
+            for i, hits in enumerate(batch.column(batch.schema.get_field_index("starts")).to_pylist()):
+                if hits:
+                    raw = texts[i].encode()
+                    a, b, _ = spans.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    depth = np.zeros(len(a) + 1, np.int64)
+                    hits = np.unique(np.asarray(hits))
+                    depth[hits] += 1
+                    depth[hits + window] -= 1
+                    stay = np.cumsum(depth)[:-1] == 0
+                    texts[i] = b" ".join([raw[x:y] for x, y in zip(a[stay].tolist(), b[stay].tolist())]).decode()
+                    if sizes is not None:
+                        sizes[i] = len(texts[i])
+            out["text"] = pa.array(texts, pa.string())
+            if sizes is not None:
+                out["n_chars"] = pa.array(sizes, pa.int64())
+            yield pa.RecordBatch.from_pydict(out)
+
+    return joined.mapInArrow(run, schema)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (kept words, joined by a space) of each (doc_id, text).
 

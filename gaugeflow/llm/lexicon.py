@@ -154,16 +154,19 @@ def compile_lexicon(words: list[bytes], ids: list) -> bytes:
             before += counts[target]
     sizes = np.array([len(x) for _, x in pairs], np.int64)
     flat = np.concatenate([np.asarray(x, np.int64) for _, x in pairs]) if pairs else np.zeros(0, np.int64)
+    # State numbers stay far below 2^23 for a bounded lexicon, so that state and byte fit 32 bits.
     parts = [np.array(key, np.int64), np.array(to, np.int64), np.array(skip, np.int64), np.array(finals, np.int64), np.concatenate([[0], np.cumsum(sizes)]), flat]
+    if len(arcs) >= 1 << 23:
+        raise ValueError("a lexicon of too many states")
     head = np.array([root, *map(len, parts)], np.int64)
-    return b"".join(x.astype("<i8").tobytes() for x in (head, *parts))
+    return b"".join(x.astype("<i4").tobytes() for x in (head, *parts))
 
 
 class Lexicon:
     """The compiled automaton, mapped from a file."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, "<i8", mode="r")
+        data = np.memmap(path, "<i4", mode="r")
         self.root, at, parts = int(data[0]), 7, []
         for n in data[1:7].tolist():
             parts.append(data[at : at + n])
@@ -180,7 +183,7 @@ class Lexicon:
         number[size == 0] = -1
         step = 0
         while len(live) and len(self.key):
-            key = state[live] << 8 | raw[first[live] + step]
+            key = (state[live] << 8 | raw[first[live] + step]).astype(np.int32)
             spot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             hit = self.key[spot] == key
             number[live[~hit]] = -1

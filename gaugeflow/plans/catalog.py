@@ -1,5 +1,6 @@
 """All queries of the library: importing a module of this folder registers its queries."""
 
+from gaugeflow.plans import metric_queries
 from gaugeflow.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "metric_queries"]

@@ -53,8 +53,8 @@ def cpu_percent(fraction: Column | str) -> Column:
 
 
 def used_percent(free: Column, total: Column) -> Column:
-    """Share in use; null if the total is 0 or unknown, 0 if more is free than there is."""
-    return F.when(total > 0, F.greatest(F.lit(0.0), (total - free) * 100.0 / total))
+    """Share in use; null if the total is 0 or either is unknown, 0 if more is free than there is."""
+    return F.when((total > 0) & free.isNotNull(), F.greatest(F.lit(0.0), (total - free) * 100.0 / total))
 
 
 def health_percents(stats: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def health_percents(stats: DataFrame) -> DataFrame:
 
 
 def fs_used(size: Column, free: Column) -> Column:
-    return F.greatest(size - free, F.lit(0))
+    return F.when(free >= size, F.lit(0)).otherwise(size - free)
 
 
 def combine_fs(stats: DataFrame) -> DataFrame:

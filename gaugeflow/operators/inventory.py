@@ -32,7 +32,7 @@ def package_inventory(obs: DataFrame, instance_id: str | None = None) -> DataFra
     batch = [*K, "batch_seq"]
     p = F.split(F.expr("substring(path, 15)"), "/")
     rows = obs.where(F.col("path").startswith("/sys/packages/")).withColumn("_p", p).where(F.size("_p") == 3)
-    rows = rows.select(*batch, "ts", "kind", "value_long", "value_string", F.col("_p")[0].alias("mgmt"), F.col("_p")[1].alias("name"), F.col("_p")[2].alias("leaf"), "path")
+    rows = rows.select(*batch, "ts", "kind", "value_long", "value_string", F.get("_p", 0).alias("mgmt"), F.get("_p", 1).alias("name"), F.get("_p", 2).alias("leaf"), "path")
     rows = rows.withColumn("_first", F.min("mgmt").over(Window.partitionBy(*batch))).where("mgmt = _first")
     one = rows.groupBy(*batch, "mgmt", "name").agg(
         F.max(F.when((F.col("leaf") == "version") & (F.col("kind") == "string"), F.col("value_string"))).alias("version"),

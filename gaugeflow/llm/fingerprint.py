@@ -99,8 +99,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-RESULT_DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+RESULT_DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _result(ids: list, texts: list[str], following: list[str], lanes: np.ndarray, next_lanes: np.ndarray) -> dict:
@@ -110,8 +110,8 @@ def _result(ids: list, texts: list[str], following: list[str], lanes: np.ndarray
         "doc_id": ids,
         "n_chars": [len(t) for t in texts],
         "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new],
-        "fingerprint": shown(lanes),
-        "edited_fingerprint": shown(changed),
+        "fingerprint": [row.tobytes() for row in lanes.astype("<u4")],
+        "edited_fingerprint": [row.tobytes() for row in changed.astype("<u4")],
         "near_edited": likeness(lanes, changed),
         "near_next": likeness(lanes, next_lanes),
     }
@@ -170,4 +170,5 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             out = _result(batch.column("doc_id").to_pylist(), texts, following, fingerprints(texts), fingerprints(following))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema(RESULT))
 
-    return done.unionByName(open_.mapInArrow(close, RESULT_DDL))
+    out = done.unionByName(open_.mapInArrow(close, RESULT_DDL))
+    return out.withColumns({c: F.translate(F.base64(c), "\r\n", "") for c in ("fingerprint", "edited_fingerprint")})

@@ -6,9 +6,9 @@ that are no letters or digits do not count as letters, and runs of single letter
 
 Landmarks are strings: words and word beginnings that mark toxic training texts, and frequent words of the others. A word's
 feature for landmark l is (k(w, l) / k(l, l))^6, at most 1 and 0 below a floor; a sentence adds up its words. Only whole texts are
-labelled, so a text is the set of its sentences: its features are log(1 + 1.5 * sum over sentences), the Nystroem map
-K(L, L)^(-1/2) turns them into the space of a linear SVM, and a logistic curve over the margins of the
-training texts gives the score.
+labelled, so a text is the set of its sentences: with s the sum over them, its features are min(s, 1), that a landmark occurs at
+all, and log(1 + max(s - 1, 0)), how often more. The Nystroem map K(L, L)^(-1/2) turns both into the space of
+a linear SVM, and a logistic curve over the margins of the training texts gives the score.
 """
 
 from __future__ import annotations
@@ -162,12 +162,14 @@ class Model:
 
 
 def text_features(landmarks: Landmarks, texts: list[str], known: dict | None = None) -> np.ndarray:
-    """A row of landmark features for each text."""
+    """A row of features for each text: two for each landmark."""
     sentence, value, firsts = sentence_features(landmarks, texts, known)
-    out = np.zeros((len(texts), len(landmarks.strings)))
+    n = len(landmarks.strings)
+    out = np.zeros((len(texts), 2 * n))
     if len(sentence):
         text, first = np.unique(np.searchsorted(firsts, sentence, side="right") - 1, return_index=True)
-        out[text] = np.log1p(1.5 * np.add.reduceat(value, first, axis=0))
+        total = np.add.reduceat(value, first, axis=0)
+        out[text, :n], out[text, n:] = np.minimum(total, 1), np.log1p(np.maximum(total - 1, 0))
     return out
 
 
@@ -207,33 +209,47 @@ def sentence_features(landmarks: Landmarks, texts: list[str], known: dict | None
 
 
 def _words_of(text: str) -> Counter:
+    """Words of four or more letters, with how often they occur."""
+    return Counter(w for w in (w.strip(".,!?;:\"'()%&$#*|-") for w in text.lower().split()) if len(w) >= 4 and w.isalpha())
+
+
+def _strings_of(text: str) -> Counter:
     """Words and their beginnings of four to ten letters, with how often they occur (five times at most): candidates for landmarks."""
     out = Counter()
-    for w, n in Counter(w.strip(".,!?;:\"'()%&$#*|-") for w in text.lower().split()).items():
-        if len(w) >= 4 and w.isalpha():
-            for k in {*range(4, min(len(w), 11)), len(w) if len(w) <= 14 else 4}:
-                out[w[:k]] += n
+    for w, n in _words_of(text).items():
+        for k in {*range(4, min(len(w), 11)), len(w) if len(w) <= 14 else 4}:
+            out[w[:k]] += n
     return Counter({w: min(n, 5) for w, n in out.items()})
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> tuple[list[str], int]:
     """Strings that cover toxic texts and hardly others, greedily, then frequent longer words of the others; and the number of the former."""
-    sets = [_words_of(t) for t in texts]
-    bad, good, holders = Counter(), Counter(), {}
-    for i, (s, y) in enumerate(zip(sets, toxic)):
-        (bad if y else good).update(s)
-        if y:
-            for w in s:
-                holders.setdefault(w, []).append(i)
-    n_bad, n_good = max(int(toxic.sum()), 1), max(int(len(toxic) - toxic.sum()), 1)
-    least = max(4, n_bad // 100)
+    marked, others = np.flatnonzero(toxic), np.flatnonzero(toxic == 0)
+    least = max(4, len(marked) // 100)
+    in_texts = Counter(w for i in marked for w in _strings_of(texts[i]))
+    # Only strings of several toxic texts are counted any further.
+    bad = {w: 0 for w, n in in_texts.items() if n >= least}
+    del in_texts
+    good, plain, lists = dict.fromkeys(bad, 0), Counter(), {w: [] for w in bad}
+    for i in marked:
+        for w, n in _strings_of(texts[i]).items():
+            if w in bad:
+                bad[w] += n
+                lists[w].append(i)
+    for i in others:
+        words = _words_of(texts[i])
+        plain.update({w: 1 for w in words if len(w) >= 6})
+        if len(plain) > 200_000:
+            plain = Counter(dict(plain.most_common(50_000)))
+        for w, n in _strings_of(texts[i]).items():
+            if w in good:
+                good[w] += n
     rated = {}
-    for w, own in holders.items():
-        if len(own) >= least:
-            odds = (bad[w] + 0.5) / (n_bad + 1) / ((good[w] + 0.5) / (n_good + 1))
-            if odds >= 8:
-                rated[w] = min(np.log(odds), 6)
-    holders = {w: np.array(holders[w]) for w in rated}
+    for w in bad:
+        odds = (bad[w] + 0.5) / (len(marked) + 1) / ((good[w] + 0.5) / (len(others) + 1))
+        if odds >= 8:
+            rated[w] = min(np.log(odds), 6)
+    holders = {w: np.array(lists[w]) for w in rated}
     chosen, covered = [], np.zeros(len(texts))
     while len(chosen) < most // 2 and rated:
         # A text covered n times counts 1 / 2^n.
@@ -246,11 +262,11 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
         chosen.append(w)
         covered[holders[w]] += 1
         rated = {x: r for x, r in rated.items() if not (x.startswith(w) or w.startswith(x))}
-    plain = [w for w, _ in good.most_common(40 * most) if len(w) >= 6 and not any(w.startswith(c) or c.startswith(w) for c in chosen)]
-    return chosen + plain[: (most - len(chosen)) // 2], len(chosen)
+    frequent = [w for w, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0]))[: 40 * most] if not any(w.startswith(c) or c.startswith(w) for c in chosen)]
+    return chosen + frequent[: (most - len(chosen)) // 2], len(chosen)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 3e-4, rounds: int = 30) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Squared hinge loss with an L2 penalty on all but the bias, by Newton steps on the rows inside the margin."""
     z = np.c_[x, np.ones(len(x))]
     weight = weight / weight.sum()
@@ -271,10 +287,10 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> Model:
     toxic = np.asarray(toxic).astype(int)
     share = (toxic.sum() + 1) / (len(toxic) + 2)
     if len(set(toxic.tolist())) < 2:
-        return Model(Landmarks(["none"]), np.zeros(1), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return Model(Landmarks(["none"]), np.zeros(2), 0.0, 0.0, float(np.log(share / (1 - share))))
     strings, marked = choose_landmarks(texts, toxic, most)
     if not marked:
-        return Model(Landmarks(["none"]), np.zeros(1), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return Model(Landmarks(["none"]), np.zeros(2), 0.0, 0.0, float(np.log(share / (1 - share))))
     marks = Landmarks(strings)
     n = len(marks.strings)
     codes = [_CODE[np.frombuffer(s.lower().encode("utf-32-le"), np.uint32)] for s in marks.strings]
@@ -285,7 +301,9 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> Model:
     kernel = (kernel + kernel.T) / 2
     lam, vec = np.linalg.eigh(kernel)
     nystroem = vec @ np.diag(1 / np.sqrt(np.maximum(lam, 0.05))) @ vec.T
-    x = text_features(marks, texts) @ nystroem
+    # A few hundred texts at a time: the driver's memory stays small.
+    x = np.vstack([text_features(marks, texts[k : k + 256]) for k in range(0, len(texts), 256)])
+    x = np.hstack([x[:, :n] @ nystroem, x[:, n:] @ nystroem])
     w, b = _svm(x, 2 * toxic - 1, np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (toxic == 0).sum()))
     # Logistic curve of the margins, by Newton steps with a small penalty.
     z = np.c_[x @ w + b, np.ones(len(x))]
@@ -294,7 +312,7 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> Model:
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
         theta -= np.clip(np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (p - target) + 1e-3 * theta), -2, 2)
-    return Model(marks, nystroem @ w, b, float(max(theta[0], 0)), float(theta[1]))
+    return Model(marks, np.r_[nystroem @ w[:n], nystroem @ w[n:]], b, float(max(theta[0], 0)), float(theta[1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, rows: int = TRAIN_ROWS) -> Model:

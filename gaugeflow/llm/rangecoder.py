@@ -19,25 +19,25 @@ import zlib
 
 import numpy as np
 
-BLOCK, BITS, SLOTS = 4096, 20, 1024
+BLOCK, BITS, SLOTS = 4096, 18, 1024
 TOTAL = 1 << BITS
 _SLOT_SHIFT = np.uint32(22)
 _MAGIC = b"CMR1"
 _U = np.uint64
 _LOW32, _ONE = _U((1 << 32) - 1), _U(1)
 #: Confidence after a miss or a hit, at confidence 0 to 3.
-_CONFIDENCE = np.array([1, 1, 1, 2, 1, 3, 2, 3], np.uint32)
+_CONFIDENCE = np.array([1, 1, 1, 2, 1, 3, 2, 3], np.int32)
 
 
 def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct ids, widths that add up to TOTAL / 2) of the order-0 distribution; each id has 2 at least."""
+    """(distinct ids, widths that add up to TOTAL / 2) of the order-0 distribution; each id has 1 at least."""
     half = TOTAL >> 1
     if not len(ids):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     have, n = np.unique(ids, return_counts=True)
-    if 4 * len(have) > half:
-        raise ValueError("too many distinct ids for one segment")
-    width = 2 + (n * (half - 2 * len(have)) // n.sum()).astype(np.int64)
+    if len(have) > 1 << 16:
+        raise ValueError("more than 65536 distinct ids in one segment")
+    width = 1 + (n * (half - len(have)) // n.sum()).astype(np.int64)
     width[np.argmax(width)] += half - width.sum()
     return have, width
 
@@ -47,22 +47,24 @@ class _Contexts:
 
     def __init__(self, lanes: int):
         self.base = np.arange(lanes, dtype=np.int32) * SLOTS
-        self.tables = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
+        self.tables = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
         self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def look(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         one, two = self.one[:n], self.two[:n]
         h = one * np.uint32(0x9E3779B1)
-        self.slots = self.base[:n] + (h >> _SLOT_SHIFT), self.base[:n] + ((h ^ two * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> _SLOT_SHIFT)
-        return self.tables[0][self.slots[0]], self.tables[1][self.slots[1]]
+        deep = (h ^ two * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
+        self.slots = self.base[:n] + (h >> _SLOT_SHIFT).view(np.int32), self.base[:n] + (deep >> _SLOT_SHIFT).view(np.int32)
+        return self.tables[0].take(self.slots[0]), self.tables[1].take(self.slots[1])
 
     def learn(self, s: np.ndarray, seen: tuple[np.ndarray, np.ndarray], n: int) -> None:
-        s = s.astype(np.uint32)
+        s = s.astype(np.int32)
         for table, slot, entry in zip(self.tables, self.slots, seen):
             c, guess = entry & 3, entry >> 2
-            table[slot] = np.where(c > 1, guess, s) << 2 | _CONFIDENCE[c * 2 + (guess == s)]
+            new = _CONFIDENCE.take(c * 2 + (guess == s))
+            table[slot] = new + (np.where(c > 1, guess, s) << 2)
         self.two[:n] = self.one[:n]
-        self.one[:n] = s + np.uint32(1)
+        self.one[:n] = s + 1
 
 
 class _Mixture:
@@ -76,7 +78,14 @@ class _Mixture:
         table = cum[None, :] + (cum[None, :] * spare[:, None] >> (BITS - 1))
         self.stride = len(cum)
         self.cum = table.ravel().astype(np.int32)
-        self.sorted = (table + (np.arange(16)[:, None] << (BITS + 1))).ravel()
+        self.table = table
+
+    def prepare(self) -> None:
+        """For decoding: the symbol at each place of order 0, for each pair of confidences."""
+        self.at = np.zeros((16, TOTAL + 1), np.uint16)
+        for k, row in enumerate(self.table):
+            self.at[k, : row[-1]] = np.repeat(np.arange(len(row) - 1), np.diff(row))
+        self.at = self.at.ravel()
 
     @staticmethod
     def fit(e1: np.ndarray, e2: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -93,30 +102,30 @@ class _Mixture:
         return np.stack([np.where(k & 3, w1, 0), np.where(k >> 2, w2, 0)], axis=1)
 
     def interval(self, s: np.ndarray, e1: np.ndarray, e2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of symbols s (int32)."""
         key = (e2 & 3) << 2 | e1 & 3
-        p1, p2, w1, w2 = e1 >> 2, e2 >> 2, self.w1[key], self.w2[key]
+        p1, p2, w1, w2 = e1 >> 2, e2 >> 2, self.w1.take(key), self.w2.take(key)
         at = key * np.int32(self.stride) + s
-        start = self.cum[at]
-        width = self.cum[at + 1] - start + w1 * (p1 == s) + w2 * (p2 == s)
+        start = self.cum.take(at)
+        width = self.cum.take(at + 1) - start + w1 * (p1 == s) + w2 * (p2 == s)
         return start + w1 * (p1 < s) + w2 * (p2 < s), width
 
     def find(self, target: np.ndarray, e1: np.ndarray, e2: np.ndarray) -> np.ndarray:
-        """The symbol whose interval holds each target."""
-        key = ((e2 & 3) << 2 | e1 & 3).astype(np.int64)
-        p1, p2, w1, w2 = (e1 >> 2).astype(np.int64), (e2 >> 2).astype(np.int64), self.w1[key], self.w2[key]
+        """The symbol whose interval holds each target (int32)."""
+        key = (e2 & 3) << 2 | e1 & 3
+        p1, p2, w1, w2 = e1 >> 2, e2 >> 2, self.w1.take(key), self.w2.take(key)
         swap = p1 > p2
-        lo, hi = np.where(swap, p2, p1), np.where(swap, p1, p2)
+        lo, hi = np.minimum(p1, p2), np.maximum(p1, p2)
         w_lo = np.where(swap, w2, w1)
-        w_both = w1 + w2
-        row = key * self.stride
-        last = self.stride - 2
+        row = key * np.int32(self.stride)
+        last = np.int32(self.stride - 2)
         # Take off the weight of the guesses passed; a target inside a guess's own weight goes to the guess.
-        end_lo = self.cum[row + np.minimum(lo, last) + 1]
-        end_hi = self.cum[row + np.minimum(hi, last) + 1]
-        rest = np.where(target < end_lo, target, np.maximum(target - w_lo, end_lo - 1))
-        passed = target - w_lo >= end_lo
-        rest = np.where(passed & (rest >= end_hi), np.maximum(target - w_both, end_hi - 1), rest)
-        return np.searchsorted(self.sorted, rest + (key << (BITS + 1)), side="right") - 1 - row
+        end_lo = self.cum.take(row + np.minimum(lo, last) + 1)
+        end_hi = self.cum.take(row + np.minimum(hi, last) + 1)
+        less = target - w_lo
+        rest = np.where(less >= end_lo, less, np.minimum(target, end_lo - 1))
+        rest = np.where(rest >= end_hi, np.maximum(target - w1 - w2, end_hi - 1), rest)
+        return self.at.take(key * np.int32(TOTAL + 1) + rest)
 
 
 def _active(lengths: np.ndarray) -> np.ndarray:
@@ -143,7 +152,7 @@ def encode_blocks(symbols: np.ndarray, width: np.ndarray, block: int = BLOCK) ->
     out = np.zeros((lanes, 2 * block + 8), np.uint16)
     at = np.zeros(lanes, np.int64)
     for s, n, (e1, e2) in zip(steps, active, seen):
-        start, wide = mixture.interval(s[:n], e1, e2)
+        start, wide = mixture.interval(s[:n].astype(np.int32), e1, e2)
         r = span[:n] >> _U(BITS)
         low[:n] += start.astype(_U) * r
         span[:n] = wide.astype(_U) * r
@@ -154,35 +163,37 @@ def encode_blocks(symbols: np.ndarray, width: np.ndarray, block: int = BLOCK) ->
     return [out[i, : at[i] + 4].astype(">u2").tobytes() for i in range(lanes)], lengths, weights
 
 
-def _ready(low: np.ndarray, span: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """Lanes whose top 16 bits are settled, or whose span is too short (then it is cut at the boundary)."""
-    a, b = low[where], span[where]
-    same = ((a ^ (a + b)) >> _U(48)) == 0
-    short = ~same & (b <= _LOW32)
-    b = np.where(short, (~a + _ONE) & _LOW32, b)
-    span[where] = b
-    return where[same | short]
-
-
 def _shift(low: np.ndarray, span: np.ndarray, n: int, out: np.ndarray | None, at: np.ndarray, code: np.ndarray | None = None, words: np.ndarray | None = None) -> None:
-    where = np.arange(n)
+    """Moves out (or in) 16 bits wherever the top 16 are settled, or the span is too short (then it is first cut at the boundary)."""
+    a, b = low[:n], span[:n]
+    same, short = (a ^ (a + b)) >> _U(48) == 0, b <= _LOW32
+    where = np.flatnonzero(same | short)
     while len(where):
-        where = _ready(low, span, where)
-        if not len(where):
-            return
+        a, b = low[where], span[where]
+        same = (a ^ (a + b)) >> _U(48) == 0
+        short = ~same & (b <= _LOW32)
+        move = same | short
+        if not move.all():
+            where, a, b, short = where[move], a[move], b[move], short[move]
+        if short.any():
+            b = np.where(short, (~a + _ONE) & _LOW32, b)
+        place = at[where]
         if out is not None:
-            out[where, at[where]] = (low[where] >> _U(48)).astype(np.uint16)
+            out[where, place] = (a >> _U(48)).astype(np.uint16)
         else:
-            code[where] = code[where] << _U(16) | words[where, np.minimum(at[where], words.shape[1] - 1)].astype(_U)
-        at[where] += 1
-        low[where] = low[where] << _U(16)
-        span[where] = span[where] << _U(16)
+            code[where] = code[where] << _U(16) | words[where, np.minimum(place, words.shape[1] - 1)].astype(_U)
+        at[where] = place + 1
+        low[where] = a << _U(16)
+        b = b << _U(16)
+        span[where] = b
+        where = where[b <= _U((1 << 48) - 1)]  # the others cannot be ready again
 
 
 def decode_blocks(blobs: list[bytes], lengths: np.ndarray, width: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Symbols of all blocks; lengths do not increase."""
     lanes = len(blobs)
     contexts, mixture = _Contexts(lanes), _Mixture(width, weights)
+    mixture.prepare()
     words = np.zeros((lanes, max(map(len, blobs), default=0) // 2 + 1), np.uint16)
     for i, b in enumerate(blobs):
         words[i, : len(b) // 2] = np.frombuffer(b, ">u2")
@@ -196,8 +207,8 @@ def decode_blocks(blobs: list[bytes], lengths: np.ndarray, width: np.ndarray, we
     for t, n in enumerate(active):
         e1, e2 = contexts.look(n)
         r = span[:n] >> _U(BITS)
-        target = np.minimum((code[:n] - low[:n]) // r, _U(TOTAL - 1)).astype(np.int64)
-        s = mixture.find(target, e1, e2).astype(np.uint16)
+        target = np.minimum((code[:n] - low[:n]) // r, _U(TOTAL - 1)).astype(np.int32)
+        s = mixture.find(target, e1, e2).astype(np.int32)
         start, wide = mixture.interval(s, e1, e2)
         low[:n] += start.astype(_U) * r
         span[:n] = wide.astype(_U) * r

@@ -72,18 +72,27 @@ def limit_records(records: DataFrame, n: int, keys: list[str], order: list[str])
     return records.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+#: Leases of one owner that are looked at in one go: a coordination table has a few.
+MOST_LEASES = 100_000
+
+
 def lease_filter(records: DataFrame, leases: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
-    """(records inside the owner's leases [start, end), one row with the number of records skipped before the lease that follows them).
+    """(records inside the owner's leases [start, end), one row with the number of records outside that a later lease follows).
 
-    The owner's leases are few by nature: they are merged and looked up through an as-of order with the records of each endpoint.
+    The owner's leases are merged into disjoint spans, which become part of the filter; more than MOST_LEASES of them are an error.
     """
-    own = leases.where(F.col("owner") == owner).select(F.col("start").cast("double").alias("ts"), F.col("end").cast("double").alias("_end"))
-    hosts = records.select(*K).distinct()
-    marks = hosts.withColumn("_k", F.lit(1)).join(own.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    both = records.withColumn("_end", F.lit(None).cast("double")).withColumn("_row", F.lit(1)).unionByName(marks.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*K).orderBy("ts", "_row")
-    both = both.withColumn("_until", F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_later", F.max("_end").over(w.rowsBetween(1, Window.unboundedFollowing)))
-    both = both.where("_row = 1")
-    inside = F.coalesce(F.col("ts") < F.col("_until"), F.lit(False))
-    skipped = both.where(~inside & F.col("_later").isNotNull()).agg(F.count(F.lit(1)).alias("skipped"))
-    return both.where(inside).select(*records.columns), skipped
+    own = leases.where(F.col("owner") == owner).select(F.col("start").cast("double"), F.col("end").cast("double")).orderBy("start").limit(MOST_LEASES + 1).collect()
+    if len(own) > MOST_LEASES:
+        raise ValueError(f"more than {MOST_LEASES} leases of {owner}")
+    spans: list[list[float]] = []
+    for start, end in own:
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        elif end > start:
+            spans.append([start, end])
+    if not spans:
+        return records.limit(0), records.limit(0).agg(F.count(F.lit(1)).alias("skipped"))
+    table = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in spans])
+    inside = F.exists(table, lambda x: (F.col("ts") >= x[0]) & (F.col("ts") < x[1]))
+    skipped = records.where(~inside & (F.col("ts") < own[-1][0])).agg(F.count(F.lit(1)).alias("skipped"))
+    return records.where(inside), skipped

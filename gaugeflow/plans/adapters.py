@@ -72,5 +72,5 @@ LABEL = f"({RANGE.first + RANGE.width // 2} + idx * {RANGE.width})"
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison: sums differ in their last digits by the order of addition."""
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Doubles rounded for comparison: sums differ in their last digits by the order of addition. The small addend keeps exact halves off the rounding's edge."""
+    return df.withColumns({c: F.round(F.col(c) + (1e-9 if digits < 9 else 0), digits) for c in columns})

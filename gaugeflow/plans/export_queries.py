@@ -121,7 +121,7 @@ def earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.earliest(points(spark, sf_dir).groupBy(*K, "path").agg(F.min("ts").alias("earliest")), "/events/k")
 
 
-@query("SELECT o_orderpriority AS writer, sum(o_custkey % 100)::BIGINT AS total, sum(o_custkey % 100 // 2)::BIGINT AS written, sum(o_custkey % 3)::BIGINT AS skipped, greatest(0, sum(o_custkey % 100) - sum(o_custkey % 3) - sum(o_custkey % 100 // 2))::BIGINT AS not_written, round(avg((o_orderstatus = 'O')::INTEGER), 6) AS success_ratio FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS writer, sum(o_custkey % 100)::BIGINT AS total, sum(o_custkey % 100 // 2)::BIGINT AS written, sum(o_custkey % 3)::BIGINT AS skipped, greatest(0, sum(o_custkey % 100) - sum(o_custkey % 3) - sum(o_custkey % 100 // 2))::BIGINT AS not_written, round(avg((o_orderstatus = 'O')::INTEGER) + 1e-9, 6) AS success_ratio FROM orders GROUP BY 1")
 def writer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     log = o.select(F.col("o_orderpriority").alias("writer"), (F.col("o_custkey") % 100).alias("to_write"), F.expr("o_custkey % 100 div 2").alias("written"), (F.col("o_custkey") % 3).alias("skipped"), (F.col("o_orderstatus") == "O").alias("ok"))

@@ -53,7 +53,7 @@ def instance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats(spark, sf_dir).select(*K, "batch_seq", F.round("user_time_fraction", 9).alias("f"), F.col("memory_free").alias("free"), F.col("memory_total").alias("total"), shown.alias("fss"))
 
 
-@query(f"WITH {EV}, {_ST} SELECT batch_seq, round({_CPU}, 6) AS cpu_percent, round(CASE WHEN free IS NOT NULL THEN {_MEM} END, 6) AS memory_percent FROM st")
+@query(f"WITH {EV}, {_ST} SELECT batch_seq, round({_CPU} + 1e-9, 6) AS cpu_percent, round(CASE WHEN free IS NOT NULL THEN {_MEM} END + 1e-9, 6) AS memory_percent FROM st")
 def health_percents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.health_percents(stats(spark, sf_dir)).select("batch_seq", "cpu_percent", "memory_percent"), "cpu_percent", "memory_percent")
 
@@ -67,7 +67,7 @@ _HOUR = "CAST(floor(ts / 86400 + 0.5) * 86400 AS BIGINT)"
 
 
 def _vars(x: str, name: str, whole: bool) -> str:
-    r = (lambda e: f"({e})::BIGINT") if whole else (lambda e: f"round({e}, 4)")
+    r = (lambda e: f"({e})::BIGINT") if whole else (lambda e: f"round({e} + 1e-9, 4)")
     return f"count({x}) AS {name}_count, {r(f'min({x})')} AS {name}_min, {r(f'max({x})')} AS {name}_max, {r(f'sum({x})')} AS {name}_sum"
 
 
@@ -120,14 +120,14 @@ def file_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EV}, {_ST}, p AS (SELECT *, {_HOUR} AS d, {_CPU} AS cpu, CASE WHEN free IS NOT NULL THEN {_MEM} END AS mem FROM st), f AS (SELECT host_name, d, greatest(rs - rf, 0) AS u, (rs - rf) * 100.0::DOUBLE / rs AS up, rs FROM p),
 a AS (SELECT host_name, d, unnest([('cpu_used_percent_avg', avg(cpu)), ('cpu_used_percent_max', max(cpu)), ('cpu_used_percent_min', min(cpu)), ('memory_free_bytes_avg', (sum(free) // count(free))::DOUBLE), ('memory_free_bytes_max', max(free)::DOUBLE), ('memory_free_bytes_min', min(free)::DOUBLE), ('memory_size_bytes_avg', (sum(total) // count(total))::DOUBLE), ('memory_size_bytes_max', max(total)::DOUBLE), ('memory_size_bytes_min', min(total)::DOUBLE), ('memory_used_percent_avg', avg(mem)), ('memory_used_percent_max', max(mem)), ('memory_used_percent_min', min(mem))]) AS c FROM p GROUP BY host_name, d
 UNION ALL SELECT host_name, d, unnest([('fs_size_bytes_avg', (sum(rs) // count(rs))::DOUBLE), ('fs_size_bytes_max', max(rs)::DOUBLE), ('fs_size_bytes_min', min(rs)::DOUBLE), ('fs_used_bytes_avg', (sum(u) // count(u))::DOUBLE), ('fs_used_bytes_max', max(u)::DOUBLE), ('fs_used_bytes_min', min(u)::DOUBLE), ('fs_used_percent_avg', avg(greatest(up, 0))), ('fs_used_percent_max', max(greatest(up, 0))), ('fs_used_percent_min', min(greatest(up, 0)))]) FROM f GROUP BY host_name, d)
-SELECT host_name AS instance, d AS ts, c[1] AS metric, round(c[2], 4) AS value FROM a""")
+SELECT host_name AS instance, d AS ts, c[1] AS metric, round(c[2] + 1e-9, 4) AS value FROM a""")
 def snapshot_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stats(spark, sf_dir)
     return rounded(X.snapshot_to_long(H.health_rollup(s, 86400), H.fs_rollup(s, 86400)).select("instance", "ts", "metric", "value"), "value", digits=4)
 
 
 @query(f"""WITH {EV}, {_ST}, p AS (SELECT *, {_HOUR} AS d, {_CPU} AS cpu, CASE WHEN free IS NOT NULL THEN {_MEM} END AS mem, rs + CASE WHEN bf IS NOT NULL THEN bs ELSE 0 END AS s, rf + coalesce(bf, 0) AS f2 FROM st)
-SELECT instance, ts, metric, round(value, 4) AS value FROM (SELECT host_name AS instance, d AS ts, 'CpuUsedPercent' AS metric, avg(cpu) AS value FROM p GROUP BY ALL UNION ALL SELECT host_name, d, 'MemoryUsedPercent', avg(mem) FROM p GROUP BY ALL UNION ALL SELECT host_name, d, 'FileSystemUsedPercent', avg(greatest(0, (s - f2) * 100.0::DOUBLE / s)) FROM p GROUP BY ALL) WHERE value IS NOT NULL""")
+SELECT instance, ts, metric, round(value + 1e-9, 4) AS value FROM (SELECT host_name AS instance, d AS ts, 'CpuUsedPercent' AS metric, avg(cpu) AS value FROM p GROUP BY ALL UNION ALL SELECT host_name, d, 'MemoryUsedPercent', avg(mem) FROM p GROUP BY ALL UNION ALL SELECT host_name, d, 'FileSystemUsedPercent', avg(greatest(0, (s - f2) * 100.0::DOUBLE / s)) FROM p GROUP BY ALL) WHERE value IS NOT NULL""")
 def snapshot_to_datums(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = H.combine_fs(stats(spark, sf_dir))
     return rounded(X.snapshot_to_datums(H.health_rollup(s, 86400), H.fs_rollup(s, 86400)).drop("region"), "value", digits=4)
@@ -238,14 +238,14 @@ def endpoint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.endpoint_summary(s)
 
 
-@query(f"WITH {EV}, w AS (SELECT *, row_number() OVER (PARTITION BY host_name, app_name ORDER BY batch_seq) AS n FROM ev) SELECT host_name, app_name, max(k) FILTER (n = 1) AS initial, round(coalesce(avg(k) FILTER (n > 1), 0), 6) AS average FROM w GROUP BY ALL")
+@query(f"WITH {EV}, w AS (SELECT *, row_number() OVER (PARTITION BY host_name, app_name ORDER BY batch_seq) AS n FROM ev) SELECT host_name, app_name, max(k) FILTER (n = 1) AS initial, round(coalesce(avg(k) FILTER (n > 1), 0) + 1e-9, 6) AS average FROM w GROUP BY ALL")
 def changed_metric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.changed_metric_stats(events(spark, sf_dir).select(*K, "batch_seq", F.col("k").alias("changed"))), "average")
 
 
 @query(f"""WITH {EV}, s AS (SELECT host_name, batch_seq // 40 AS sweep, app_name, ts, ts - lag(ts) OVER (PARTITION BY host_name, batch_seq // 40 ORDER BY ts) AS d FROM ev),
 p AS (SELECT host_name, sweep, max(d) FILTER (app_name = 'click') AS wait_connect, max(d) FILTER (app_name = 'error') AS connect, max(d) FILTER (app_name = 'purchase') AS wait_poll, max(d) FILTER (app_name = 'view') AS poll FROM s GROUP BY ALL)
-SELECT host_name, sweep, round(wait_connect, 3) AS wait_connect, round(connect, 3) AS connect, round(wait_poll, 3) AS wait_poll, round(poll, 3) AS poll, round(CASE WHEN poll IS NOT NULL THEN wait_connect + connect + wait_poll + poll END, 3) AS total FROM p""")
+SELECT host_name, sweep, round(wait_connect + 1e-9, 3) AS wait_connect, round(connect + 1e-9, 3) AS connect, round(wait_poll + 1e-9, 3) AS wait_poll, round(poll + 1e-9, 3) AS poll, round(CASE WHEN poll IS NOT NULL THEN wait_connect + connect + wait_poll + poll END + 1e-9, 3) AS total FROM p""")
 def poll_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"click": "connecting", "error": "waiting_to_poll", "purchase": "polling", "view": "synced"}
     state = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("app_name")]

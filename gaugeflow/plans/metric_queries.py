@@ -20,7 +20,7 @@ def _value_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _register_downsample(agg: str) -> None:
-    sql = f"WITH {PTS}, {BK} SELECT host_name, app_name, idx, round({agg}(value)::DOUBLE, 6) AS value FROM bk WHERE idx >= 0 AND idx < {_N} GROUP BY ALL"
+    sql = f"WITH {PTS}, {BK} SELECT host_name, app_name, idx, round({agg}(value)::DOUBLE + 1e-9, 6) AS value FROM bk WHERE idx >= 0 AND idx < {_N} GROUP BY ALL"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(D.downsample(_value_points(spark, sf_dir), K, RANGE, agg), "value")
@@ -33,7 +33,7 @@ for _agg in ("avg", "count", "max", "min", "sum"):
     _register_downsample(_agg)
 
 
-@query(f"WITH {PTS}, {BK}, g AS (SELECT * FROM (SELECT DISTINCT host_name, app_name FROM pts WHERE path = '{_P}'), (SELECT unnest(range({_N})) AS idx)) SELECT g.host_name, g.app_name, g.idx, round(coalesce(value, 0), 6) AS value FROM g LEFT JOIN ds USING (host_name, app_name, idx)")
+@query(f"WITH {PTS}, {BK}, g AS (SELECT * FROM (SELECT DISTINCT host_name, app_name FROM pts WHERE path = '{_P}'), (SELECT unnest(range({_N})) AS idx)) SELECT g.host_name, g.app_name, g.idx, round(coalesce(value, 0) + 1e-9, 6) AS value FROM g LEFT JOIN ds USING (host_name, app_name, idx)")
 def fill_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).where(F.col("path") == _P)
     buckets = D.downsample(Q.time_range(p, START, END), K, RANGE)
@@ -45,11 +45,10 @@ _INTERPOLATED = "nx AS (SELECT *, lead(idx) OVER w AS n, lead(value) OVER w AS v
 
 @query(f"WITH {PTS}, {BK}, {_INTERPOLATED} SELECT host_name, app_name, idx, round(value + 1e-9, 6) AS value FROM ip")
 def fill_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = D.fill(D.downsample(_value_points(spark, sf_dir), K, RANGE), K, RANGE, "none")
-    return out.withColumn("value", F.round(F.col("value") + 1e-9, 6))  # off the ties of the rounding
+    return rounded(D.fill(D.downsample(_value_points(spark, sf_dir), K, RANGE), K, RANGE, "none"), "value")
 
 
-@query(f"WITH {PTS}, {BK} SELECT host_name, app_name, idx, round(value, 6) AS value FROM ds")
+@query(f"WITH {PTS}, {BK} SELECT host_name, app_name, idx, round(value + 1e-9, 6) AS value FROM ds")
 def fill_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.fill(D.downsample(_value_points(spark, sf_dir), K, RANGE), K, RANGE, "nan"), "value")
 
@@ -61,23 +60,23 @@ def _run(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
 _NO_TAGS = "'' AS host_name, '' AS app_name, '' AS region, '' AS ip_address"
 
 
-@query(f"WITH {PTS}, {BK} SELECT {_NO_TAGS}, {LABEL} AS ts, round(avg(value), 6) AS value FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY idx")
+@query(f"WITH {PTS}, {BK} SELECT {_NO_TAGS}, {LABEL} AS ts, round(avg(value) + 1e-9, 6) AS value FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY idx")
 def tsdb_query_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: the mean over the fleet of each endpoint's mean in six-hour buckets."""
     return _run(spark, sf_dir, fill="nan")
 
 
-@query(f"WITH {PTS}, {BK} SELECT host_name, '' AS app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round(sum(value), 6) AS value FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY host_name, idx")
+@query(f"WITH {PTS}, {BK} SELECT host_name, '' AS app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round(sum(value) + 1e-9, 6) AS value FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY host_name, idx")
 def tsdb_query_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, fill="nan", outer="sum", by=("host",))
 
 
-@query(f"WITH {PTS}, {EP}, {BK}, n AS (SELECT region, count(*) AS n FROM ep GROUP BY region), s AS (SELECT region, idx, sum(value) AS s FROM ds JOIN ep USING (host_name, app_name) GROUP BY ALL) SELECT '' AS host_name, '' AS app_name, region, '' AS ip_address, {LABEL} AS ts, round(coalesce(s, 0) / n, 6) AS value FROM (SELECT * FROM n, (SELECT unnest(range({_N})) AS idx)) LEFT JOIN s USING (region, idx) WHERE {LABEL} >= {RANGE.clamp}")
+@query(f"WITH {PTS}, {EP}, {BK}, n AS (SELECT region, count(*) AS n FROM ep GROUP BY region), s AS (SELECT region, idx, sum(value) AS s FROM ds JOIN ep USING (host_name, app_name) GROUP BY ALL) SELECT '' AS host_name, '' AS app_name, region, '' AS ip_address, {LABEL} AS ts, round(coalesce(s, 0) / n + 1e-9, 6) AS value FROM (SELECT * FROM n, (SELECT unnest(range({_N})) AS idx)) LEFT JOIN s USING (region, idx) WHERE {LABEL} >= {RANGE.clamp}")
 def tsdb_query_zero_fill_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, fill="zero", by=("region",))
 
 
-@query(f"WITH {PTS}, {EP}, {BK}, n AS (SELECT region, count(*) AS n FROM ep GROUP BY region), s AS (SELECT region, idx, max(value) AS s, count(*) AS m FROM ds JOIN ep USING (host_name, app_name) GROUP BY ALL) SELECT '' AS host_name, '' AS app_name, region, '' AS ip_address, {LABEL} AS ts, round(CASE WHEN coalesce(m, 0) < n THEN greatest(coalesce(s, 0), 0) ELSE s END, 6) AS value FROM (SELECT * FROM n, (SELECT unnest(range({_N})) AS idx)) LEFT JOIN s USING (region, idx) WHERE {LABEL} >= {RANGE.clamp}")
+@query(f"WITH {PTS}, {EP}, {BK}, n AS (SELECT region, count(*) AS n FROM ep GROUP BY region), s AS (SELECT region, idx, max(value) AS s, count(*) AS m FROM ds JOIN ep USING (host_name, app_name) GROUP BY ALL) SELECT '' AS host_name, '' AS app_name, region, '' AS ip_address, {LABEL} AS ts, round(CASE WHEN coalesce(m, 0) < n THEN greatest(coalesce(s, 0), 0) ELSE s END + 1e-9, 6) AS value FROM (SELECT * FROM n, (SELECT unnest(range({_N})) AS idx)) LEFT JOIN s USING (region, idx) WHERE {LABEL} >= {RANGE.clamp}")
 def tsdb_query_zero_fill_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, fill="zero", outer="max", by=("region",))
 
@@ -87,12 +86,12 @@ def tsdb_query_count_by_app(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, fill="nan", outer="count", by=("app",))
 
 
-@query(f"WITH {PTS}, {BK}, {_INTERPOLATED} SELECT '' AS host_name, app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round(avg(value), 6) AS value FROM ip WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx")
+@query(f"WITH {PTS}, {BK}, {_INTERPOLATED} SELECT '' AS host_name, app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round(avg(value) + 1e-9, 6) AS value FROM ip WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx")
 def tsdb_query_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, by=("app",))
 
 
-@query(f"WITH {PTS}, {EP}, {BK} SELECT host_name, '' AS app_name, '' AS region, ip_address, {LABEL} AS ts, round(max(value), 6) AS value FROM ds JOIN ep USING (host_name, app_name) WHERE app_name IN ('click', 'view') AND region IN ('ASIA', 'EUROPE') AND {LABEL} >= {RANGE.clamp} GROUP BY host_name, ip_address, idx")
+@query(f"WITH {PTS}, {EP}, {BK} SELECT host_name, '' AS app_name, '' AS region, ip_address, {LABEL} AS ts, round(max(value) + 1e-9, 6) AS value FROM ds JOIN ep USING (host_name, app_name) WHERE app_name IN ('click', 'view') AND region IN ('ASIA', 'EUROPE') AND {LABEL} >= {RANGE.clamp} GROUP BY host_name, ip_address, idx")
 def tsdb_query_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, fill="nan", outer="max", by=("host", "ip"), filters={"app": "click|view", "region": "ASIA|EUROPE"})
 
@@ -114,7 +113,7 @@ def _register_influx(agg: str, outer: str, inner: str) -> None:
     elif outer == "count":
         sql = f"WITH {PTS}, {BK}, c AS (SELECT app_name, idx, count(*) AS n FROM ds GROUP BY ALL) SELECT '' AS host_name, app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, coalesce(n, 0)::DOUBLE AS value FROM (SELECT * FROM (SELECT DISTINCT app_name FROM pts WHERE path = '{_P}'), (SELECT unnest(range({_N})) AS idx)) LEFT JOIN c USING (app_name, idx) WHERE {LABEL} >= {RANGE.clamp}"
     else:
-        sql = f"WITH {PTS}, {BK}, d AS (SELECT host_name, app_name, idx, {value} AS value FROM bk WHERE idx >= 0 AND idx < {_N} GROUP BY ALL) SELECT '' AS host_name, app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round({outer}(value), 6) AS value FROM d WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx"
+        sql = f"WITH {PTS}, {BK}, d AS (SELECT host_name, app_name, idx, {value} AS value FROM bk WHERE idx >= 0 AND idx < {_N} GROUP BY ALL) SELECT '' AS host_name, app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round({outer}(value) + 1e-9, 6) AS value FROM d WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(Q.tsdb_query(points(spark, sf_dir), endpoints(spark, sf_dir), Q.influx_query(_P, START, END, STEP, agg, by=("app",))), "value")
@@ -128,20 +127,20 @@ for _name, (_outer, _inner) in Q.INFLUX_AGGREGATES.items():
         _register_influx(_name, _outer, _inner)
 
 
-@query(f"WITH {PTS}, {BK} SELECT 0 AS query_id, {_NO_TAGS}, {LABEL} AS ts, round(avg(value), 6) AS value FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY idx UNION ALL SELECT 2, '', app_name, '', '', {LABEL}, round(max(value), 6) FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx")
+@query(f"WITH {PTS}, {BK} SELECT 0 AS query_id, {_NO_TAGS}, {LABEL} AS ts, round(avg(value) + 1e-9, 6) AS value FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY idx UNION ALL SELECT 2, '', app_name, '', '', {LABEL}, round(max(value) + 1e-9, 6) FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx")
 def run_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     qs = [Q.Query(_P, START, END, STEP, fill="nan"), Q.Query("/not/there", START, END, STEP, fill="nan"), Q.Query(_P, START, END, STEP, outer="max", fill="nan", by=("app",))]
     return rounded(Q.run_queries(points(spark, sf_dir), endpoints(spark, sf_dir), qs), "value")
 
 
-@query(f"WITH {PTS}, {EP}, {BK}, e AS (SELECT region, max({START} + (user_id % 10) * 86400) AS earliest FROM ep GROUP BY region), a AS (SELECT region, {LABEL} AS ts, avg(value) AS value FROM ds JOIN ep USING (host_name, app_name) WHERE {LABEL} >= {RANGE.clamp} GROUP BY region, idx) SELECT '' AS host_name, '' AS app_name, region, '' AS ip_address, ts, round(value, 6) AS value FROM a JOIN e USING (region) WHERE ts >= earliest")
+@query(f"WITH {PTS}, {EP}, {BK}, e AS (SELECT region, max({START} + (user_id % 10) * 86400) AS earliest FROM ep GROUP BY region), a AS (SELECT region, {LABEL} AS ts, avg(value) AS value FROM ds JOIN ep USING (host_name, app_name) WHERE {LABEL} >= {RANGE.clamp} GROUP BY region, idx) SELECT '' AS host_name, '' AS app_name, region, '' AS ip_address, ts, round(value + 1e-9, 6) AS value FROM a JOIN e USING (region) WHERE ts >= earliest")
 def early_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = endpoints(spark, sf_dir)
     earliest = ep.select("region", (F.lit(START) + (F.col("user_id") % 10) * 86400).cast("double").alias("earliest"))
     return rounded(Q.tsdb_query(points(spark, sf_dir), ep, Q.Query(_P, START, END, STEP, fill="nan", by=("region",)), earliest), "value")
 
 
-_BY_APP = f"a AS (SELECT app_name, {LABEL} AS ts, round(max(value), 6) AS value FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx)"
+_BY_APP = f"a AS (SELECT app_name, {LABEL} AS ts, round(max(value) + 1e-9, 6) AS value FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx)"
 _NUMBER = "CASE WHEN value = floor(value) THEN CAST(floor(value) AS BIGINT)::VARCHAR ELSE value::VARCHAR END"
 
 

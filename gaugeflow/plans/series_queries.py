@@ -124,7 +124,7 @@ def _result_set(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select("name", F.col("tags")["host"].alias("host"), F.col("ts").cast("long").alias("ts"), F.round("value", 6).alias("value"))
+    return df.select("name", F.col("tags")["host"].alias("host"), F.col("ts").cast("long").alias("ts"), F.round(F.col("value") + 1e-9, 6).alias("value"))
 
 
 _SETS = f"{EV}, c AS ({_sql_set('click')}), v AS ({_sql_set('view')}), e AS ({_sql_set('error')})"
@@ -135,17 +135,17 @@ def merge_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(M.merge_series(*(_result_set(spark, sf_dir, n) for n in ("click", "view", "error"))))
 
 
-@query(f"WITH {_SETS}, u AS (SELECT * FROM c UNION ALL SELECT * FROM v UNION ALL SELECT * FROM e) SELECT 'm' AS name, host_name AS host, ts, round(CASE WHEN count(value) = count(*) THEN sum(value) END, 6) AS value FROM u GROUP BY host_name, ts")
+@query(f"WITH {_SETS}, u AS (SELECT * FROM c UNION ALL SELECT * FROM v UNION ALL SELECT * FROM e) SELECT 'm' AS name, host_name AS host, ts, round(CASE WHEN count(value) = count(*) THEN sum(value) END + 1e-9, 6) AS value FROM u GROUP BY host_name, ts")
 def sum_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(M.sum_series(*(_result_set(spark, sf_dir, n) for n in ("click", "view", "error"))))
 
 
-@query(f"WITH {_SETS} SELECT 'm' AS name, host_name AS host, ts, round(CASE WHEN v.value <> 0 THEN c.value / v.value END, 6) AS value FROM c JOIN v USING (host_name, ts)")
+@query(f"WITH {_SETS} SELECT 'm' AS name, host_name AS host, ts, round(CASE WHEN v.value <> 0 THEN c.value / v.value END + 1e-9, 6) AS value FROM c JOIN v USING (host_name, ts)")
 def divide_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(M.divide_series(_result_set(spark, sf_dir, "click"), _result_set(spark, sf_dir, "view")))
 
 
-@query(f"WITH {EV}, d AS (SELECT host_name, (CAST(floor(ts) AS BIGINT) // 86400) * 86400 AS ts, round(avg(value), 6) AS value FROM ev GROUP BY ALL) SELECT 'm' AS name, host_name AS host, ts, value FROM d")
+@query(f"WITH {EV}, d AS (SELECT host_name, (CAST(floor(ts) AS BIGINT) // 86400) * 86400 AS ts, round(avg(value) + 1e-9, 6) AS value FROM ev GROUP BY ALL) SELECT 'm' AS name, host_name AS host, ts, value FROM d")
 def merge_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily means of a host from one shard for each application."""
     e = events(spark, sf_dir).withColumn("day", F.floor(F.floor("ts") / 86400) * 86400)
@@ -159,8 +159,8 @@ def merge_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SETS}, cut AS (SELECT host_name, min(ts) FILTER (value <> 0) AS cut FROM v GROUP BY host_name)
-SELECT 'm' AS name, c.host_name AS host, ts, round(value, 6) AS value FROM c LEFT JOIN cut USING (host_name) WHERE cut IS NULL OR ts < cut
-UNION ALL SELECT 'm', v.host_name, ts, round(value, 6) FROM v JOIN cut USING (host_name) WHERE ts >= cut OR v.host_name NOT IN (SELECT host_name FROM c)""")
+SELECT 'm' AS name, c.host_name AS host, ts, round(value + 1e-9, 6) AS value FROM c LEFT JOIN cut USING (host_name) WHERE cut IS NULL OR ts < cut
+UNION ALL SELECT 'm', v.host_name, ts, round(value + 1e-9, 6) FROM v JOIN cut USING (host_name) WHERE ts >= cut OR v.host_name NOT IN (SELECT host_name FROM c)""")
 def merge_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(M.merge_preferred(_result_set(spark, sf_dir, "click"), _result_set(spark, sf_dir, "view")))
 
@@ -170,7 +170,7 @@ _FR = f"fr AS (SELECT *, floor(ts / {_SPAN} + 0.5) * {_SPAN} AS frame FROM lv),
 
 
 @query(f"""WITH {EV}, lv AS (SELECT host_name, app_name, ts, CASE WHEN app_name IN ('click', 'error') THEN 'int64' WHEN app_name = 'view' THEN 'bool' ELSE 'float64' END AS kind, value, k % 7 <> 0 AS active FROM ev), {_FR}
-SELECT host_name, app_name, frame AS ts, min_by(kind, ts) AS kind, round(CASE WHEN app_name = 'view' THEN min_by(value, ts) WHEN app_name IN ('click', 'error') THEN floor(avg(value) + 0.5) ELSE avg(value) END, 6) AS value FROM cut WHERE active GROUP BY host_name, app_name, frame""")
+SELECT host_name, app_name, frame AS ts, min_by(kind, ts) AS kind, round(CASE WHEN app_name = 'view' THEN min_by(value, ts) WHEN app_name IN ('click', 'error') THEN floor(avg(value) + 0.5) ELSE avg(value) END + 1e-9, 6) AS value FROM cut WHERE active GROUP BY host_name, app_name, frame""")
 def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("app_name").isin("click", "error"), "int64").when(F.col("app_name") == "view", "bool").otherwise("float64")
     rec = events(spark, sf_dir).select(*K, F.lit("/v").alias("path"), F.lit(0).alias("group_id"), "ts", kind.alias("kind"), "value", F.lit(None).cast("string").alias("value_string"), (F.col("k") % 7 != 0).alias("active"))
@@ -199,7 +199,7 @@ def unread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EV}, {LV}, {_POS}, g AS (SELECT host_name, app_name, min(ts) AS lo, max(ts) AS hi, max(position) AS position, min(ts) FILTER (position IS NULL OR ts > position) AS pending FROM lv LEFT JOIN pr USING (host_name, app_name) GROUP BY ALL)
-SELECT host_name, app_name, round(hi - coalesce(least(position, hi), lo), 6) AS seconds_left, round(CASE WHEN hi > lo THEN (coalesce(pending, hi) - lo) * 100 / (hi - lo) ELSE 100 END, 6) AS percent, coalesce(position < lo, false) AS skipped FROM g""")
+SELECT host_name, app_name, round(hi - coalesce(least(position, hi), lo) + 1e-9, 6) AS seconds_left, round(CASE WHEN hi > lo THEN (coalesce(pending, hi) - lo) * 100 / (hi - lo) ELSE 100 END + 1e-9, 6) AS percent, coalesce(position < lo, false) AS skipped FROM g""")
 def reader_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.reader_progress(levels(spark, sf_dir), _progress(spark, sf_dir), "a"), "seconds_left", "percent")
 

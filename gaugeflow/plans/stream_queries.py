@@ -24,17 +24,17 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLOSED = f"fr AS (SELECT *, floor(ts / {_SPAN} + 0.5) * {_SPAN} AS frame FROM ev), mx AS (SELECT floor(max(ts) * 1000) / 1000 - {_DELAY} AS wm FROM ev)"
 
 
-@query(f"WITH {EV}, {_CLOSED} SELECT host_name, app_name, frame::DOUBLE AS ts, round(avg(value), 6) AS value FROM fr, mx WHERE frame + {_SPAN // 2} <= wm GROUP BY host_name, app_name, frame")
+@query(f"WITH {EV}, {_CLOSED} SELECT host_name, app_name, frame::DOUBLE AS ts, round(avg(value) + 1e-9, 6) AS value FROM fr, mx WHERE frame + {_SPAN // 2} <= wm GROUP BY host_name, app_name, frame")
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jobs.stream_rollup(_stream(spark, sf_dir), _SPAN, f"{_DELAY} seconds", tuple(K))
     return rounded(jobs.to_parquet(out, scratch(spark, "rollup")), "value")
 
 
-@query(f"WITH {EV}, {_CLOSED} SELECT host_name AS instance, CAST(frame AS BIGINT) AS ts, count(*) AS cpu_count, round(max(least(100, value / 3)), 6) AS cpu_max, round(sum(least(100, value / 3)), 4) AS cpu_sum FROM fr, mx WHERE frame + {_SPAN // 2} <= wm GROUP BY host_name, frame")
+@query(f"WITH {EV}, {_CLOSED} SELECT host_name AS instance, CAST(frame AS BIGINT) AS ts, count(*) AS cpu_count, round(max(least(100, value / 3)) + 1e-9, 6) AS cpu_max, round(sum(least(100, value / 3)), 4) AS cpu_sum FROM fr, mx WHERE frame + {_SPAN // 2} <= wm GROUP BY host_name, frame")
 def stream_health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stream(spark, sf_dir).select(F.lit("a").alias("account"), F.col("host_name").alias("instance"), F.lit("r").alias("region"), "event_time", (F.col("value") / 300).alias("user_time_fraction"))
     out = jobs.to_parquet(jobs.stream_health_rollup(s, _SPAN, f"{_DELAY} seconds"), scratch(spark, "health"))
-    return out.select("instance", "ts", "cpu_count", F.round("cpu_max", 6).alias("cpu_max"), F.round("cpu_sum", 4).alias("cpu_sum"))
+    return out.select("instance", "ts", "cpu_count", F.round(F.col("cpu_max") + 1e-9, 6).alias("cpu_max"), F.round("cpu_sum", 4).alias("cpu_sum"))
 
 
 @query(f"WITH {EV}, {LV}, w AS (SELECT *, lag(floor(v / 25)) OVER (PARTITION BY host_name, app_name ORDER BY ts) AS p FROM (SELECT ev.host_name, ev.app_name, ev.ts, ev.value AS v FROM ev)) SELECT host_name, app_name, ts, floor(v / 25) AS value FROM w WHERE p IS NULL OR p <> floor(v / 25)")

@@ -95,7 +95,7 @@ def current_errors(results: DataFrame) -> DataFrame:
     return last.where("error is not null").orderBy(*K)
 
 
-def aws_policy(machines: DataFrame, test_mode: bool, default_seconds: float, tag: str = "ScottyCloudTest", period_tag: str = "ScottyCloudWatch") -> DataFrame:
+def aws_policy(machines: DataFrame, test_mode: bool, default_seconds: float, tag: str = "HealthTest", period_tag: str = "AlarmPeriod") -> DataFrame:
     """Adds health_export, memory_only and alarm_period (seconds) from the machine's tag map.
 
     Health export is on if the test mode is that of the machine (it has the test tag or not), and nothing is exported else. Without the period tag the

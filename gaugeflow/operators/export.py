@@ -162,14 +162,3 @@ def endpoint_metrics(records: DataFrame) -> DataFrame:
     values = F.reverse(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("timestamp"), "value", "active"))))
     out = records.groupBy(*K, "path", "kind", "unit", "description").agg(values.alias("values"))
     return out.select(*K, "path", F.to_json(F.struct("path", "kind", bits.alias("bits"), "unit", "description", "values")).alias("document"))
-
-
-def write_stream_batch(writer, hooks=()):
-    """A foreachBatch function: writes the batch, then hands the successfully written rows to each hook."""
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        writer(batch, epoch)
-        for hook in hooks:
-            hook(batch, epoch)
-
-    return run

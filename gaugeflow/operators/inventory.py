@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from gaugeflow.model import INTEGER_KINDS, K
 
 
+#: The flag of an application that has metrics of its own (fixed value).
+HAS_METRICS = "has-tricorder-metrics"
+
+
 def discover_apps(obs: DataFrame) -> DataFrame:
     """(host_name, batch_seq, name, port, use_tls) of /health-checks/<name> entries that say they have metrics and give a whole port number; TLS is off by default."""
     p = F.split("path", "/")
@@ -18,7 +22,7 @@ def discover_apps(obs: DataFrame) -> DataFrame:
 
     whole, flag = F.col("kind").isin(*INTEGER_KINDS), F.col("kind") == "bool"
     out = own.groupBy("host_name", "batch_seq", "name").agg(
-        pick("has-tricorder-metrics", flag, "value_bool").alias("has"), pick("port-number", whole, "value_long").alias("port"), pick("use-tls", flag, "value_bool").alias("tls")
+        pick(HAS_METRICS, flag, "value_bool").alias("has"), pick("port-number", whole, "value_long").alias("port"), pick("use-tls", flag, "value_bool").alias("tls")
     )
     return out.where("has and port is not null").select("host_name", "batch_seq", "name", "port", F.coalesce("tls", F.lit(False)).alias("use_tls"))
 

@@ -190,7 +190,7 @@ def discover_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     k = F.col("k")
     cells = F.array(
-        F.struct(path("has-tricorder-metrics"), F.lit("bool").alias("kind"), (k % 3 != 0).alias("value_bool"), none("long").alias("value_long")),
+        F.struct(path(I.HAS_METRICS), F.lit("bool").alias("kind"), (k % 3 != 0).alias("value_bool"), none("long").alias("value_long")),
         F.struct(path("port-number"), F.when(k % 7 == 0, "string").otherwise("int32").alias("kind"), none("boolean").alias("value_bool"), (k + 6900).alias("value_long")),
         F.struct(path("use-tls"), F.lit("bool").alias("kind"), F.when(k % 2 == 0, True).alias("value_bool"), none("long").alias("value_long")),
     )
@@ -265,7 +265,7 @@ def aws_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = events(spark, sf_dir).select("host_name", "user_id").distinct()
     u = F.col("user_id")
     period = F.when(u % 5 == 0, "15m").when(u % 5 == 1, "30s").when(u % 5 == 2, "1h30m").when(u % 5 == 3, "often")
-    entries = F.array_compact(F.array(F.when(u % 2 == 0, F.struct(F.lit("ScottyCloudTest").alias("k"), F.lit("").alias("v"))), F.when(period.isNotNull(), F.struct(F.lit("ScottyCloudWatch").alias("k"), period.alias("v")))))
+    entries = F.array_compact(F.array(F.when(u % 2 == 0, F.struct(F.lit("HealthTest").alias("k"), F.lit("").alias("v"))), F.when(period.isNotNull(), F.struct(F.lit("AlarmPeriod").alias("k"), period.alias("v")))))
     return E.aws_policy(m.withColumn("tags", F.map_from_entries(entries)), test_mode=False, default_seconds=300).select("host_name", "health_export", "memory_only", "alarm_period")
 
 

@@ -42,6 +42,14 @@ def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return have, width
 
 
+class _Seen:
+    """Guesses and confidences of both orders at one step."""
+
+    def __init__(self, e1: np.ndarray, e2: np.ndarray):
+        self.c1, self.c2, self.p1, self.p2 = e1 & 3, e2 & 3, e1 >> 2, e2 >> 2
+        self.key = (self.c2 << 2) + self.c1
+
+
 class _Contexts:
     """The two context tables of many blocks at once. An entry is the symbol that followed last (shifted) and a confidence of 0 to 3."""
 
@@ -57,10 +65,8 @@ class _Contexts:
         self.slots = self.base[:n] + (h >> _SLOT_SHIFT).view(np.int32), self.base[:n] + (deep >> _SLOT_SHIFT).view(np.int32)
         return self.tables[0].take(self.slots[0]), self.tables[1].take(self.slots[1])
 
-    def learn(self, s: np.ndarray, seen: tuple[np.ndarray, np.ndarray], n: int) -> None:
-        s = s.astype(np.int32)
-        for table, slot, entry in zip(self.tables, self.slots, seen):
-            c, guess = entry & 3, entry >> 2
+    def learn(self, s: np.ndarray, seen: _Seen, n: int) -> None:
+        for table, slot, c, guess in zip(self.tables, self.slots, (seen.c1, seen.c2), (seen.p1, seen.p2)):
             new = _CONFIDENCE.take(c * 2 + (guess == s))
             table[slot] = new + (np.where(c > 1, guess, s) << 2)
         self.two[:n] = self.one[:n]
@@ -101,31 +107,28 @@ class _Mixture:
         k = np.arange(16)
         return np.stack([np.where(k & 3, w1, 0), np.where(k >> 2, w2, 0)], axis=1)
 
-    def interval(self, s: np.ndarray, e1: np.ndarray, e2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def interval(self, s: np.ndarray, seen: _Seen) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of symbols s (int32)."""
-        key = (e2 & 3) << 2 | e1 & 3
-        p1, p2, w1, w2 = e1 >> 2, e2 >> 2, self.w1.take(key), self.w2.take(key)
-        at = key * np.int32(self.stride) + s
+        p1, p2, w1, w2 = seen.p1, seen.p2, self.w1.take(seen.key), self.w2.take(seen.key)
+        at = seen.key * np.int32(self.stride) + s
         start = self.cum.take(at)
         width = self.cum.take(at + 1) - start + w1 * (p1 == s) + w2 * (p2 == s)
         return start + w1 * (p1 < s) + w2 * (p2 < s), width
 
-    def find(self, target: np.ndarray, e1: np.ndarray, e2: np.ndarray) -> np.ndarray:
+    def find(self, target: np.ndarray, seen: _Seen) -> np.ndarray:
         """The symbol whose interval holds each target (int32)."""
-        key = (e2 & 3) << 2 | e1 & 3
-        p1, p2, w1, w2 = e1 >> 2, e2 >> 2, self.w1.take(key), self.w2.take(key)
-        swap = p1 > p2
+        p1, p2, w1, w2 = seen.p1, seen.p2, self.w1.take(seen.key), self.w2.take(seen.key)
         lo, hi = np.minimum(p1, p2), np.maximum(p1, p2)
-        w_lo = np.where(swap, w2, w1)
-        row = key * np.int32(self.stride)
+        w_lo = np.where(p1 > p2, w2, w1)
+        row = seen.key * np.int32(self.stride) + 1
         last = np.int32(self.stride - 2)
         # Take off the weight of the guesses passed; a target inside a guess's own weight goes to the guess.
-        end_lo = self.cum.take(row + np.minimum(lo, last) + 1)
-        end_hi = self.cum.take(row + np.minimum(hi, last) + 1)
+        end_lo = self.cum.take(row + np.minimum(lo, last))
+        end_hi = self.cum.take(row + np.minimum(hi, last))
         less = target - w_lo
         rest = np.where(less >= end_lo, less, np.minimum(target, end_lo - 1))
         rest = np.where(rest >= end_hi, np.maximum(target - w1 - w2, end_hi - 1), rest)
-        return self.at.take(key * np.int32(TOTAL + 1) + rest)
+        return self.at.take(seen.key * np.int32(TOTAL + 1) + rest).astype(np.int32)
 
 
 def _active(lengths: np.ndarray) -> np.ndarray:
@@ -145,14 +148,14 @@ def encode_blocks(symbols: np.ndarray, width: np.ndarray, block: int = BLOCK) ->
     contexts, seen = _Contexts(lanes), []
     for s, n in zip(steps, active):
         seen.append(contexts.look(n))
-        contexts.learn(s[:n], seen[-1], n)
+        contexts.learn(s[:n].astype(np.int32), _Seen(*seen[-1]), n)
     weights = _Mixture.fit(*(np.concatenate([e[k] for e in seen]) if seen else np.zeros(0, np.uint32) for k in (0, 1)), np.concatenate([s[:n] for s, n in zip(steps, active)]) if seen else np.zeros(0, np.uint16))
     mixture = _Mixture(width, weights)
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     out = np.zeros((lanes, 2 * block + 8), np.uint16)
     at = np.zeros(lanes, np.int64)
     for s, n, (e1, e2) in zip(steps, active, seen):
-        start, wide = mixture.interval(s[:n].astype(np.int32), e1, e2)
+        start, wide = mixture.interval(s[:n].astype(np.int32), _Seen(e1, e2))
         r = span[:n] >> _U(BITS)
         low[:n] += start.astype(_U) * r
         span[:n] = wide.astype(_U) * r
@@ -205,14 +208,14 @@ def decode_blocks(blobs: list[bytes], lengths: np.ndarray, width: np.ndarray, we
     active = _active(lengths)
     out = np.zeros((len(active), lanes), np.uint16)
     for t, n in enumerate(active):
-        e1, e2 = contexts.look(n)
+        now = _Seen(*contexts.look(n))
         r = span[:n] >> _U(BITS)
         target = np.minimum((code[:n] - low[:n]) // r, _U(TOTAL - 1)).astype(np.int32)
-        s = mixture.find(target, e1, e2).astype(np.int32)
-        start, wide = mixture.interval(s, e1, e2)
+        s = mixture.find(target, now)
+        start, wide = mixture.interval(s, now)
         low[:n] += start.astype(_U) * r
         span[:n] = wide.astype(_U) * r
-        contexts.learn(s, (e1, e2), n)
+        contexts.learn(s, now, n)
         _shift(low, span, n, None, at, code, words)
         out[t, :n] = s
     return out.T[np.arange(len(active))[None, :] < lengths[:, None]] if lanes else np.zeros(0, np.uint16)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one chunk of rows aims at; one longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _IS_SPACE = np.zeros(256, bool)

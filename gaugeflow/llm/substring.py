@@ -27,7 +27,7 @@ from gaugeflow.llm.shared import stored
 
 WINDOW, ANCHOR = 50, 20
 #: Passages of one automaton; an anchor with more distinct passages is split over several, each of which streams all of that anchor's passages.
-SHARD_PASSAGES = 4_000
+SHARD_PASSAGES = 2_000
 _SPREAD = np.uint64(0xD1342543DE82EF95)
 
 

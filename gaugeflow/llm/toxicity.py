@@ -185,7 +185,7 @@ def sentence_features(landmarks: Landmarks, texts: list[str], known: dict | None
     first[word[::-1]] = np.arange(len(word) - 1, -1, -1)
     if known is None:
         known = {}
-    if len(known.get("dull", ())) > 2_000_000:
+    if len(known.get("dull", ())) > 1_000_000:
         known.clear()
     dull = known.setdefault("dull", np.zeros(0, np.uint64))  # sorted hashes of words without a feature
     spot = np.minimum(np.searchsorted(dull, distinct), max(len(dull) - 1, 0))

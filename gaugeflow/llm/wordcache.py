@@ -18,7 +18,7 @@ from gaugeflow.llm import pretokens as P
 from gaugeflow.llm import spans
 
 #: Distinct pretokens kept by a worker (about 30 bytes each) and the longest that is kept.
-MOST_WORDS, LONGEST = 1_000_000, 64
+MOST_WORDS, LONGEST = 500_000, 64
 
 _SEED2 = np.uint64(0xA24BAED4963EE407)
 

@@ -212,6 +212,8 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR,
     places = docs.where("doc_id is not null").mapInArrow(_anchor_rows(window, width), "doc_id bigint, row_key bigint, pos int, anchor bigint, passage bigint")
     places = stored(places, "anchors")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("anchor")
+    # Written down, so that a hot anchor's rows can be split over tasks in the join: an aggregate beside it would hold them together.
+    shared = stored(shared, "shared")
     places = stored(places.join(shared, "anchor", "left_semi"), "places")
     passages = places.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "row_key", "pos")).alias("f"))
     wanted = passages.groupBy("f.doc_id", "f.row_key").agg(F.collect_list(F.struct(F.col("f.pos").alias("pos"), "anchor", "passage")).alias("wanted"))
@@ -229,6 +231,7 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR,
     # Every part of a large anchor saw its own references: the smallest of all counts.
     found = found.groupBy("anchor", "passage").agg(F.collect_list("least").alias("all"))
     found = found.select("anchor", "passage", F.reduce("all", F.element_at("all", 1), lambda x, y: F.zip_with(x, y, lambda a, b: F.least(a, b))).alias("least"))
+    found = stored(found, "found")
     hits = places.join(found, ["anchor", "passage"]).where(F.array_min("least") < F.col("doc_id"))
     at = F.greatest(F.col("pos") - (window - width), F.lit(0))
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), at + i)), lambda x: x.isNotNull())

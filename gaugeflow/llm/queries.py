@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import covertree, fingerprint, idfiles, lexicon, neardup, packing, sharding, substring, tokencount, toxicity
-from gaugeflow.llm.shared import new_folder, tables
+from gaugeflow.llm.shared import new_folder, stored, tables
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "ids")
     idfiles.write_ids(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
-    return idfiles.with_starts(idfiles.read_ids(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32", F.col("file").alias("file"), "segment")
+    rows = stored(idfiles.read_ids(spark, folder), "decoded")  # the starts need them more than once
+    return idfiles.with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32", F.col("file").alias("file"), "segment")
 
 
 def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

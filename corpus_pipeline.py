@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from gaugeflow.llm import neardup, packing, substring, toxicity
 from gaugeflow.llm.shared import stored, tables
 
+#: Similarity from which the pipeline takes documents as near-duplicates.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; the model is fitted on the labelled documents among them."""
@@ -20,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each class of near-duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """One document (the smallest doc_id) of each class of near-duplicates, which are alike by NEAR_PERCENT or more."""
+    kept = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
 
 

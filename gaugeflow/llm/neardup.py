@@ -2,7 +2,7 @@
 
 Two small collections of m keys each are made from h minhashes per key; the table keys are all m * m pairs of a
 key of the first and one of the second collection: 2 * m * h minhashes give what m * m * 2h would give untensored.
-At similarity 0.85 and h = 4, m = 14, a pair meets in no table with probability 7e-5, at 0.9 with 6e-7.
+At similarity 0.8 and h = 4, m = 20, a pair meets in no table with probability 5e-5, at 0.85 with 8e-7.
 
 Documents with equal shingle sets are one node. Nodes that meet in a table belong to one candidate group; links
 inside the groups are decided on the full shingle sets, in blocks of bounded weight, which return the edges of a
@@ -23,7 +23,7 @@ from gaugeflow.llm import spans
 from gaugeflow.llm.components import components
 from gaugeflow.llm.shared import stored
 
-WORDS, PER_KEY, KEYS, PERCENT = 5, 4, 14, 85
+WORDS, PER_KEY, KEYS, PERCENT = 5, 4, 20, 80
 #: Shingles of one block of a candidate group: a task holds two blocks.
 BLOCK_SHINGLES = 1 << 18
 

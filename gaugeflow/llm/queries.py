@@ -19,7 +19,7 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(tables(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(tables(spark, sf_dir, "documents"), percent=85)
 
 
 def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from conftest import DATA, compare
 
 import corpus_pipeline
-from gaugeflow.llm import covertree, queries, sharding, toxicity
+from gaugeflow.llm import covertree, neardup, queries, sharding, toxicity
 
 VECTORS = "vec_id long, embedding array<float>, rank string"
 
@@ -166,3 +166,23 @@ def test_pipeline_stages(spark):
         assert removed == 0 or r.text == text
     pieces = stages["packing"](spark, cut, folder)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in cut.collect()}
+
+
+def at_similarity(shared, base=0):
+    """Two texts of 100 shingles each that share `shared` of them."""
+    words = [f"w{base + i}" for i in range(104)]
+    other = words[: shared + 4] + [f"o{base + i}" for i in range(100 - shared)]
+    return " ".join(words), " ".join(other)
+
+
+def test_near_duplicate_stage_at_80(spark):
+    """Copies of similarity 0.80 up to 0.85 go, those below 0.80 stay; the query op3 links from 0.85."""
+    docs = [(2 * k + j, t, "x") for k, shared in enumerate((88, 91, 92)) for j, t in enumerate(at_similarity(shared, 1000 * k))]
+    for k in (10, 11, 12, 13):  # 90 / 110 = 0.818
+        docs += [(2 * k + j, t, "x") for j, t in enumerate(at_similarity(90, 1000 * k))]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, "")
+    assert kept.columns == table.columns
+    assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 4, 20, 22, 24, 26}
+    assert neardup.near_duplicates(table).where("kept").count() == 8
+    assert {r.doc_id for r in neardup.near_duplicates(table, percent=85).where("not kept").collect()} == {5}

@@ -8,7 +8,8 @@ meets the one shard that can match it: the passages around one *anchor* go to on
 
 Anchors: of the 20-word hashes inside each 50-word window the smallest is picked, so that equal windows pick equal
 anchors wherever they stand. An anchor that occurs in one document only needs no work. The *passage* of an anchor
-is all words that a window around it can touch.
+is all words that a window around it can touch. An anchor with more passages than a shard holds has no automaton: its
+passages are cut into their windows once, at most window - width + 1 each, and the smallest document of equal windows is an aggregate.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from gaugeflow.llm import spans
 from gaugeflow.llm.shared import stored
 
 WINDOW, ANCHOR = 50, 20
-#: Passages of one automaton; an anchor with more distinct passages is split over several, each of which streams all of that anchor's passages.
+#: Passages of one automaton; the windows of an anchor with more distinct passages meet by their own hashes instead.
 SHARD_PASSAGES = 2_000
 _SPREAD = np.uint64(0xD1342543DE82EF95)
 
@@ -168,9 +169,8 @@ def _search(window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         automaton = SuffixAutomaton()
         words = [np.frombuffer(w, np.int64).tolist() for w in pdf["words"]]
-        for own, ref, doc in zip(words, pdf["reference"], pdf["least"]):
-            if ref:
-                automaton.add(own, doc)
+        for own, doc in zip(words, pdf["least"]):
+            automaton.add(own, doc)
         automaton.finish()
         pdf = pdf[["anchor", "passage"]]
         return pdf.assign(least=[automaton.least_documents(w, window) for w in words])
@@ -178,6 +178,25 @@ def _search(window: int):
     return run
 
 
+def _window_rows(window: int):
+    """The windows of each passage: their place in it, hash and the passage's smallest document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
+            sizes = np.array([len(w) for w in words], np.int64)
+            n = np.maximum(sizes - window + 1, 0)
+            if not n.sum():
+                continue
+            owner = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            hashes = spans.rolling(np.concatenate(words), window)[(np.cumsum(sizes) - sizes)[owner] + place]
+            keys = [batch.column(c).take(pa.array(owner)) for c in ("anchor", "passage", "least")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["anchor", "passage", "least", "place", "hash"])
+
+    return run
+
+
 def _keep(window: int):
     """Rows with the words that no covered window touches."""
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
@@ -219,18 +238,16 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR,
     wanted = passages.groupBy("f.doc_id", "f.row_key").agg(F.collect_list(F.struct(F.col("f.pos").alias("pos"), "anchor", "passage")).alias("wanted"))
     texts = docs.join(wanted, ["doc_id", "row_key"]).select("doc_id", "text", "wanted").dropDuplicates(["doc_id", "wanted"])
     passages = stored(texts.mapInArrow(_passage_words(window, width), "anchor bigint, passage bigint, least bigint, words binary"), "passages")
-    # A shard has many small anchors; a large anchor has shards of its own, which each stream all its passages.
-    sizes = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    n = sizes.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-2 * n // shard))
-    sizes = sizes.select("anchor", F.ceil(F.col("n") / shard).cast("int").alias("parts"))
-    dealt = passages.join(sizes, "anchor").withColumn("own", F.pmod(F.xxhash64("passage"), F.col("parts")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = dealt.withColumn("reference", F.col("own") == F.col("part")).withColumn("shard", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.xxhash64("anchor")))
-    found = dealt.select("shard", "part", "anchor", "passage", "least", "words", "reference").groupBy("shard", "part").applyInPandas(_search(window), "anchor bigint, passage bigint, least array<bigint>")
-    # Every part of a large anchor saw its own references: the smallest of all counts.
-    found = found.groupBy("anchor", "passage").agg(F.collect_list("least").alias("all"))
-    found = found.select("anchor", "passage", F.reduce("all", F.element_at("all", 1), lambda x, y: F.zip_with(x, y, lambda a, b: F.least(a, b))).alias("least"))
+    # A shard has many small anchors, whole. Written down as above: the passages of a large one can be split over tasks.
+    large = stored(passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard).select("anchor"), "large")
+    shards = max(1, -(-2 * passages.count() // shard))
+    dealt = passages.join(large, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    found = dealt.select("shard", "anchor", "passage", "least", "words").groupBy("shard").applyInPandas(_search(window), "anchor bigint, passage bigint, least array<bigint>")
+    cut = passages.join(large, "anchor", "left_semi").select("anchor", "passage", "least", "words")
+    cut = stored(cut.mapInArrow(_window_rows(window), "anchor bigint, passage bigint, least bigint, place int, hash bigint"), "windows")
+    least = stored(cut.groupBy("anchor", "hash").agg(F.min("least").alias("least")), "least")
+    hot = cut.drop("least").join(least, ["anchor", "hash"]).groupBy("anchor", "passage").agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("all"))
+    found = found.unionByName(hot.select("anchor", "passage", F.col("all.least").alias("least")))
     found = stored(found, "found")
     hits = places.join(found, ["anchor", "passage"]).where(F.array_min("least") < F.col("doc_id"))
     at = F.greatest(F.col("pos") - (window - width), F.lit(0))

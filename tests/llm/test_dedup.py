@@ -158,6 +158,29 @@ def test_repeats(spark, shard, monkeypatch):
         assert bool(starts.get(i)) == (removed > 0)
 
 
+def test_hot_anchor_stays_out_of_the_groups(spark, monkeypatch):
+    """No task holds more passages of one anchor than a shard, however many contexts a common passage has."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(52)]
+    rows = [(i, " ".join([f"a{rng.randrange(10**6)}" for _ in range(40)] + common + [f"z{rng.randrange(10**6)}" for _ in range(40)])) for i in range(30)]
+    search = substring._search
+
+    def bounded(window):
+        inner = search(window)
+
+        def run(pdf):
+            if pdf.groupby("anchor").size().max() > 5:
+                raise ValueError("one anchor went whole into a group")
+            return inner(pdf)
+
+        return run
+
+    monkeypatch.setattr(substring, "_search", bounded)
+    keyed = table(spark, rows).withColumn("row_key", F.xxhash64("text")).select("doc_id", "row_key", "text")
+    starts = {r.doc_id: sorted(r.starts) for r in substring.covered_windows(keyed, shard=5).collect()}
+    assert starts == {i: [40, 41, 42] for i in range(1, 30)}
+
+
 def test_repeats_odd_tables(spark):
     assert substring.remove_repeats(table(spark, [])).count() == 0
     long = " ".join(f"x{i}" for i in range(60))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.scalars import is_numeric, tsdb_escape
 from gaugeflow.model import K
+from gaugeflow.sources.shared import scratch
 
 
 def distinct_names(obs: DataFrame) -> DataFrame:
@@ -72,27 +73,26 @@ def limit_records(records: DataFrame, n: int, keys: list[str], order: list[str])
     return records.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-#: Leases of one owner that are looked at in one go: a coordination table has a few.
-MOST_LEASES = 100_000
-
-
 def lease_filter(records: DataFrame, leases: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
     """(records inside the owner's leases [start, end), one row with the number of records outside that a later lease follows).
 
-    The owner's leases are merged into disjoint spans, which become part of the filter; more than MOST_LEASES of them are an error.
+    A time is inside if the largest end of the leases that start by then is after it. Distinct times and starts are dealt by ranges,
+    each range takes over the largest end of those before it; the ranges are written to the shared folder. Leases
+    without a start or an end are left out.
     """
-    own = leases.where(F.col("owner") == owner).select(F.col("start").cast("double"), F.col("end").cast("double")).orderBy("start").limit(MOST_LEASES + 1).collect()
-    if len(own) > MOST_LEASES:
-        raise ValueError(f"more than {MOST_LEASES} leases of {owner}")
-    spans: list[list[float]] = []
-    for start, end in own:
-        if spans and start <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], end)
-        elif end > start:
-            spans.append([start, end])
-    if not spans:
-        return records.limit(0), records.limit(0).agg(F.count(F.lit(1)).alias("skipped"))
-    table = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in spans])
-    inside = F.exists(table, lambda x: (F.col("ts") >= x[0]) & (F.col("ts") < x[1]))
-    skipped = records.where(~inside & (F.col("ts") < own[-1][0])).agg(F.count(F.lit(1)).alias("skipped"))
-    return records.where(inside), skipped
+    own = leases.where(F.col("owner") == owner).select(F.col("start").cast("double").alias("t"), F.col("end").cast("double").alias("end")).dropna()
+    last = own.agg(F.max("t")).first()[0]
+    times = records.select(F.col("ts").cast("double").alias("t"), F.lit(None).cast("double").alias("end")).dropna(subset=["t"]).distinct()
+    # One row for each time, so that a common one weighs no more than others in its range.
+    points = own.unionByName(times).groupBy("t").agg(F.max("end").alias("end"))
+    path = scratch(records.sparkSession, "leases")
+    points.repartitionByRange("t").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    points = records.sparkSession.read.schema("t double, end double, part int").parquet(path)
+    # One row a range: small, whatever the number of leases.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = points.groupBy("part").agg(F.max("end").alias("top")).select("part", F.max("top").over(before).alias("earlier"))
+    so_far = F.max("end").over(Window.partitionBy("part").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    inside = points.select("part", "t", so_far.alias("reach")).join(parts, "part").where(F.greatest("reach", "earlier") > F.col("t")).select(F.col("t").alias("_t"))
+    timed = records.withColumn("_t", F.col("ts").cast("double"))
+    skipped = timed.where(F.col("_t") < F.lit(last).cast("double")).join(inside, "_t", "left_anti").agg(F.count(F.lit(1)).alias("skipped"))
+    return timed.join(inside, "_t", "left_semi").drop("_t"), skipped

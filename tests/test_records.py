@@ -185,6 +185,20 @@ def test_leases(spark):
     assert skipped.first().skipped == 10 + 9
 
 
+def test_many_leases(spark):
+    """150,000 leases of one owner, of which one is long and one is empty, over several ranges of times."""
+    rec = spark.range(-5, 2000).selectExpr("cast(id * 77 + 0.5 AS double) AS ts", "id").unionByName(spark.createDataFrame([(None, -9), (77.5, -8)], "ts double, id long"))
+    leases = spark.range(150_000).selectExpr("'me' AS owner", "cast(id AS double) AS start", "id + CASE WHEN id = 1000 THEN 5000 WHEN id % 3 = 0 THEN 1 ELSE 0 END AS end")
+    leases = leases.unionByName(spark.createDataFrame([("me", 200_000.0, 1.0), ("me", None, 9.0), ("me", 1.0, None), ("you", 0.0, 1e9)], "owner string, start double, end double"))
+    spans = [x for x in [*range(-5, 2000), -8] for t in [77 * (1 if x == -8 else x)] if 1000 <= t < 6000 or 0 <= t < 150_000 and t % 3 == 0]
+    inside, skipped = O.lease_filter(rec, leases, "me")
+    assert inside.columns == rec.columns
+    assert sorted(r.id for r in inside.collect()) == sorted(spans)
+    assert skipped.first().skipped == 2006 - len(spans)
+    nothing, none = O.lease_filter(rec, leases, "nobody")
+    assert nothing.count() == 0 and none.first().skipped == 0
+
+
 def test_escapes(spark):
     df = spark.createDataFrame([("mo town",), ("_a_b_c_",)], "x string")
     assert [r[0] for r in df.select(C.tsdb_escape("x")).collect()] == ["mo_20town", "_5Fa_5Fb_5Fc_5F"]

@@ -23,9 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each class of near-duplicates, which are alike by NEAR_PERCENT or more."""
-    kept = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row (of the smallest doc_id; null ids come last) of each class of near-duplicates, which are alike by NEAR_PERCENT or more."""
+    return neardup.one_of_each(docs, NEAR_PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

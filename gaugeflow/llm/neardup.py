@@ -189,3 +189,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_
     out = rows.join(final, ["set1", "set2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) with one row of each class of near-duplicate texts.
+
+    Rows are told apart by a key of their own, so classes come from texts alone: rows of one doc_id with unlike texts are different
+    documents. Of a class stays the row with the smallest doc_id (null: after all others), and of that the one with the smallest hash of
+    its text; one of equal rows stays. Documents without words all stay.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    firsts = rows.select("_row", place.alias("place")).join(found, "_row").groupBy("component_id").agg(F.min("place").alias("first"))
+    return rows.join(firsts.select("first._row"), "_row", "left_semi").select(*docs.columns)

@@ -186,3 +186,17 @@ def test_near_duplicate_stage_at_80(spark):
     assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 4, 20, 22, 24, 26}
     assert neardup.near_duplicates(table).where("kept").count() == 8
     assert {r.doc_id for r in neardup.near_duplicates(table, percent=85).where("not kept").collect()} == {5}
+
+
+def test_near_duplicate_stage_decides_by_row(spark):
+    """Documents without an id stay unless a row with a near-duplicate does; one of repeated rows stays."""
+    (a, a2), (b, b2), (c, _), (d, d2) = (at_similarity(95, 1000 * k) for k in range(4))
+    unlike = "nothing like any other text here"
+    docs = [(None, a, "1"), (None, b, "2"), (7, b2, "3"), (3, c, "4"), (3, c, "5"), (3, c, "6"), (None, d, "7"), (None, d2, "8"), (None, None, "9"), (5, "", "10"), (3, unlike, "11"), (9, a2 + " x y z", "12")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, "")
+    assert kept.columns == table.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 7
+    one = ({(None, d), (None, d2)} & set(got)).pop()
+    assert set(got) == {(9, a2 + " x y z"), (7, b2), (3, c), one, (None, None), (5, ""), (3, unlike)}

@@ -1,15 +1,14 @@
 """Adaptive context-mixing range coder for token ids (operator 8).
 
-A *segment* is a run of whole documents: a header (document lengths, the order-0 table) and blocks of
-4096 ids. Each block starts from fresh contexts, is coded apart and carries the CRC-32 of its ids, so
-a damaged block is found and does not spoil others. All blocks of a segment step together, one
-id at a time, as numpy lanes.
+A *segment* is a run of whole documents: a header (document lengths, the ids in use and their frequencies) and blocks of
+BLOCK ids. Each block starts from fresh contexts and weights, is coded apart and carries the CRC-32 of its ids, so
+that a damaged block is found and does not spoil others. The header has a CRC-32 of its own; a copy of it may be kept beside the
+segment. Blocks step together, one id at a time, as numpy lanes.
 
 Prediction: order-2 and order-1 contexts (hashed into per-block tables) each name one id and a
-confidence, both of which adapt as the block goes on; the segment's id frequencies are the order-0
-distribution. For each pair of confidences, the segment's header holds the weights of the three, from how often
-each order's guess came true, and an id takes the mixture's interval: cum(id) = w2*[p2 < id] +
-w1*[p1 < id] + w0*C0(id), its width likewise.
+confidence; the block's weights say, for each pair of confidences, how often each order's guess comes true. All of
+these adapt as the block goes on. What the guesses leave goes to the segment's id frequencies (order 0), and an id takes the
+mixture's interval: cum(id) = w2*[p2 < id] + w1*[p1 < id] + w0*C0(id), its width likewise.
 """
 
 from __future__ import annotations
@@ -19,116 +18,92 @@ import zlib
 
 import numpy as np
 
-BLOCK, BITS, SLOTS = 4096, 18, 1024
-TOTAL = 1 << BITS
-_SLOT_SHIFT = np.uint32(22)
-_MAGIC = b"CMR1"
+BLOCK, SLOT_BITS, LANES = 2048, 9, 4096
+_MAGIC = b"CMR2"
 _U = np.uint64
-_LOW32, _ONE = _U((1 << 32) - 1), _U(1)
-#: Confidence after a miss or a hit, at confidence 0 to 3.
-_CONFIDENCE = np.array([1, 1, 1, 2, 1, 3, 2, 3], np.int32)
+_LOW32, _ONE, _HALF = _U((1 << 32) - 1), _U(1), _U(32)
+#: Rates are fractions of 2^15; at first, by confidence 0 to 3. They move by 1 / 2^SPEED of the error.
+_RATE, SPEED = 15, 5
+_FIRST_RATES = (0, 4_000, 14_000, 24_000)
 
 
-def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct ids, widths that add up to TOTAL / 2) of the order-0 distribution; each id has 1 at least."""
-    half = TOTAL >> 1
-    if not len(ids):
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(distinct ids, widths that add up to 2^bits, bits) of the order-0 distribution; each id has 1 at least."""
     have, n = np.unique(ids, return_counts=True)
-    if len(have) > 1 << 16:
-        raise ValueError("more than 65536 distinct ids in one segment")
-    width = 1 + (n * (half - len(have)) // n.sum()).astype(np.int64)
-    width[np.argmax(width)] += half - width.sum()
-    return have, width
-
-
-class _Seen:
-    """Guesses and confidences of both orders at one step."""
-
-    def __init__(self, e1: np.ndarray, e2: np.ndarray):
-        self.c1, self.c2, self.p1, self.p2 = e1 & 3, e2 & 3, e1 >> 2, e2 >> 2
-        self.key = (self.c2 << 2) + self.c1
-
-
-class _Contexts:
-    """The two context tables of many blocks at once. An entry is the symbol that followed last (shifted) and a confidence of 0 to 3."""
-
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int32) * SLOTS
-        self.tables = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def look(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        one, two = self.one[:n], self.two[:n]
-        h = one * np.uint32(0x9E3779B1)
-        deep = (h ^ two * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
-        self.slots = self.base[:n] + (h >> _SLOT_SHIFT).view(np.int32), self.base[:n] + (deep >> _SLOT_SHIFT).view(np.int32)
-        return self.tables[0].take(self.slots[0]), self.tables[1].take(self.slots[1])
-
-    def learn(self, s: np.ndarray, seen: _Seen, n: int) -> None:
-        for table, slot, c, guess in zip(self.tables, self.slots, (seen.c1, seen.c2), (seen.p1, seen.p2)):
-            new = _CONFIDENCE.take(c * 2 + (guess == s))
-            table[slot] = new + (np.where(c > 1, guess, s) << 2)
-        self.two[:n] = self.one[:n]
-        self.one[:n] = s + 1
-
-
-class _Mixture:
-    """Intervals of symbols under each of the 16 pairs of confidences: weights of orders 1 and 2, and order 0 over what is left."""
-
-    def __init__(self, width: np.ndarray, weights: np.ndarray):
-        half = TOTAL >> 1
-        cum = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)
-        self.w1, self.w2 = weights[:, 0].astype(np.int32), weights[:, 1].astype(np.int32)
-        spare = (half - weights.sum(axis=1)).astype(np.int64)
-        table = cum[None, :] + (cum[None, :] * spare[:, None] >> (BITS - 1))
-        self.stride = len(cum)
-        self.cum = table.ravel().astype(np.int32)
-        self.table = table
-
-    def prepare(self) -> None:
-        """For decoding: the symbol at each place of order 0, for each pair of confidences."""
-        self.at = np.zeros((16, TOTAL + 1), np.uint16)
-        for k, row in enumerate(self.table):
-            self.at[k, : row[-1]] = np.repeat(np.arange(len(row) - 1), np.diff(row))
-        self.at = self.at.ravel()
-
-    @staticmethod
-    def fit(e1: np.ndarray, e2: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """Weights by pair of confidences from how often each order's guess came true; at most 7/8 of half the total together."""
-        key = (e2 & 3) << 2 | e1 & 3
-        tries = np.bincount(key, minlength=16) + 2
-        hit2 = e2 >> 2 == s
-        rate2 = np.bincount(key[hit2], minlength=16) / tries
-        rate1 = np.bincount(key[(e1 >> 2 == s) & ~hit2], minlength=16) / tries
-        most = (TOTAL >> 1) - (TOTAL >> 4)
-        w2 = np.minimum(rate2 * TOTAL, most).astype(np.int64)
-        w1 = np.minimum(rate1 * TOTAL, most - w2).astype(np.int64)
-        k = np.arange(16)
-        return np.stack([np.where(k & 3, w1, 0), np.where(k >> 2, w2, 0)], axis=1)
-
-    def interval(self, s: np.ndarray, seen: _Seen) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of symbols s (int32)."""
-        p1, p2, w1, w2 = seen.p1, seen.p2, self.w1.take(seen.key), self.w2.take(seen.key)
-        at = seen.key * np.int32(self.stride) + s
-        start = self.cum.take(at)
-        width = self.cum.take(at + 1) - start + w1 * (p1 == s) + w2 * (p2 == s)
-        return start + w1 * (p1 < s) + w2 * (p2 < s), width
-
-    def find(self, target: np.ndarray, seen: _Seen) -> np.ndarray:
-        """The symbol whose interval holds each target (int32)."""
-        p1, p2, w1, w2 = seen.p1, seen.p2, self.w1.take(seen.key), self.w2.take(seen.key)
-        lo, hi = np.minimum(p1, p2), np.maximum(p1, p2)
-        w_lo = np.where(p1 > p2, w2, w1)
-        row = seen.key * np.int32(self.stride) + 1
-        last = np.int32(self.stride - 2)
+    bits = max(17, len(have).bit_length() + 1)
+    if not len(ids):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), bits
+    width = 1 + (n * ((1 << bits) - len(have)) // n.sum()).astype(np.int64)
+    width[np.argmax(width)] += (1 << bits) - width.sum()
+    return have, width, bits
+
+
+class _Model:
+    """Contexts and weights of many blocks at once, over the order-0 table of their segment.
+
+    A table entry is the symbol that a context named last (shifted) and a confidence of 0 to 3.
+    """
+
+    def __init__(self, lanes: int, width: np.ndarray):
+        bits = int(width.sum()).bit_length() - 1 if len(width) else 17
+        self.low_bits, self.bits = bits, max(24, bits + 4)
+        self.total = 1 << self.bits
+        #: Guesses get 7/8 of the total at most.
+        self.unit = np.int32(7 << (self.bits - _RATE - 3))
+        self.width = width.astype(np.int32)
+        self.end = np.cumsum(width).astype(np.int32)
+        self.start = self.end - self.width
+        self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
+        self.tables = np.zeros(lanes << SLOT_BITS, np.int32), np.zeros(lanes << SLOT_BITS, np.int32)
+        self.one, self.two = np.zeros(lanes, _U), np.zeros(lanes, _U)
+        pair = np.arange(16)
+        rates = np.array(_FIRST_RATES, np.int32)
+        self.pairs = np.arange(lanes, dtype=np.int64) << 4
+        self.rates = np.tile(rates[pair & 3], lanes), np.tile(rates[pair >> 2], lanes)
+
+    def symbols(self) -> np.ndarray:
+        """For decoding: the symbol at each place of order 0."""
+        return np.repeat(np.arange(len(self.width), dtype=np.int32), self.width)
+
+    def look(self, n: int) -> None:
+        """Guesses p1, p2 of the next symbol, their weights w1, w2 and the factor m of order 0."""
+        h = self.one[:n] * _U(0x9E3779B97F4A7C15)
+        deep = (h ^ self.two[:n] * _U(0xC2B2AE3D27D4EB4F)) * _U(0xD6E8FEB86659FD93)
+        self.slots = self.base[:n] + (h >> _U(64 - SLOT_BITS)).view(np.int64), self.base[:n] + (deep >> _U(64 - SLOT_BITS)).view(np.int64)
+        self.e1, self.e2 = self.tables[0].take(self.slots[0]), self.tables[1].take(self.slots[1])
+        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
+        self.pair = self.pairs[:n] + (((self.e2 & 3) << 2) + (self.e1 & 3))
+        self.r1, self.r2 = self.rates[0].take(self.pair), self.rates[1].take(self.pair)
+        self.w1 = (((1 << _RATE) - self.r2) * self.r1 >> _RATE) * self.unit
+        self.m = (self.total - self.w1 - self.r2 * self.unit) >> self.low_bits
+        self.w2 = self.total - self.w1 - (self.m << self.low_bits)
+
+    def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of symbols s."""
+        at = s.astype(np.int64)
+        self.hit1, self.hit2 = self.p1 == s, self.p2 == s
+        width = self.width.take(at) * self.m + self.w1 * self.hit1 + self.w2 * self.hit2
+        return self.start.take(at) * self.m + self.w1 * (self.p1 < s) + self.w2 * (self.p2 < s), width
+
+    def find(self, target: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The symbol whose interval holds each target."""
+        lo, hi = np.minimum(self.p1, self.p2), np.maximum(self.p1, self.p2)
         # Take off the weight of the guesses passed; a target inside a guess's own weight goes to the guess.
-        end_lo = self.cum.take(row + np.minimum(lo, last))
-        end_hi = self.cum.take(row + np.minimum(hi, last))
-        less = target - w_lo
+        end_lo, end_hi = self.end.take(lo) * self.m, self.end.take(hi) * self.m
+        less = target - np.where(self.p1 > self.p2, self.w2, self.w1)
         rest = np.where(less >= end_lo, less, np.minimum(target, end_lo - 1))
-        rest = np.where(rest >= end_hi, np.maximum(target - w1 - w2, end_hi - 1), rest)
-        return self.at.take(seen.key * np.int32(TOTAL + 1) + rest).astype(np.int32)
+        rest = np.where(rest >= end_hi, np.maximum(target - self.w1 - self.w2, end_hi - 1), rest)
+        return symbols.take(rest // self.m)
+
+    def learn(self, s: np.ndarray, n: int) -> None:
+        """After interval(s): a guess that came true gains confidence; one that did not loses it, or gives way."""
+        fresh = (s << 2) | 1
+        for table, slot, e, hit in zip(self.tables, self.slots, (self.e1, self.e2), (self.hit1, self.hit2)):
+            table[slot] = np.where(hit, np.minimum(e + 1, e | 3), np.where(e & 2, e - 1, fresh))
+        self.rates[1][self.pair] = self.r2 + ((self.hit2 * np.int32(1 << _RATE) - self.r2) >> SPEED)
+        self.rates[0][self.pair] = self.r1 + ((self.hit1 * np.int32(1 << _RATE) - self.r1) >> SPEED)
+        self.two[:n] = self.one[:n]
+        self.one[:n] = fresh
 
 
 def _active(lengths: np.ndarray) -> np.ndarray:
@@ -136,118 +111,117 @@ def _active(lengths: np.ndarray) -> np.ndarray:
     return np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
 
 
-def encode_blocks(symbols: np.ndarray, width: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(coded bytes, number of symbols) of each block, and the mixing weights."""
-    lanes = -(-len(symbols) // block)
-    lengths = np.full(lanes, block, np.int64)
-    if lanes:
-        lengths[-1] = len(symbols) - block * (lanes - 1)
-    active = _active(lengths)
-    steps = np.zeros((len(active), lanes), np.uint16)
-    steps.T[np.arange(len(symbols)) // block, np.arange(len(symbols)) % block] = symbols
-    contexts, seen = _Contexts(lanes), []
-    for s, n in zip(steps, active):
-        seen.append(contexts.look(n))
-        contexts.learn(s[:n].astype(np.int32), _Seen(*seen[-1]), n)
-    weights = _Mixture.fit(*(np.concatenate([e[k] for e in seen]) if seen else np.zeros(0, np.uint32) for k in (0, 1)), np.concatenate([s[:n] for s, n in zip(steps, active)]) if seen else np.zeros(0, np.uint16))
-    mixture = _Mixture(width, weights)
-    low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    out = np.zeros((lanes, 2 * block + 8), np.uint16)
-    at = np.zeros(lanes, np.int64)
-    for s, n, (e1, e2) in zip(steps, active, seen):
-        start, wide = mixture.interval(s[:n].astype(np.int32), _Seen(e1, e2))
-        r = span[:n] >> _U(BITS)
-        low[:n] += start.astype(_U) * r
-        span[:n] = wide.astype(_U) * r
-        _shift(low, span, n, out, at)
-    for k in range(4):
-        out[np.arange(lanes), at + k] = (low >> _U(48)).astype(np.uint16)
-        low = low << _U(16)
-    return [out[i, : at[i] + 4].astype(">u2").tobytes() for i in range(lanes)], lengths, weights
-
-
-def _shift(low: np.ndarray, span: np.ndarray, n: int, out: np.ndarray | None, at: np.ndarray, code: np.ndarray | None = None, words: np.ndarray | None = None) -> None:
-    """Moves out (or in) 16 bits wherever the top 16 are settled, or the span is too short (then it is first cut at the boundary)."""
-    a, b = low[:n], span[:n]
-    same, short = (a ^ (a + b)) >> _U(48) == 0, b <= _LOW32
-    where = np.flatnonzero(same | short)
-    while len(where):
-        a, b = low[where], span[where]
-        same = (a ^ (a + b)) >> _U(48) == 0
-        short = ~same & (b <= _LOW32)
-        move = same | short
-        if not move.all():
-            where, a, b, short = where[move], a[move], b[move], short[move]
-        if short.any():
-            b = np.where(short, (~a + _ONE) & _LOW32, b)
-        place = at[where]
-        if out is not None:
-            out[where, place] = (a >> _U(48)).astype(np.uint16)
-        else:
-            code[where] = code[where] << _U(16) | words[where, np.minimum(place, words.shape[1] - 1)].astype(_U)
-        at[where] = place + 1
-        low[where] = a << _U(16)
-        b = b << _U(16)
-        span[where] = b
-        where = where[b <= _U((1 << 48) - 1)]  # the others cannot be ready again
-
-
-def decode_blocks(blobs: list[bytes], lengths: np.ndarray, width: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def encode_blocks(symbols: np.ndarray, width: np.ndarray, block: int = BLOCK, most: int = LANES) -> tuple[list[bytes], np.ndarray]:
+    """(coded bytes, number of symbols) of each block; at most `most` blocks step together."""
+    blobs, counts = [], []
+    for first in range(0, len(symbols), block * most):
+        own = symbols[first : first + block * most]
+        lanes = -(-len(own) // block)
+        lengths = np.full(lanes, block, np.int64)
+        lengths[-1] = len(own) - block * (lanes - 1)
+        steps = np.zeros((lanes, block), np.int32)
+        steps.ravel()[: len(own)] = own
+        steps = np.ascontiguousarray(steps.T)
+        model = _Model(lanes, width)
+        bits = _U(model.bits)
+        low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+        out = np.zeros((lanes, block + 4), np.uint32)
+        at = np.zeros(lanes, np.int64)
+        for s, n in zip(steps, _active(lengths).tolist()):
+            s = s[:n]
+            model.look(n)
+            start, wide = model.interval(s)
+            model.learn(s, n)
+            r = span[:n] >> bits
+            low[:n] += start.astype(_U) * r
+            span[:n] = wide.astype(_U) * r
+            where, settled, place = _short(low, span, n, at)
+            out[where, place] = settled
+        for k in range(2):
+            out[np.arange(lanes), at + k] = low >> _HALF
+            low = low << _HALF
+        blobs += [out[i, : at[i] + 2].astype(">u4").tobytes() for i in range(lanes)]
+        counts.append(lengths)
+    return blobs, np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+
+def _short(low: np.ndarray, span: np.ndarray, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lanes whose span has become short, the upper 32 bits of low there, their place): these bits are settled once the span is cut at the next change of them."""
+    where = np.flatnonzero(span[:n] <= _LOW32)
+    a, place = low[where], at[where]
+    low[where] = a << _HALF
+    span[where] = np.minimum(span[where], (~a & _LOW32) + _ONE) << _HALF
+    at[where] = place + 1
+    return where, a >> _HALF, place
+
+
+def decode_blocks(blobs: list[bytes], lengths: np.ndarray, width: np.ndarray, most: int = LANES) -> np.ndarray:
     """Symbols of all blocks; lengths do not increase."""
-    lanes = len(blobs)
-    contexts, mixture = _Contexts(lanes), _Mixture(width, weights)
-    mixture.prepare()
-    words = np.zeros((lanes, max(map(len, blobs), default=0) // 2 + 1), np.uint16)
-    for i, b in enumerate(blobs):
-        words[i, : len(b) // 2] = np.frombuffer(b, ">u2")
-    low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    code = np.zeros(lanes, _U)
-    for k in range(4):
-        code = code << _U(16) | words[:, k].astype(_U)
-    at = np.full(lanes, 4, np.int64)
-    active = _active(lengths)
-    out = np.zeros((len(active), lanes), np.uint16)
-    for t, n in enumerate(active):
-        now = _Seen(*contexts.look(n))
-        r = span[:n] >> _U(BITS)
-        target = np.minimum((code[:n] - low[:n]) // r, _U(TOTAL - 1)).astype(np.int32)
-        s = mixture.find(target, now)
-        start, wide = mixture.interval(s, now)
-        low[:n] += start.astype(_U) * r
-        span[:n] = wide.astype(_U) * r
-        contexts.learn(s, now, n)
-        _shift(low, span, n, None, at, code, words)
-        out[t, :n] = s
-    return out.T[np.arange(len(active))[None, :] < lengths[:, None]] if lanes else np.zeros(0, np.uint16)
+    parts = [np.zeros(0, np.int32)]
+    for first in range(0, len(blobs), most):
+        own, sizes = blobs[first : first + most], lengths[first : first + most]
+        lanes = len(own)
+        model = _Model(lanes, width)
+        symbols, bits, last = model.symbols(), _U(model.bits), _U(model.total - 1)
+        words = np.zeros((lanes, max(max(map(len, own)) // 4, int(sizes.max())) + 4), np.uint32)
+        for i, b in enumerate(own):
+            words[i, : len(b) // 4] = np.frombuffer(b[: len(b) // 4 * 4], ">u4")
+        low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+        code = words[:, 0].astype(_U) << _HALF | words[:, 1].astype(_U)
+        at = np.full(lanes, 2, np.int64)
+        active = _active(sizes)
+        out = np.zeros((len(active), lanes), np.int32)
+        for t, n in enumerate(active.tolist()):
+            model.look(n)
+            r = span[:n] >> bits
+            target = np.minimum((code[:n] - low[:n]) // r, last).astype(np.int32)
+            s = model.find(target, symbols)
+            start, wide = model.interval(s)
+            model.learn(s, n)
+            low[:n] += start.astype(_U) * r
+            span[:n] = wide.astype(_U) * r
+            where, _, place = _short(low, span, n, at)
+            code[where] = code[where] << _HALF | words[where, place].astype(_U)
+            out[t, :n] = s
+        parts.append(out.T[np.arange(len(active))[None, :] < sizes[:, None]])
+    return np.concatenate(parts)
 
 
 def encode_segment(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """One segment: `docs` and `sizes` (ids of each document), then all ids."""
-    have, width = _order0(ids)
-    symbols = np.searchsorted(have, ids).astype(np.uint16)
-    blobs, lengths, weights = encode_blocks(symbols, width, block)
+    """One segment: `docs` (numbers that name them) and `sizes` (ids of each document), then all ids."""
+    have, width, _ = _order0(ids)
+    blobs, lengths = encode_blocks(np.searchsorted(have, ids).astype(np.int32), width, block)
     wide = np.ascontiguousarray(ids.astype("<u4"))
     firsts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     sums = [zlib.crc32(wide[a:b]) for a, b in zip(firsts[:-1], firsts[1:])]
-    head = zlib.compress(b"".join(np.asarray(x, k).tobytes() for x, k in ((docs, "<i8"), (sizes, "<u4"), (have, "<u4"), (width, "<u4"), (weights.ravel(), "<u4"), (lengths, "<u4"), (list(map(len, blobs)), "<u4"), (sums, "<u4"))), 1)
+    head = zlib.compress(b"".join(np.asarray(x, k).tobytes() for x, k in ((docs, "<i8"), (sizes, "<u4"), (have, "<u4"), (width, "<u4"), (lengths, "<u4"), (list(map(len, blobs)), "<u4"), (sums, "<u4"))), 1)
     fixed = struct.pack("<4sIIIII", _MAGIC, len(docs), len(have), len(blobs), len(head), zlib.crc32(head))
     return b"".join([fixed, head, *blobs])
 
 
-def decode_segment(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(docs, sizes, ids); raises ValueError if the header or a block is damaged."""
-    magic, n_docs, n_ids, n_blocks, n_head, head_sum = struct.unpack_from("<4sIIIII", blob)
-    head = blob[24 : 24 + n_head]
-    if magic != _MAGIC or zlib.crc32(head) != head_sum:
+def header(blob: bytes) -> bytes:
+    """The header of a segment, for a copy to be kept beside it."""
+    return blob[: 24 + struct.unpack_from("<4sIIIII", blob)[4]]
+
+
+def decode_segment(blob: bytes, spare: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(docs, sizes, ids); raises ValueError if a block is damaged, or the header and its copy (`spare`) are."""
+    for start in (blob, spare):
+        if start is not None and len(start) >= 24:
+            magic, n_docs, n_ids, n_blocks, n_head, head_sum = struct.unpack_from("<4sIIIII", start)
+            head, first = start[24 : 24 + n_head], 24 + n_head
+            if magic == _MAGIC and zlib.crc32(head) == head_sum:
+                break
+    else:
         raise ValueError("damaged segment header")
     raw, at, fields = zlib.decompress(head), 0, []
-    for n, kind in ((n_docs, "<i8"), (n_docs, "<u4"), (n_ids, "<u4"), (n_ids, "<u4"), (32, "<u4"), (n_blocks, "<u4"), (n_blocks, "<u4"), (n_blocks, "<u4")):
+    for n, kind in ((n_docs, "<i8"), (n_docs, "<u4"), (n_ids, "<u4"), (n_ids, "<u4"), (n_blocks, "<u4"), (n_blocks, "<u4"), (n_blocks, "<u4")):
         fields.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    docs, sizes, have, width, weights, lengths, bytes_, sums = fields
-    ends = 24 + n_head + np.cumsum(bytes_, dtype=np.int64)
+    docs, sizes, have, width, lengths, bytes_, sums = fields
+    ends = first + np.cumsum(bytes_, dtype=np.int64)
     blobs = [blob[e - n : e] for e, n in zip(ends.tolist(), bytes_.tolist())]
-    ids = have[decode_blocks(blobs, lengths.astype(np.int64), width.astype(np.int64), weights.reshape(16, 2).astype(np.int64))].astype("<u4") if n_blocks else np.zeros(0, "<u4")
+    ids = have[decode_blocks(blobs, lengths.astype(np.int64), width.astype(np.int64))].astype("<u4") if n_blocks else np.zeros(0, "<u4")
     firsts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
     for k, (a, b) in enumerate(zip(firsts[:-1], firsts[1:])):
         if zlib.crc32(np.ascontiguousarray(ids[a:b])) != sums[k]:

@@ -7,9 +7,10 @@ texts one after another, `offsets` (int64, n + 1) their bounds. Nulls count as e
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 #: Bytes of text that one chunk of rows aims at; one longer text is a chunk of its own.
@@ -21,8 +22,10 @@ _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE_MIX = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_U = np.uint64
+#: Factors of the words of a window: fixed odd numbers, one for each place.
+_FACTORS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_SEEDS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 
 
 def text_arrays(col) -> tuple[np.ndarray, np.ndarray]:
@@ -71,52 +74,82 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (three multiply and shift rounds)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes; equal bytes have equal hashes wherever they stand."""
-    n = len(data)
-    room = max(CHUNK_BYTES * 2, 1 << (n - 1).bit_length() if n else 1)
-    up, down = _powers(_BASE, room)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_MIX[data] * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit finaliser (three multiply and shift rounds); one to one."""
+    x = x ^ (x >> _U(30))
+    x = x * _U(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> _U(27))
+    x = x * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+class Edges:
+    """First and last eight bytes and length of spans: all there is to know of a span of up to 16 bytes."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        self.size = size = (ends - starts).astype(_U)
+        cut = np.where(size < 8, _U(64) - np.minimum(size, 8) * _U(8), _U(0))
+        self.first = eight[starts + 8]
+        self.first = np.where(size > 0, (self.first << cut) >> cut, _U(0))
+        self.last = eight[ends]
+        self.last = np.where(size > 8, self.last, _U(0))
+
+    def keys(self) -> np.ndarray:
+        """A 64-bit number of each span: one to one for spans of up to 7 bytes, else a hash to be checked by `same`."""
+        short = self.first | self.size << _U(56)
+        return mix(np.where(self.size < 8, short, mix(self.first + _SEEDS[0]) + self.last * _SEEDS[1] + self.size))
+
+    def same(self, other: np.ndarray) -> np.ndarray:
+        """Whether each span is that of the index `other`, by its edges."""
+        return (self.first == self.first[other]) & (self.last == self.last[other]) & (self.size == self.size[other])
+
+
+def first_of(code: np.ndarray, n: int) -> np.ndarray:
+    """The first place of each code 0 .. n - 1."""
+    first = np.empty(n, np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return first
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Edges]:
+    """(code of each span, first place of each code, key of each code, the edges): codes are equal if and only if the bytes are."""
+    edges = Edges(data, starts, ends)
+    key = edges.keys()
+    code, values = pd.factorize(key)
+    code = code.astype(np.int64)
+    first = first_of(code, len(values))
+    # Spans over 16 bytes, and any whose key is another's, are told apart by their bytes.
+    odd = np.flatnonzero((edges.size > 16) | ~edges.same(first[code]))
+    if len(odd):
+        known: dict[bytes, int] = {}
+        raw, more, place = data.tobytes(), len(values), []
+        for a, b in zip(starts[odd].tolist(), ends[odd].tolist()):
+            place.append(known.setdefault(raw[a:b], more + len(known)))
+        code[odd] = place
+        used = np.bincount(code) > 0
+        code = (np.cumsum(used) - 1)[code]
+        first = first_of(code, int(used.sum()))
+    return code, first, key[first], edges
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span, equal for equal bytes wherever they stand: one to one for up to 7 bytes, BLAKE2b for longer spans (once for each distinct one)."""
+    code, first, key, edges = distinct(data, starts, ends)
+    long = np.flatnonzero(edges.size[first] > 7)
+    if len(long):
+        raw, at = data.tobytes(), first[long]
+        key[long] = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[at].tolist(), ends[at].tolist())]), "<u8")
+    return key[code]
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of `width` consecutive word hashes (across texts too: callers mask those)."""
+    """Hash of each run of `width` consecutive word hashes (across texts too: callers mask those): a sum with a factor for each place."""
     n = len(hashes) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    factor = 1
+        return np.zeros(0, _U)
+    out = np.zeros(n, _U)
     for k in range(width):
-        out += hashes[k : k + n] * np.uint64(factor)
-        factor = factor * (_BASE ^ 0x5851F42D4C957F2C | 1) % (1 << 64)
+        out += hashes[k : k + n] * _FACTORS[k]
     return mix(out)
-
-
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """As windows(), by prefix sums: for wide windows."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    room = 1 << (len(hashes) - 1).bit_length()
-    up, down = _powers(0xD1342543DE82EF95, max(room, 1 << 20))
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    return mix((sums[width:] - sums[:n]) * down[:n])

@@ -106,13 +106,6 @@ def scan_starts(points: np.ndarray, offsets: np.ndarray, piece: int = 128) -> np
     return out.T.ravel()[:n]
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The published byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Merger:
     """The lazily compiled transducer of one byte-level BPE file. `most_states` bounds its memory: beyond it, it starts anew between chunks."""
 
@@ -120,7 +113,7 @@ class Merger:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = tuple(t["content"] for t in spec["added_tokens"])
-        back = byte_alphabet()
+        back = P.byte_alphabet()
         self.ids = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.of = {i: t for t, i in self.ids.items()}
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}

@@ -1,6 +1,6 @@
 """Encoding of whole texts by distinct pretokens.
 
-A chunk's pretokens are hashed at once, each distinct one is encoded the first time a Python
+A chunk's distinct pretokens are found by their bytes, each is encoded the first time a Python
 worker meets it, and the ids of all are gathered from a table of bounded size. The split into
 pretokens and the encoding of one pretoken are those of the tokenizer file.
 """
@@ -10,87 +10,100 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 
 from gaugeflow.llm import pretokens as P
 from gaugeflow.llm import spans
+from gaugeflow.llm.pretokens import byte_alphabet
 
-#: Distinct pretokens kept by a worker (about 30 bytes each) and the longest that is kept.
-MOST_WORDS, LONGEST = 500_000, 64
-
-_SEED2 = np.uint64(0xA24BAED4963EE407)
-
-
-def second_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """An independent check value: length and first and last eight bytes, mixed."""
-    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    size = (ends - starts).astype(np.uint64)
-    cut = np.where(size < 8, np.uint64(64) - np.minimum(size, 8) * np.uint64(8), 0).astype(np.uint64)
-    some = size > 0
-    first = np.ascontiguousarray(eight[starts + 8]).view(np.uint64).ravel()
-    last = np.ascontiguousarray(eight[ends]).view(np.uint64).ravel()
-    first = np.where(some, (first << cut) >> cut, 0)
-    last = np.where(some, last >> cut, 0)
-    return spans.mix(first + _SEED2) ^ spans.mix(last + size)
+#: Distinct pretokens kept by a worker (about 60 bytes each); beyond it, those met once go.
+MOST_WORDS = 1_000_000
 
 
 class WordTable:
-    """Ids of distinct words by hash. encode: bytes of words -> list of id sequences."""
+    """Ids of distinct words, found by their bytes. encode: bytes of words -> list of id sequences."""
 
     def __init__(self, encode: Callable[[list[bytes]], list], most: int = MOST_WORDS):
         self.encode, self.most = encode, most
         self._reset()
 
     def _reset(self) -> None:
+        # Sorted keys of words of up to 16 bytes with their places; first and last bytes and length of each place.
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.check = np.zeros(0, np.uint64)
+        self.known = np.zeros((0, 3), np.uint64)
+        self.longer: dict[bytes, int] = {}
         self.bounds, self.flat, self.n = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
+        self.used = np.zeros(0, np.int64)
+        self.generation = getattr(self, "generation", -1) + 1
+
+    def _forget(self) -> None:
+        """Keeps the words met again since the last time, if they are at most half of what fits."""
+        stay = np.flatnonzero(self.used > 1)
+        if len(stay) > self.most // 2:
+            stay = stay[np.argsort(-self.used[stay], kind="stable")[: self.most // 2]]
+            stay.sort()
+        number = np.full(self.n, -1, np.int64)
+        number[stay] = np.arange(len(stay))
+        flat, bounds = self.ids(stay)
+        keys, place, known = self.keys, number[self.place], self.known[stay]
+        longer = {w: int(number[k]) for w, k in self.longer.items() if number[k] >= 0}
+        self._reset()
+        self.keys, self.place, self.known, self.longer = keys[place >= 0], place[place >= 0], known, longer
+        self.bounds, self.flat, self.n, self.used = bounds, flat, len(stay), np.zeros(len(stay), np.int64)
 
-    def _add(self, words: list[bytes], keys: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Places of new words; those without a key are for this chunk alone."""
+    def _add(self, words: list[bytes], edges: np.ndarray) -> np.ndarray:
+        """Places of new words."""
         found = self.encode(words)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.concatenate([np.asarray(x, np.uint32) for x in found]) if len(found) else np.zeros(0, np.uint32)
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         at = np.arange(self.n, self.n + len(words))
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, ids])
-        self.check = np.concatenate([self.check, check])
+        self.known = np.concatenate([self.known, edges])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
         self.n += len(words)
-        order = np.argsort(keys, kind="stable")
-        spot = np.searchsorted(self.keys, keys[order])
-        self.keys, self.place = np.insert(self.keys, spot, keys[order]), np.insert(self.place, spot, at[order])
         return at
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place in (bounds, flat) of each word data[starts:ends]."""
         if self.n > self.most:
-            self._reset()
-        keys, check = spans.hash_spans(data, starts, ends), second_hash(data, starts, ends)
-        code, distinct = pd.factorize(keys)
-        first = np.empty(len(distinct), np.int64)
-        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        distinct, check1 = keys[first], check[first]
-        size = ends[first] - starts[first]
-        spot = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        known = self.keys[spot] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-        place = np.where(known, self.place[spot], -1) if len(self.keys) else np.full(len(distinct), -1)
-        own = known & (self.check[np.maximum(place, 0)] != check1) if self.n else np.zeros(len(distinct), bool)
-        new = np.flatnonzero(~known & (size <= LONGEST))
+            self._forget()
+        code, first, key, edges = spans.distinct(data, starts, ends)
+        own = np.stack([edges.first[first], edges.last[first], edges.size[first]], axis=1)
+        place = np.full(len(first), -1, np.int64)
+        order = np.argsort(key)
+        if len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, key[order]), len(self.keys) - 1)
+            # Up to 16 bytes, a word is its edges; a longer one, or another word's key, is looked up by its bytes.
+            at = self.place[spot]
+            same = (self.keys[spot] == key[order]) & (self.known[at] == own[order]).all(axis=1) & (own[order, 2] <= 16)
+            place[order[same]] = at[same]
+        rest = np.flatnonzero(place < 0)
         raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[first[rest]].tolist(), ends[first[rest]].tolist())]
+        met = np.fromiter((self.longer.get(w, -1) for w in words), np.int64, len(words))
+        place[rest] = met
+        new = np.flatnonzero(met < 0)
         if len(new):
-            place[new] = self._add([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())], distinct[new], check1[new])
-        out = place[code]
-        # Long words, and words whose hash is another's (by the check value), are encoded one by one.
-        apart = np.flatnonzero((out < 0) | own[code] | (check != check1[code]))
-        if len(apart):
-            texts = [raw[a:b] for a, b in zip(starts[apart].tolist(), ends[apart].tolist())]
-            number = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-            at = self._add(list(number), np.zeros(0, np.uint64), np.zeros(len(number), np.uint64)) if number else []
-            out[apart] = [at[number[t]] for t in texts]
-        return out
+            at = self._add([words[i] for i in new], own[rest[new]])
+            rest = rest[new]
+            place[rest] = at
+            # A key that another word has already is left to it.
+            plain = own[rest, 2] <= 16
+            k, p = np.unique(key[rest[plain]], return_index=True)
+            p = at[plain][p]
+            spot = np.searchsorted(self.keys, k)
+            free = np.ones(len(k), bool) if not len(self.keys) else self.keys[np.minimum(spot, len(self.keys) - 1)] != k
+            listed = np.zeros(self.n, bool)
+            listed[p[free]] = True
+            self.keys, self.place = np.insert(self.keys, spot[free], k[free]), np.insert(self.place, spot[free], p[free])
+            for i in np.flatnonzero(~listed[at]):
+                self.longer[words[new[i]]] = int(at[i])
+        place = place[code]
+        np.add(self.used, np.bincount(place, minlength=self.n), out=self.used)
+        return place
 
     def ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after another, bounds of each word's)."""
@@ -114,10 +127,13 @@ class TextEncoder:
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.tokenizer.encode_special_tokens = True
         self.by_word = self.tokenizer.normalizer is not None
+        self.shown = {b: c for c, b in byte_alphabet().items()}
         self.table = WordTable(encode or self._library, most)
 
     def _library(self, words: list[bytes]) -> list:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        """The model's ids of single pretokens, which need no further splitting: their bytes in the byte-level alphabet."""
+        model, shown = self.tokenizer.model, self.shown
+        return [[t.id for t in model.tokenize(w.decode("latin-1").translate(shown))] for w in words]
 
     def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(places of all pretokens, bounds of each text's) of texts without special strings."""

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,11 +23,10 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm import pretokens as P
 from gaugeflow.llm import spans
-from gaugeflow.llm.transducer import byte_alphabet
 from gaugeflow.llm.wordcache import TextEncoder
 
-#: Words compiled at most (a few MB), and the fewest times a word must occur in one task to be counted: each count is short by less than that for each task.
-LEXICON_WORDS, LEAST_IN_TASK = 1 << 16, 4
+#: Words compiled at most (a few MB), and the distinct words whose counts a task holds before it hands them on.
+LEXICON_WORDS, HELD_WORDS = 1 << 16, 300_000
 
 
 class ExactMerge:
@@ -39,7 +37,7 @@ class ExactMerge:
             model = json.load(f)["model"]
         self.end = model["end_of_word_suffix"] or ""
         vocab = model["vocab"]
-        back = {b: c for c, b in byte_alphabet().items()}
+        back = {b: c for c, b in P.byte_alphabet().items()}
         self.inner = np.array([vocab.get(back[b], -1) for b in range(256)], np.int64)
         self.final = np.array([vocab.get(back[b] + self.end, -1) for b in range(256)], np.int64)
         keys, ranks, made = [], [], []
@@ -202,13 +200,14 @@ class Lexicon:
 
 
 def mapped(blob: bytes, name: str) -> Lexicon:
-    """The lexicon of this machine: the blob is put into a file once and then mapped by all workers."""
-    path = os.path.join(tempfile.gettempdir(), f"lexicon-{name}.bin")
-    if not os.path.exists(path) or os.path.getsize(path) != len(blob):
-        with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-            f.write(blob)
-        os.replace(f.name, path)
-    return Lexicon(path)
+    """The lexicon mapped into memory from a file that has no name any more: it goes when the worker ends, and nobody else can change it.
+
+    Each worker of a machine maps its own few MB; `name` tells lexicons apart while they are written.
+    """
+    with tempfile.NamedTemporaryFile(prefix=f"lexicon-{name}-") as f:
+        f.write(blob)
+        f.flush()
+        return Lexicon(f.name)
 
 
 @lru_cache(maxsize=2)
@@ -224,6 +223,7 @@ class _Codec:
         self.encoder = TextEncoder(path, self._encode, most=300_000)
         self.tokens = self._tokens()
         self.shown: list[bytes] = []
+        self.generation = self.encoder.table.generation
 
     def _tokens(self) -> list[bytes]:
         vocab = self.encoder.tokenizer.get_vocab(with_added_tokens=True)
@@ -241,8 +241,8 @@ class _Codec:
     def decode_words(self) -> list[bytes]:
         """Decoded text of each kept word: its tokens joined by a space, as the library joins all tokens of a text."""
         table = self.encoder.table
-        if len(self.shown) > table.n:
-            self.shown = []
+        if self.generation != table.generation:
+            self.shown, self.generation = [], table.generation
         bounds, flat = table.bounds, table.flat
         for k in range(len(self.shown), table.n):
             self.shown.append(b" ".join([self.tokens[i] for i in flat[bounds[k] : bounds[k + 1]].tolist()]))
@@ -267,12 +267,16 @@ class _Codec:
 _CODECS: dict[str, _Codec] = {}
 
 
-def word_counts(docs: DataFrame, path: str, least: int = LEAST_IN_TASK) -> DataFrame:
-    """(word, n) of the pretokens of all documents; a task leaves out words that it meets fewer than `least` times."""
+def word_counts(docs: DataFrame, path: str) -> DataFrame:
+    """(word, n) of the pretokens of all documents: tasks hand on partial counts, a shuffle adds them up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(path, lambda words: [(0,)] * len(words))
         seen: dict[bytes, int] = {}
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+
         for batch in batches:
             for rows, _, _ in spans.chunks(batch, "text"):
                 texts = P.normalized_all([t or "" for t in rows.column("text").to_pylist()], encoder.tokenizer.normalizer.normalize_str)
@@ -281,20 +285,16 @@ def word_counts(docs: DataFrame, path: str, least: int = LEAST_IN_TASK) -> DataF
                 at = np.concatenate([[0], np.cumsum(P.byte_widths(points))])
                 data = np.frombuffer("".join(texts).encode(), np.uint8)
                 starts, ends = at[starts], at[ends]
-                short = ends - starts <= 32
-                starts, ends = starts[short], ends[short]
-                code, distinct = pd.factorize(spans.hash_spans(data, starts, ends))
-                n = np.bincount(code, minlength=len(distinct))
-                first = np.empty(len(distinct), np.int64)
-                first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+                code, first, _, _ = spans.distinct(data, starts, ends)
+                n = np.bincount(code, minlength=len(first))
                 raw = data.tobytes()
                 for a, b, k in zip(starts[first].tolist(), ends[first].tolist(), n.tolist()):
                     word = raw[a:b]
                     seen[word] = seen.get(word, 0) + k
-                if len(seen) > 500_000:  # bounded: rare words of the task so far go first
-                    seen = {w: k for w, k in seen.items() if k >= least}
-        often = [(w, k) for w, k in seen.items() if k >= least]
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in often], pa.binary()), "n": pa.array([k for _, k in often], pa.int64())})
+                if len(seen) > HELD_WORDS:
+                    yield counted()
+                    seen = {}
+        yield counted()
 
     counts = docs.select("text").mapInArrow(run, "word binary, n bigint")
     return counts.groupBy("word").agg(F.sum("n").alias("n"))

@@ -4,7 +4,7 @@ A document is the multiset of its paragraphs (lines that are not empty). A parag
 32-bit lanes, and the document's fingerprint is the sum of its paragraphs' vectors modulo 2^32: equal for
 any order of the paragraphs, and changed by adding or subtracting one paragraph's vector alone.
 
-The first lanes are pseudo-random in the whole paragraph and decide equality. The others are a
+The first 32 lanes are the paragraph's BLAKE2b digests (1024 bits in all) and decide equality. The others are a
 signed sum over the paragraph's pairs of neighbouring words, and as such a sum over paragraphs too;
 the cosine of two documents' lanes estimates the overlap of their word pairs.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,11 @@ EXACT_LANES, LIKE_LANES = 32, 160
 LANES = EXACT_LANES + LIKE_LANES
 
 
+def _lanes(paragraph: bytes) -> bytes:
+    """The exact lanes of one paragraph: two BLAKE2b digests of 64 bytes."""
+    return blake2b(paragraph, person=b"lanes 0").digest() + blake2b(paragraph, person=b"lanes 1").digest()
+
+
 def fingerprints(texts: list[str]) -> np.ndarray:
     """uint32 lanes of each text (rows)."""
     offsets = np.zeros(len(texts) + 1, np.int64)
@@ -46,19 +52,17 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     start[cuts], end[cuts - 1] = solid[cuts], solid[cuts - 1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     owner = np.searchsorted(offsets, starts, side="right") - 1
-    h = spans.hash_spans(data, starts, ends)
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    some = first[:-1] < first[1:]
-    for k in range(0, EXACT_LANES, 2):
-        lane = spans.mix(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
-        for j, x in ((k, lane >> np.uint64(32)), (k + 1, lane & np.uint64(0xFFFFFFFF))):
-            if some.any():
-                out[some, j] = np.add.reduceat(x, first[:-1][some]).astype(np.uint32)
+    if len(starts):
+        whole = data.tobytes()
+        lanes = np.frombuffer(b"".join([_lanes(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]), "<u4").reshape(-1, EXACT_LANES)
+        first = np.searchsorted(owner, np.arange(len(texts) + 1))
+        some = first[:-1] < first[1:]
+        out[some, :EXACT_LANES] = np.add.reduceat(lanes, first[:-1][some], axis=0, dtype=np.uint32)
     # Pairs of neighbouring words of one paragraph; a paragraph of one word gives the word itself.
     w0, w1, _ = spans.words(data, offsets)
     if len(w0):
         paragraph = np.searchsorted(starts, w0, side="right") - 1
-        wh = spans.hash_spans(data, w0, w1)
+        wh = spans.word_hashes(data, w0, w1)
         follows = np.zeros(len(w0), bool)
         follows[1:] = paragraph[1:] == paragraph[:-1]
         alone = ~follows & ~np.append(follows[1:], False)
@@ -99,13 +103,25 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def edited_lanes(texts: list[str], following: list[str], lanes: np.ndarray) -> np.ndarray:
+    """Fingerprints of the edited texts from those of the texts: the paragraphs from the cut on are taken out, what stands there afterwards is put in."""
+    gone, come = [], []
+    for t, f in zip(texts, following):
+        k = len(t) // 3
+        cut = len(t) - k
+        start = t.rfind("\n", 0, cut) + 1
+        gone.append(t[start:])
+        come.append(t[start:cut] + f[:k])
+    return add(remove(lanes, fingerprints(gone)), fingerprints(come))
+
+
 RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 RESULT_DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _result(ids: list, texts: list[str], following: list[str], lanes: np.ndarray, next_lanes: np.ndarray) -> dict:
     new = [edited(t, f) for t, f in zip(texts, following)]
-    changed = fingerprints(new)
+    changed = edited_lanes(texts, following, lanes)
     return {
         "doc_id": ids,
         "n_chars": [len(t) for t in texts],

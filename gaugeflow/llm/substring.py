@@ -8,14 +8,18 @@ meets the one shard that can match it: the passages around one *anchor* go to on
 
 Anchors: of the 20-word hashes inside each 50-word window the smallest is picked, so that equal windows pick equal
 anchors wherever they stand. An anchor that occurs in one document only needs no work. The *passage* of an anchor
-is all words that a window around it can touch. An anchor with more passages than a shard holds has no automaton: its
-passages are cut into their windows once, at most window - width + 1 each, and the smallest document of equal windows is an aggregate.
+is all words that a window around it can touch. If all documents have the same passage around an anchor, the smallest of them
+has all its windows. Else the anchor's distinct passages go to a shard; an anchor with more passages than a shard holds has no
+automaton: its passages are cut into their windows once, at most window - width + 1 each, and the smallest document of equal windows
+is an aggregate. Hashes of words only pick anchors: automata run over the words themselves, and passages and windows are equal by
+their BLAKE2b digests of 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -29,12 +33,13 @@ from gaugeflow.llm.shared import stored
 WINDOW, ANCHOR = 50, 20
 #: Passages of one automaton; the windows of an anchor with more distinct passages meet by their own hashes instead.
 SHARD_PASSAGES = 2_000
-_SPREAD = np.uint64(0xD1342543DE82EF95)
+#: A longer word stands in passages as its digest.
+LONG_WORD = 256
 
 
 def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW, width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """(word positions of the anchors, their hashes) over the texts words[first[i]:first[i + 1]]."""
-    gram = spans.rolling(words, width)
+    gram = spans.windows(words, width)
     span = window - width + 1
     n = len(words) - window + 1
     if n <= 0:
@@ -58,40 +63,68 @@ def passage_bounds(at: np.ndarray, low: np.ndarray, high: np.ndarray, window: in
     return np.maximum(at - (window - width), low), np.minimum(at + window, high)
 
 
+def compact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int], list[int]]:
+    """(the words joined by one space, start and end of each); a word over LONG_WORD bytes is a line feed and its digest, which no word is."""
+    size = ends - starts
+    if len(size) and size.max() > LONG_WORD:
+        raw = data.tobytes()
+        words = [raw[a:b] if b - a <= LONG_WORD else b"\n" + blake2b(raw[a:b], digest_size=32).hexdigest().encode() for a, b in zip(starts.tolist(), ends.tolist())]
+        size = np.array([len(w) for w in words], np.int64)
+        joined = b" ".join(words)
+    else:
+        keep = np.zeros(len(data) + 1, np.int8)
+        keep[starts] += 1
+        # The byte after a word stays too, as the space.
+        after = np.minimum(ends + 1, len(data))
+        keep[after] -= 1
+        inside = np.cumsum(keep[:-1], dtype=np.int8) > 0
+        joined = np.where(spans._IS_SPACE[data], np.uint8(32), data)[inside]
+        joined = joined.tobytes()
+    first = np.cumsum(size + 1) - size - 1
+    return joined, first.tolist(), (first + size).tolist()
+
+
 def _anchor_rows(window: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in spans.chunks(batch, "text"):
                 starts, ends, first = spans.words(data, offsets)
-                h = spans.hash_spans(data, starts, ends)
-                at, gram = anchors(h, first, window, width)
+                at, gram = anchors(spans.word_hashes(data, starts, ends), first, window, width)
                 owner = np.searchsorted(first, at, side="right") - 1
                 low, high = passage_bounds(at, first[owner], first[owner + 1], window, width)
-                up, down = spans._powers(int(_SPREAD), max(1 << max(len(h) - 1, 1).bit_length(), 1 << 20))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
-                passage = spans.mix((sums[high] - sums[low]) * down[low] + ((at - low) << 32 | (high - low)).astype(np.uint64))
+                # Texts end without a space, so that two texts' words may touch: each is joined on its own.
+                digests, place = [], np.searchsorted(owner, np.arange(rows.num_rows + 1))
+                for i in np.unique(owner).tolist():
+                    a, b = first[i], first[i + 1]
+                    joined, left, right = compact(data[offsets[i] : offsets[i + 1]], starts[a:b] - offsets[i], ends[a:b] - offsets[i])
+                    part = slice(place[i], place[i + 1])
+                    for x, y, z in zip((low[part] - a).tolist(), (high[part] - a).tolist(), (at[part] - low[part]).tolist()):
+                        digests.append(blake2b(b"%d %s" % (z, joined[left[x] : right[y - 1]]), digest_size=16).digest())
+                passage = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 keys = [rows.column(c).take(pa.array(owner)) for c in ("doc_id", "row_key")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array((at - first[owner]).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(passage.view(np.int64))], names=["doc_id", "row_key", "pos", "anchor", "passage"])
+                own = [(at - first[owner]).astype(np.int32), (high - low).astype(np.int32), gram.view(np.int64), passage[:, 0], passage[:, 1]]
+                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, own)], names=["doc_id", "row_key", "pos", "size", "anchor", "p1", "p2"])
 
     return run
 
 
 def _passage_words(window: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("anchor", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("least", pa.int64()), ("words", pa.binary())])
         for batch in batches:
             for rows, data, offsets in spans.chunks(batch, "text"):
                 starts, ends, first = spans.words(data, offsets)
-                h = spans.hash_spans(data, starts, ends)
-                out = {"anchor": [], "passage": [], "least": [], "words": []}
+                out = {n: [] for n in schema.names}
                 for i, (doc, wanted) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("wanted").to_pylist())):
+                    a, b = int(first[i]), int(first[i + 1])
+                    joined, left, right = compact(data[offsets[i] : offsets[i + 1]], starts[a:b] - offsets[i], ends[a:b] - offsets[i])
                     for w in wanted:
-                        at = first[i] + w["pos"]
-                        low, high = passage_bounds(at, first[i], first[i + 1], window, width)
-                        out["anchor"].append(w["anchor"])
-                        out["passage"].append(w["passage"])
+                        low, high = max(w["pos"] - (window - width), 0), min(w["pos"] + window, b - a)
+                        for n in ("anchor", "p1", "p2"):
+                            out[n].append(w[n])
                         out["least"].append(doc)
-                        out["words"].append(h[low:high].tobytes())
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("anchor", pa.int64()), ("passage", pa.int64()), ("least", pa.int64()), ("words", pa.binary())]))
+                        out["words"].append(joined[left[low] : right[high - 1]])
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
@@ -167,32 +200,34 @@ class SuffixAutomaton:
 
 def _search(window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        automaton = SuffixAutomaton()
-        words = [np.frombuffer(w, np.int64).tolist() for w in pdf["words"]]
+        automaton, known = SuffixAutomaton(), {}
+        words = [[known.setdefault(x, len(known)) for x in w.split(b" ")] for w in pdf["words"]]
         for own, doc in zip(words, pdf["least"]):
             automaton.add(own, doc)
         automaton.finish()
-        pdf = pdf[["anchor", "passage"]]
+        pdf = pdf[["anchor", "p1", "p2"]]
         return pdf.assign(least=[automaton.least_documents(w, window) for w in words])
 
     return run
 
 
 def _window_rows(window: int):
-    """The windows of each passage: their place in it, hash and the passage's smallest document."""
+    """The windows of each passage: their place in it, digest and the passage's smallest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
-            sizes = np.array([len(w) for w in words], np.int64)
-            n = np.maximum(sizes - window + 1, 0)
-            if not n.sum():
-                continue
-            owner = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            hashes = spans.rolling(np.concatenate(words), window)[(np.cumsum(sizes) - sizes)[owner] + place]
-            keys = [batch.column(c).take(pa.array(owner)) for c in ("anchor", "passage", "least")]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["anchor", "passage", "least", "place", "hash"])
+            owner, place, digests = [], [], []
+            for i, words in enumerate(batch.column("words").to_pylist()):
+                spaces = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
+                left, right = [0, *(spaces + 1).tolist()], [*spaces.tolist(), len(words)]
+                n = max(len(left) - window + 1, 0)
+                owner += [i] * n
+                place += range(n)
+                digests += [blake2b(words[left[k] : right[k + window - 1]], digest_size=16).digest() for k in range(n)]
+            hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            names = ["anchor", "p1", "p2", "least"]
+            keys = [batch.column(c).take(pa.array(owner, pa.int64())) for c in names]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(place, pa.int32()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names=[*names, "place", "h1", "h2"])
 
     return run
 
@@ -228,49 +263,60 @@ def _keep(window: int):
 
 def covered_windows(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR, shard: int = SHARD_PASSAGES) -> DataFrame:
     """(doc_id, row_key, starts): word positions where a window of the row starts that a smaller doc_id also has; docs: doc_id, row_key, text."""
-    places = docs.where("doc_id is not null").mapInArrow(_anchor_rows(window, width), "doc_id bigint, row_key bigint, pos int, anchor bigint, passage bigint")
+    passage = ["anchor", "p1", "p2"]
+    ddl = "anchor bigint, p1 bigint, p2 bigint"
+    places = docs.where("doc_id is not null").mapInArrow(_anchor_rows(window, width), f"doc_id bigint, row_key bigint, pos int, size int, {ddl}")
     places = stored(places, "anchors")
     shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("anchor")
     # Written down, so that a hot anchor's rows can be split over tasks in the join: an aggregate beside it would hold them together.
     shared = stored(shared, "shared")
     places = stored(places.join(shared, "anchor", "left_semi"), "places")
-    passages = places.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "row_key", "pos")).alias("f"))
-    wanted = passages.groupBy("f.doc_id", "f.row_key").agg(F.collect_list(F.struct(F.col("f.pos").alias("pos"), "anchor", "passage")).alias("wanted"))
+    passages = stored(places.groupBy(*passage).agg(F.min(F.struct("doc_id", "row_key", "pos")).alias("f")), "passages")
+    counts = stored(passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "counts")
+    # A passage's first document has all its windows; if it is the only passage of the anchor, there is nothing else to be matched.
+    alone = passages.join(counts.where((F.col("n") == 1) | (F.col("n") > shard)).select("anchor"), "anchor").select(*passage, F.col("f.doc_id").alias("first"))
+    several = passages.join(counts.where("n > 1"), "anchor")
+    wanted = several.groupBy("f.doc_id", "f.row_key").agg(F.collect_list(F.struct(F.col("f.pos").alias("pos"), *passage)).alias("wanted"))
     texts = docs.join(wanted, ["doc_id", "row_key"]).select("doc_id", "text", "wanted").dropDuplicates(["doc_id", "wanted"])
-    passages = stored(texts.mapInArrow(_passage_words(window, width), "anchor bigint, passage bigint, least bigint, words binary"), "passages")
-    # A shard has many small anchors, whole. Written down as above: the passages of a large one can be split over tasks.
-    large = stored(passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard).select("anchor"), "large")
-    shards = max(1, -(-2 * passages.count() // shard))
-    dealt = passages.join(large, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    found = dealt.select("shard", "anchor", "passage", "least", "words").groupBy("shard").applyInPandas(_search(window), "anchor bigint, passage bigint, least array<bigint>")
-    cut = passages.join(large, "anchor", "left_semi").select("anchor", "passage", "least", "words")
-    cut = stored(cut.mapInArrow(_window_rows(window), "anchor bigint, passage bigint, least bigint, place int, hash bigint"), "windows")
-    least = stored(cut.groupBy("anchor", "hash").agg(F.min("least").alias("least")), "least")
-    hot = cut.drop("least").join(least, ["anchor", "hash"]).groupBy("anchor", "passage").agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("all"))
-    found = found.unionByName(hot.select("anchor", "passage", F.col("all.least").alias("least")))
-    found = stored(found, "found")
-    hits = places.join(found, ["anchor", "passage"]).where(F.array_min("least") < F.col("doc_id"))
-    at = F.greatest(F.col("pos") - (window - width), F.lit(0))
-    starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), at + i)), lambda x: x.isNotNull())
-    return hits.select("doc_id", "row_key", starts.alias("starts")).groupBy("doc_id", "row_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    words = stored(texts.mapInArrow(_passage_words(window, width), f"{ddl}, least bigint, words binary"), "words")
+    large = stored(counts.where(F.col("n") > shard).select("anchor"), "large")
+    shards = max(1, -(-2 * words.count() // shard))
+    # A shard has many small anchors, whole.
+    dealt = words.join(large, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    found = dealt.select("shard", *passage, "least", "words").groupBy("shard").applyInPandas(_search(window), f"{ddl}, least array<bigint>")
+    cut = words.join(large, "anchor", "left_semi").select(*passage, "least", "words")
+    cut = stored(cut.mapInArrow(_window_rows(window), f"{ddl}, least bigint, place int, h1 bigint, h2 bigint"), "windows")
+    # Of a large anchor's windows only those come back that another passage of a smaller document has too.
+    least = stored(cut.groupBy("h1", "h2").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").drop("last"), "least")
+    earlier = cut.join(least, ["h1", "h2"]).where("first < least").groupBy(*passage).agg(F.collect_list(F.struct("place", "first")).alias("earlier"))
+    found, earlier = stored(found, "found"), stored(earlier, "earlier")
+    first_window = F.greatest(F.col("pos") - (window - width), F.lit(0))
+    row = ["doc_id", "row_key"]
+    hits = places.join(found, passage).where(F.array_min("least") < F.col("doc_id"))
+    starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), first_window + i)), lambda x: x.isNotNull())
+    hits = hits.select(*row, starts.alias("starts"))
+    some = F.transform(F.filter("earlier", lambda x: x["first"] < F.col("doc_id")), lambda x: first_window + x["place"])
+    hits = hits.unionByName(places.join(earlier, passage).select(*row, some.alias("starts")))
+    whole = places.join(stored(alone, "alone"), passage).where((F.col("first") < F.col("doc_id")) & (F.col("size") >= window))
+    whole = whole.select(*row, F.sequence(first_window, first_window + F.col("size") - window).alias("starts"))
+    return hits.unionByName(whole).groupBy(*row).agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the repeated words of `text` taken out: a text that loses words becomes its kept words, joined by a space; others stay as they are.
 
-    Needs doc_id and text; all columns are returned, and n_chars, if there is one, is counted anew where words went. Null texts stay null.
+    Needs doc_id and text; all columns, whatever their names, are returned, and n_chars, if there is one, is counted anew where words went. Null texts stay null.
     """
-    names = docs.columns
-    keyed = docs.withColumn("row_key", F.xxhash64("text"))
+    names, schema = docs.columns, docs.schema
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     hits = covered_windows(keyed.select("doc_id", "row_key", "text"), window)
-    joined = keyed.join(hits, ["doc_id", "row_key"], "left").select(*names, "starts")
-    schema = docs.schema
+    joined = keyed.drop("text").join(hits, ["doc_id", "row_key"], "left").select("row", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
+            out = dict(zip(names, batch.column("row").flatten()))
             texts, sizes = out["text"].to_pylist(), out["n_chars"].to_pylist() if "n_chars" in out else None
-            for i, hits in enumerate(batch.column(batch.schema.get_field_index("starts")).to_pylist()):
+            for i, hits in enumerate(batch.column("starts").to_pylist()):
                 if hits:
                     raw = texts[i].encode()
                     a, b, _ = spans.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
@@ -284,7 +330,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         sizes[i] = len(texts[i])
             out["text"] = pa.array(texts, pa.string())
             if sizes is not None:
-                out["n_chars"] = pa.array(sizes, pa.int64())
+                out["n_chars"] = pa.array(sizes, out["n_chars"].type)
             yield pa.RecordBatch.from_pydict(out)
 
     return joined.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ and a sequence of class j always takes exactly j pieces, so that each worker fil
 sequences without knowing of the others. A long document is first cut into full sequences; what is
 left is cut at the largest reciprocal size C // j that fits while the slot of the rest would waste
 more than `waste` tokens. What a worker cannot complete (fewer than j pieces of class j) is
-dealt again by class over all workers, and the last incomplete sequences, at most one of each class,
+dealt again by class, first over some workers, then over more, last over all, and the last incomplete sequences, at most one of each class,
 are filled first-fit.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ from gaugeflow.llm.shared import stored
 from gaugeflow.llm.wordcache import text_encoder
 
 CAPACITY, WASTE, END_ID = 2048, 4, 1
+#: Tasks whose open sequences meet, in bits of the task number, in each round but the last.
+ROUNDS = (3, 7, 12)
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, cls int, sequence_id bigint, offset bigint"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, cls int, part int, sequence_id bigint, offset bigint"
 
 
 def cut(length: int, capacity: int = CAPACITY, waste: int = WASTE) -> list[int]:
@@ -46,12 +49,13 @@ def cut(length: int, capacity: int = CAPACITY, waste: int = WASTE) -> list[int]:
 
 
 def _pieces(path: str, capacity: int, waste: int, end_id: int, with_ids: bool):
-    fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("cls", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+    fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [("cls", pa.int32()), ("part", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     schema = pa.schema(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, made = text_encoder(path), 0
-        first = TaskContext.get().partitionId() << 33
+        task = TaskContext.get().partitionId()
+        first = task << 33
         open_: dict[int, list[tuple]] = defaultdict(list)
         rows: list[tuple] = []
 
@@ -68,18 +72,18 @@ def _pieces(path: str, capacity: int, waste: int, end_id: int, with_ids: bool):
                     for size in cut(len(own), capacity, waste):
                         piece = own[at : at + size]
                         j = capacity // size
-                        open_[j].append((doc, at, size, zlib.crc32(piece), len(own), j, piece if with_ids else None))
+                        open_[j].append((doc, at, size, zlib.crc32(piece), len(own), j, task, piece if with_ids else None))
                         at += size
                         if len(open_[j]) == j:
                             offset = 0
                             for p in open_.pop(j):
-                                rows.append((*p[:6], first + made, offset, p[6]))
+                                rows.append((*p[:7], first + made, offset, p[7]))
                                 offset += p[2]
                             made += 1
                 if len(rows) > 20_000:
                     yield flush(rows)
                     rows = []
-        rows += [(*p[:6], None, None, p[6]) for own in open_.values() for p in own]
+        rows += [(*p[:7], None, None, p[7]) for own in open_.values() for p in own]
         yield flush(rows)
 
     return run
@@ -94,21 +98,26 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, waste: int = WAST
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
     pieces = stored(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, waste, end_id, with_ids), schema), "pieces")
-    full = pieces.where("sequence_id is not null")
-    # At most j - 1 pieces of class j come from each task: a few narrow rows, whatever the size of a document or source.
+    done = [pieces.where("sequence_id is not null").drop("part")]
+    # At most j - 1 pieces of class j come from each task, and from each group of tasks: a few narrow rows.
     rest = pieces.where("sequence_id is null")
-    order = [F.col(c) for c in ("length", "doc_id", "start", "ids_crc32")]
-    by_class = Window.partitionBy("cls").orderBy(F.desc("length"), *order[1:])
-    rest = rest.withColumn("n", F.row_number().over(by_class) - 1).withColumn("bin", F.floor(F.col("n") / F.col("cls")))
-    per_class = Window.partitionBy("cls")
-    rest = rest.withColumn("complete", (F.col("bin") + 1) * F.col("cls") <= F.count(F.lit(1)).over(per_class))
-    in_bin = Window.partitionBy("cls", "bin").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    again = rest.where("complete").withColumn("offset", F.coalesce(F.sum("length").over(in_bin), F.lit(0)))
-    again = again.withColumn("sequence_id", F.lit(1 << 62) + F.col("cls").cast("long") * F.lit(1 << 40) + F.col("bin"))
-    names = full.columns
+    names = done[0].columns
+    for number, bits in enumerate((*ROUNDS, 31)):
+        rest = rest.withColumn("some", F.shiftright("part", bits))
+        group = ["cls", "some"]
+        order = Window.partitionBy(*group).orderBy(F.desc("length"), "doc_id", "start", "ids_crc32")
+        rest = rest.withColumn("n", F.row_number().over(order) - 1).withColumn("bin", F.floor(F.col("n") / F.col("cls")))
+        rest = rest.withColumn("complete", (F.col("bin") + 1) * F.col("cls") <= F.count(F.lit(1)).over(Window.partitionBy(*group)))
+        in_bin = Window.partitionBy(*group, "bin").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("length").over(in_bin), F.lit(0))
+        number_of_bin = F.lit((1 << 62) + (number << 59)) + F.shiftleft(F.col("cls").cast("long"), 45) + F.shiftleft(F.col("some").cast("long"), 25) + F.col("bin")
+        rest = rest.withColumn("offset", F.when(F.col("complete"), before)).withColumn("sequence_id", F.when(F.col("complete"), number_of_bin))
+        rest = stored(rest.select(*names, "part"), "open")
+        done.append(rest.where("sequence_id is not null").select(*names))
+        rest = rest.where("sequence_id is null")
     # Fewer than one sequence of each class: at most capacity tokens for each of the under 2 * sqrt(capacity) classes.
-    last = rest.where("not complete").select(*names).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_first_fit(capacity), schema)
-    return full.unionByName(again.select(*names)).unionByName(last).drop("cls")
+    last = rest.select(*names).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_first_fit(capacity), done[0].schema)
+    return reduce(DataFrame.unionByName, [*done, last]).drop("cls")
 
 
 def _first_fit(capacity: int):

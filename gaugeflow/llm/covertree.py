@@ -1,8 +1,9 @@
 """Exact top-k by inner product with dual-tree search over cover trees (operator 7).
 
 The data are dealt to groups of near vectors, so that each batch of a task is compact. A task indexes each
-batch of data as a cover tree (nested nets whose radii halve), and holds the queries of the current block as
-such trees too. Node pairs are visited best bound first. A pair is dropped when no inner product between
+batch of data as a cover tree: a node's centre is one of its points, and its children's centres are a net of its points at half
+its radius that holds the centre itself, so that each point lies within half the radius of a child's centre and no two of these are nearer than
+that. Queries are held as such trees too. Node pairs are visited best bound first. A pair is dropped when no inner product between
 its nodes, <p,q> + R_q |p| + R_p |q| + R_p R_q by the centres p, q and covering radii R, can reach the worst k-th score
 of the query node's queries.
 """
@@ -17,14 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries of one broadcast block (a fixed bound: their vectors and trees), data rows indexed as one tree, points of a leaf.
-QUERY_BLOCK, DATA_BLOCK, LEAF = 32_768, 8_192, 96
+from gaugeflow.llm.shared import new_folder, stored
+
+#: Queries of one broadcast block (a fixed bound: their vectors and trees), points of one tree, points of a leaf.
+QUERY_BLOCK, DATA_BLOCK, LEAF = 32_768, 4_096, 96
 #: Rows that the grouping is fitted on, and groups at most. Both shape the index alone, not the results.
 SAMPLE, MOST_GROUPS = 4_096, 256
 
 
 class CoverTree:
-    """Nodes hold a centre, the radius that covers their points, and children, or points if they are leaves."""
+    """Nodes hold a centre (a point), the radius that covers their points, and children, or points if they are leaves.
+
+    A node of at most `leaf` points is a leaf; so is one whose net would hold over an eighth of its points, which balls do not tell
+    apart. Children of at most `leaf` points are put together as one leaf of their parent's centre.
+    """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points = points.astype(np.float64)
@@ -33,34 +40,42 @@ class CoverTree:
         self.children: list[list[int]] = []
         self.members: list[np.ndarray] = []
         if len(points):
-            self._node(np.arange(len(points)), leaf)
-
-    def _node(self, own: np.ndarray, leaf: int) -> int:
-        number = len(self.centre)
-        p = self.points[own]
-        centre = p.mean(axis=0)
-        away = np.sqrt(((p - centre) ** 2).sum(axis=1))
-        self.centre.append(centre)
-        self.radius.append(float(away.max()) * (1 + 1e-9))
+            away = ((self.points - self.points.mean(axis=0)) ** 2).sum(axis=1)
+            self._node(np.arange(len(points)), int(away.argmin()), leaf)
+
+    def _add(self, own: np.ndarray, centre: int) -> int:
+        self.centre.append(self.points[centre])
+        away = ((self.points[own] - self.points[centre]) ** 2).sum(axis=1)
+        self.radius.append(float(np.sqrt(away.max())) * (1 + 1e-9))
         self.children.append([])
         self.members.append(own)
-        if len(own) <= leaf or self.radius[number] == 0:
+        return len(self.centre) - 1
+
+    def _node(self, own: np.ndarray, centre: int, leaf: int) -> int:
+        """A node of the points `own`, one of which is the centre."""
+        number = self._add(own, centre)
+        half = self.radius[number] / 2
+        if len(own) <= leaf or half == 0:
             return number
-        # A net of this node's points at half its radius; far points first, each other point goes to its nearest net point.
-        net = [int(away.argmax())]
-        best = np.sqrt(((p - p[net[0]]) ** 2).sum(axis=1))
+        # The net, farthest points first; each other point goes to its nearest net point.
+        p, net = self.points[own], [centre]
+        best = np.sqrt(((p - self.points[centre]) ** 2).sum(axis=1))
         near = np.zeros(len(own), np.int64)
-        while len(net) < 16:
+        while best.max() > half:
+            if len(net) > max(16, len(own) // 8):
+                return number
             k = int(best.argmax())
-            if best[k] <= self.radius[number] / 2:
-                break
             d = np.sqrt(((p - p[k]) ** 2).sum(axis=1))
             near = np.where(d < best, len(net), near)
             best = np.minimum(best, d)
-            net.append(k)
-        if len(net) == 1:
-            return number
-        self.children[number] = [self._node(own[near == k], leaf) for k in range(len(net)) if (near == k).any()]
+            net.append(int(own[k]))
+        size = np.bincount(near, minlength=len(net))
+        large = np.flatnonzero(size > leaf)
+        children = [self._node(own[near == k], net[k], leaf) for k in large.tolist()]
+        small = own[size[near] <= leaf]
+        if len(small):
+            children.append(self._add(small, centre))
+        self.children[number] = children
         return number
 
 
@@ -153,10 +168,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each row of `queries` with the rows of `vectors` of another vec_id.
 
     Both have (vec_id, v array<double>) of whole numbers and one length (else: an error). Ties go to the smaller vec_id; queries
-    that repeat a vec_id count once. Fewer rows than k: all of them. Empty tables give no rows.
+    that repeat a vec_id count once. Fewer rows than k: all of them. Empty tables give no rows. The query blocks are searched one after
+    another, and each one's rows are written down before the next is broadcast.
     """
     spark: SparkSession = vectors.sparkSession
-    queries = queries.dropDuplicates(["vec_id"])
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     sample, sample_ids = (_matrix(picked.column("v").combine_chunks()), picked.column("vec_id").to_numpy()) if picked.num_rows else (np.zeros((0, 0)), np.zeros(0, np.int64))
     net = _farthest(sample, MOST_GROUPS)
@@ -170,39 +185,49 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 near = (v @ net.T - (net * net).sum(axis=1) / 2).argmax(axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near)], names=["vec_id", "v", "near"])
 
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k-th best score of the sample, which the k-th best of all reaches."""
+        _, sample, sample_ids = shared.value
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                ids, best = part.column("vec_id").to_numpy(), Best(part.num_rows, k)
+                score = _products(_matrix(part.column("v")), sample)
+                score[ids[:, None] == sample_ids[None, :]] = np.iinfo(np.int64).min
+                best.add(np.arange(part.num_rows), score, sample_ids)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(best.score[:, -1])], names=["vec_id", "v", "floor"])
+
     # A group of any size is spread by a part of the id's hash; a task sorts by group, so that its batches are compact.
     grouped = vectors.mapInArrow(assign, "vec_id bigint, v array<double>, near int")
-    grouped = grouped.repartition("near", F.pmod(F.xxhash64("vec_id"), F.lit(32))).sortWithinPartitions("near", "vec_id")
-
-    result = None
-    for block in _query_blocks(queries):
-        ids, points = block.column("vec_id").to_numpy(), _matrix(block.column("v").combine_chunks())
-        held = spark.sparkContext.broadcast((ids, points))
+    grouped = stored(grouped.repartition("near", F.pmod(F.xxhash64("vec_id"), F.lit(32))).sortWithinPartitions("near", "vec_id"), "grouped")
+    queries = stored(queries.dropDuplicates(["vec_id"]).mapInArrow(floors, "vec_id bigint, v array<double>, floor bigint"), "queries")
+    folder = new_folder(spark, "found")
+    schema = "query_id bigint, vec_id bigint, score bigint"
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/none")
+    for number, block in enumerate(_query_blocks(queries)):
+        trees = []
+        for i in range(0, block.num_rows, DATA_BLOCK):
+            part = block.slice(i, DATA_BLOCK).combine_chunks()
+            trees.append((part.column("vec_id").to_numpy(), CoverTree(_matrix(part.column("v").combine_chunks())), part.column("floor").to_numpy()))
+        held = spark.sparkContext.broadcast(trees)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, points = held.value
-            _, sample, sample_ids = shared.value
-            tree, best = CoverTree(points), Best(len(ids), k)
-            # The k-th best of the sample is a score that the k-th best of all reaches.
-            start = Best(len(ids), k)
-            for at in range(0, len(ids), 1024):
-                own = np.arange(at, min(at + 1024, len(ids)))
-                score = _products(points[own], sample)
-                score[ids[own][:, None] == sample_ids[None, :]] = np.iinfo(np.int64).min
-                start.add(own, score, sample_ids)
-            floor = start.score[:, -1]
+            trees = held.value
+            best = [Best(len(ids), k) for ids, _, _ in trees]
             for b in batches:
                 for i in range(0, b.num_rows, DATA_BLOCK):
                     part = b.slice(i, DATA_BLOCK)
-                    dual_search(tree, ids, CoverTree(_matrix(part.column("v"))), part.column("vec_id").to_numpy(), best, floor)
-            keep = (best.score >= floor[:, None]) & (best.score > np.iinfo(np.int64).min)
-            q, _ = np.nonzero(keep)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[q], pa.int64()), "vec_id": pa.array(best.row[keep], pa.int64()), "score": pa.array(best.score[keep], pa.int64())})
-
-        found = grouped.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-        result = found if result is None else result.unionByName(found)
-    if result is None:
-        result = spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
+                    data, data_ids = CoverTree(_matrix(part.column("v"))), part.column("vec_id").to_numpy()
+                    for (ids, tree, floor), own in zip(trees, best):
+                        dual_search(tree, ids, data, data_ids, own, floor)
+            for (ids, _, floor), own in zip(trees, best):
+                keep = (own.score >= floor[:, None]) & (own.score > np.iinfo(np.int64).min)
+                q, _ = np.nonzero(keep)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[q], pa.int64()), "vec_id": pa.array(own.row[keep], pa.int64()), "score": pa.array(own.score[keep], pa.int64())})
+
+        grouped.mapInArrow(search, schema).write.parquet(f"{folder}/{number}")
+        held.destroy()
+    result = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return result.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

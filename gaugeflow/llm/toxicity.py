@@ -1,14 +1,15 @@
 """Toxicity by a string-kernel support vector machine on Nystroem landmarks (operator 10).
 
-The kernel counts common subsequences of three letters, gaps allowed up to a span of ten, each weighted by
-DECAY to the power of its spans; so a word with letters put in between stays near its origin. Marks
-that are no letters or digits do not count as letters, and runs of single letters are read as one word.
-
-Landmarks are strings: words and word beginnings that mark toxic training texts, and frequent words of the others. A word's
-feature for landmark l is (k(w, l) / k(l, l))^6, at most 1 and 0 below a floor; a sentence adds up its words. Only whole texts are
-labelled, so a text is the set of its sentences: with s the sum over them, its features are min(s, 1), that a landmark occurs at
-all, and log(1 + max(s - 1, 0)), how often more. The Nystroem map K(L, L)^(-1/2) turns both into the space of
-a linear SVM, and a logistic curve over the margins of the training texts gives the score.
+k(a, b) counts common subsequences of three letters, gaps allowed up to a span of ten, each weighted by
+DECAY to the power of its spans; so a string with letters put in between stays near its origin. Marks
+that are no letters or digits do not count as letters, and runs of single letters are read as one word. The kernel of strings is
+(k(a, b) / sqrt(k(a, a) k(b, b)))^POWER. A word stands for itself and its beginnings of four to seven letters, a text for its
+distinct words, a word met n times with weight 1 + log n; the kernel of texts is the weighted sum over all pairs of their strings, and
+as such positive definite. Labels are those of whole texts, so a text is the set of its sentences' words.
+
+Landmarks are strings: words and word beginnings that mark toxic training texts. The Nystroem map
+K(L, L)^(-1/2) K(L, text) gives the features of a linear SVM, and a logistic curve over the margins of the training texts the
+score. As the map is linear in the words, scoring needs one number for each distinct word.
 """
 
 from __future__ import annotations
@@ -16,10 +17,9 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +27,18 @@ from pyspark.sql import types as T
 
 from gaugeflow.llm import pretokens as P
 from gaugeflow.llm import spans
+from gaugeflow.llm.wordcache import WordTable
 
 #: Labelled rows that the model is fitted on at most (those of the smallest id hash); scoring covers all rows.
 TRAIN_ROWS = 8_192
-DECAY, SPAN, FLOOR, POWER = 0.8, 9, 0.25, 6
-#: Most that one landmark adds up to in a sentence.
-MOST_IN_SENTENCE = 3.0
+DECAY, SPAN, POWER = 0.8, 9, 8
+BEGINNINGS = (4, 5, 6, 7)
+#: Landmarks of a model: a parameter of the approximation.
 LANDMARKS = 64
+#: Log likelihood ratio of a landmark, beyond that of chance among all candidates.
+CERTAIN = 8
+#: Share of the toxic texts that a further landmark must mark, each text halved for each landmark that it has already.
+NEW_SHARE = 0.01
 THRESHOLD = 0.7
 
 
@@ -89,181 +94,191 @@ def _sentence_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return code, starts, ends, sent, firsts
 
 
+def letters(text: str) -> np.ndarray:
+    """The letter codes of one string."""
+    return _CODE[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes one after another, starts, ends)."""
+    size = np.array([len(p) for p in parts], np.int64)
+    return np.concatenate([np.zeros(0, np.uint8), *parts]), np.cumsum(size) - size, np.cumsum(size)
+
+
+def subsequences(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(string, three letters as a number, weight) of the subsequences of the strings code[start:end], by their gaps."""
+    size = ends - starts
+    owner = np.repeat(np.arange(len(starts)), size)
+    code = code[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(len(owner))].astype(np.int32)
+    for d2 in range(2, SPAN + 1):
+        n = len(owner) - d2
+        if n <= 0:
+            return
+        at = np.flatnonzero(owner[:n] == owner[d2:])
+        outer = code[at] << 12 | code[at + d2]
+        for d1 in range(1, d2):
+            yield owner[at], outer | code[at + d1] << 6, DECAY**d2
+
+
 class Landmarks:
     """Kernel values of words against fixed strings."""
 
     def __init__(self, strings: list[str]):
         self.strings = strings
         n = len(strings)
-        codes = [_CODE[np.frombuffer(s.lower().encode("utf-32-le"), np.uint32)] for s in strings]
         table: dict[int, np.ndarray] = {}
-        for k, c in enumerate(codes):
-            for i in range(len(c)):
-                for d1 in range(1, SPAN):
-                    for d2 in range(d1 + 1, SPAN + 1):
-                        if i + d2 < len(c):
-                            key = int(c[i]) << 12 | int(c[i + d1]) << 6 | int(c[i + d2])
-                            table.setdefault(key, np.zeros(n, np.float32))[k] += DECAY**d2
+        for owner, keys, weight in subsequences(*_joined([letters(s) for s in strings])):
+            for k, key in zip(owner.tolist(), keys.tolist()):
+                table.setdefault(key, np.zeros(n))[k] += weight
         self.row = np.full(1 << 18, -1, np.int32)
         self.weight = np.zeros((len(table), n), np.float32)
         for r, (key, w) in enumerate(table.items()):
             self.row[key], self.weight[r] = r, w
-        own = (self.weight**2).sum(axis=0)
-        self.scale = np.where(own > 0, 1 / np.where(own > 0, own, 1), 0)
-
-    def features(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(indices of words with a feature that is not 0, their features)."""
-        owner = np.repeat(np.arange(len(starts)), ends - starts)
-        code = code.astype(np.int32)
-        words, rows, weights = [], [], []
-        for d2 in range(2, SPAN + 1):
-            n = len(code) - d2
-            if n <= 0:
-                break
-            same = owner[:n] == owner[d2:]
-            ends_key = code[:n] << 12 | code[d2:]
-            for d1 in range(1, d2):
-                r = self.row[ends_key | code[d1 : n + d1] << 6]
-                hit = np.flatnonzero((r >= 0) & same)
-                words.append(owner[hit])
-                rows.append(r[hit])
-                weights.append(np.full(len(hit), DECAY**d2, np.float32))
-        if not words:
-            return np.zeros(0, np.int64), np.zeros((0, len(self.strings)), np.float32)
-        words, rows, weights = np.concatenate(words), np.concatenate(rows), np.concatenate(weights)
-        # Sums by (word, landmark) over the few common subsequences.
-        order = np.argsort(words, kind="stable")
-        words, rows, weights = words[order], rows[order], weights[order]
-        found, first = np.unique(words, return_index=True)
-        out = np.empty((len(found), len(self.strings)), np.float32)
-        bounds = np.r_[first, len(words)]
+        own = np.sqrt((self.weight.astype(np.float64) ** 2).sum(axis=0))
+        self.weight /= np.where(own > 0, own, 1)
+
+    def of_strings(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The kernel of each string (rows) with each landmark."""
+        out = np.zeros((len(starts), len(self.strings)))
+        parts = list(subsequences(code, starts, ends))
+        if not parts:
+            return out
+        owner, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        weight = np.repeat([p[2] for p in parts], [len(p[0]) for p in parts])
+        # Most strings have nothing in common with any landmark.
+        some = np.bincount(owner[self.row[keys] >= 0], minlength=len(starts)) > 0
+        keep = some[owner]
+        pair, at = np.unique(owner[keep] << 18 | keys[keep], return_inverse=True)
+        total = np.bincount(at, weight[keep])
+        owner, row = pair >> 18, self.row[pair & (1 << 18) - 1]
+        norm = np.sqrt(np.bincount(owner, total**2, len(starts)))
+        hit = np.flatnonzero(row >= 0)
+        owner, row, total = owner[hit], row[hit], total[hit]
+        found, first = np.unique(owner, return_index=True)
+        bounds = np.r_[first, len(owner)]
         for a in range(0, len(found), 4096):
             b = min(a + 4096, len(found))
             part = slice(bounds[a], bounds[b])
-            out[a:b] = np.add.reduceat(self.weight[rows[part]] * weights[part, None], bounds[a:b] - bounds[a], axis=0)
-        out = np.minimum(out * self.scale, 1) ** POWER
-        out[out < FLOOR] = 0
-        some = out.any(axis=1)
-        return found[some], out[some]
+            out[found[a:b]] = np.add.reduceat(self.weight[row[part]] * total[part, None], bounds[a:b] - bounds[a], axis=0) / norm[found[a:b], None]
+        return out**POWER
+
+    def kernel(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The kernel of each word (its strings together) with each landmark."""
+        out = self.of_strings(code, starts, ends)
+        size = ends - starts
+        for m in BEGINNINGS:
+            long = np.flatnonzero(size > m)
+            out[long] += self.of_strings(code, starts[long], starts[long] + m)
+        return out
+
+    def map(self) -> np.ndarray:
+        """The Nystroem map: kernel values of a text (a row), times this, are its features."""
+        lam, vec = np.linalg.eigh(self.of_strings(*_joined([letters(s) for s in self.strings])))
+        return (vec * np.where(lam > 1e-6, 1 / np.sqrt(np.maximum(lam, 1e-6)), 0)) @ vec.T
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letter codes, starts and ends of words, text of each)."""
+    code, starts, ends, sentence, firsts = _sentence_words(texts)
+    return code, starts, ends, np.searchsorted(firsts, sentence, side="right") - 1
+
+
+def _presence(text: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, weight) of each distinct word of each text."""
+    if not len(text):
+        return text, word, np.zeros(0)
+    most = int(word.max()) + 1
+    pair, n = np.unique(text * most + word, return_counts=True)
+    return pair // most, pair % most, 1 + np.log(n)
 
 
 @dataclass
 class Model:
+    """Scores of texts: a number for each word, and the logistic curve of their weighted sum."""
+
     landmarks: Landmarks
     beta: np.ndarray
     bias: float
     slope: float
     shift: float
-    _known: dict = field(default_factory=dict)
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        margin = text_features(self.landmarks, texts, self._known) @ self.beta + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
-
-
-def text_features(landmarks: Landmarks, texts: list[str], known: dict | None = None) -> np.ndarray:
-    """A row of features for each text: two for each landmark."""
-    sentence, value, firsts = sentence_features(landmarks, texts, known)
-    n = len(landmarks.strings)
-    out = np.zeros((len(texts), 2 * n))
-    if len(sentence):
-        text, first = np.unique(np.searchsorted(firsts, sentence, side="right") - 1, return_index=True)
-        total = np.add.reduceat(value, first, axis=0)
-        out[text, :n], out[text, n:] = np.minimum(total, 1), np.log1p(np.maximum(total - 1, 0))
-    return out
+    _table: WordTable | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
 
-def sentence_features(landmarks: Landmarks, texts: list[str], known: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sentences with a feature, their features, first sentence of each text). known: features of words met before, kept by a worker."""
-    code, starts, ends, sent, firsts = _sentence_words(texts)
-    empty = np.zeros(0, np.int64), np.zeros((0, len(landmarks.strings)), np.float32), firsts
-    if not len(starts):
-        return empty
-    h = spans.hash_spans(code, starts, ends)
-    word, distinct = pd.factorize(h)
-    first = np.empty(len(distinct), np.int64)
-    first[word[::-1]] = np.arange(len(word) - 1, -1, -1)
-    if known is None:
-        known = {}
-    if len(known.get("dull", ())) > 1_000_000:
-        known.clear()
-    dull = known.setdefault("dull", np.zeros(0, np.uint64))  # sorted hashes of words without a feature
-    spot = np.minimum(np.searchsorted(dull, distinct), max(len(dull) - 1, 0))
-    new = np.flatnonzero(dull[spot] != distinct) if len(dull) else np.arange(len(distinct))
-    if not len(new):
-        return empty
-    a, b = starts[first[new]], ends[first[new]]
-    size = b - a
-    flat = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    found, value = landmarks.features(code[flat], np.cumsum(size) - size, np.cumsum(size))
-    quiet = np.ones(len(new), bool)
-    quiet[found] = False
-    known["dull"] = np.sort(np.concatenate([dull, distinct[new[quiet]]]))
-    row = np.full(len(distinct), -1, np.int64)
-    row[new[found]] = np.arange(len(found))
-    at = np.flatnonzero(row[word] >= 0)
-    if not len(at):
-        return empty
-    sentences, first = np.unique(sent[at], return_index=True)
-    return sentences, np.minimum(np.add.reduceat(value[row[word[at]]], first, axis=0), MOST_IN_SENTENCE), firsts
+    def _values(self, words: list[bytes]) -> list:
+        value = self.landmarks.kernel(*_joined([np.frombuffer(w, np.uint8) for w in words])) @ self.beta
+        return value.astype("<f4").view(np.uint32)[:, None].tolist()
 
+    def margins(self, texts: list[str]) -> np.ndarray:
+        if self._table is None:
+            self._table = WordTable(self._values)
+        code, starts, ends, text = _words(texts)
+        place = self._table.find(code, starts, ends)
+        text, word, weight = _presence(text, place)
+        value = self._table.ids(word)[0].view(np.float32).astype(np.float64)
+        return np.bincount(text, value * weight, len(texts)) + self.bias
 
-def _words_of(text: str) -> Counter:
-    """Words of four or more letters, with how often they occur."""
-    return Counter(w for w in (w.strip(".,!?;:\"'()%&$#*|-") for w in text.lower().split()) if len(w) >= 4 and w.isalpha())
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -500, 500)))
+
+
+def text_features(landmarks: Landmarks, texts: list[str]) -> np.ndarray:
+    """The kernel of each text with each landmark."""
+    code, starts, ends, text = _words(texts)
+    out = np.zeros((len(texts), len(landmarks.strings)))
+    if len(starts):
+        word, first, _, _ = spans.distinct(code, starts, ends)
+        value = landmarks.kernel(code, starts[first], ends[first])
+        text, word, weight = _presence(text, word)
+        some, at = np.unique(text, return_index=True)
+        out[some] = np.add.reduceat(value[word] * weight[:, None], at, axis=0)
+    return out
 
 
-def _strings_of(text: str) -> Counter:
-    """Words and their beginnings of four to ten letters, with how often they occur (five times at most): candidates for landmarks."""
-    out = Counter()
-    for w, n in _words_of(text).items():
-        for k in {*range(4, min(len(w), 11)), len(w) if len(w) <= 14 else 4}:
-            out[w[:k]] += n
-    return Counter({w: min(n, 5) for w, n in out.items()})
+def _strings_of(text: str) -> set[str]:
+    """Words of three or more letters or digits, and their beginnings: candidates for landmarks."""
+    words = {w for w in (w.strip(".,!?;:\"'()%&$#*|-") for w in text.lower().split()) if len(w) >= 3 and w.isalnum()}
+    return {w[:k] for w in words for k in (*BEGINNINGS, len(w)) if k <= len(w)}
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> tuple[list[str], int]:
-    """Strings that cover toxic texts and hardly others, greedily, then frequent longer words of the others; and the number of the former."""
+def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
+    """Strings that mark toxic texts beyond doubt, greedily by what they still cover."""
     marked, others = np.flatnonzero(toxic), np.flatnonzero(toxic == 0)
-    least = max(4, len(marked) // 100)
     in_texts = Counter(w for i in marked for w in _strings_of(texts[i]))
-    # Only strings of several toxic texts are counted any further.
-    bad = {w: 0 for w, n in in_texts.items() if n >= least}
+    # A string of one toxic text is no evidence.
+    bad = {w: n for w, n in in_texts.items() if n > 1}
     del in_texts
-    good, plain, lists = dict.fromkeys(bad, 0), Counter(), {w: [] for w in bad}
-    for i in marked:
-        for w, n in _strings_of(texts[i]).items():
-            if w in bad:
-                bad[w] += n
-                lists[w].append(i)
+    good = dict.fromkeys(bad, 0)
     for i in others:
-        words = _words_of(texts[i])
-        plain.update({w: 1 for w in words if len(w) >= 6})
-        if len(plain) > 200_000:
-            plain = Counter(dict(plain.most_common(50_000)))
-        for w, n in _strings_of(texts[i]).items():
+        for w in _strings_of(texts[i]):
             if w in good:
-                good[w] += n
+                good[w] += 1
+    # Evidence: the log likelihood ratio of two shares against one, which chance among so many strings does not reach.
     rated = {}
-    for w in bad:
-        odds = (bad[w] + 0.5) / (len(marked) + 1) / ((good[w] + 0.5) / (len(others) + 1))
-        if odds >= 8:
-            rated[w] = min(np.log(odds), 6)
-    holders = {w: np.array(lists[w]) for w in rated}
+    for w, n in bad.items():
+        p, q, both = n / len(marked), (good[w] + 0.5) / (len(others) + 1), (n + good[w] + 0.5) / (len(texts) + 1)
+        if p > q and n * np.log(p / both) + good[w] * np.log(q / both) > np.log(len(bad)) + CERTAIN:
+            rated[w] = np.log(p / q)
+    holders: dict[str, list[int]] = {w: [] for w in rated}
+    for i in marked:
+        for w in _strings_of(texts[i]):
+            if w in holders:
+                holders[w].append(i)
     chosen, covered = [], np.zeros(len(texts))
-    while len(chosen) < most // 2 and rated:
+    held = {w: np.array(h) for w, h in holders.items()}
+    while len(chosen) < most and rated:
         # A text covered n times counts 1 / 2^n.
-        gain = {w: float((0.5 ** covered[holders[w]]).sum()) * r for w, r in rated.items()}
+        gain = {w: float((0.5 ** covered[held[w]]).sum()) * r for w, r in rated.items()}
         w = max(gain, key=lambda x: (gain[x], x))
-        if gain[w] < least:
+        if (0.5 ** covered[held[w]]).sum() < NEW_SHARE * len(marked):
             break
         # The longest string that marks nearly the same texts.
-        w = max((x for x in rated if x.startswith(w) and len(holders[x]) >= 0.9 * len(holders[w])), key=lambda x: (len(x), gain[x], x))
+        w = max((x for x in rated if x.startswith(w) and len(held[x]) >= 0.9 * len(held[w])), key=lambda x: (len(x), gain[x], x))
         chosen.append(w)
-        covered[holders[w]] += 1
+        covered[held[w]] += 1
         rated = {x: r for x, r in rated.items() if not (x.startswith(w) or w.startswith(x))}
-    frequent = [w for w, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0]))[: 40 * most] if not any(w.startswith(c) or c.startswith(w) for c in chosen)]
-    return chosen + frequent[: (most - len(chosen)) // 2], len(chosen)
+    return chosen
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -283,27 +298,16 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4
 
 
 def fit(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> Model:
-    """The model of labelled texts; without both labels it scores the share of toxic texts everywhere."""
+    """The model of labelled texts; without both labels, or strings that tell them apart, it scores the share of toxic texts everywhere."""
     toxic = np.asarray(toxic).astype(int)
     share = (toxic.sum() + 1) / (len(toxic) + 2)
-    if len(set(toxic.tolist())) < 2:
-        return Model(Landmarks(["none"]), np.zeros(2), 0.0, 0.0, float(np.log(share / (1 - share))))
-    strings, marked = choose_landmarks(texts, toxic, most)
-    if not marked:
-        return Model(Landmarks(["none"]), np.zeros(2), 0.0, 0.0, float(np.log(share / (1 - share))))
+    strings = choose_landmarks(texts, toxic, most) if len(set(toxic.tolist())) == 2 else []
+    if not strings:
+        return Model(Landmarks(["none"]), np.zeros(1), 0.0, 0.0, float(np.log(share / (1 - share))))
     marks = Landmarks(strings)
-    n = len(marks.strings)
-    codes = [_CODE[np.frombuffer(s.lower().encode("utf-32-le"), np.uint32)] for s in marks.strings]
-    size = np.array([len(c) for c in codes])
-    found, value = marks.features(np.concatenate(codes), np.cumsum(size) - size, np.cumsum(size))
-    kernel = np.zeros((n, n))
-    kernel[found] = value
-    kernel = (kernel + kernel.T) / 2
-    lam, vec = np.linalg.eigh(kernel)
-    nystroem = vec @ np.diag(1 / np.sqrt(np.maximum(lam, 0.05))) @ vec.T
+    to_features = marks.map()
     # A few hundred texts at a time: the driver's memory stays small.
-    x = np.vstack([text_features(marks, texts[k : k + 256]) for k in range(0, len(texts), 256)])
-    x = np.hstack([x[:, :n] @ nystroem, x[:, n:] @ nystroem])
+    x = np.vstack([text_features(marks, texts[k : k + 256]) for k in range(0, len(texts), 256)]) @ to_features
     w, b = _svm(x, 2 * toxic - 1, np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (toxic == 0).sum()))
     # Logistic curve of the margins, by Newton steps with a small penalty.
     z = np.c_[x @ w + b, np.ones(len(x))]
@@ -312,7 +316,7 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> Model:
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
         theta -= np.clip(np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (p - target) + 1e-3 * theta), -2, 2)
-    return Model(marks, np.r_[nystroem @ w[:n], nystroem @ w[n:]], b, float(max(theta[0], 0)), float(theta[1]))
+    return Model(marks, to_features @ w, b, float(max(theta[0], 0)), float(theta[1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, rows: int = TRAIN_ROWS) -> Model:
@@ -322,8 +326,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, ro
         labels = labels.where(usable)
     # Bounded, so it may go to all tasks; the same rows are picked at any partitioning.
     picked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    data = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    frame = data.to_pandas().sort_values(["doc_id", "text"], kind="stable")
+    # One text for each id, so that what comes here is bounded too.
+    data = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
+    frame = data.to_pandas().sort_values("doc_id", kind="stable")
     return fit([t or "" for t in frame["text"]], frame["toxic"].to_numpy())
 
 

@@ -25,7 +25,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_classes(rows):
+def brute_classes(rows, percent=85):
     sets = {}
     for i, t in rows:
         sets.setdefault(i, []).append(shingles(t))
@@ -39,7 +39,7 @@ def brute_classes(rows):
     ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+            if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     return {i: find(i) for i in ids}
 

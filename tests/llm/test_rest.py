@@ -155,7 +155,7 @@ def test_pipeline_stages(spark):
     assert kept.columns == columns and 0 < kept.count() < docs.count()
     rows = [(r.doc_id, r.text) for r in kept.collect()]
     single = stages["near duplicates"](spark, kept, folder).cache()
-    classes = brute_classes(rows)
+    classes = brute_classes(rows, corpus_pipeline.NEAR_PERCENT)
     assert {r.doc_id for r in single.collect()} == {i for i, c in classes.items() if i == c}
     cut = stages["substrings"](spark, single, folder).cache()
     assert cut.columns == columns

@@ -73,6 +73,19 @@ def parse_downsample(spec: str) -> tuple[float, str, str] | None:
     return duration(parts[0]), parts[1], parts[2] if len(parts) > 2 and parts[2] in ("nan", "null", "zero") else "none"
 
 
+def parse_downsamples(specs: DataFrame, column: str = "spec") -> DataFrame:
+    """parse_downsample over a table: adds seconds, aggregator and fill (nulls for an empty specification); one that is none is an error."""
+    parts = F.split(column, "-")
+    pieces = F.regexp_extract_all(parts[0], F.lit(r"\d+(?:\.\d+)?(?:ms|[smhdw])"), F.lit(0))
+    unit = F.create_map(*[F.lit(x) for kv in _SECONDS.items() for x in kv])
+    seconds = F.aggregate(pieces, F.lit(0.0), lambda a, p: a + F.regexp_extract(p, r"^[\d.]+", 0).cast("double") * unit[F.regexp_extract(p, "[a-z]+$", 0)])
+    good = (F.size(parts) >= 2) & parts[0].rlike(r"^(\d+(\.\d+)?(ms|[smhdw]))+$")
+    empty = F.col(column) == ""
+    third = F.get(parts, F.lit(2))
+    checked = F.when(empty, F.lit(None).cast("double")).when(good, seconds).otherwise(F.raise_error(F.concat(F.lit("no downsample: "), F.col(column))))
+    return specs.select("*", checked.alias("seconds"), F.when(~empty, F.get(parts, F.lit(1))).alias("aggregator"), F.when(~empty, F.when(third.isin("nan", "null", "zero"), third).otherwise("none")).alias("fill"))
+
+
 def guard_range(start: float, end: float, step: float, least_step: float, most: int = MOST_BUCKETS, move_start: bool = True) -> tuple[float, float, float]:
     """(start, end, step) with at least the least step and at most `most` buckets: the start is moved, or else it is an error."""
     step = max(step, least_step)

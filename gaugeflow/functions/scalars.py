@@ -74,13 +74,14 @@ def to_epoch(seconds: Column | str, unit: str) -> Column:
     """Whole seconds in an epoch unit: h and m divide, s, ms, u and ns multiply; any other is ns."""
     s = _c(seconds).cast("long")
     if unit in ("h", "m"):
-        return (s - F.pmod(s, F.lit({"h": 3600, "m": 60}[unit]))) / {"h": 3600, "m": 60}[unit]
+        size = {"h": 3600, "m": 60}[unit]
+        return ((s - s % size) / size).cast("long")
     return s * {"s": 1, "ms": 1_000, "u": 1_000_000}.get(unit, 1_000_000_000)
 
 
 def frame_id(ts: Column | str, span: float) -> Column:
-    """The centre of the frame that a time belongs to: frames are centred on multiples of the span."""
-    return F.floor(_c(ts) / span + 0.5) * F.lit(span)
+    """The centre (a double, as all times) of the frame that a time belongs to: frames are centred on multiples of the span."""
+    return F.floor(_c(ts) / span + 0.5) * F.lit(float(span))
 
 
 def staleness(now: float, last_read: Column | str) -> Column:
@@ -88,6 +89,17 @@ def staleness(now: float, last_read: Column | str) -> Column:
     return F.coalesce(F.lit(float(now)) - _c(last_read), F.lit(0.0))
 
 
+def json_text(x: Column | str) -> Column:
+    """A string as a JSON string, quoted and escaped."""
+    array = F.to_json(F.array(_c(x)))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
+
+
+def json_number(x: Column) -> Column:
+    """A double in its shortest decimal form, whole numbers without a point."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
 def literal_or(col: Column | str, spec: str) -> Column:
     """Membership in the escaped alternatives of "a|b", case-sensitive."""
     return _c(col).isin(*[unescape(p) for p in spec.split("|")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeflow.model import K
 
 #: The agent that reports a host's health is always active.
-HEALTH_AGENT = "Health Agent"
+HEALTH_AGENT = "health agent"
 
 
 def with_tags(observations: DataFrame, endpoints: DataFrame, columns: tuple[str, ...] = ("region", "ip_address")) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.scalars import as_float64
+from gaugeflow.functions.scalars import as_float64, json_number, json_text, path_sort_key
 from gaugeflow.model import FLOAT_KINDS, INTEGER_KINDS, K
 
 #: Kinds that the stores take (fixed values).
 JSON_KINDS = ("bool", *INTEGER_KINDS, *FLOAT_KINDS, "string", "time", "duration")
-TSDB_KINDS = (*INTEGER_KINDS, *FLOAT_KINDS, "string")
+TSDB_KINDS = ("bool", *INTEGER_KINDS, *FLOAT_KINDS, "string", "time", "duration")
 STRING_BYTES = 100
 
 
@@ -58,7 +59,8 @@ def _number() -> Column:
 def to_json_payload(records: DataFrame, tenant: str, api_key: str, slashes_to_underscores: bool = False) -> DataFrame:
     """(key, payload) of export records: one flat JSON object each, tags at its top level; strings have the value 0 and are cut to 100 bytes."""
     name = F.replace("path", F.lit("/"), F.lit("_")) if slashes_to_underscores else F.col("path")
-    millis = F.round(F.col("ts") * 1000).cast("long")
+    # Whole milliseconds: the rest of the microseconds is cut off.
+    millis = F.floor(F.round(F.col("ts") * 1_000_000) / 1000)
     when = F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     text = F.decode(F.expr(f"substring(encode(value_string, 'UTF-8'), 1, {STRING_BYTES})"), "UTF-8")
     base = F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in ("@version", F.lit("1"), "tenant_id", F.lit(tenant), "apikey", F.lit(api_key), "@timestamp", when, "name", name, "host", F.col("host"))])
@@ -81,27 +83,36 @@ def to_influx_points(records: DataFrame) -> DataFrame:
 
 
 def to_tsdb_put(records: DataFrame) -> DataFrame:
-    """(payload): {"metric","timestamp" in whole seconds,"value","tags"} with HostName among the tags."""
+    """(payload): {"metric","timestamp" in whole seconds,"value","tags"} with HostName among the tags. Whole kinds give whole numbers, text its string, all else a number as in as_float64."""
     tags = F.map_concat(F.create_map(F.lit("HostName"), F.col("host")), "tags")
-    entries = F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), e["value"], F.lit('"')))
-    value = F.when(F.col("kind").isin(*INTEGER_KINDS), F.col("value_long").cast("string")).when(F.col("kind") == "string", F.concat(F.lit('"'), F.col("value_string"), F.lit('"'))).otherwise(F.col("value_double").cast("string"))
-    return records.select(F.concat(F.lit('{"metric":"'), F.col("path"), F.lit('","timestamp":'), F.floor("ts").cast("string"), F.lit(',"value":'), value, F.lit(',"tags":{'), F.array_join(entries, ","), F.lit("}}")).alias("payload"))
+    entries = F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(json_text(e["key"]), F.lit(":"), json_text(e["value"])))
+    value = F.when(F.col("kind").isin(*INTEGER_KINDS), F.col("value_long").cast("string")).when(F.col("kind") == "string", json_text("value_string")).otherwise(json_number(_number()))
+    return records.select(F.concat(F.lit('{"metric":'), json_text("path"), F.lit(',"timestamp":'), F.floor("ts").cast("string"), F.lit(',"value":'), value, F.lit(',"tags":{'), F.array_join(entries, ","), F.lit("}}")).alias("payload"))
 
 
 def _shift(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken: set[int] = set()
+    """Each row to the first free millisecond from its own on; `free` leads on from a taken one, and is shortened on the way."""
+    free: dict[int, int] = {}
     out = []
-    for ms in pdf["ms"]:
-        while ms in taken:
-            ms += 1
-        taken.add(ms)
-        out.append(ms)
+    for ms in pdf["ms"].tolist():
+        at, passed = ms, []
+        while at in free:
+            passed.append(at)
+            at = free[at]
+        for p in passed:
+            free[p] = at + 1
+        free[at] = at + 1
+        out.append(at)
     return pdf.assign(ms=out)
 
 
 def shift_duplicates(records: DataFrame) -> DataFrame:
-    """Adds ms: of one batch's records of a path at the same millisecond, later ones (by seq) move on to the next free one. records: batch, path, seq, ts; a batch has at most some thousand rows."""
-    rows = records.withColumn("ms", F.round(F.col("ts") * 1000).cast("long"))
+    """Adds ms (cut to whole milliseconds): of one batch's records of a path at the same millisecond, later ones (by seq) move on to the next free one.
+
+    records: batch, path, seq, ts. The rule is sequential, so the records of one path in one batch are one group: a batch is what a store takes
+    in one call, 1000 records by default.
+    """
+    rows = records.withColumn("ms", (F.col("ts") * 1000).cast("long"))
     clash = rows.groupBy("batch", "path", "ms").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("batch", "path").distinct()
     moved = rows.join(clash, ["batch", "path"], "left_semi")
 
@@ -112,9 +123,27 @@ def shift_duplicates(records: DataFrame) -> DataFrame:
     return rows.join(clash, ["batch", "path"], "left_anti").unionByName(moved.groupBy("batch", "path").applyInPandas(shift, rows.schema))
 
 
-#: (metric, column of the roll-up) of the instance and the filesystem part (fixed values).
-_TRIPLE = ("avg", "max", "min")
-INSTANCE_METRICS = [f"{m}.{t}.percent" if m != "memory:size" else f"{m}.{t}" for m in ("cpu:used", "memory:free", "memory:size", "memory:used") for t in _TRIPLE]
+#: Columns of the dashboard's instance and filesystem rows, and their asset types (fixed values).
+INSTANCE_TYPE, FS_TYPE = "aws:ec2:instance", "aws:ec2:instance:fs"
+INSTANCE_COLUMNS = (
+    "cpu:used:percent.avg", "cpu:used:percent.max", "cpu:used:percent.min",
+    "memory:free:bytes.avg", "memory:free:bytes.max", "memory:free:bytes.min",
+    "memory:size:bytes.avg", "memory:size:bytes.max", "memory:size:bytes.min",
+    "memory:used:percent.avg", "memory:used:percent.max", "memory:used:percent.min",
+)
+FS_COLUMNS = (
+    "fs:size:bytes.avg", "fs:size:bytes.max", "fs:size:bytes.min",
+    "fs:used:bytes.avg", "fs:used:bytes.max", "fs:used:bytes.min",
+    "fs:used:percent.avg", "fs:used:percent.max", "fs:used:percent.min",
+)
+#: Variables of a roll-up in the order of those columns, and whether they are whole numbers.
+_INSTANCE_VARIABLES = (("cpu", False), ("memory_free", True), ("memory_size", True), ("memory_percent", False))
+_FS_VARIABLES = (("size", True), ("used", True), ("used_percent", False))
+
+
+def metric_name(column: str) -> str:
+    """cpu:used:percent.avg -> CpuUsedPercentAvg."""
+    return "".join(part.capitalize() for part in re.split("[:.]", column))
 
 
 def _triplet(name: str, whole: bool) -> list[Column]:
@@ -125,14 +154,13 @@ def _triplet(name: str, whole: bool) -> list[Column]:
 
 def snapshot_to_long(rollup: DataFrame, fs: DataFrame) -> DataFrame:
     """(account, instance, region, ts, metric, value): 12 instance metrics, and 9 filesystem metrics of the mount "/"; an empty variable is null."""
-    parts = {"cpu_used_percent": ("cpu", False), "memory_free_bytes": ("memory_free", True), "memory_size_bytes": ("memory_size", True), "memory_used_percent": ("memory_percent", False)}
-    disk = {"fs_size_bytes": ("size", True), "fs_used_bytes": ("used", True), "fs_used_percent": ("used_percent", False)}
-
-    def long(df: DataFrame, names: dict) -> DataFrame:
-        cells = [F.struct(F.lit(f"{m}_{t}").alias("metric"), c.alias("value")) for m, (col, whole) in names.items() for t, c in zip(_TRIPLE, _triplet(col, whole))]
+    def long(df: DataFrame, columns: tuple, variables: tuple) -> DataFrame:
+        values = [c.cast("double") for name, whole in variables for c in _triplet(name, whole)]
+        cells = [F.struct(F.lit(metric_name(c)).alias("metric"), v.alias("value")) for c, v in zip(columns, values)]
         return df.select("account", "instance", "region", "ts", F.explode(F.array(*cells)).alias("c")).select("account", "instance", "region", "ts", "c.*")
 
-    return long(rollup, parts).unionByName(long(fs.where("mount_point = '/'"), disk))
+    return long(rollup, INSTANCE_COLUMNS, _INSTANCE_VARIABLES).unionByName(long(fs.where("mount_point = '/'"), FS_COLUMNS, _FS_VARIABLES))
+
 
 
 def snapshot_to_datums(rollup: DataFrame, fs: DataFrame) -> DataFrame:
@@ -144,21 +172,52 @@ def snapshot_to_datums(rollup: DataFrame, fs: DataFrame) -> DataFrame:
     return both.select("instance", "region", "ts", F.explode(F.array(*cells)).alias("c")).select("instance", "region", "ts", "c.*").where("value is not null")
 
 
-def to_dashboard_payload(rollup: DataFrame, data_center: str, default_account: str) -> DataFrame:
-    """(payload) for each instance and period: {"metrics":{"datasets":[{"metadata":{"assetType","granularity","keys"},"values":[[…]]}]}}; empty variables are null."""
+def to_dashboard_payload(rollup: DataFrame, data_center: str, default_account: str, fs: DataFrame | None = None) -> DataFrame:
+    """(instance, ts, payload) for each instance and period: {"metrics":{"datasets":[{"metadata":{"assetType","granularity","keys"},"values":[[…]]}]}}.
+
+    A dataset of one instance row and, if `fs` (the roll-up by mount) has any for it, one of a row for each mount. Empty variables are null.
+    """
+    keys = ["account", "instance", "region", "ts"]
     account = F.coalesce(F.nullif("account", F.lit("")), F.lit(default_account))
     asset = F.concat_ws(":", F.lit(data_center), account, F.col("instance"))
     stamp = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ssxxx")
-    keys = ["assetId", "timestamp", *INSTANCE_METRICS]
-    cells = [c for name, whole in (("cpu", False), ("memory_free", True), ("memory_size", True), ("memory_percent", False)) for c in _triplet(name, whole)]
-    shown = [F.concat(F.lit('"'), asset, F.lit('"')), F.concat(F.lit('"'), stamp, F.lit('"')), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cells]]
-    head = '{"metrics":{"datasets":[{"metadata":{"assetType":"aws:ec2:instance","granularity":"hour","keys":[' + ",".join(f'"{k}"' for k in keys) + ']},"values":[['
-    return rollup.select("instance", "ts", F.concat(F.lit(head), F.concat_ws(",", *shown), F.lit("]]}]}}")).alias("payload"))
+
+    def row(asset: Column, variables: tuple) -> Column:
+        cells = [json_number(c) for name, whole in variables for c in _triplet(name, whole)]
+        return F.concat(F.lit("["), F.concat_ws(",", json_text(asset), json_text(stamp), *[F.coalesce(c, F.lit("null")) for c in cells]), F.lit("]"))
+
+    def dataset(asset_type: str, columns: tuple, rows: Column) -> Column:
+        names = ",".join(f'"{c}"' for c in ("assetId", "timestamp", *columns))
+        return F.concat(F.lit(f'{{"metadata":{{"assetType":"{asset_type}","granularity":"hour","keys":[{names}]}},"values":['), rows, F.lit("]}"))
+
+    out = rollup.select(*keys, dataset(INSTANCE_TYPE, INSTANCE_COLUMNS, row(asset, _INSTANCE_VARIABLES)).alias("sets"))
+    if fs is not None:
+        mounts = fs.select(*keys, F.struct("mount_point", row(F.concat_ws(":", asset, "mount_point"), _FS_VARIABLES).alias("row")).alias("m")).groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("m"))
+        out = out.join(mounts, keys, "left")
+        out = out.withColumn("sets", F.concat_ws(",", "sets", F.when(F.col("m").isNotNull(), dataset(FS_TYPE, FS_COLUMNS, F.array_join("m.row", ",")))))
+    return out.select("instance", "ts", F.concat(F.lit('{"metrics":{"datasets":['), F.col("sets"), F.lit("]}}")).alias("payload"))
 
 
 def endpoint_metrics(records: DataFrame) -> DataFrame:
-    """(endpoint, path, document): one JSON document for each metric (all info but the group id) with its values newest first. records: path, kind, unit, description, ts, value, active."""
-    bits = F.coalesce(F.nullif(F.regexp_extract("kind", r"(\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
-    values = F.reverse(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("timestamp"), "value", "active"))))
-    out = records.groupBy(*K, "path", "kind", "unit", "description").agg(values.alias("values"))
-    return out.select(*K, "path", F.to_json(F.struct("path", "kind", bits.alias("bits"), "unit", "description", "values")).alias("document"))
+    """(endpoint, path, document), by endpoint and path components: one JSON document for each metric (all info but the group id) with its values newest first.
+
+    records: path, kind, unit, description, ts, value, active, and, where they have them, sub_type, upper_limits and is_not_cumulative
+    (of distributions). Fields that are null or false are left out of a document; a time is text, seconds with nine decimals.
+    """
+    more = [c for c in ("sub_type", "upper_limits", "is_not_cumulative") if c in records.columns]
+    names = {"sub_type": "subType", "upper_limits": "upperLimits", "is_not_cumulative": "isNotCumulative"}
+    bits = F.nullif(F.regexp_extract("kind", r"(\d+)$", 1), F.lit("")).cast("int")
+    values = F.reverse(F.array_sort(F.collect_list(F.struct("ts", "value", "active"))))
+    out = records.groupBy(*K, "path", "kind", "unit", "description", *more).agg(values.alias("values"))
+
+    def shown(v: Column) -> Column:
+        micros = F.round(v["ts"] * 1_000_000).cast("long")
+        rest = F.pmod(micros, F.lit(1_000_000))
+        stamp = F.concat(((micros - rest) / 1_000_000).cast("long").cast("string"), F.lit("."), F.lpad(rest.cast("string"), 6, "0"), F.lit("000"))
+        return F.struct(stamp.alias("timestamp"), v["value"].alias("value"), v["active"].alias("active"))
+
+    fields = ["path", "description", "unit", "kind", bits.alias("bits"), F.transform("values", shown).alias("values")]
+    for c in more:
+        value = F.nullif(c, F.lit("")) if c == "sub_type" else F.when(F.col(c), True) if c == "is_not_cumulative" else F.col(c)
+        fields.append(value.alias(names[c]))
+    return out.select(*K, "path", F.to_json(F.struct(*fields)).alias("document")).orderBy(*K, path_sort_key("path"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeflow.functions.scalars import frame_id
 from gaugeflow.model import K
@@ -34,17 +36,20 @@ def instance_stats(obs: DataFrame) -> DataFrame:
     def pick(path: str, kind: str, column: str) -> Column:
         return F.max(F.when((F.col("path") == path) & (F.col("kind") == kind), F.col(column)))
 
-    base = wanted.groupBy(*batch).agg(
+    # One shuffle: the filesystem values of a batch come as a small array and are put together by mount inside the row.
+    leaf = F.when(F.col("path").endswith("/size"), "size").when(F.col("path").endswith("/free"), "free")
+    cell = F.struct(mount_point().alias("mount"), leaf.alias("leaf"), F.when(F.col("kind") == "uint64", F.col("value_long")).alias("number"))
+    out = wanted.groupBy(*batch).agg(
         F.max("ts").alias("ts"),
         pick("/sys/sched/cpu/user-time-fraction", "float64", "value_double").alias("user_time_fraction"),
         pick("/sys/memory/available", "uint64", "value_long").alias("memory_free"),
         pick("/sys/memory/total", "uint64", "value_long").alias("memory_total"),
+        F.collect_list(F.when(mount_point().isNotNull(), cell)).alias("cells"),
     )
-    fs = wanted.withColumn("mount_point", mount_point()).where("mount_point is not null")
-    number = F.when(F.col("kind") == "uint64", F.col("value_long"))
-    fs = fs.groupBy(*batch, "mount_point").agg(F.max(F.when(F.col("path").endswith("/size"), number)).alias("size"), F.max(F.when(F.col("path").endswith("/free"), number)).alias("free"))
-    fs = fs.groupBy(*batch).agg(F.array_sort(F.collect_list(F.struct("mount_point", "size", "free"))).alias("fss"))
-    return base.join(fs, batch, "left")
+    number = lambda m, leaf: F.array_max(F.transform(F.filter("cells", lambda c: (c["mount"] == m) & (c["leaf"] == leaf)), lambda c: c["number"]))
+    mounts = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["mount"])))
+    fss = F.transform(mounts, lambda m: F.struct(m.alias("mount_point"), number(m, "size").alias("size"), number(m, "free").alias("free")))
+    return out.withColumn("fss", F.when(F.size("cells") > 0, fss)).drop("cells")
 
 
 def cpu_percent(fraction: Column | str) -> Column:
@@ -79,7 +84,7 @@ def memory_only(stats: DataFrame, flag: Column) -> DataFrame:
     return stats.withColumn("user_time_fraction", F.when(~flag, F.col("user_time_fraction"))).withColumn("fss", F.when(~flag, F.col("fss")))
 
 
-def _variable(value: Column, name: str) -> list[Column]:
+def variable(value: Column, name: str) -> list[Column]:
     return [F.count(value).alias(f"{name}_count"), F.min(value).alias(f"{name}_min"), F.max(value).alias(f"{name}_max"), F.sum(value).alias(f"{name}_sum")]
 
 
@@ -94,15 +99,15 @@ INSTANCE = ["account", "instance", "region"]
 def health_rollup(stats: DataFrame, period: float) -> DataFrame:
     """count, min, max and sum of each variable for each instance and period; ts rounds half up to the period."""
     rows = health_percents(stats).withColumn("ts", frame_id("ts", period).cast("long"))
-    return rows.groupBy(*INSTANCE, "ts").agg(*_variable(F.col("cpu_percent"), "cpu"), *_variable(F.col("memory_free"), "memory_free"), *_variable(F.col("memory_total"), "memory_size"), *_variable(F.col("memory_percent"), "memory_percent"))
+    return rows.groupBy(*INSTANCE, "ts").agg(*variable(F.col("cpu_percent"), "cpu"), *variable(F.col("memory_free"), "memory_free"), *variable(F.col("memory_total"), "memory_size"), *variable(F.col("memory_percent"), "memory_percent"))
 
 
 def fs_rollup(stats: DataFrame, period: float) -> DataFrame:
-    """The same for each mount; mounts without any value are left out."""
+    """The same for each mount; mounts whose size is never known (free space alone says nothing) are left out."""
     rows = stats.withColumn("ts", frame_id("ts", period).cast("long")).select(*INSTANCE, "ts", F.explode("fss").alias("f")).select(*INSTANCE, "ts", "f.*")
     used = fs_used(F.col("size"), F.col("free"))
-    out = rows.groupBy(*INSTANCE, "ts", "mount_point").agg(*_variable(F.col("size"), "size"), *_variable(F.col("free"), "free"), *_variable(used, "used"), *_variable(used_percent(F.col("free"), F.col("size")), "used_percent"))
-    return out.where("size_count + free_count > 0")
+    out = rows.groupBy(*INSTANCE, "ts", "mount_point").agg(*variable(F.col("size"), "size"), *variable(F.col("free"), "free"), *variable(used, "used"), *variable(used_percent(F.col("free"), F.col("size")), "used_percent"))
+    return out.where("size_count > 0")
 
 
 def retain(snapshots: DataFrame, span: float, keys: list[str]) -> DataFrame:
@@ -114,20 +119,28 @@ def pack_batches(snapshots: DataFrame, keys: list[str], most: int = MOST_POINTS)
     """(keys, ts, fs_from, fs_count, with_instance, batch): snapshots in time order, each of INSTANCE_POINTS + FS_POINTS * n_fs points, put greedily into calls of at most `most` points.
 
     A snapshot over the budget alone first closes the open call; it is split so that the first call holds the instance, and further ones only filesystems.
-    snapshots: keys, ts, n_fs. A fold over each endpoint's kept snapshots (48 hours' worth).
+    snapshots: keys, ts, n_fs. A sequential rule, so one key is one group: apply retain() first, which leaves 48 hours' worth.
     """
     with_instance, without = (most - INSTANCE_POINTS) // FS_POINTS, most // FS_POINTS
-    part = "struct<ts: double, fs_from: bigint, fs_count: bigint, with_instance: boolean, batch: bigint>"
-    init = f"named_struct('out', cast(array() as array<{part}>), 'used', 0L, 'batch', 0L)"
-    points = f"({INSTANCE_POINTS} + {FS_POINTS} * s.n_fs)"
-    fits = f"named_struct('out', a.out || array(named_struct('ts', s.ts, 'fs_from', 0L, 'fs_count', s.n_fs, 'with_instance', true, 'batch', if(a.used + {points} > {most}, a.batch + 1, a.batch))), 'used', if(a.used + {points} > {most}, {points}, a.used + {points}), 'batch', if(a.used + {points} > {most}, a.batch + 1, a.batch))"
-    calls = f"(1L + (s.n_fs - {with_instance} + {without - 1}) div {without})"
-    first = "(a.batch + if(a.used > 0, 1, 0))"
-    piece = (
-        f"transform(sequence(0L, {calls} - 1), k -> named_struct('ts', s.ts, 'fs_from', if(k = 0, 0L, {with_instance} + (k - 1) * {without}), "
-        f"'fs_count', if(k = 0, {with_instance}L, least({without}L, s.n_fs - {with_instance} - (k - 1) * {without})), 'with_instance', k = 0, 'batch', {first} + k))"
-    )
-    split = f"named_struct('out', a.out || {piece}, 'used', 0L, 'batch', {first} + {calls})"
-    fold = f"aggregate(snaps, {init}, (a, s) -> if({points} > {most}, {split}, {fits}), a -> a.out)"
-    snaps = F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("ts"), F.col("n_fs").cast("long").alias("n_fs"))))
-    return snapshots.groupBy(*keys).agg(snaps.alias("snaps")).select(*keys, F.explode(F.expr(fold)).alias("p")).select(*keys, "p.*")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "n_fs"], kind="stable")
+        used, batch, rows = 0, 0, []
+        for i, n in enumerate(pdf["n_fs"].tolist()):
+            points = INSTANCE_POINTS + FS_POINTS * n
+            if points > most:
+                batch += used > 0
+                cuts = [0, *range(with_instance, n, without), n]
+                rows += [(i, a, b - a, a == 0, batch + k) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+                batch, used = batch + len(cuts) - 1, 0
+                continue
+            if used + points > most:
+                batch, used = batch + 1, 0
+            used += points
+            rows.append((i, 0, n, True, batch))
+        out = pd.DataFrame(rows, columns=["at", "fs_from", "fs_count", "with_instance", "batch"])
+        return pd.concat([pdf[[*keys, "ts"]].iloc[out["at"]].reset_index(drop=True), out.drop(columns="at")], axis=1)
+
+    rows = snapshots.select(*keys, F.col("ts").cast("double").alias("ts"), F.col("n_fs").cast("long").alias("n_fs"))
+    kept = T.StructType(rows.drop("n_fs").schema.fields).add("fs_from", "long").add("fs_count", "long").add("with_instance", "boolean").add("batch", "long")
+    return rows.groupBy(*keys).applyInPandas(pack, kept)

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.scalars import json_text
 from gaugeflow.model import INTEGER_KINDS, K
 
 
-#: The flag of an application that has metrics of its own (fixed value).
-HAS_METRICS = "has-tricorder-metrics"
-
-
-def discover_apps(obs: DataFrame) -> DataFrame:
-    """(host_name, batch_seq, name, port, use_tls) of /health-checks/<name> entries that say they have metrics and give a whole port number; TLS is off by default."""
+def discover_apps(obs: DataFrame, has_metrics: str) -> DataFrame:
+    """(host_name, batch_seq, name, port, use_tls) of /health-checks/<name> entries whose flag `has_metrics` (its name) is true and that give a whole port number; TLS is off by default."""
     p = F.split("path", "/")
     own = obs.where(F.col("path").startswith("/health-checks/")).withColumn("name", F.element_at(p, 3)).withColumn("leaf", F.array_join(F.slice(p, 4, 99), "/"))
 
@@ -22,7 +19,7 @@ def discover_apps(obs: DataFrame) -> DataFrame:
 
     whole, flag = F.col("kind").isin(*INTEGER_KINDS), F.col("kind") == "bool"
     out = own.groupBy("host_name", "batch_seq", "name").agg(
-        pick(HAS_METRICS, flag, "value_bool").alias("has"), pick("port-number", whole, "value_long").alias("port"), pick("use-tls", flag, "value_bool").alias("tls")
+        pick(has_metrics, flag, "value_bool").alias("has"), pick("port-number", whole, "value_long").alias("port"), pick("use-tls", flag, "value_bool").alias("tls")
     )
     return out.where("has and port is not null").select("host_name", "batch_seq", "name", "port", F.coalesce("tls", F.lit(False)).alias("use_tls"))
 
@@ -71,5 +68,5 @@ def inventory_to_json(inventories: DataFrame) -> DataFrame:
 def bulk_json(bodies: DataFrame, by: list[str]) -> DataFrame:
     """(by, body): one object of instance id to inventory for each group of calls."""
     pairs = F.array_sort(F.collect_list(F.struct("instance_id", "body")))
-    entry = lambda p: F.concat(F.lit('"'), p["instance_id"], F.lit('":'), p["body"])
+    entry = lambda p: F.concat(json_text(p["instance_id"]), F.lit(":"), p["body"])
     return bodies.groupBy(*by).agg(F.concat(F.lit("{"), F.array_join(F.transform(pairs, entry), ","), F.lit("}")).alias("body"))

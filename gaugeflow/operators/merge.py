@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,10 +40,18 @@ def sum_series(*dfs: DataFrame) -> DataFrame:
     return both.groupBy("name", "_tags", "ts").agg(F.any_value("tags").alias("tags"), total.alias("value")).select("name", "tags", "ts", "value")
 
 
-def divide_series(lhs: DataFrame, rhs: DataFrame) -> DataFrame:
-    """Point-wise lhs / rhs of matching points; null if either is null or the divisor is 0."""
+def divide_series(lhs: DataFrame | Sequence[DataFrame], rhs: DataFrame) -> DataFrame:
+    """Point-wise lhs / rhs of matching points; null if either is null or the divisor is 0. Of a series that several sets of lhs have, the last listed one counts."""
+    left = _keyed(lhs) if isinstance(lhs, DataFrame) else _last_series(lhs)
     right = _keyed(rhs).select("name", "_tags", "ts", F.col("value").alias("_r"))
-    return _keyed(lhs).join(right, ["name", "_tags", "ts"]).select("name", "tags", "ts", F.try_divide("value", "_r").alias("value"))
+    return left.join(right, ["name", "_tags", "ts"]).select("name", "tags", "ts", F.try_divide("value", "_r").alias("value"))
+
+
+def _last_series(dfs: Sequence[DataFrame]) -> DataFrame:
+    """The rows of each series from the last set that has it."""
+    both = _keyed(_union(tuple(dfs)))
+    last = both.groupBy("name", "_tags").agg(F.max("_src").alias("_src"))
+    return both.join(last, ["name", "_tags", "_src"], "left_semi").drop("_src")
 
 
 def merge_means(sums: list[DataFrame], counts: list[DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.params import Buckets
-from gaugeflow.functions.scalars import literal_or, tsdb_escape
+from gaugeflow.functions.scalars import json_number, literal_or, tsdb_escape
 from gaugeflow.model import K
 from gaugeflow.operators import downsample as D
 
@@ -54,10 +54,12 @@ def time_range(df: DataFrame, start: float, end: float, column: str = "ts") -> D
     return df.where((F.col(column) >= start) & (F.col(column) < end))
 
 
-def query_parts(points: DataFrame, endpoints: DataFrame, q: Query) -> DataFrame:
+def query_parts(points: DataFrame, endpoints: DataFrame, q: Query, series: DataFrame | None = None) -> DataFrame:
     """Rows (host_name, app_name, region, ip_address, ts, value) of a query; tags that it does not group by are "".
 
-    points: host_name, app_name, path, ts, value (numeric, active, dense); endpoints: the tags of each endpoint.
+    points: host_name, app_name, path, ts, value (numeric, active, dense); endpoints: the tags of each endpoint. series: the
+    endpoints (host_name, app_name) that have the metric at all, which zero fill and counts need. Without it they are taken from the
+    points, so that these must reach beyond the range then.
     """
     own = filter_endpoints(endpoints.select(*TAGS.values()), **q.filters)
     b = Buckets(q.start, q.end, q.step)
@@ -65,7 +67,7 @@ def query_parts(points: DataFrame, endpoints: DataFrame, q: Query) -> DataFrame:
     found = points.where(F.col("path") == q.path).select(*K, "ts", "value").join(own, K)
     by = [TAGS[t] for t in q.by]
     keys = list(TAGS.values())
-    series = found.select(*keys).distinct()
+    series = own.join(series.select(*K).distinct(), K, "left_semi") if series is not None else found.select(*keys).distinct()
     buckets = D.downsample(time_range(found, q.start, q.end), keys, b, q.inner)
     if q.fill == "zero" and q.inner != "count" or q.inner == "count":
         out = D.aggregate_zero_filled(buckets, keys, by, b, q.outer, series)
@@ -80,12 +82,16 @@ def query_parts(points: DataFrame, endpoints: DataFrame, q: Query) -> DataFrame:
     return out.select(*[F.col(c) if c in by else F.lit("").alias(c) for c in TAGS.values()], "ts", "value")
 
 
-def tsdb_query(points: DataFrame, endpoints: DataFrame, q: Query, earliest: DataFrame | None = None) -> DataFrame:
-    """The full query; raises UnknownMetric if no filtered endpoint has the path. earliest: (tags, earliest) of series, for early truncation."""
+def tsdb_query(points: DataFrame, endpoints: DataFrame, q: Query, earliest: DataFrame | None = None, series: DataFrame | None = None) -> DataFrame:
+    """The full query; raises UnknownMetric if no filtered endpoint has the path. earliest: (tags, earliest) of series, for early truncation.
+
+    With `series` (see query_parts) that is looked up there, and the points are read once; else in a job of its own over the points.
+    """
     own = filter_endpoints(endpoints.select(*TAGS.values()), **q.filters)
-    if points.where(F.col("path") == q.path).select(*K).join(own, K, "left_semi").isEmpty():
+    having = series if series is not None else points.where(F.col("path") == q.path)
+    if having.select(*K).join(own, K, "left_semi").isEmpty():
         raise UnknownMetric(q.path)
-    out = query_parts(points, endpoints, q)
+    out = query_parts(points, endpoints, q, series)
     return D.early_truncate(out, [TAGS[t] for t in q.by], earliest) if earliest is not None else out
 
 
@@ -113,15 +119,10 @@ def to_grid(points: DataFrame, keys: list[str], start: float, end: float, step:
     return every.join(points.select(*keys, "ts", "value"), [*keys, "ts"], "left")
 
 
-def _number(x: Column) -> Column:
-    """A double in its shortest decimal form, whole numbers without a point."""
-    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
-
-
 def series_to_json(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, series): {"second":value,...} ascending; seconds are truncated."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col("ts").cast("long").alias("s"), F.col("value").alias("v"))))
-    entry = F.transform(pairs, lambda p: F.concat(F.lit('"'), p["s"].cast("string"), F.lit('":'), _number(p["v"])))
+    entry = F.transform(pairs, lambda p: F.concat(F.lit('"'), p["s"].cast("string"), F.lit('":'), json_number(p["v"])))
     return points.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(entry, ","), F.lit("}")).alias("series"))
 
 
@@ -146,6 +147,6 @@ def influx_response(result: DataFrame, path: str, by: tuple[str, ...], start: fl
     keys = list(TAGS.values())
     padded = to_grid(result, keys, start, end, step)
     pairs = F.array_sort(F.collect_list(F.struct(to_epoch("ts", unit).cast("long").alias("t"), F.col("value").alias("v"))))
-    entry = F.transform(pairs, lambda p: F.concat(F.lit("["), p["t"].cast("string"), F.lit(","), F.coalesce(_number(p["v"]), F.lit("null")), F.lit("]")))
+    entry = F.transform(pairs, lambda p: F.concat(F.lit("["), p["t"].cast("string"), F.lit(","), F.coalesce(json_number(p["v"]), F.lit("null")), F.lit("]")))
     out = padded.groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(entry, ","), F.lit("]")).alias("values"))
     return out.select(F.lit(path).alias("name"), (F.to_json(F.create_map(*tags)) if tags else F.lit("{}")).alias("tags"), "values")

@@ -76,10 +76,13 @@ def densify(changes: DataFrame, group_ts: DataFrame, values: Sequence[str] = ("v
 
 
 def history(changes: DataFrame, start: float, end: float, keys: Sequence[str] = tuple(SERIES)) -> DataFrame:
-    """Changes inside (start, end) and the last one at or before the start."""
-    nxt = F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts"))
-    out = changes.where(F.col("ts") < end).withColumn("_next", nxt)
-    return out.where((F.col("ts") > start) | F.coalesce(F.col("_next") > start, F.lit(True))).drop("_next")
+    """Changes inside (start, end) and the last one at or before the start.
+
+    The range is a plain filter; the earlier history is an aggregate of one row a series, which tasks combine before the shuffle.
+    """
+    before = changes.where((F.col("ts") <= start) & (F.col("ts") < end))
+    last = before.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), "ts").alias("_last")).select("_last.*")
+    return changes.where((F.col("ts") > start) & (F.col("ts") < end)).unionByName(last)
 
 
 def latest(records: DataFrame, keys: Sequence[str | Column] = (*K, "path"), values: Sequence[str] = ("value",)) -> DataFrame:

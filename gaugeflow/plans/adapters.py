@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,13 @@ def seconds(df: DataFrame, column: str = "ts") -> Column:
     return F.unix_micros(column) / 1e6
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """host_name, app_name, batch_seq, ts, value, k, user_id."""
+def events(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """host_name, app_name, batch_seq, ts, value, k, user_id; a range (whole seconds) is tested on the stored column, so that it reaches the Parquet scan."""
     e = table(spark, sf_dir, "events")
+    if start is not None:
+        kind = dict(e.dtypes)["ts"]
+        at = lambda t: F.lit(datetime.fromtimestamp(t, timezone.utc).strftime("%Y-%m-%d %H:%M:%S") + ("" if kind == "timestamp_ntz" else "Z")).cast(kind)
+        e = e.where((F.col("ts") >= at(start)) & (F.col("ts") < at(end)))
     return e.select(
         F.concat(F.lit("host"), "user_id").alias("host_name"),
         F.col("event_type").alias("app_name"),
@@ -37,11 +43,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(endpoint, path, ts, value): /events/value, and /events/k where k is no multiple of 7."""
-    e = events(spark, sf_dir)
-    cells = F.array(F.struct(F.lit("/events/value").alias("path"), F.col("value").alias("value")), F.struct(F.lit("/events/k").alias("path"), F.when(F.col("k") % 7 != 0, F.col("k").cast("double")).alias("value")))
-    return e.select("host_name", "app_name", "batch_seq", "ts", F.explode(cells).alias("c")).select("host_name", "app_name", "batch_seq", "ts", "c.*").where("value is not null")
+def points(spark: SparkSession, sf_dir: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """(endpoint, path, ts, value): /events/value, and /events/k where k is no multiple of 7. A branch for each path: a filter on the path leaves one of them."""
+    e = events(spark, sf_dir, start, end)
+    keys = ["host_name", "app_name", "batch_seq", "ts"]
+    values = e.select(*keys, F.lit("/events/value").alias("path"), "value").where("value is not null")
+    return values.unionByName(e.where("k % 7 <> 0").select(*keys, F.lit("/events/k").alias("path"), F.col("k").cast("double").alias("value")))
 
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:

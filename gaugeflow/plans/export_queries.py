@@ -14,6 +14,7 @@ from gaugeflow.operators import query as Q
 from gaugeflow.plans.adapters import END, EP, EV, PTS, START, endpoints, events, points, rounded, table
 from gaugeflow.plans.registry import query
 from gaugeflow.sources import readers as S
+from gaugeflow.sources.shared import scratch
 
 #: Each event as a record of some kind: float64, int64, string, bool or duration by application.
 _KIND = "CASE app_name WHEN 'click' THEN 'float64' WHEN 'error' THEN 'int64' WHEN 'purchase' THEN 'string' WHEN 'signup' THEN 'bool' ELSE 'duration' END"
@@ -53,9 +54,11 @@ def to_export_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("host", F.col("tags")["appname"].alias("app_name"), F.col("tags")["region"].alias("region"), F.col("tags")["ipaddress"].alias("ip_address"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {EV}, {_REC} SELECT host_name, kind, count(*) AS n FROM rec WHERE kind IN ('int64', 'float64', 'string') AND k % 7 <> 0 AND NOT regexp_matches('/events/value', 'nothing') GROUP BY ALL")
+@query(f"WITH {EV}, {_REC} SELECT host_name, kind, count(*) AS n FROM rec WHERE kind IN ('int64', 'float64', 'bool', 'duration') AND k % 7 <> 0 AND NOT regexp_matches('/events/' || app_name, 'k$|^/events/v') GROUP BY ALL")
 def export_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = X.exclude_metrics(X.active_only(X.filter_supported(records(spark, sf_dir), X.TSDB_KINDS)), ["nothing", "^/sys/"])
+    """Active records of some kinds without the paths that either pattern matches (clicks and views)."""
+    rec = records(spark, sf_dir).withColumn("path", F.concat(F.lit("/events/"), "app_name"))
+    own = X.exclude_metrics(X.active_only(X.filter_supported(rec, [k for k in X.TSDB_KINDS if k != "string"])), ["k$", "^/events/v"])
     return own.groupBy("host_name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -68,22 +71,35 @@ def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.to_export_records(records(spark, sf_dir), endpoints(spark, sf_dir))
 
 
-@query(f"WITH {EV}, {EP}, {_REC} SELECT host_name AS key, '_events_value' AS name, strftime(make_timestamp(CAST(round(ts * 1000) AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp, app_name, region, CASE WHEN kind = 'string' THEN 's' || k END AS string_value, round(CASE WHEN kind = 'string' THEN 0 ELSE {_NUM} END, 6)::DOUBLE AS value FROM rec JOIN ep USING (host_name, app_name)")
+@query(f"WITH {EV}, {EP}, {_REC} SELECT host_name AS key, '_events_value' AS name, strftime(make_timestamp(CAST(floor(round(ts * 1000000) / 1000) AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS stamp, '1' AS version, 'tenant' AS tenant, 'key' AS api_key, app_name, region, CASE WHEN kind = 'string' THEN 's' || k END AS string_value, round(CASE WHEN kind = 'string' THEN 0 ELSE {_NUM} END, 6)::DOUBLE AS value FROM rec JOIN ep USING (host_name, app_name)")
 def to_json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payloads' fields, read back from the JSON."""
     out = X.to_json_payload(_exported(spark, sf_dir), "tenant", "key", slashes_to_underscores=True)
     f = lambda name: F.get_json_object("payload", f"$['{name}']")
-    return out.select("key", f("name").alias("name"), f("@timestamp").alias("stamp"), f("appname").alias("app_name"), f("region").alias("region"), f("stringValue").alias("string_value"), F.round(f("value").cast("double"), 6).alias("value"))
+    return out.select("key", f("name").alias("name"), f("@timestamp").alias("stamp"), f("@version").alias("version"), f("tenant_id").alias("tenant"), f("apikey").alias("api_key"), f("appname").alias("app_name"), f("region").alias("region"), f("stringValue").alias("string_value"), F.round(f("value").cast("double"), 6).alias("value"))
 
 
-@query(f"""WITH {EV}, {EP}, {_REC} SELECT '/events/value,@version=1,appname=' || app_name || ',host=' || host_name || ',ipaddress=' || ip_address || ',region=' || replace(region, ' ', '\\ ') || ' name="/events/value",value="s' || k || '" ' || CAST(round(ts * 1000000) AS BIGINT) * 1000 AS line FROM rec JOIN ep USING (host_name, app_name) WHERE kind = 'string'""")
+_TEXT = "CASE WHEN kind = 'string' THEN 's' || k END"
+
+
+@query(f"""WITH {EV}, {EP}, {_REC} SELECT '/events/value,@version=1,appname=' || app_name || ',host=' || host_name || ',ipaddress=' || ip_address || ',region=' || replace(region, ' ', '\\ ') || ' name="/events/value"' AS head, {_TEXT} AS text, CASE WHEN kind <> 'string' THEN round({_NUM} + 1e-9, 6) END::DOUBLE AS number, CAST(round(ts * 1000000) AS BIGINT) * 1000 AS nanos FROM rec JOIN ep USING (host_name, app_name)""")
 def to_influx_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.to_influx_points(_exported(spark, sf_dir).where("kind = 'string'"))
+    """The lines of all kinds, cut up again: measurement, tags and name; the value as text or number; the time."""
+    parts = lambda i: F.regexp_extract("line", r'^(.*),value=(?:"(.*)"|([^" ]+)) (\d+)$', i)
+    cut = X.to_influx_points(_exported(spark, sf_dir)).select(parts(1).alias("head"), F.nullif(parts(2), F.lit("")).alias("text"), parts(3).try_cast("double").alias("number"), parts(4).cast("long").alias("nanos"))
+    return rounded(cut, "number")
 
 
-@query(f"""WITH {EV}, {EP}, {_REC} SELECT '{{"metric":"/events/value","timestamp":' || CAST(floor(ts) AS BIGINT) || ',"value":' || CASE WHEN kind = 'string' THEN '"s' || k || '"' ELSE k::VARCHAR END || ',"tags":{{"HostName":"' || host_name || '","appname":"' || app_name || '","ipaddress":"' || ip_address || '","region":"' || region || '"}}}}' AS payload FROM rec JOIN ep USING (host_name, app_name) WHERE kind IN ('int64', 'string')""")
+@query(f"""WITH {EV}, {EP}, {_REC} SELECT '/events/"' || app_name || '"' AS metric, CAST(floor(ts) AS BIGINT) AS timestamp, {_TEXT} AS text, CASE WHEN kind <> 'string' THEN round({_NUM} + 1e-9, 6) END::DOUBLE AS number, host_name, app_name, ip_address, region || ' \\' AS region FROM rec JOIN ep USING (host_name, app_name)""")
 def to_tsdb_put(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.to_tsdb_put(X.filter_supported(_exported(spark, sf_dir), ("int64", "string")))
+    """The fields of the payloads of all kinds, read back from the JSON; paths hold quotes and tags a backslash."""
+    rec = records(spark, sf_dir).withColumn("path", F.concat(F.lit('/events/"'), "app_name", F.lit('"')))
+    tags = endpoints(spark, sf_dir).withColumn("region", F.concat("region", F.lit(" \\")))
+    out = X.to_tsdb_put(X.filter_supported(X.to_export_records(rec, tags), X.TSDB_KINDS))
+    f = lambda name: F.get_json_object("payload", f"$.{name}")
+    text = F.col("payload").rlike(r'"value":"')
+    out = out.select(f("metric").alias("metric"), f("timestamp").cast("long").alias("timestamp"), F.when(text, f("value")).alias("text"), F.when(~text, f("value").try_cast("double")).alias("number"), f("tags.HostName").alias("host_name"), f("tags.appname").alias("app_name"), f("tags.ipaddress").alias("ip_address"), f("tags.region").alias("region"))
+    return rounded(out, "number")
 
 
 @query(f"""WITH RECURSIVE {EV}, s AS (SELECT host_name, k // 10 AS path, batch_seq, k % 3 AS ms, row_number() OVER (PARTITION BY host_name, k // 10 ORDER BY batch_seq) AS i FROM ev),
@@ -96,13 +112,19 @@ def shift_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.shift_duplicates(rec).select("seq", "ms")
 
 
-@query(f"WITH {PTS} SELECT host_name, app_name, path, count(*) AS n, max(ts) AS newest FROM pts GROUP BY ALL")
+@query(f"""WITH {EV}, r AS (SELECT host_name, app_name, '/d' AS path, 'dist' AS kind, ts, k::DOUBLE AS value, k % 7 <> 0 AS active FROM ev UNION ALL SELECT host_name, app_name, '/v', 'int64', ts, floor(value), true FROM ev)
+SELECT host_name, app_name, path, kind, CASE WHEN kind = 'int64' THEN 64 END AS bits, CASE WHEN kind = 'dist' THEN 2 END AS n_limits, CASE WHEN kind = 'dist' THEN true END AS is_not_cumulative, count(*) AS n, max(CAST(round(ts * 1000000) AS BIGINT)) AS newest, max_by(value, ts) AS value, max_by(active, ts) AS active FROM r GROUP BY ALL""")
 def endpoint_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each metric: how many values they hold and the first one's time."""
-    rec = points(spark, sf_dir).withColumns({"kind": F.lit("float64"), "unit": F.lit("s"), "description": F.lit(""), "active": F.lit(True)})
-    doc = X.endpoint_metrics(rec)
-    values = F.from_json("document", "struct<values: array<struct<timestamp: double>>>")["values"]
-    return doc.select(*K, "path", F.size(values).cast("long").alias("n"), values[0]["timestamp"].alias("newest"))
+    """The documents of two metrics, one of them a distribution: their fields, number of values and first value."""
+    e = events(spark, sf_dir)
+    none = lambda kind: F.lit(None).cast(kind)
+    rec = e.select(*K, F.lit("/d").alias("path"), F.lit("dist").alias("kind"), "ts", F.col("k").cast("double").alias("value"), (F.col("k") % 7 != 0).alias("active"), F.array(F.lit(1.0), F.lit(2.0)).alias("upper_limits"), F.lit(True).alias("is_not_cumulative"))
+    rec = rec.unionByName(e.select(*K, F.lit("/v").alias("path"), F.lit("int64").alias("kind"), "ts", F.floor("value").cast("double").alias("value"), F.lit(True).alias("active"), none("array<double>").alias("upper_limits"), F.lit(False).alias("is_not_cumulative")))
+    doc = X.endpoint_metrics(rec.withColumns({"unit": F.lit("s"), "description": F.lit(""), "sub_type": F.lit("")}))
+    d = F.from_json("document", "struct<kind: string, bits: int, upperLimits: array<double>, isNotCumulative: boolean, values: array<struct<timestamp: string, value: double, active: boolean>>>")
+    first = d["values"][0]
+    micros = F.replace(F.substring(first["timestamp"], F.lit(1), F.length(first["timestamp"]) - 3), F.lit("."), F.lit("")).cast("long")
+    return doc.select(*K, "path", d["kind"].alias("kind"), d["bits"].alias("bits"), F.when(d["upperLimits"].isNotNull(), F.size(d["upperLimits"])).alias("n_limits"), d["isNotCumulative"].alias("is_not_cumulative"), F.size(d["values"]).cast("long").alias("n"), micros.alias("newest"), first["value"].alias("value"), first["active"].alias("active"))
 
 
 @query(f"WITH {PTS}, {EP} SELECT 'metrics' AS type, path AS name FROM pts GROUP BY path UNION ALL SELECT DISTINCT 'tagv', host_name FROM ep UNION ALL SELECT DISTINCT 'tagv', ip_address FROM ep")
@@ -128,12 +150,12 @@ def writer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.writer_counts(log), "success_ratio")
 
 
-@query("""WITH l AS (SELECT o_orderpriority AS writer, o_orderkey AS ts, CASE WHEN o_orderkey % 4 = 0 THEN 'e' || o_custkey END AS error, o_custkey % 100 AS written FROM orders)
-SELECT writer, count(*) AS attempts, count(*) FILTER (error IS NULL) AS successes, count(error) AS failures, sum(written) FILTER (error IS NULL)::BIGINT AS values_written, max_by(error, ts) FILTER (error IS NOT NULL) AS last_error, max(ts) FILTER (error IS NOT NULL) AS last_error_ts, max(ts) FILTER (error IS NULL) AS last_success_ts FROM l GROUP BY writer""")
+@query("""WITH l AS (SELECT o_orderpriority AS writer, o_orderkey AS ts, CASE WHEN o_orderkey % 4 = 0 THEN 'e' || o_custkey END AS error, o_custkey % 100 AS written, (o_custkey % 10) / 4.0 AS seconds FROM orders)
+SELECT writer, count(*) AS attempts, count(*) FILTER (error IS NULL) AS successes, count(error) AS failures, sum(written) FILTER (error IS NULL)::BIGINT AS values_written, sum(seconds)::DOUBLE AS total_seconds, max_by(error, ts) FILTER (error IS NOT NULL) AS last_error, max(ts) FILTER (error IS NOT NULL) AS last_error_ts, max(ts) FILTER (error IS NULL) AS last_success_ts FROM l GROUP BY writer""")
 def writer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    log = o.select(F.col("o_orderpriority").alias("writer"), F.col("o_orderkey").alias("ts"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("e"), "o_custkey")).alias("error"), (F.col("o_custkey") % 100).alias("written"), F.lit(0.0).alias("seconds"))
-    return M.writer_metrics(log).drop("total_seconds")
+    log = o.select(F.col("o_orderpriority").alias("writer"), F.col("o_orderkey").alias("ts"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("e"), "o_custkey")).alias("error"), (F.col("o_custkey") % 100).alias("written"), (F.col("o_custkey") % 10 / 4).alias("seconds"))
+    return M.writer_metrics(log)
 
 
 @query("SELECT (l_quantity >= 5)::INT + (l_quantity >= 10)::INT + (l_quantity >= 25)::INT + (l_quantity >= 50)::INT AS bucket, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1")
@@ -162,21 +184,21 @@ def limit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.limit_records(events(spark, sf_dir), 5, ["host_name"], ["ts"]).select("host_name", "batch_seq")
 
 
-_LEASES = f"ls AS (SELECT ({START} + o_orderkey % 29 * 86400)::DOUBLE AS s, ({START} + o_orderkey % 29 * 86400 + 3600 * (1 + o_custkey % 5))::DOUBLE AS e FROM orders WHERE o_orderkey % 97 = 0)"
+_LEASES = f"ls AS (SELECT ({START} + o_orderkey % 29 * 86400)::DOUBLE AS s, ({START} + o_orderkey % 29 * 86400 + 3600 * (1 + o_custkey % 5))::DOUBLE AS e FROM orders)"
 
 
 def _leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0")
+    o = table(spark, sf_dir, "orders")
     start = F.lit(START) + F.col("o_orderkey") % 29 * 86400
     return o.select(F.lit("me").alias("owner"), start.cast("double").alias("start"), (start + 3600 * (1 + F.col("o_custkey") % 5)).cast("double").alias("end"))
 
 
-@query(f"WITH {EV}, {_LEASES} SELECT host_name, batch_seq, ts FROM ev WHERE EXISTS (SELECT 1 FROM ls WHERE ts >= s AND ts < e)")
+@query(f"WITH {EV}, {_LEASES} SELECT host_name, batch_seq, ts FROM ev WHERE EXISTS (SELECT 1 FROM (SELECT s, max(e) AS e FROM ls GROUP BY s) l WHERE ts >= l.s AND ts < l.e)")
 def lease_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.lease_filter(events(spark, sf_dir), _leases(spark, sf_dir), "me")[0].select("host_name", "batch_seq", "ts")
 
 
-@query(f"WITH {EV}, {_LEASES} SELECT count(*) AS skipped FROM ev WHERE NOT EXISTS (SELECT 1 FROM ls WHERE ts >= s AND ts < e) AND EXISTS (SELECT 1 FROM ls WHERE s > ts)")
+@query(f"WITH {EV}, {_LEASES} SELECT count(*) AS skipped FROM ev WHERE NOT EXISTS (SELECT 1 FROM (SELECT s, max(e) AS e FROM ls GROUP BY s) l WHERE ts >= l.s AND ts < l.e) AND ts < (SELECT max(s) FROM ls)")
 def lease_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.lease_filter(events(spark, sf_dir), _leases(spark, sf_dir), "me")[1]
 
@@ -289,16 +311,53 @@ def replay_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.replay_commands(commands, START).select("file", "idx", "ts", "value_long")
 
 
-@query("""WITH s AS (SELECT s_suppkey, s_acctbal, s_nationkey FROM supplier) SELECT 'r' || s_nationkey AS region, 'acct' AS account, 'i' || s_suppkey AS instance, 1704067200 AS ts, 'cpu_used_percent_avg' AS metric, s_acctbal AS value FROM s WHERE s_suppkey % 3 <> 0
-UNION ALL SELECT 'r' || s_nationkey, 'acct', 'i' || s_suppkey, 1704067200, 'fs_size_bytes_avg', s_suppkey::DOUBLE FROM s""")
+@query("""WITH s AS (SELECT s_suppkey, s_acctbal, s_nationkey FROM supplier) SELECT 'r' || s_nationkey AS region, 'acct' AS account, 'i' || s_suppkey AS instance, 1704067200 AS ts, 'CpuUsedPercentAvg' AS metric, s_acctbal AS value FROM s WHERE s_suppkey % 3 <> 0
+UNION ALL SELECT 'r' || s_nationkey, 'acct', 'i' || s_suppkey, 1704067200, 'MemoryUsedPercentMin', 12.5 FROM s
+UNION ALL SELECT 'r' || s_nationkey, 'acct', 'i' || s_suppkey, 1704067200, 'FsSizeBytesAvg', s_suppkey::DOUBLE FROM s""")
 def parse_dashboard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     asset = F.concat(F.lit("r"), "s_nationkey", F.lit(":acct:i"), "s_suppkey")
     cpu = F.when(F.col("s_suppkey") % 3 == 0, "null").otherwise(F.col("s_acctbal").cast("string"))
-    row = lambda name, v: F.concat(F.lit('["'), name, F.lit('","2024-01-01T00:00:00+00:00",'), v, F.lit("]"))
+    row = lambda name, *v: F.concat(F.lit('["'), name, F.lit('","2024-01-01T00:00:00+00:00",'), F.concat_ws(",", *v), F.lit("]"))
     payload = F.concat(
-        F.lit('{"metrics":{"datasets":[{"metadata":{"assetType":"aws:ec2:instance","keys":["assetId","timestamp","cpu:used.avg.percent"]},"values":['), row(asset, cpu),
-        F.lit(']},{"metadata":{"assetType":"aws:ec2:instance:filesystem","keys":["assetId","timestamp","fs:size.avg"]},"values":['), row(F.concat(asset, F.lit(":/boot")), F.lit("1")), F.lit(","),
+        F.lit('{"metrics":{"datasets":[{"metadata":{"assetType":"aws:ec2:instance","granularity":"hour","keys":["assetId","timestamp","cpu:used:percent.avg","memory:used:percent.min","other:key"]},"values":['), row(asset, cpu, F.lit("12.5"), F.lit("1")),
+        F.lit(']},{"metadata":{"assetType":"aws:ec2:volume","keys":["assetId","timestamp","fs:size:bytes.avg"]},"values":['), row(F.concat(asset, F.lit(":/")), F.lit("3")),
+        F.lit(']},{"metadata":{"assetType":"aws:ec2:instance:fs","granularity":"hour","keys":["assetId","timestamp","fs:size:bytes.avg"]},"values":['), row(F.concat(asset, F.lit(":/boot")), F.lit("1")), F.lit(","),
         row(F.concat(asset, F.lit(":/")), F.col("s_suppkey").cast("string")), F.lit(","), row(F.concat(asset, F.lit(":/")), F.lit("7")), F.lit("]}]}}"),
     )
     return S.parse_dashboard_payload(s.select(F.col("s_suppkey").alias("payload_id"), payload.alias("payload")))
+
+
+@query("SELECT s_suppkey AS group_id, s_name AS path, CASE s_suppkey % 4 WHEN 0 THEN s_acctbal END AS value_double, CASE s_suppkey % 4 WHEN 1 THEN s_nationkey END AS value_long, CASE s_suppkey % 4 WHEN 2 THEN s_name || ',' || s_suppkey END AS items, CASE s_suppkey % 4 WHEN 3 THEN s_nationkey + s_suppkey END AS dist_count, CASE s_suppkey % 4 WHEN 3 THEN 10.0::DOUBLE END AS first_limit, (s_suppkey + 0.5)::DOUBLE AS ts FROM supplier")
+def read_metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as dumps, a JSON array for each nation, written and read back: numbers, lists and distributions."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 4
+    ranges = F.array(F.struct(F.lit(0.0).alias("lower"), F.lit(10.0).alias("upper"), F.col("s_nationkey").cast("long").alias("count")), F.struct(F.lit(10.0).alias("lower"), F.lit(None).cast("double").alias("upper"), F.col("s_suppkey").cast("long").alias("count")))
+    value = F.when(k == 0, F.to_json(F.array("s_acctbal"))).when(k == 1, F.to_json(F.array("s_nationkey"))).when(k == 2, F.to_json(F.array(F.array("s_name", F.col("s_suppkey").cast("string"))))).otherwise(F.to_json(F.array(F.struct(F.lit(1.0).alias("sum"), F.lit(2).alias("generation"), ranges.alias("ranges")))))
+    head = F.to_json(F.struct(F.col("s_name").alias("path"), F.when(k == 0, "float64").when(k == 1, "int64").when(k == 2, "list").otherwise("dist").alias("kind"), F.col("s_suppkey").alias("groupId"), (F.col("s_suppkey") + 0.5).alias("timestamp")))
+    cut = lambda c, a, b: F.substring(c, F.lit(1 + a), F.length(c) - a - b)
+    one = F.concat(cut(head, 0, 1), F.lit(',"value":'), cut(value, 1, 1), F.lit("}"))
+    folder = scratch(spark, "dumps")
+    s.select("s_nationkey", one.alias("m")).groupBy("s_nationkey").agg(F.collect_list("m").alias("m")).select("s_nationkey", F.concat(F.lit("["), F.array_join("m", ","), F.lit("]")).alias("value")).write.partitionBy("s_nationkey").text(folder)
+    got = S.read_metrics_json(spark, folder)
+    d = F.col("value_dist")
+    return got.select("group_id", "path", "value_double", "value_long", F.array_join("value_list", ",").alias("items"), C.dist_count(d).alias("dist_count"), d["upper_limits"][0].alias("first_limit"), "ts")
+
+
+@query(f"WITH {EV} SELECT host_name, app_name, batch_seq, ts, value AS value_double FROM ev WHERE ts >= {START + 86400} AND ts < {START + 9 * 86400}")
+def load_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as an observations table, written and loaded again, cut to a range."""
+    folder = scratch(spark, "observations")
+    events(spark, sf_dir).select(*K, "batch_seq", F.lit("/events/value").alias("path"), F.lit("float64").alias("kind"), "ts", F.col("value").alias("value_double")).write.parquet(folder)
+    return Q.time_range(S.load_observations(spark, folder), START + 86400, START + 9 * 86400).select(*K, "batch_seq", "ts", "value_double")
+
+
+@query("SELECT o_orderkey AS id, ((o_orderkey % 90 + 1) * CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 60 ELSE 3600 END)::DOUBLE AS seconds, CASE WHEN o_orderkey % 2 = 0 THEN 'avg' ELSE 'sum' END AS aggregator, CASE o_orderkey % 4 WHEN 0 THEN 'zero' WHEN 1 THEN 'nan' ELSE 'none' END AS fill FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0")
+def parse_downsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications made of orders; those of every fifth are empty."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    unit = F.when(F.col("o_custkey") % 3 == 0, "s").when(F.col("o_custkey") % 3 == 1, "m").otherwise("h")
+    policy = F.when(k % 4 == 0, "-zero").when(k % 4 == 1, "-nan").when(k % 4 == 2, "-odd").otherwise("")
+    spec = F.when(k % 5 == 0, "").otherwise(F.concat((k % 90 + 1).cast("string"), unit, F.lit("-"), F.when(k % 2 == 0, "avg").otherwise("sum"), policy))
+    return P.parse_downsamples(o.select(k.alias("id"), spec.alias("spec"))).drop("spec")

@@ -118,8 +118,8 @@ def file_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EV}, {_ST}, p AS (SELECT *, {_HOUR} AS d, {_CPU} AS cpu, CASE WHEN free IS NOT NULL THEN {_MEM} END AS mem FROM st), f AS (SELECT host_name, d, greatest(rs - rf, 0) AS u, (rs - rf) * 100.0::DOUBLE / rs AS up, rs FROM p),
-a AS (SELECT host_name, d, unnest([('cpu_used_percent_avg', avg(cpu)), ('cpu_used_percent_max', max(cpu)), ('cpu_used_percent_min', min(cpu)), ('memory_free_bytes_avg', (sum(free) // count(free))::DOUBLE), ('memory_free_bytes_max', max(free)::DOUBLE), ('memory_free_bytes_min', min(free)::DOUBLE), ('memory_size_bytes_avg', (sum(total) // count(total))::DOUBLE), ('memory_size_bytes_max', max(total)::DOUBLE), ('memory_size_bytes_min', min(total)::DOUBLE), ('memory_used_percent_avg', avg(mem)), ('memory_used_percent_max', max(mem)), ('memory_used_percent_min', min(mem))]) AS c FROM p GROUP BY host_name, d
-UNION ALL SELECT host_name, d, unnest([('fs_size_bytes_avg', (sum(rs) // count(rs))::DOUBLE), ('fs_size_bytes_max', max(rs)::DOUBLE), ('fs_size_bytes_min', min(rs)::DOUBLE), ('fs_used_bytes_avg', (sum(u) // count(u))::DOUBLE), ('fs_used_bytes_max', max(u)::DOUBLE), ('fs_used_bytes_min', min(u)::DOUBLE), ('fs_used_percent_avg', avg(greatest(up, 0))), ('fs_used_percent_max', max(greatest(up, 0))), ('fs_used_percent_min', min(greatest(up, 0)))]) FROM f GROUP BY host_name, d)
+a AS (SELECT host_name, d, unnest([('CpuUsedPercentAvg', avg(cpu)), ('CpuUsedPercentMax', max(cpu)), ('CpuUsedPercentMin', min(cpu)), ('MemoryFreeBytesAvg', (sum(free) // count(free))::DOUBLE), ('MemoryFreeBytesMax', max(free)::DOUBLE), ('MemoryFreeBytesMin', min(free)::DOUBLE), ('MemorySizeBytesAvg', (sum(total) // count(total))::DOUBLE), ('MemorySizeBytesMax', max(total)::DOUBLE), ('MemorySizeBytesMin', min(total)::DOUBLE), ('MemoryUsedPercentAvg', avg(mem)), ('MemoryUsedPercentMax', max(mem)), ('MemoryUsedPercentMin', min(mem))]) AS c FROM p GROUP BY host_name, d
+UNION ALL SELECT host_name, d, unnest([('FsSizeBytesAvg', (sum(rs) // count(rs))::DOUBLE), ('FsSizeBytesMax', max(rs)::DOUBLE), ('FsSizeBytesMin', min(rs)::DOUBLE), ('FsUsedBytesAvg', (sum(u) // count(u))::DOUBLE), ('FsUsedBytesMax', max(u)::DOUBLE), ('FsUsedBytesMin', min(u)::DOUBLE), ('FsUsedPercentAvg', avg(greatest(up, 0))), ('FsUsedPercentMax', max(greatest(up, 0))), ('FsUsedPercentMin', min(greatest(up, 0)))]) FROM f GROUP BY host_name, d)
 SELECT host_name AS instance, d AS ts, c[1] AS metric, round(c[2] + 1e-9, 4) AS value FROM a""")
 def snapshot_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stats(spark, sf_dir)
@@ -133,14 +133,29 @@ def snapshot_to_datums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.snapshot_to_datums(H.health_rollup(s, 86400), H.fs_rollup(s, 86400)).drop("region"), "value", digits=4)
 
 
-@query(f"""WITH {EV}, {_ST}, p AS (SELECT host_name, {_HOUR} AS d, min(free) AS a, max(free) AS b, count(free) AS n FROM st GROUP BY ALL)
-SELECT host_name AS instance, d AS ts, 'dc:main:' || host_name AS asset, strftime(make_timestamp(d * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS stamp, CASE WHEN n > 0 THEN a::DOUBLE END AS free_min, CASE WHEN n > 0 THEN b::DOUBLE END AS free_max FROM p""")
+def _cells(names: tuple, values: tuple) -> str:
+    """SQL: one struct (column, value) for each cell: average, largest and smallest of each variable."""
+    out = []
+    for k, (x, whole) in enumerate(values):
+        mean = f"(sum({x}) // count({x}))::DOUBLE" if whole else f"avg({x})"
+        out += [f"('{n}', {v})" for n, v in zip(names[3 * k : 3 * k + 3], (mean, f"max({x})::DOUBLE", f"min({x})::DOUBLE"))]
+    return f"unnest([{', '.join(out)}])"
+
+
+@query(f"""WITH {EV}, {_ST}, p AS (SELECT *, {_HOUR} AS d, {_CPU} AS cpu, CASE WHEN free IS NOT NULL THEN {_MEM} END AS mem FROM st),
+f AS (SELECT host_name, {_HOUR} AS d, '/' AS m, rs AS s, rf AS f FROM st UNION ALL SELECT host_name, {_HOUR}, '/boot', bs, bf FROM st WHERE bs IS NOT NULL),
+u AS (SELECT *, CASE WHEN f IS NOT NULL THEN greatest(s - f, 0) END AS u, CASE WHEN s > 0 AND f IS NOT NULL THEN greatest(0, (s - f) * 100.0::DOUBLE / s) END AS up FROM f),
+c AS (SELECT host_name, d, 'aws:ec2:instance' AS kind, 'dc:main:' || host_name AS asset, {_cells(X.INSTANCE_COLUMNS, (("cpu", False), ("free", True), ("total", True), ("mem", False)))} AS c FROM p GROUP BY host_name, d
+UNION ALL SELECT host_name, d, 'aws:ec2:instance:fs', 'dc:main:' || host_name || ':' || m, {_cells(X.FS_COLUMNS, (("s", True), ("u", True), ("up", False)))} FROM u GROUP BY host_name, d, m)
+SELECT host_name AS instance, d AS ts, kind, asset, strftime(make_timestamp(d * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS stamp, c[1] AS name, round(c[2] + 1e-9, 4) AS value FROM c""")
 def to_dashboard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The payloads' asset, time stamp and memory cells, read back from the JSON."""
-    roll = H.health_rollup(stats(spark, sf_dir).withColumn("account", F.lit("")), 86400)
-    out = X.to_dashboard_payload(roll, "dc", "main")
-    cell = lambda i: F.get_json_object("payload", f"$.metrics.datasets[0].values[0][{i}]")
-    return out.select("instance", "ts", cell(0).alias("asset"), cell(1).alias("stamp"), cell(7).try_cast("double").alias("free_min"), cell(6).try_cast("double").alias("free_max"))
+    """All cells of the payloads, read back from the JSON."""
+    s = stats(spark, sf_dir).withColumn("account", F.lit(""))
+    out = X.to_dashboard_payload(H.health_rollup(s, 86400), "dc", "main", H.fs_rollup(s, 86400))
+    parsed = F.from_json("payload", "struct<metrics: struct<datasets: array<struct<metadata: struct<assetType: string, keys: array<string>>, values: array<array<string>>>>>>")
+    sets = out.select("instance", "ts", F.explode(parsed["metrics"]["datasets"]).alias("set")).select("instance", "ts", F.col("set.metadata.assetType").alias("kind"), F.col("set.metadata.keys").alias("keys"), F.explode("set.values").alias("row"))
+    cells = sets.select("instance", "ts", "kind", F.col("row")[0].alias("asset"), F.col("row")[1].alias("stamp"), F.explode(F.slice(F.arrays_zip("keys", "row"), 3, 99)).alias("c"))
+    return rounded(cells.select("instance", "ts", "kind", "asset", "stamp", F.col("c.keys").alias("name"), F.col("c.row").cast("double").alias("value")), "value", digits=4)
 
 
 def _package_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +183,13 @@ def inventory_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.inventory_to_json(I.package_inventory(_package_obs(spark, sf_dir)))
 
 
+@query(f"WITH {_PKG}, b AS (SELECT host_name, mgmt, '{{\"pkgMgmtType\":\"' || mgmt || '\",\"installed\":{{' || string_agg('\"' || replace(name, '.', '_') || '\":{{\"version\":\"' || version || '\",\"size\":' || size || '}}', ',' ORDER BY name) || '}}}}' AS body FROM pk GROUP BY host_name, mgmt) SELECT right(host_name, 1) AS call, '{{' || string_agg('\"i-' || host_name || '\":' || body, ',' ORDER BY 'i-' || host_name) || '}}' AS body FROM b GROUP BY 1")
+def bulk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call for all machines whose name ends in the same digit."""
+    bodies = I.inventory_to_json(I.package_inventory(_package_obs(spark, sf_dir)))
+    return I.bulk_json(bodies.withColumn("call", F.substring("instance_id", -1, 1)), ["call"])
+
+
 def _levels_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     return e.select(F.col("host_name").alias("instance_id"), "ts", F.array(F.struct(F.lit("n").alias("name"), (F.floor(F.col("value") / 40)).cast("string").alias("version"), F.lit(1).alias("size"))).alias("packages"))
@@ -190,11 +212,11 @@ def discover_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     k = F.col("k")
     cells = F.array(
-        F.struct(path(I.HAS_METRICS), F.lit("bool").alias("kind"), (k % 3 != 0).alias("value_bool"), none("long").alias("value_long")),
+        F.struct(path("has-own-metrics"), F.lit("bool").alias("kind"), (k % 3 != 0).alias("value_bool"), none("long").alias("value_long")),
         F.struct(path("port-number"), F.when(k % 7 == 0, "string").otherwise("int32").alias("kind"), none("boolean").alias("value_bool"), (k + 6900).alias("value_long")),
         F.struct(path("use-tls"), F.lit("bool").alias("kind"), F.when(k % 2 == 0, True).alias("value_bool"), none("long").alias("value_long")),
     )
-    return I.discover_apps(e.select("host_name", "batch_seq", F.explode(cells).alias("c")).select("host_name", "batch_seq", "c.*"))
+    return I.discover_apps(e.select("host_name", "batch_seq", F.explode(cells).alias("c")).select("host_name", "batch_seq", "c.*"), "has-own-metrics")
 
 
 _HALF = 1704067200 + 14 * 86400
@@ -215,6 +237,24 @@ def host_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.host_reports(reports).select("host_name", "seq_no", F.concat(F.col("apps")[0]["app_name"], F.lit(":"), F.col("apps")[0]["port"].cast("string")).alias("app"))
 
 
+@query(f"WITH {EV}, w AS (SELECT host_name, batch_seq // 3 AS s, batch_seq, app_name, k, max(batch_seq // 3) OVER (PARTITION BY host_name ORDER BY batch_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ev), l AS (SELECT host_name, count(*) AS seq_no, max_by(app_name, s) AS app, max_by(k, s) AS port FROM w WHERE m IS NULL OR s > m GROUP BY host_name) SELECT host_name, seq_no, app || ':' || port || CASE WHEN port = 6 THEN '' ELSE ',extra:6' END AS apps FROM l")
+def add_application(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every host's newest list with one more application, unless its port is taken."""
+    e = events(spark, sf_dir)
+    apps = F.array(F.struct("app_name", F.col("k").alias("port"), F.lit(False).alias("is_tls")))
+    reports = E.host_reports(e.select("host_name", F.expr("batch_seq div 3").alias("batch_seq"), F.col("batch_seq").alias("arrival"), apps.alias("apps")))
+    extra = e.select("host_name", F.lit("extra").alias("app_name"), F.lit(6).cast("long").alias("port"), F.lit(False).alias("is_tls")).distinct()
+    shown = F.array_join(F.transform("apps", lambda a: F.concat_ws(":", a["app_name"], a["port"].cast("string"))), ",")
+    return E.add_application(reports, extra).select("host_name", "seq_no", shown.alias("apps"))
+
+
+@query(f"WITH {_PKG} SELECT DISTINCT host_name FROM pk WHERE regexp_matches(host_name, 't[12]') AND NOT regexp_matches(host_name, '5$')")
+def hosts_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machines that feed the inventory: those of one host pattern that another does not match."""
+    hosts = _package_obs(spark, sf_dir).select("host_name").distinct()
+    return E.hosts_matching(hosts, "t[12]").join(E.hosts_matching(hosts, "5$"), "host_name", "left_anti")
+
+
 @query(f"""WITH {EV}, r AS (SELECT host_name, batch_seq AS seq_no, app_name AS here, row_number() OVER (PARTITION BY host_name ORDER BY batch_seq) AS i FROM ev), a AS (SELECT host_name, here AS app_name, min(i) AS f FROM r GROUP BY ALL),
 x AS (SELECT r.host_name, seq_no, app_name, i, max(CASE WHEN here = app_name THEN i END) OVER (PARTITION BY r.host_name, app_name ORDER BY i) AS l FROM r JOIN a ON a.host_name = r.host_name AND i >= f) SELECT host_name, seq_no, app_name, i - l < 3 AS active FROM x""")
 def app_activity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ _N = RANGE.size
 
 
 def _value_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.time_range(points(spark, sf_dir).where(F.col("path") == _P), START, END)
+    return Q.time_range(points(spark, sf_dir, START, END).where(F.col("path") == _P), START, END)
 
 
 def _register_downsample(agg: str) -> None:
@@ -54,7 +54,13 @@ def fill_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
-    return rounded(Q.tsdb_query(points(spark, sf_dir), endpoints(spark, sf_dir), Q.Query(_P, START, END, STEP, **more)), "value")
+    return rounded(_query(spark, sf_dir, Q.Query(_P, START, END, STEP, **more)), "value")
+
+
+def _query(spark: SparkSession, sf_dir: str, q: Q.Query, earliest: DataFrame | None = None) -> DataFrame:
+    """The points are read within the range alone; every endpoint has the metric, so that the endpoint table is the list of its series."""
+    ep = endpoints(spark, sf_dir)
+    return Q.tsdb_query(points(spark, sf_dir, START, END), ep, q, earliest, series=ep.select(*K))
 
 
 _NO_TAGS = "'' AS host_name, '' AS app_name, '' AS region, '' AS ip_address"
@@ -103,7 +109,7 @@ r AS (SELECT *, CASE WHEN d < 0 THEN (d + 500) / {RANGE.width} ELSE d / {RANGE.w
 SELECT '' AS host_name, app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round(CASE WHEN r < 0 OR r > 0.02 THEN 0 ELSE r END, 9) AS value FROM r""")
 def tsdb_rate_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Q.Query(_P, START, END, STEP, outer="sum", fill="nan", by=("app",), rate=True, counter=True, counter_max=500.0, reset=0.02)
-    return rounded(Q.tsdb_query(points(spark, sf_dir), endpoints(spark, sf_dir), q), "value", digits=9)
+    return rounded(_query(spark, sf_dir, q), "value", digits=9)
 
 
 def _register_influx(agg: str, outer: str, inner: str) -> None:
@@ -116,28 +122,27 @@ def _register_influx(agg: str, outer: str, inner: str) -> None:
         sql = f"WITH {PTS}, {BK}, d AS (SELECT host_name, app_name, idx, {value} AS value FROM bk WHERE idx >= 0 AND idx < {_N} GROUP BY ALL) SELECT '' AS host_name, app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round({outer}(value) + 1e-9, 6) AS value FROM d WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(Q.tsdb_query(points(spark, sf_dir), endpoints(spark, sf_dir), Q.influx_query(_P, START, END, STEP, agg, by=("app",))), "value")
+        return rounded(_query(spark, sf_dir, Q.influx_query(_P, START, END, STEP, agg, by=("app",))), "value")
 
     run.__name__ = f"influx_query_{agg}"
     query(sql)(run)
 
 
 for _name, (_outer, _inner) in Q.INFLUX_AGGREGATES.items():
-    if _name not in ("min", "max"):
-        _register_influx(_name, _outer, _inner)
+    _register_influx(_name, _outer, _inner)
 
 
 @query(f"WITH {PTS}, {BK} SELECT 0 AS query_id, {_NO_TAGS}, {LABEL} AS ts, round(avg(value) + 1e-9, 6) AS value FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY idx UNION ALL SELECT 2, '', app_name, '', '', {LABEL}, round(max(value) + 1e-9, 6) FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx")
 def run_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     qs = [Q.Query(_P, START, END, STEP, fill="nan"), Q.Query("/not/there", START, END, STEP, fill="nan"), Q.Query(_P, START, END, STEP, outer="max", fill="nan", by=("app",))]
-    return rounded(Q.run_queries(points(spark, sf_dir), endpoints(spark, sf_dir), qs), "value")
+    return rounded(Q.run_queries(points(spark, sf_dir, START, END), endpoints(spark, sf_dir), qs), "value")
 
 
 @query(f"WITH {PTS}, {EP}, {BK}, e AS (SELECT region, max({START} + (user_id % 10) * 86400) AS earliest FROM ep GROUP BY region), a AS (SELECT region, {LABEL} AS ts, avg(value) AS value FROM ds JOIN ep USING (host_name, app_name) WHERE {LABEL} >= {RANGE.clamp} GROUP BY region, idx) SELECT '' AS host_name, '' AS app_name, region, '' AS ip_address, ts, round(value + 1e-9, 6) AS value FROM a JOIN e USING (region) WHERE ts >= earliest")
 def early_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = endpoints(spark, sf_dir)
     earliest = ep.select("region", (F.lit(START) + (F.col("user_id") % 10) * 86400).cast("double").alias("earliest"))
-    return rounded(Q.tsdb_query(points(spark, sf_dir), ep, Q.Query(_P, START, END, STEP, fill="nan", by=("region",)), earliest), "value")
+    return rounded(_query(spark, sf_dir, Q.Query(_P, START, END, STEP, fill="nan", by=("region",)), earliest), "value")
 
 
 _BY_APP = f"a AS (SELECT app_name, {LABEL} AS ts, round(max(value) + 1e-9, 6) AS value FROM ds WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx)"
@@ -166,3 +171,18 @@ def tsdb_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PTS}, {BK}, {_BY_APP}, g AS (SELECT * FROM (SELECT DISTINCT app_name FROM a), (SELECT unnest(range({START // STEP * STEP}, {END}, {STEP})) AS ts)) SELECT '/events/value' AS name, '{{\"appname\":\"' || g.app_name || '\"}}' AS tags, '[' || string_agg('[' || (g.ts * 1000) || ',' || coalesce({_NUMBER}, 'null') || ']', ',' ORDER BY g.ts) || ']' AS values FROM g LEFT JOIN a ON a.app_name = g.app_name AND a.ts = g.ts GROUP BY g.app_name")
 def influx_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.influx_response(_by_app(spark, sf_dir), _P, ("app",), START, END, STEP, "ms")
+
+
+@query(f"WITH {PTS}, {BK} , d AS (SELECT host_name, app_name, idx, max(value) - min(value) AS value FROM bk WHERE idx >= 0 AND idx < {_N} GROUP BY ALL) SELECT '' AS host_name, app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round(avg(value) + 1e-9, 6) AS value FROM d WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx")
+def registered_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query by an aggregator of one's own: the spread of a bucket's values."""
+    D.register_aggregator("spread", lambda c: F.max(c) - F.min(c))
+    return _run(spark, sf_dir, fill="nan", inner="spread", by=("app",))
+
+
+@query(f"WITH {PTS}, {BK} SELECT app_name, {LABEL} AS ts, round(avg(value) + 1e-9, 6) AS value FROM ds WHERE app_name LIKE '%i%' AND {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx")
+def filter_callables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints picked by a predicate column instead of a list."""
+    ep = Q.filter_endpoints(endpoints(spark, sf_dir), app=F.col("app_name").contains("i"))
+    q = Q.Query(_P, START, END, STEP, fill="nan", by=("app",))
+    return rounded(Q.query_parts(points(spark, sf_dir, START, END), ep, q).select("app_name", "ts", "value"), "value")

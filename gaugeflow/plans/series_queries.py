@@ -165,6 +165,16 @@ def merge_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(M.merge_preferred(_result_set(spark, sf_dir, "click"), _result_set(spark, sf_dir, "view")))
 
 
+@query(f"WITH {EV}, d AS (SELECT DISTINCT app_name, host_name FROM ev), r AS (SELECT 'm' || app_name AS name, host_name AS host, row_number() OVER (ORDER BY 'm' || app_name, host_name) AS place FROM d) SELECT * FROM r")
+def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each series in the order of names and tags; a report over the few distinct series."""
+    from pyspark.sql import Window
+
+    e = events(spark, sf_dir).select(F.concat(F.lit("m"), "app_name").alias("name"), "host_name").distinct()
+    ordered = M.order_series(e.select("name", F.create_map(F.lit("host"), F.col("host_name")).alias("tags"), F.lit(0).alias("ts")))
+    return ordered.select("name", F.col("tags")["host"].alias("host"), F.row_number().over(Window.orderBy("name", F.array_sort(F.map_entries("tags")))).alias("place"))
+
+
 _SPAN = 172800
 _FR = f"fr AS (SELECT *, floor(ts / {_SPAN} + 0.5) * {_SPAN} AS frame FROM lv), cut AS (SELECT * FROM (SELECT *, max(frame) OVER (PARTITION BY host_name, app_name) AS last FROM fr) WHERE frame < last)"
 

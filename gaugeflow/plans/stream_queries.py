@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.model import K
-from gaugeflow.plans.adapters import EV, LV, rounded, seconds
+from gaugeflow.plans.adapters import EV, rounded, seconds
 from gaugeflow.plans.registry import query
 from gaugeflow.sources.shared import scratch
 from gaugeflow.streaming import jobs
@@ -17,30 +17,74 @@ _SPAN, _DELAY = 172800, 3600
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = jobs.read_files(spark, sf_dir, "events")
     ts = seconds(e)
-    return e.select(F.concat(F.lit("host"), "user_id").alias("host_name"), F.col("event_type").alias("app_name"), F.col("event_id").alias("batch_seq"), ts.alias("ts"), F.timestamp_micros(F.round(ts * 1e6).cast("long")).alias("event_time"), "value")
+    return e.select(F.concat(F.lit("host"), "user_id").alias("host_name"), F.col("event_type").alias("app_name"), F.col("event_id").alias("batch_seq"), ts.alias("ts"), F.timestamp_micros(F.round(ts * 1e6).cast("long")).alias("event_time"), "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 # A frame is emitted once the newest event less the delay has passed its end.
 _CLOSED = f"fr AS (SELECT *, floor(ts / {_SPAN} + 0.5) * {_SPAN} AS frame FROM ev), mx AS (SELECT floor(max(ts) * 1000) / 1000 - {_DELAY} AS wm FROM ev)"
 
 
-@query(f"WITH {EV}, {_CLOSED} SELECT host_name, app_name, frame::DOUBLE AS ts, round(avg(value) + 1e-9, 6) AS value FROM fr, mx WHERE frame + {_SPAN // 2} <= wm GROUP BY host_name, app_name, frame")
+_KIND = "CASE WHEN app_name IN ('click', 'error') THEN 'int64' WHEN app_name = 'view' THEN 'bool' WHEN app_name = 'signup' THEN 'string' ELSE 'float64' END"
+
+
+@query(f"""WITH {EV}, {_CLOSED} SELECT host_name, app_name, frame::DOUBLE AS ts, min_by({_KIND}, ts) AS kind,
+round(CASE WHEN app_name = 'signup' THEN NULL WHEN app_name = 'view' THEN min_by(value, ts) WHEN app_name IN ('click', 'error') THEN floor(avg(value) + 0.5) ELSE avg(value) END + 1e-9, 6) AS value, CASE WHEN app_name = 'signup' THEN min_by('s' || k, ts) END AS value_string
+FROM fr, mx WHERE frame + {_SPAN // 2} <= wm AND k % 7 <> 0 GROUP BY host_name, app_name, frame""")
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jobs.stream_rollup(_stream(spark, sf_dir), _SPAN, f"{_DELAY} seconds", tuple(K))
-    return rounded(jobs.to_parquet(out, scratch(spark, "rollup")), "value")
+    """Numbers, whole numbers, booleans and text, of which the last two take a frame's first value."""
+    app = F.col("app_name")
+    kind = F.when(app.isin("click", "error"), "int64").when(app == "view", "bool").when(app == "signup", "string").otherwise("float64")
+    s = _stream(spark, sf_dir).withColumns({"kind": kind, "value_string": F.when(app == "signup", F.concat(F.lit("s"), "k")), "value": F.when(app != "signup", F.col("value")), "active": F.col("k") % 7 != 0})
+    return rounded(jobs.to_parquet(jobs.stream_rollup(s, _SPAN, f"{_DELAY} seconds", tuple(K)), scratch(spark, "rollup")), "value")
+
+
+def _stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    boot = F.when(k % 3 == 0, F.struct(F.lit("/boot").alias("mount_point"), ((k + 2) * 10).alias("size"), F.when(k % 5 != 0, (k + 1) * 5).alias("free")))
+    root = F.struct(F.lit("/").alias("mount_point"), ((k + 1) * 1000).alias("size"), (k * 700).alias("free"))
+    return _stream(spark, sf_dir).select(
+        F.lit("a").alias("account"), F.col("host_name").alias("instance"), F.lit("r").alias("region"), "event_time",
+        (F.col("value") / 300).alias("user_time_fraction"), F.when(k % 10 != 0, k * 10_000).alias("memory_free"), F.lit(1_000_000).cast("long").alias("memory_total"), F.array_compact(F.array(root, boot)).alias("fss"),
+    )
 
 
-@query(f"WITH {EV}, {_CLOSED} SELECT host_name AS instance, CAST(frame AS BIGINT) AS ts, count(*) AS cpu_count, round(max(least(100, value / 3)) + 1e-9, 6) AS cpu_max, round(sum(least(100, value / 3)), 4) AS cpu_sum FROM fr, mx WHERE frame + {_SPAN // 2} <= wm GROUP BY host_name, frame")
+def _vars(x: str, name: str, whole: bool) -> str:
+    r = (lambda e: f"({e})::BIGINT") if whole else (lambda e: f"round({e} + 1e-9, 4)")
+    return f"count({x}) AS {name}_count, {r(f'min({x})')} AS {name}_min, {r(f'max({x})')} AS {name}_max, {r(f'sum({x})')} AS {name}_sum"
+
+
+@query(f"""WITH {EV}, {_CLOSED}, s AS (SELECT host_name, frame, least(100, value / 3) AS cpu, CASE WHEN k % 10 <> 0 THEN k * 10000 END AS free, 1000000::BIGINT AS total FROM fr, mx WHERE frame + {_SPAN // 2} <= wm),
+p AS (SELECT *, CASE WHEN free IS NOT NULL THEN greatest(0, (total - free) * 100.0::DOUBLE / total) END AS mem FROM s)
+SELECT host_name AS instance, CAST(frame AS BIGINT) AS ts, {_vars('cpu', 'cpu', False)}, {_vars('free', 'memory_free', True)}, {_vars('total', 'memory_size', True)}, {_vars('mem', 'memory_percent', False)} FROM p GROUP BY host_name, frame""")
 def stream_health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stream(spark, sf_dir).select(F.lit("a").alias("account"), F.col("host_name").alias("instance"), F.lit("r").alias("region"), "event_time", (F.col("value") / 300).alias("user_time_fraction"))
-    out = jobs.to_parquet(jobs.stream_health_rollup(s, _SPAN, f"{_DELAY} seconds"), scratch(spark, "health"))
-    return out.select("instance", "ts", "cpu_count", F.round(F.col("cpu_max") + 1e-9, 6).alias("cpu_max"), F.round("cpu_sum", 4).alias("cpu_sum"))
+    out = jobs.to_parquet(jobs.stream_health_rollup(_stats_stream(spark, sf_dir), _SPAN, f"{_DELAY} seconds"), scratch(spark, "health")).drop("account", "region")
+    return rounded(out, *[c for c in out.columns if c.startswith(("cpu_m", "cpu_s", "memory_percent_m", "memory_percent_s"))], digits=4)
+
+
+@query(f"""WITH {EV}, {_CLOSED}, f AS (SELECT host_name, frame, '/' AS m, (k + 1) * 1000 AS s, k * 700 AS f FROM fr, mx WHERE frame + {_SPAN // 2} <= wm UNION ALL SELECT host_name, frame, '/boot', (k + 2) * 10, CASE WHEN k % 5 <> 0 THEN (k + 1) * 5 END FROM fr, mx WHERE frame + {_SPAN // 2} <= wm AND k % 3 = 0),
+p AS (SELECT *, CASE WHEN f IS NOT NULL THEN greatest(s - f, 0) END AS u, CASE WHEN f IS NOT NULL THEN greatest(0, (s - f) * 100.0::DOUBLE / s) END AS up FROM f)
+SELECT host_name AS instance, CAST(frame AS BIGINT) AS ts, m AS mount_point, {_vars('s', 'size', True)}, {_vars('f', 'free', True)}, {_vars('u', 'used', True)}, {_vars('up', 'used_percent', False)} FROM p GROUP BY host_name, frame, m""")
+def stream_fs_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jobs.to_parquet(jobs.stream_fs_rollup(_stats_stream(spark, sf_dir), _SPAN, f"{_DELAY} seconds"), scratch(spark, "mounts")).drop("account", "region")
+    return rounded(out, "used_percent_min", "used_percent_max", "used_percent_sum", digits=4)
 
 
-@query(f"WITH {EV}, {LV}, w AS (SELECT *, lag(floor(v / 25)) OVER (PARTITION BY host_name, app_name ORDER BY ts) AS p FROM (SELECT ev.host_name, ev.app_name, ev.ts, ev.value AS v FROM ev)) SELECT host_name, app_name, ts, floor(v / 25) AS value FROM w WHERE p IS NULL OR p <> floor(v / 25)")
+# Every seventh poll is refused for a kind that there is not, every eleventh comes late; the second metric is missing where k is a multiple of 5.
+@query(f"""WITH {EV}, b AS (SELECT host_name, app_name, batch_seq, floor(ts) - CASE WHEN batch_seq % 11 = 0 THEN 4000000 ELSE 0 END AS ts, floor(value / 25) AS level, k FROM ev WHERE batch_seq % 7 <> 0),
+g AS (SELECT *, max(ts) OVER (PARTITION BY host_name, app_name ORDER BY batch_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, min(CASE WHEN k % 5 <> 0 THEN batch_seq END) OVER (PARTITION BY host_name, app_name) AS fk FROM b),
+l AS (SELECT host_name, app_name, batch_seq, '/level' AS path, ts, level AS value, true AS active FROM g WHERE m IS NULL OR ts > m
+ UNION ALL SELECT host_name, app_name, batch_seq, '/k', ts, CASE WHEN k % 5 <> 0 THEN k ELSE 0 END, k % 5 <> 0 FROM g WHERE (m IS NULL OR ts > m OR batch_seq = fk) AND batch_seq >= fk),
+w AS (SELECT *, lag(value) OVER o AS pv, lag(active) OVER o AS pa FROM l WINDOW o AS (PARTITION BY host_name, app_name, path ORDER BY batch_seq))
+SELECT host_name, app_name, path, ts::DOUBLE AS ts, value::DOUBLE AS value, active FROM w WHERE pa IS NULL OR active <> pa OR value <> pv""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = _stream(spark, sf_dir).select(*K, "batch_seq", F.lit("/events/level").alias("path"), F.lit(0).alias("group_id"), "ts", F.col("ts").alias("batch_ts"), F.floor(F.col("value") / 25).cast("double").alias("value"))
-    return jobs.to_parquet(jobs.stream_ingest(obs), scratch(spark, "ingest")).where("active").select(*K, "ts", "value")
+    """Two metrics of each poll: changes, markers of the one that is missing, late and refused polls."""
+    s, k = _stream(spark, sf_dir), F.col("k")
+    ts = (F.floor("ts") - F.when(F.col("batch_seq") % 11 == 0, 4_000_000).otherwise(0)).cast("double")
+    cell = lambda seq, path, value: F.struct(F.lit(seq).alias("seq"), F.lit(path).alias("path"), value.cast("double").alias("value"))
+    cells = F.array_compact(F.array(F.when(k % 5 != 0, cell(0, "/k", k)), cell(1, "/level", F.floor(F.col("value") / 25))))
+    kind = F.when(F.col("batch_seq") % 7 == 0, "complex").otherwise("float64")
+    obs = s.select(*K, "batch_seq", ts.alias("ts"), ts.alias("batch_ts"), kind.alias("kind"), F.explode(cells).alias("c")).select(*K, "batch_seq", "ts", "batch_ts", "kind", F.lit(0).alias("group_id"), "c.*")
+    return jobs.to_parquet(jobs.stream_ingest(obs), scratch(spark, "ingest")).drop("group_id")
 
 
 @query(f"WITH {EV} SELECT host_name, app_name, batch_seq, ts FROM ev")
@@ -54,3 +98,19 @@ def stream_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         jobs.stream_export(_stream(spark, sf_dir).select(*K, "batch_seq", "ts"), "points", root, write).awaitTermination()
     return spark.read.parquet(f"{root}/out").select(*K, "batch_seq", "ts")
+
+
+@query(f"WITH {EV} SELECT app_name, count(*) AS n, max(batch_seq) AS newest FROM ev GROUP BY app_name")
+def stream_export_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a hook of a named export notes down of each successful write: rows and newest sequence number by application."""
+    root = scratch(spark, "hooks")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
+
+    def note(batch: DataFrame, epoch: int) -> None:
+        batch.groupBy("app_name").agg(F.count(F.lit(1)).alias("n"), F.max("batch_seq").alias("newest")).write.mode("overwrite").parquet(f"{root}/notes/epoch={epoch}")
+
+    jobs.stream_export(_stream(spark, sf_dir).select(*K, "batch_seq", "ts"), "hooked", root, write, (note,)).awaitTermination()
+    notes = spark.read.parquet(f"{root}/notes")
+    return notes.groupBy("app_name").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gaugeflow.model import K
+from gaugeflow.functions.scalars import is_numeric
+from gaugeflow.model import INTEGER_KINDS, KINDS, K
+from gaugeflow.operators.health import INSTANCE, fs_used, health_percents, used_percent, variable
 from gaugeflow.operators.series import MARKER_GAP
 
 CHANGES = "host_name string, app_name string, path string, group_id int, ts double, value double, active boolean"
@@ -29,8 +31,19 @@ def read_files(spark: SparkSession, folder: str, name: str, per_trigger: int | N
     return reader.parquet(folder)
 
 
+def refused(batch: list[dict]) -> bool:
+    """Whether a poll breaks the rules: paths out of component order or twice, a kind that there is not, two timestamps in one group."""
+    order = [row["path"].lstrip("/").split("/") for row in batch]
+    if any(a >= b for a, b in zip(order, order[1:])) or any(row.get("kind") is not None and row["kind"] not in KINDS for row in batch):
+        return True
+    own: dict[int, float] = {}
+    return any(row["ts"] is not None and own.setdefault(row["group_id"], row["ts"]) != row["ts"] for row in batch)
+
+
 def ingest_batch(state: dict, batch: list[dict]) -> list[dict]:
-    """One poll of an endpoint: the changes and markers that it adds. state: last timestamps of groups, and for each metric its group, value, timestamp and whether it is active."""
+    """One poll of an endpoint: the changes and markers that it adds; a refused one adds nothing. state: last timestamps of groups, and for each metric its group, value, timestamp and whether it is active."""
+    if refused(batch):
+        return []
     groups, metrics, out = state["groups"], state["metrics"], []
     own = {}
     for row in batch:
@@ -58,7 +71,8 @@ def ingest_batch(state: dict, batch: list[dict]) -> list[dict]:
 
 def _ingest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held = json.loads(state.get[0]) if state.exists else {"groups": {}, "metrics": {}}
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("batch_seq", kind="stable")
+    rows = pd.concat(list(frames), ignore_index=True)
+    rows = rows.sort_values(["batch_seq", *(["seq"] if "seq" in rows.columns else [])], kind="stable")
     rows = rows.astype(object).where(rows.notna(), None)
     out = []
     for _, batch in rows.groupby("batch_seq", sort=True):
@@ -69,23 +83,48 @@ def _ingest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def stream_ingest(obs: DataFrame) -> DataFrame:
-    """Change records of a stream of polls (endpoint, batch_seq, path, group_id, ts, batch_ts, value): default timestamps, late drop, change compression and inactive markers, with one small state for each endpoint."""
+    """Change records of a stream of polls (endpoint, batch_seq, path, group_id, ts, batch_ts, value, and, where they have them, kind and seq, the place in the poll).
+
+    Validation, default timestamps, late drop, change compression and inactive markers, with one small state for each endpoint. A task holds one
+    endpoint's polls of a micro-batch: bound these by files per trigger.
+    """
     return obs.groupBy(*K).applyInPandasWithState(_ingest, CHANGES, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _frame(period: int) -> Column:
+    return F.window("event_time", f"{period} seconds", f"{period} seconds", f"{period / 2} seconds")
+
+
+def _centre(period: int) -> Column:
+    return F.unix_micros("w.start") / 1e6 + period / 2
+
+
 def stream_rollup(records: DataFrame, span: int, delay: str = "0 seconds", keys: tuple[str, ...] = (*K, "path")) -> DataFrame:
-    """(keys, ts, value) means over frames centred on multiples of the span, each emitted once the watermark has passed it; records have event_time."""
-    frame = F.window("event_time", f"{span} seconds", f"{span} seconds", f"{span / 2} seconds")
-    out = records.withWatermark("event_time", delay).groupBy(*keys, frame.alias("w")).agg(F.avg("value").alias("value"))
-    return out.select(*keys, (F.unix_micros("w.start") / 1e6 + span / 2).alias("ts"), "value")
+    """(keys, ts, kind, value, value_string) of frames centred on multiples of the span, each emitted once the watermark has passed it, as in the batch roll-up.
+
+    Numbers average, whole kinds round half up; other kinds take the first value. The kind is that of the frame's first record; inactive records
+    do not count. records: event_time, kind, value (double), value_string, active.
+    """
+    own = records.where("active").withColumn("numeric", is_numeric("kind")).withWatermark("event_time", delay)
+    first = F.min_by(F.struct("kind", "value", "value_string"), "event_time")
+    out = own.groupBy(*keys, "numeric", _frame(span).alias("w")).agg(first.alias("f"), F.avg("value").alias("mean"))
+    mean = F.when(F.col("f.kind").isin(*INTEGER_KINDS), F.floor(F.col("mean") + 0.5).cast("double")).otherwise(F.col("mean"))
+    return out.select(*keys, _centre(span).alias("ts"), "f.kind", F.when(F.col("numeric"), mean).otherwise(F.col("f.value")).alias("value"), F.when(~F.col("numeric"), F.col("f.value_string")).alias("value_string"))
 
 
 def stream_health_rollup(stats: DataFrame, period: int, delay: str = "0 seconds") -> DataFrame:
-    """(account, instance, region, ts, cpu count, min, max, sum) for each closed period."""
-    frame = F.window("event_time", f"{period} seconds", f"{period} seconds", f"{period / 2} seconds")
-    cpu: Column = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("user_time_fraction") * 100))
-    out = stats.withWatermark("event_time", delay).groupBy("account", "instance", "region", frame.alias("w")).agg(F.count(cpu).alias("cpu_count"), F.min(cpu).alias("cpu_min"), F.max(cpu).alias("cpu_max"), F.sum(cpu).alias("cpu_sum"))
-    return out.select("account", "instance", "region", (F.unix_micros("w.start") / 1e6 + period / 2).cast("long").alias("ts"), "cpu_count", "cpu_min", "cpu_max", "cpu_sum")
+    """(account, instance, region, ts, and count, min, max and sum of cpu, memory_free, memory_size and memory_percent) for each closed period; stats: as in the batch form, with event_time."""
+    rows = health_percents(stats).withWatermark("event_time", delay)
+    out = rows.groupBy(*INSTANCE, _frame(period).alias("w")).agg(*variable(F.col("cpu_percent"), "cpu"), *variable(F.col("memory_free"), "memory_free"), *variable(F.col("memory_total"), "memory_size"), *variable(F.col("memory_percent"), "memory_percent"))
+    return out.select(*INSTANCE, _centre(period).cast("long").alias("ts"), *[c for c in out.columns if c not in (*INSTANCE, "w")])
+
+
+def stream_fs_rollup(stats: DataFrame, period: int, delay: str = "0 seconds") -> DataFrame:
+    """The same of size, free, used and used_percent for each mount in `fss`; mounts whose size is never known are left out."""
+    rows = stats.withWatermark("event_time", delay).select(*INSTANCE, "event_time", F.explode("fss").alias("f")).select(*INSTANCE, "event_time", "f.*")
+    size, free = F.col("size"), F.col("free")
+    out = rows.groupBy(*INSTANCE, "mount_point", _frame(period).alias("w")).agg(*variable(size, "size"), *variable(free, "free"), *variable(fs_used(size, free), "used"), *variable(used_percent(free, size), "used_percent"))
+    return out.where("size_count > 0").select(*INSTANCE, _centre(period).cast("long").alias("ts"), *[c for c in out.columns if c not in (*INSTANCE, "w")])
 
 
 def stream_export(stream: DataFrame, name: str, root: str, writer: Callable[[DataFrame, int], None], hooks: tuple[Callable[[DataFrame, int], None], ...] = ()):

@@ -163,10 +163,10 @@ def test_packages(spark):
 
 def test_application_activity(spark):
     reports = spark.createDataFrame([("h", i) for i in range(1, 7)], "host_name string, seq_no long")
-    listed = spark.createDataFrame([("h", i, "a") for i in range(1, 7)] + [("h", 1, "dominator"), ("h", 6, "dominator"), ("h", 1, "Health Agent")], "host_name string, seq_no long, app_name string")
+    listed = spark.createDataFrame([("h", i, "a") for i in range(1, 7)] + [("h", 1, "dominator"), ("h", 6, "dominator"), ("h", 1, "health agent")], "host_name string, seq_no long, app_name string")
     out = E.app_activity(reports, listed, 3)
     assert [r.active for r in out.where("app_name = 'dominator'").orderBy("seq_no").collect()] == [True, True, True, False, False, True]
-    assert all(r.active for r in out.where("app_name = 'Health Agent'").collect())
+    assert all(r.active for r in out.where("app_name = 'health agent'").collect())
 
 
 def test_added_application(spark):

@@ -9,7 +9,7 @@ meets the one shard that can match it: the passages around one *anchor* go to on
 Anchors: of the 20-word hashes inside each 50-word window the smallest is picked, so that equal windows pick equal
 anchors wherever they stand. An anchor that occurs in one document only needs no work. The *passage* of an anchor
 is all words that a window around it can touch. If all documents have the same passage around an anchor, the smallest of them
-has all its windows. Else the anchor's distinct passages go to a shard; an anchor with more passages than a shard holds has no
+has all its windows. Else the anchor's distinct passages go to a shard; an anchor with more of them than a small part of a shard has no
 automaton: its passages are cut into their windows once, at most window - width + 1 each, and the smallest document of equal windows
 is an aggregate. Hashes of words only pick anchors: automata run over the words themselves, and passages and windows are equal by
 their BLAKE2b digests of 128 bits.
@@ -31,7 +31,7 @@ from gaugeflow.llm import spans
 from gaugeflow.llm.shared import stored
 
 WINDOW, ANCHOR = 50, 20
-#: Passages of one automaton; the windows of an anchor with more distinct passages meet by their own hashes instead.
+#: Passages of one automaton, twice the usual number; the windows of an anchor with over an eighth of that meet by their own digests instead.
 SHARD_PASSAGES = 2_000
 #: A longer word stands in passages as its digest.
 LONG_WORD = 256
@@ -272,14 +272,15 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR,
     shared = stored(shared, "shared")
     places = stored(places.join(shared, "anchor", "left_semi"), "places")
     passages = stored(places.groupBy(*passage).agg(F.min(F.struct("doc_id", "row_key", "pos")).alias("f")), "passages")
+    most = max(1, shard // 8)
     counts = stored(passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "counts")
     # A passage's first document has all its windows; if it is the only passage of the anchor, there is nothing else to be matched.
-    alone = passages.join(counts.where((F.col("n") == 1) | (F.col("n") > shard)).select("anchor"), "anchor").select(*passage, F.col("f.doc_id").alias("first"))
+    alone = passages.join(counts.where((F.col("n") == 1) | (F.col("n") > most)).select("anchor"), "anchor").select(*passage, F.col("f.doc_id").alias("first"))
     several = passages.join(counts.where("n > 1"), "anchor")
     wanted = several.groupBy("f.doc_id", "f.row_key").agg(F.collect_list(F.struct(F.col("f.pos").alias("pos"), *passage)).alias("wanted"))
     texts = docs.join(wanted, ["doc_id", "row_key"]).select("doc_id", "text", "wanted").dropDuplicates(["doc_id", "wanted"])
     words = stored(texts.mapInArrow(_passage_words(window, width), f"{ddl}, least bigint, words binary"), "words")
-    large = stored(counts.where(F.col("n") > shard).select("anchor"), "large")
+    large = stored(counts.where(F.col("n") > most).select("anchor"), "large")
     shards = max(1, -(-2 * words.count() // shard))
     # A shard has many small anchors, whole.
     dealt = words.join(large, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))

@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from gaugeflow.llm import pretokens as P
 from gaugeflow.llm import spans, transducer
 
+#: Code points of one piece.
+PIECE = 512
 
-def count_chunk(machine: transducer.Merger, texts: list[str], specials: tuple[str, ...]) -> np.ndarray:
+
+def count_chunk(machine: transducer.Merger, texts: list[str], specials: tuple[str, ...], piece: int = PIECE) -> np.ndarray:
     """Tokens of each text; a special string inside a text counts as one."""
     pieces, owner, extra = texts, None, None
     if any(s in t for s in specials for t in texts):
@@ -23,12 +26,15 @@ def count_chunk(machine: transducer.Merger, texts: list[str], specials: tuple[st
     points, offsets = P.code_points(pieces)
     at = np.zeros(len(points) + 1, np.int64)
     np.cumsum(P.byte_widths(points), out=at[1:])
-    starts = np.flatnonzero(transducer.scan_starts(points, offsets))
     data = np.frombuffer("".join(pieces).encode(), np.uint8)
-    counts = machine.counts(data, at[starts], at[np.append(starts[1:], len(points))] if len(starts) else starts)
-    total = np.concatenate([[0], np.cumsum(counts)])
-    place = np.searchsorted(starts, offsets)
-    out = total[place[1:]] - total[place[:-1]]
+    maps = transducer.PieceMaps(points, offsets, piece)
+    # What several entry states have in common before they agree is counted once.
+    shared = maps.slot < 0
+    pair, where = np.unique(maps.start[~shared] << 32 | maps.end[~shared], return_inverse=True)
+    counts = machine.counts(data, at[np.concatenate([maps.start[shared], pair >> 32])], at[np.concatenate([maps.end[shared], pair & 0xFFFFFFFF])])
+    tokens = np.empty(len(maps.slot), np.int64)
+    tokens[shared], tokens[~shared] = counts[: shared.sum()], counts[shared.sum() :][where]
+    out = maps.compose(tokens)
     return out if owner is None else np.bincount(owner, out, len(texts)).astype(np.int64) + extra
 
 

@@ -3,9 +3,9 @@
 Two machines run one after the other over a chunk of texts:
 
 * the *scanner* has eight states over code point symbols and marks where pretokens start.
-  Its input is cut into equal pieces; the map entry state -> exit state of every piece is
-  computed at once, the maps are composed by a parallel prefix scan, and every piece
-  then runs from its true entry state;
+  Its input is cut into equal pieces. The map of a piece gives, for each entry state, the exit state and
+  the tokens of the pretokens that start in the piece. The maps of all pieces are computed at
+  once and composed by a parallel prefix scan, which leaves the counts of all texts;
 * the *merger* starts anew at each pretoken. A state holds, for each earlier position from
   which a vocabulary entry can still reach on, the trie node reached, the last token of the
   encoding that ends there and its token count relative to the current one. Reading a byte
@@ -71,10 +71,11 @@ def symbols(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-# A symbol with S_BEGIN goes on as from Q_NEW in any state.
-_ALL_TO = np.vstack([_TO, np.repeat(_TO[:, Q_NEW : Q_NEW + 1], 8, axis=1)])
-_ALL_FLAG = np.vstack([_FLAG, np.repeat(_FLAG[:, Q_NEW : Q_NEW + 1], 8, axis=1)])
-_ALL_FLAG[S_BEGIN:] = True
+# A symbol with S_BEGIN goes on as from Q_NEW in any state; S_PAD leaves every state as it is.
+S_PAD = 2 * S_BEGIN
+_ALL_TO = np.vstack([_TO, np.repeat(_TO[:, Q_NEW : Q_NEW + 1], 8, axis=1), np.arange(8, dtype=np.uint8)[None, :]])
+_ALL_FLAG = np.vstack([_FLAG, np.repeat(_FLAG[:, Q_NEW : Q_NEW + 1], 8, axis=1), np.zeros((1, 8), bool)])
+_ALL_FLAG[S_BEGIN:S_PAD] = True
 
 
 def scan_starts(points: np.ndarray, offsets: np.ndarray, piece: int = 128) -> np.ndarray:
@@ -106,6 +107,112 @@ def scan_starts(points: np.ndarray, offsets: np.ndarray, piece: int = 128) -> np
     return out.T.ravel()[:n]
 
 
+class PieceMaps:
+    """The maps of all pieces of a chunk of texts: exit states, and where the pretokens of each entry state start and end.
+
+    `start`, `end` (in code points) and `slot` (piece * 8 + entry state, or -1 - piece where all entry states agree) list the pretokens
+    by the piece that they start in; one that runs on into the next pieces ends where these, entered by the exit state, start another.
+    """
+
+    def __init__(self, points: np.ndarray, offsets: np.ndarray, piece: int):
+        sizes = np.diff(offsets)
+        self.pieces = -(-sizes // piece)
+        m = int(self.pieces.sum())
+        text = np.repeat(np.arange(len(sizes)), self.pieces)
+        first = np.cumsum(self.pieces) - self.pieces
+        begin = offsets[text] + piece * (np.arange(m) - first[text])
+        self.last = np.zeros(m, bool)
+        self.last[(first + self.pieces - 1)[self.pieces > 0]] = True
+        own = np.repeat(np.arange(m), np.minimum(offsets[text + 1] - begin, piece))
+        row = np.arange(len(points)) - begin[own]
+        length = np.bincount(own, minlength=m)
+        grid = np.full((piece, m), S_PAD, np.uint8)
+        grid[row, own] = symbols(points, offsets)
+        bits, agreed = self._run(grid, length)
+        bits = bits[row, own]
+        common = (bits != 0) & (row >= agreed[own])
+        head = (bits != 0) & ~common
+        # Where the first pretoken starts from each entry state, in a piece or after it.
+        fresh, opens = self._firsts(np.flatnonzero(common), own, m), np.full((m, 8), -1, np.int64)
+        by_state = [np.flatnonzero(head & (bits >> q & 1 > 0)) for q in range(8)]
+        for q, at in enumerate(by_state):
+            opens[:, q] = self._firsts(at, own, m)
+        opens = np.where(opens >= 0, opens, fresh[:, None])
+        stop = offsets[text + 1]
+        todo = np.argwhere((opens < 0) & ~self.last[:, None])
+        opens = np.where((opens < 0) & self.last[:, None], stop[:, None], opens)
+        while len(todo):  # pieces without a start: one more is settled at each step, from behind
+            j, q = todo.T
+            opens[j, q] = opens[j + 1, self.exit[j, q]]
+            todo = todo[opens[j, q] < 0]
+        after = np.empty((m, 8), np.int64)
+        after[:-1] = np.take_along_axis(opens[1:], self.exit[:-1].astype(np.int64), axis=1) if m else 0
+        after[self.last] = stop[self.last][:, None]
+        start, end, slot = [], [], []
+        for q, at in enumerate(by_state):
+            piece_of = own[at]
+            until = np.where(fresh[piece_of] >= 0, fresh[piece_of], after[piece_of, q])
+            start.append(at)
+            end.append(self._ends(at, piece_of, until))
+            slot.append(piece_of * 8 + q)
+        at = np.flatnonzero(common)
+        start.append(at)
+        end.append(self._ends(at, own[at], after[own[at], 0]))
+        slot.append(-1 - own[at])
+        self.start, self.end, self.slot = map(np.concatenate, (start, end, slot))
+
+    def _run(self, grid: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start flags of the entry states as bits, the row from which all entry states agree); sets the exit states."""
+        piece, m = grid.shape
+        flat, flags = _ALL_TO.ravel(), _ALL_FLAG.ravel()
+        state = np.tile(np.arange(8, dtype=np.uint8), (m, 1))
+        bits, agreed = np.zeros((piece, m), np.uint8), np.full(m, piece)
+        one = False
+        for k in range(piece):
+            at = grid[k].astype(np.int32) * 8
+            if one:  # every piece that goes on has one state left
+                at += state[:, 0]
+                bits[k] = flags[at] * np.uint8(255)
+                state = np.where((length > k)[:, None], flat[at][:, None], state)
+                continue
+            at = at[:, None] + state
+            bits[k] = np.packbits(flags[at], axis=1, bitorder="little")[:, 0]
+            state = flat[at]
+            equal = (state == state[:, :1]).all(axis=1)
+            agreed = np.where(equal & (agreed == piece), k + 1, agreed)
+            one = bool((equal | (length <= k + 1)).all())
+        self.exit = state
+        return bits, agreed
+
+    @staticmethod
+    def _firsts(at: np.ndarray, own: np.ndarray, m: int) -> np.ndarray:
+        out = np.full(m, -1, np.int64)
+        out[own[at[::-1]]] = at[::-1]
+        return out
+
+    @staticmethod
+    def _ends(at: np.ndarray, piece_of: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """Each start's end: the next start in its piece, else `until`."""
+        out = until.copy()
+        if len(at) > 1:
+            out[:-1] = np.where(piece_of[1:] == piece_of[:-1], at[1:], until[:-1])
+        return out
+
+    def compose(self, tokens: np.ndarray) -> np.ndarray:
+        """Tokens of each text, from those of each listed pretoken."""
+        m = len(self.exit)
+        shared, own = self.slot < 0, self.slot >= 0
+        total = np.bincount(self.slot[own], tokens[own], 8 * m).reshape(m, 8) + np.bincount(-1 - self.slot[shared], tokens[shared], m)[:, None]
+        total, to, gap = total.astype(np.int64), self.exit.astype(np.int64), 1
+        while gap < m:  # inclusive scan: the map of pieces 0..i is that of 0..i - gap, then that of the next gap pieces
+            then, more = np.take_along_axis(to[gap:], to[:-gap], axis=1), np.take_along_axis(total[gap:], to[:-gap], axis=1)
+            total = np.concatenate([total[:gap], total[:-gap] + more])
+            to, gap = np.concatenate([to[:gap], then]), gap * 2
+        done = np.concatenate([[0], total[:, Q_NEW]])
+        at = np.concatenate([[0], np.cumsum(self.pieces)])
+        return done[at[1:]] - done[at[:-1]]
+
+
 class Merger:
     """The lazily compiled transducer of one byte-level BPE file. `most_states` bounds its memory: beyond it, it starts anew between chunks."""
 

@@ -2,20 +2,30 @@
 
 import hashlib
 import random
+from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from test_dedup import brute_classes, brute_removed, table
 
 import corpus_pipeline
-from gaugeflow.llm import covertree, fingerprint, idfiles, lexicon, neardup, packing, rangecoder, sharding, spans, substring, tokencount, toxicity
+from gaugeflow.llm import covertree, fingerprint, idfiles, lexicon, neardup, packing, pretokens, rangecoder, sharding, spans, substring, tokencount, toxicity, transducer
 from gaugeflow.llm.shared import new_folder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+@cache
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BYTES)
+
+
 def thue_morse(n=1024):
     """A word of two letters and its complement, which polynomial hashes modulo 2^64 take for the same."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
@@ -315,3 +325,29 @@ def test_word_table_forgets_words_met_once():
     assert t.n < 30
 
 
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab1'  sretvlmd\n\t.é日")), max_size=30), max_size=5), st.sampled_from([1, 2, 3, 7]))
+def test_composed_count_maps(texts, piece):
+    """Maps of pieces of any size, composed, count as the library does."""
+    machine = transducer.merger(BYTES)
+    expected = [len(library().encode(t, add_special_tokens=False).ids) for t in texts]
+    assert tokencount.count_chunk(machine, texts, machine.specials, piece).tolist() == expected
+
+
+def test_piece_maps_hold_for_every_entry_state():
+    """The pretokens listed for an entry state are those that the scanner finds from it, step by step."""
+    text = "it's  a 'test' of 12's\n\n x"
+    points, offsets = pretokens.code_points([text])
+    maps = transducer.PieceMaps(points, offsets, 4)
+    sym = transducer.symbols(points, offsets)
+    for j in range(len(maps.exit)):
+        for q in range(8):
+            state, starts = q, []
+            for k in range(4 * j, min(4 * j + 4, len(sym))):
+                if transducer._ALL_FLAG[sym[k], state]:
+                    starts.append(k)
+                state = transducer._ALL_TO[sym[k], state]
+            listed = maps.start[(maps.slot == 8 * j + q) | (maps.slot == -1 - j)]
+            assert sorted(listed.tolist()) == starts and maps.exit[j, q] == state

@@ -8,10 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; only where that is unset (tests), a new local one."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset, a new local one in local mode (tests), else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
         root = root if ":" in root.split("/")[0] else f"file://{root}"
     if spark.sparkContext.getCheckpointDir() is None:
@@ -20,7 +25,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Deletes the tables that operators of this process have written to the shared folder; call it once their results are written elsewhere."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -171,19 +171,19 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     return tables.join(leaders, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def _family_links(texts: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between the families (what `links` joins) of one group: texts: node, grp, n, text of groups of several blocks.
+def _family_links(texts: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame | None:
+    """Links between the families (`classes`: node, component) of one group, None if no group has two; texts: node, grp, n, text of groups of several blocks.
 
     Families over a block's weight are cut into blocks of their own, smaller ones share blocks; all pairs of blocks are compared but those of one family.
     """
-    nodes = texts.join(components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    nodes = texts.join(classes, "node", "left").withColumn("root", F.coalesce("component", "node"))
     families = stored(nodes.groupBy("grp", "root").agg(F.sum("n").alias("weight")), "families")
     split = families.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("weight") <= block, F.col("weight"))).alias("small")).where("k > 1")
     large = F.col("weight") > block
     families = families.join(split, "grp").select("grp", "root", large.alias("large"), F.ceil(F.when(large, F.col("weight")).otherwise(F.col("small")) / block).alias("parts"))
     families = stored(families, "families")
     if families.isEmpty():
-        return links
+        return None
     part = F.pmod(F.when(F.col("large"), F.xxhash64("node")).otherwise(F.xxhash64("root")), "parts")
     name = F.concat_ws("/", F.when(F.col("large"), F.col("root").cast("string")).otherwise("-"), part.cast("string"))
     nodes = stored(nodes.join(families, ["grp", "root"]).select("node", "grp", "root", "text", "large", name.alias("name")), "dealt")
@@ -193,7 +193,7 @@ def _family_links(texts: DataFrame, links: DataFrame, percent: int, block: int)
     pairs = blocks.join(other, "grp").where("not (large and large2 and root = root2) and (name <> other or not large)").select("grp", "name", "other")
     dealt = nodes.join(pairs, ["grp", "name"]).select("grp", "node", "root", "text", F.least("name", "other").alias("i"), F.greatest("name", "other").alias("j"), (F.col("name") > F.col("other")).cast("int").alias("side"))
     more = dealt.groupBy("grp", "i", "j").applyInPandas(_links(percent), "u bigint, v bigint")
-    return links.unionByName(stored(more, "links"))
+    return stored(more, "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_
     # Blocks of a group are dealt by hash; a group's weight, not its number of documents, decides how many.
     member = stored(groups.select("node", F.col("component").alias("grp")).join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node"), "members")
     weight = stored(member.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")), "weights")
-    texts = docs.withColumnRenamed("doc_id", "node").join(stored(member.join(weight, "grp"), "weighed"), "node")
+    texts = docs.withColumnRenamed("doc_id", "node").join(member.join(weight, "grp"), "node")
     # A repeated row counts once; a doc_id's rows without words have nothing to compare.
     texts = stored(texts.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).dropDuplicates(["node", "text"]).select("node", "grp", "n", "blocks", "text"), "texts")
     shards = 1 + (texts.agg(F.sum("n")).first()[0] or 0) // block
@@ -222,13 +222,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_
     place = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("grp"), F.lit(shards)).cast("int"))).when(F.col("node") == F.col("grp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
     dealt = texts.select("grp", "node", "text", F.col("node").alias("root"), F.lit(0).alias("side"), F.when(F.col("blocks") > 1, F.col("grp")).alias("large"), F.explode(place).alias("part"))
     links = stored(dealt.groupBy("large", "part").applyInPandas(_links(percent), "u bigint, v bigint"), "links")
-    large = texts.where("blocks > 1")
-    if not large.isEmpty():
-        links = _family_links(large, links, percent, block)
     # Rows of one doc_id have one node per set of words: they belong together.
     repeated = full.where("doc_id is not null").join(sets, same).where("doc_id <> node")
     repeated = repeated.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v").select("u", "v")
-    classes = components(links.unionByName(repeated))
+    classes = stored(components(links.unionByName(repeated)), "families")
+    large = texts.where("blocks > 1")
+    more = None if large.isEmpty() else _family_links(large, classes, percent, block)
+    if more is not None and not more.isEmpty():
+        classes = components(more.unionByName(classes.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     final = stored(sets.join(classes, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "classes")
     found = full.select("doc_id", "n_shingles", *same).join(final, same, "left").select("doc_id", "n_shingles", "component_id")
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -29,18 +29,36 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return _MADE[-1]
 
 
-def remove_stored(spark: SparkSession) -> None:
-    """Deletes the tables that operators of this process have written to the shared folder; call it once their results are written elsewhere."""
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def made() -> list[str]:
+    """The folders that operators of this process have made in the shared folder and not deleted."""
+    return list(_MADE)
+
+
+def remove_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes folders that operators have made (all, or those given); call it once their results are written elsewhere."""
+    for path in made() if paths is None else paths:
+        if path in _MADE:
+            _MADE.remove(path)
+            _delete(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder: cuts the lineage and survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more: what came of it is stored."""
+    remove_stored(df.sparkSession, [df.stored_at])
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import spans
-from gaugeflow.llm.shared import stored
+from gaugeflow.llm.shared import release, stored
 
 WINDOW, ANCHOR = 50, 20
 #: Passages of one automaton, twice the usual number; the windows of an anchor with over an eighth of that meet by their own digests instead.
@@ -266,11 +266,12 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR,
     passage = ["anchor", "p1", "p2"]
     ddl = "anchor bigint, p1 bigint, p2 bigint"
     places = docs.where("doc_id is not null").mapInArrow(_anchor_rows(window, width), f"doc_id bigint, row_key bigint, pos int, size int, {ddl}")
-    places = stored(places, "anchors")
-    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("anchor")
+    every = stored(places, "anchors")
+    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("anchor")
     # Written down, so that a hot anchor's rows can be split over tasks in the join: an aggregate beside it would hold them together.
     shared = stored(shared, "shared")
-    places = stored(places.join(shared, "anchor", "left_semi"), "places")
+    places = stored(every.join(shared, "anchor", "left_semi"), "places")
+    release(every)  # the largest table by far
     passages = stored(places.groupBy(*passage).agg(F.min(F.struct("doc_id", "row_key", "pos")).alias("f")), "passages")
     most = max(1, shard // 8)
     counts = stored(passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "counts")

@@ -1,16 +1,20 @@
 """The corpus pipeline: toxicity filter, near-duplicate removal, substring removal, packing.
 
-Each stage takes (spark, docs, sf_dir); its result is written and read again as the next stage's docs.
+Each stage takes (spark, docs, sf_dir); its result is written and read again as the next stage's docs, so that a stage
+first deletes the tables that the operator of the stage before it has left in the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import neardup, packing, substring, toxicity
-from gaugeflow.llm.shared import stored, tables
+from gaugeflow.llm.shared import made, remove_stored, stored, tables
 
 #: Similarity from which the pipeline takes documents as near-duplicates.
 NEAR_PERCENT = 80
@@ -37,7 +41,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("substrings", cut_repeats), ("packing", pack)]
+_left: list[str] = []
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame], first: bool) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:  # what the last stage of an earlier run left may still be read
+            remove_stored(spark, list(_left))
+        before = set(made())
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [p for p in made() if p not in before]
+        return out
+
+    return run
+
+
+STAGES = [(name, _tidy(stage, name == "toxicity")) for name, stage in (("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("substrings", cut_repeats), ("packing", pack))]
 
 #: Model scores and subword ids are beyond SQL: tests/llm holds the stages against brute force instead.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import covertree, fingerprint, idfiles, lexicon, neardup, packing, sharding, substring, tokencount, toxicity
+from gaugeflow.llm import alignment, covertree, fingerprint, idfiles, lexicon, neardup, packing, periodic, piecebpe, sharding, substring, tokencount, toxicity
 from gaugeflow.llm.shared import new_folder, stored, tables
 
 
@@ -54,6 +54,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
-_ALL = (op1_packing, op2_bpe_codec, op3_near_duplicates, op4_multiset_hash, op5_token_counts, op6_substring_dedup, op7_exact_top_k, op8_id_files, op9_interleaved_shards, op10_toxicity)
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecebpe.encode_decode(tables(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(tables(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_ALL = (op1_packing, op2_bpe_codec, op3_near_duplicates, op4_multiset_hash, op5_token_counts, op6_substring_dedup, op7_exact_top_k, op8_id_files, op9_interleaved_shards, op10_toxicity, op11_piece_codec, op12_periodic_runs, op13_token_alignment)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op7_exact_top_k": covertree.ORACLE, "op9_interleaved_shards": sharding.ORACLE}

@@ -28,12 +28,9 @@ def count_chunk(machine: transducer.Merger, texts: list[str], specials: tuple[st
     np.cumsum(P.byte_widths(points), out=at[1:])
     data = np.frombuffer("".join(pieces).encode(), np.uint8)
     maps = transducer.PieceMaps(points, offsets, piece)
-    # What several entry states have in common before they agree is counted once.
-    shared = maps.slot < 0
-    pair, where = np.unique(maps.start[~shared] << 32 | maps.end[~shared], return_inverse=True)
-    counts = machine.counts(data, at[np.concatenate([maps.start[shared], pair >> 32])], at[np.concatenate([maps.end[shared], pair & 0xFFFFFFFF])])
-    tokens = np.empty(len(maps.slot), np.int64)
-    tokens[shared], tokens[~shared] = counts[: shared.sum()], counts[shared.sum() :][where]
+    met = maps.entered()
+    tokens = np.zeros(len(maps.slot), np.int64)
+    tokens[met] = machine.counts(data, at[maps.start[met]], at[maps.end[met]])
     out = maps.compose(tokens)
     return out if owner is None else np.bincount(owner, out, len(texts)).astype(np.int64) + extra
 

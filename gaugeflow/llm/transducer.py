@@ -4,14 +4,16 @@ Two machines run one after the other over a chunk of texts:
 
 * the *scanner* has eight states over code point symbols and marks where pretokens start.
   Its input is cut into equal pieces. The map of a piece gives, for each entry state, the exit state and
-  the tokens of the pretokens that start in the piece. The maps of all pieces are computed at
-  once and composed by a parallel prefix scan, which leaves the counts of all texts;
+  the pretokens that start in the piece. The maps of all pieces are computed at once and composed by a parallel prefix scan. That
+  gives each piece its true entry state, and so each pretoken its true start, from which it is counted once; composed
+  again with the counts, the maps leave the counts of all texts;
 * the *merger* starts anew at each pretoken. A state holds, for each earlier position from
   which a vocabulary entry can still reach on, the trie node reached, the last token of the
   encoding that ends there and its token count relative to the current one. Reading a byte
   emits by how much the count of the encoding changes, so that the emissions of a path
   add up to the pretoken's token count. States are compiled when first met, and all
-  pretokens of a chunk step together.
+  pretokens of a chunk step together. A long pretoken (a text without spaces) is a chain of blocks instead, each a map from
+  the state before it to the state after it and the tokens between: a map is kept by its block's bytes, so that like blocks are one.
 
 The merger rests on two properties of BPE: the encoding of a prefix ends in one token, and a
 sequence of tokens is an encoding if and only if each adjacent pair is the encoding of its own
@@ -139,12 +141,10 @@ class PieceMaps:
             opens[:, q] = self._firsts(at, own, m)
         opens = np.where(opens >= 0, opens, fresh[:, None])
         stop = offsets[text + 1]
-        todo = np.argwhere((opens < 0) & ~self.last[:, None])
+        missing = (opens < 0) & ~self.last[:, None]
         opens = np.where((opens < 0) & self.last[:, None], stop[:, None], opens)
-        while len(todo):  # pieces without a start: one more is settled at each step, from behind
-            j, q = todo.T
-            opens[j, q] = opens[j + 1, self.exit[j, q]]
-            todo = todo[opens[j, q] < 0]
+        for j in np.flatnonzero(missing.any(axis=1))[::-1].tolist():  # pieces without a start, from behind
+            opens[j] = np.where(missing[j], opens[j + 1][self.exit[j]], opens[j])
         after = np.empty((m, 8), np.int64)
         after[:-1] = np.take_along_axis(opens[1:], self.exit[:-1].astype(np.int64), axis=1) if m else 0
         after[self.last] = stop[self.last][:, None]
@@ -198,6 +198,16 @@ class PieceMaps:
             out[:-1] = np.where(piece_of[1:] == piece_of[:-1], at[1:], until[:-1])
         return out
 
+    def entered(self) -> np.ndarray:
+        """Which listed pretokens are met: those of each piece's true entry state, which the composed maps of the pieces before it give."""
+        to, gap = self.exit.astype(np.int64), 1
+        while gap < len(to):
+            to, gap = np.concatenate([to[:gap], np.take_along_axis(to[gap:], to[:-gap], axis=1)]), gap * 2
+        state = np.full(len(to), Q_NEW)
+        state[1:] = to[:-1, Q_NEW]
+        # A text's first piece resets the state itself.
+        return (self.slot < 0) | (self.slot & 7 == state[self.slot >> 3])
+
     def compose(self, tokens: np.ndarray) -> np.ndarray:
         """Tokens of each text, from those of each listed pretoken."""
         m = len(self.exit)
@@ -213,6 +223,10 @@ class PieceMaps:
         return done[at[1:]] - done[at[:-1]]
 
 
+#: Pretokens of more bytes go by blocks of so many, and so many maps of blocks are kept.
+LONG, BLOCK, KEPT_BLOCKS = 256, 64, 100_000
+
+
 class Merger:
     """The lazily compiled transducer of one byte-level BPE file. `most_states` bounds its memory: beyond it, it starts anew between chunks."""
 
@@ -249,6 +263,8 @@ class Merger:
         self.column = np.full(256, -1, np.int16)
         self.next = np.full((1024, 16), -1, np.int32)
         self.emit = np.zeros((1024, 16), np.int8)
+        self.blocks: dict[tuple[int, bytes], tuple[int, int]] = {}
+        self.moves: dict[int, tuple[int, int]] = {}
         self._state(((0, -1, 0),))
 
     def _state(self, key: tuple) -> int:
@@ -303,11 +319,48 @@ class Merger:
         self.next[state, self.column[byte]] = to
         self.emit[state, self.column[byte]] = count
 
+    def _block(self, state: int, block: bytes) -> tuple[int, int]:
+        """The state after a block of bytes and the tokens that it adds."""
+        total = 0
+        for byte in block:
+            move = self.moves.get(state << 8 | byte)
+            if move is None:
+                if self.column[byte] < 0 or self.next[state, self.column[byte]] < 0:
+                    self._compile(state, byte)
+                column = self.column[byte]
+                move = self.moves[state << 8 | byte] = (int(self.next[state, column]), int(self.emit[state, column]))
+            state = move[0]
+            total += move[1]
+        return state, total
+
+    def long_count(self, raw: bytes) -> int:
+        """Token count of one long pretoken, block by block."""
+        state, total = 0, 0
+        for k in range(0, len(raw), BLOCK):
+            if len(self.states) > self.most_states:  # anew, from the state reached
+                key = self.states[state]
+                self._reset()
+                state = self._state(key)
+            block = raw[k : k + BLOCK]
+            found = self.blocks.get((state, block))
+            if found is None:
+                if len(self.blocks) >= KEPT_BLOCKS:
+                    self.blocks.clear()
+                found = self.blocks[state, block] = self._block(state, block)
+            state, total = found[0], total + found[1]
+        return total
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Token count of each pretoken data[starts:ends]."""
         if len(self.states) > self.most_states:
             self._reset()
         lengths = ends - starts
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            out, short = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths <= LONG)
+            out[short] = self.counts(data, starts[short], ends[short])
+            out[long] = [self.long_count(data[a:b].tobytes()) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+            return out
         order = np.argsort(-lengths, kind="stable")
         at, left = starts[order], lengths[order]
         active = np.searchsorted(-left, -np.arange(1, (left[0] if len(left) else 0) + 1), side="right")

@@ -35,7 +35,7 @@ from gaugeflow.llm.shared import stored
 from gaugeflow.llm.wordcache import WordTable
 
 #: Bytes of text of one block (a longer text is a block of its own), and distinct segments that a worker keeps.
-BLOCK_BYTES, KEPT_SEGMENTS = 8 << 20, 300_000
+BLOCK_BYTES, KEPT_SEGMENTS = 4 << 20, 200_000
 
 
 #: Stands before a segment when B reads it: it is in no piece, so that the dummy prefix stays apart.

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.model import K
 from gaugeflow.plans.adapters import EV, rounded, seconds
 from gaugeflow.plans.registry import query
 from gaugeflow.sources.shared import scratch
-from gaugeflow.streaming import jobs
+from gaugeflow.streaming import frames, jobs
 
 _SPAN, _DELAY = 172800, 3600
 
@@ -38,13 +38,13 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(jobs.to_parquet(jobs.stream_rollup(s, _SPAN, f"{_DELAY} seconds", tuple(K)), scratch(spark, "rollup")), "value")
 
 
-def _stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stats_stream(spark: SparkSession, sf_dir: str, more: dict[str, Column] | None = None) -> DataFrame:
     k = F.col("k")
     boot = F.when(k % 3 == 0, F.struct(F.lit("/boot").alias("mount_point"), ((k + 2) * 10).alias("size"), F.when(k % 5 != 0, (k + 1) * 5).alias("free")))
     root = F.struct(F.lit("/").alias("mount_point"), ((k + 1) * 1000).alias("size"), (k * 700).alias("free"))
     return _stream(spark, sf_dir).select(
         F.lit("a").alias("account"), F.col("host_name").alias("instance"), F.lit("r").alias("region"), "event_time",
-        (F.col("value") / 300).alias("user_time_fraction"), F.when(k % 10 != 0, k * 10_000).alias("memory_free"), F.lit(1_000_000).cast("long").alias("memory_total"), F.array_compact(F.array(root, boot)).alias("fss"),
+        (F.col("value") / 300).alias("user_time_fraction"), F.when(k % 10 != 0, k * 10_000).alias("memory_free"), F.lit(1_000_000).cast("long").alias("memory_total"), F.array_compact(F.array(root, boot)).alias("fss"), *[c.alias(name) for name, c in (more or {}).items()],
     )
 
 
@@ -53,6 +53,43 @@ def _vars(x: str, name: str, whole: bool) -> str:
     return f"count({x}) AS {name}_count, {r(f'min({x})')} AS {name}_min, {r(f'max({x})')} AS {name}_max, {r(f'sum({x})')} AS {name}_sum"
 
 
+# Frames closed by a later frame of their own group, or by another group's that ends half a day later.
+_OWN = f"fr AS (SELECT *, floor(ts / {_SPAN} + 0.5) * {_SPAN} AS frame FROM ev), ow AS (SELECT *, max(frame) OVER (PARTITION BY host_name, app_name) AS newest FROM fr)"
+_FRAME_VALUES = f"""SELECT host_name, app_name, frame::DOUBLE AS ts, min_by({_KIND}, ts) AS kind,
+round(CASE WHEN app_name = 'signup' THEN NULL WHEN app_name = 'view' THEN min_by(value, ts) WHEN app_name IN ('click', 'error') THEN floor(avg(value) + 0.5) ELSE avg(value) END + 1e-9, 6) AS value, CASE WHEN app_name = 'signup' THEN min_by('s' || k, ts) END AS value_string"""
+
+
+def _group_rollup(spark: SparkSession, sf_dir: str, timeout: float | None) -> DataFrame:
+    app = F.col("app_name")
+    kind = F.when(app.isin("click", "error"), "int64").when(app == "view", "bool").when(app == "signup", "string").otherwise("float64")
+    s = _stream(spark, sf_dir).withColumns({"group_id": F.lit(0), "path": F.lit("/v"), "kind": kind, "value_string": F.when(app == "signup", F.concat(F.lit("s"), "k")), "value": F.when(app != "signup", F.col("value")), "active": F.col("k") % 7 != 0})
+    out = jobs.to_parquet(frames.stream_group_rollup(s, _SPAN, timeout), scratch(spark, "frames"))
+    return rounded(out.select(*K, "ts", "kind", "value", "value_string"), "value")
+
+
+@query(f"WITH {EV}, {_OWN} {_FRAME_VALUES} FROM ow WHERE frame < newest AND k % 7 <> 0 GROUP BY host_name, app_name, frame")
+def stream_group_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group's frames as soon as its next one begins, however far other groups are: only its newest stays open."""
+    return _group_rollup(spark, sf_dir, None)
+
+
+@query(f"WITH {EV}, {_OWN} {_FRAME_VALUES} FROM ow, (SELECT max(frame) AS last FROM fr) WHERE (frame < newest OR frame + 43200 < last) AND k % 7 <> 0 GROUP BY host_name, app_name, frame")
+def stream_group_rollup_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with half a day's patience for groups that have fallen silent."""
+    return _group_rollup(spark, sf_dir, 43200.0)
+
+
+_CHANGE = 1704067200 + 15 * 86400
+#: Machines report by six hours or by two days; a fifth of them changes from one to the other.
+_PERIODS = f"pe AS (SELECT *, CASE WHEN user_id % 5 = 0 AND ts >= {_CHANGE} OR user_id % 5 <> 0 AND user_id % 2 = 0 THEN 21600 ELSE {_SPAN} END AS period FROM ev), pf AS (SELECT *, floor(ts / period + 0.5) * period AS frame FROM pe), pn AS (SELECT *, max_by(frame, ts) OVER w AS last_frame, max_by(period, ts) OVER w AS last_period FROM pf WINDOW w AS (PARTITION BY host_name)), pc AS (SELECT * FROM pn WHERE frame <> last_frame OR period <> last_period)"
+
+
+def _machine_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.regexp_extract("host_name", "[0-9]+", 0).cast("int")
+    period = F.when((user % 5 == 0) & (F.col("ts") >= _CHANGE) | (user % 5 != 0) & (user % 2 == 0), 21600).otherwise(_SPAN)
+    return _stats_stream(spark, sf_dir, {"ts": F.col("ts"), "period": period})
+
+
 @query(f"""WITH {EV}, {_CLOSED}, s AS (SELECT host_name, frame, least(100, value / 3) AS cpu, CASE WHEN k % 10 <> 0 THEN k * 10000 END AS free, 1000000::BIGINT AS total FROM fr, mx WHERE frame + {_SPAN // 2} <= wm),
 p AS (SELECT *, CASE WHEN free IS NOT NULL THEN greatest(0, (total - free) * 100.0::DOUBLE / total) END AS mem FROM s)
 SELECT host_name AS instance, CAST(frame AS BIGINT) AS ts, {_vars('cpu', 'cpu', False)}, {_vars('free', 'memory_free', True)}, {_vars('total', 'memory_size', True)}, {_vars('mem', 'memory_percent', False)} FROM p GROUP BY host_name, frame""")
@@ -69,6 +106,23 @@ def stream_fs_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "used_percent_min", "used_percent_max", "used_percent_sum", digits=4)
 
 
+@query(f"""WITH {EV}, {_PERIODS}, s AS (SELECT host_name, period, frame, least(100, value / 3) AS cpu, CASE WHEN k % 10 <> 0 THEN k * 10000 END AS free, 1000000::BIGINT AS total FROM pc),
+p AS (SELECT *, CASE WHEN free IS NOT NULL THEN greatest(0, (total - free) * 100.0::DOUBLE / total) END AS mem FROM s)
+SELECT host_name AS instance, CAST(frame AS BIGINT) AS ts, {_vars('cpu', 'cpu', False)}, {_vars('free', 'memory_free', True)}, {_vars('total', 'memory_size', True)}, {_vars('mem', 'memory_percent', False)} FROM p GROUP BY host_name, period, frame""")
+def stream_machine_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machines with periods of their own in one stream, some of which change theirs."""
+    out = jobs.to_parquet(frames.stream_machine_rollup(_machine_stream(spark, sf_dir)), scratch(spark, "machines")).drop("account", "region")
+    return rounded(out, *[c for c in out.columns if c.startswith(("cpu_m", "cpu_s", "memory_percent_m", "memory_percent_s"))], digits=4)
+
+
+@query(f"""WITH {EV}, {_PERIODS}, f AS (SELECT host_name, period, frame, '/' AS m, (k + 1) * 1000 AS s, k * 700 AS f FROM pc UNION ALL SELECT host_name, period, frame, '/boot', (k + 2) * 10, CASE WHEN k % 5 <> 0 THEN (k + 1) * 5 END FROM pc WHERE k % 3 = 0),
+p AS (SELECT *, CASE WHEN f IS NOT NULL THEN greatest(s - f, 0) END AS u, CASE WHEN f IS NOT NULL THEN greatest(0, (s - f) * 100.0::DOUBLE / s) END AS up FROM f)
+SELECT host_name AS instance, CAST(frame AS BIGINT) AS ts, m AS mount_point, {_vars('s', 'size', True)}, {_vars('f', 'free', True)}, {_vars('u', 'used', True)}, {_vars('up', 'used_percent', False)} FROM p GROUP BY host_name, period, frame, m""")
+def stream_machine_fs_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jobs.to_parquet(frames.stream_machine_fs_rollup(_machine_stream(spark, sf_dir)), scratch(spark, "machine_mounts")).drop("account", "region")
+    return rounded(out, "used_percent_min", "used_percent_max", "used_percent_sum", digits=4)
+
+
 # Every seventh poll is refused for a kind that there is not, every eleventh comes late; the second metric is missing where k is a multiple of 5.
 @query(f"""WITH {EV}, b AS (SELECT host_name, app_name, batch_seq, floor(ts) - CASE WHEN batch_seq % 11 = 0 THEN 4000000 ELSE 0 END AS ts, floor(value / 25) AS level, k FROM ev WHERE batch_seq % 7 <> 0),
 g AS (SELECT *, max(ts) OVER (PARTITION BY host_name, app_name ORDER BY batch_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, min(CASE WHEN k % 5 <> 0 THEN batch_seq END) OVER (PARTITION BY host_name, app_name) AS fk FROM b),

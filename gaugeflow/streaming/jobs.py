@@ -1,23 +1,22 @@
 """Structured Streaming forms of ingest, roll-up and export.
 
-The batch operators are exact. The streaming roll-ups wait for a global watermark where the rules
-speak of each group's next frame: they may emit a frame later, never earlier. Late values are dropped.
+The batch operators are exact. The roll-ups here wait for a global watermark; those of `frames` close a frame by its own group's next one,
+as the rules say. Late values are dropped.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeflow.functions.scalars import is_numeric
 from gaugeflow.model import INTEGER_KINDS, KINDS, K
 from gaugeflow.operators.health import INSTANCE, fs_used, health_percents, used_percent, variable
 from gaugeflow.operators.series import MARKER_GAP
+from gaugeflow.streaming.frames import ROCKSDB
+from gaugeflow.streaming.ingest import Ingest
 
 CHANGES = "host_name string, app_name string, path string, group_id int, ts double, value double, active boolean"
 
@@ -69,26 +68,14 @@ def ingest_batch(state: dict, batch: list[dict]) -> list[dict]:
     return out
 
 
-def _ingest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = json.loads(state.get[0]) if state.exists else {"groups": {}, "metrics": {}}
-    rows = pd.concat(list(frames), ignore_index=True)
-    rows = rows.sort_values(["batch_seq", *(["seq"] if "seq" in rows.columns else [])], kind="stable")
-    rows = rows.astype(object).where(rows.notna(), None)
-    out = []
-    for _, batch in rows.groupby("batch_seq", sort=True):
-        out += ingest_batch(held, batch.to_dict("records"))
-    state.update((json.dumps(held),))
-    if out:
-        yield pd.DataFrame(out).assign(host_name=key[0], app_name=key[1])[["host_name", "app_name", "path", "group_id", "ts", "value", "active"]]
-
-
-def stream_ingest(obs: DataFrame) -> DataFrame:
+def stream_ingest(obs: DataFrame, keep: float | None = None) -> DataFrame:
     """Change records of a stream of polls (endpoint, batch_seq, path, group_id, ts, batch_ts, value, and, where they have them, kind and seq, the place in the poll).
 
-    Validation, default timestamps, late drop, change compression and inactive markers, with one small state for each endpoint. A task holds one
+    Validation, default timestamps, late drop, change compression and inactive markers, as `ingest_batch` says for one poll, on typed state: an entry for each metric and group of an
+    endpoint, of which those that change are written. keep: seconds of its group's time after which an inactive metric is forgotten; a value of it then is a new metric's. A task holds one
     endpoint's polls of a micro-batch: bound these by files per trigger.
     """
-    return obs.groupBy(*K).applyInPandasWithState(_ingest, CHANGES, "held string", "append", GroupStateTimeout.NoTimeout)
+    return obs.groupBy(*K).transformWithStateInPandas(Ingest(keep), CHANGES, "Append", "None")
 
 
 def _frame(period: int) -> Column:
@@ -140,5 +127,19 @@ def stream_export(stream: DataFrame, name: str, root: str, writer: Callable[[Dat
 
 def to_parquet(stream: DataFrame, root: str) -> DataFrame:
     """Runs a stream over what is there now into a Parquet sink (exactly once) and reads it."""
-    stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    start_stateful(stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True), stream.sparkSession).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def start_stateful(writer, spark: SparkSession):
+    """Starts a query with the state store that typed state needs; a query takes the setting over when it starts, and the session's own is put back."""
+    key, provider = ROCKSDB
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        return writer.start()
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

@@ -83,7 +83,8 @@ def aggregate_zero_filled(buckets: DataFrame, keys: list[str], by: list[str], b:
     """aggregate_series over zero-filled series without making their zeros: a group's missing series count as zeros arithmetically."""
     if agg not in ("avg", "count", "max", "min", "sum"):
         return aggregate_series(fill(buckets, keys, b, "zero", series=series), by, b, agg)
-    n = series.select(*keys).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    # Without tags to group by, no series at all would still be one group.
+    n = series.select(*keys).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
     part = buckets.groupBy(*by, "idx").agg(F.count("value").alias("_m"), F.sum("value").alias("_sum"), F.max("value").alias("_max"), F.min("value").alias("_min"))
     every = grid(n, [*by, "_n"], b).join(part, [*by, "idx"], "left")
     total, missing = F.coalesce("_sum", F.lit(0.0)), F.coalesce("_m", F.lit(0)) < F.col("_n")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.params import Buckets
 from gaugeflow.model import K
 from gaugeflow.operators import downsample as D
+from gaugeflow.operators import multiquery as M
 from gaugeflow.operators import query as Q
-from gaugeflow.plans.adapters import BK, END, EP, LABEL, PTS, RANGE, START, STEP, endpoints, points, rounded
+from gaugeflow.plans.adapters import BK, DAYS, END, EP, LABEL, PTS, RANGE, START, STEP, endpoints, points, rounded
 from gaugeflow.plans.registry import query
 
 _P = "/events/value"
@@ -138,6 +140,46 @@ def run_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Q.run_queries(points(spark, sf_dir, START, END), endpoints(spark, sf_dir), qs), "value")
 
 
+def _day_sql() -> str:
+    """One query a day and host group: the mean by application in two-hour buckets, and every third one the rate of the sum over all."""
+    parts = []
+    for i, q in enumerate(_day_queries()):
+        b = Buckets(q.start, q.end, q.step)
+        host = "host_name LIKE 'host1%'" if q.filters else "true"
+        label = f"({b.first + b.width // 2} + idx * {b.width})"
+        app = "app_name" if q.by else "''"
+        rows = f"SELECT host_name, app_name, (CAST(floor(ts) AS BIGINT) - ({b.first})) // {b.width} AS idx, avg(value) AS value FROM pts WHERE path = '{q.path}' AND {host} AND ts >= {b.clamp} AND ts >= {q.start} AND ts < {q.end} GROUP BY ALL"
+        group = f"SELECT {app} AS app_name, idx, {q.outer}(value) AS value FROM ({rows}) WHERE idx >= 0 AND idx < {b.size} GROUP BY ALL"
+        if q.rate:
+            step = f"SELECT *, lead(idx) OVER w - idx AS n, lead(value) OVER w AS v FROM ({group}) WINDOW w AS (PARTITION BY app_name ORDER BY idx)"
+            parts.append(f"SELECT {i} AS query_id, '' AS host_name, app_name, '' AS region, '' AS ip_address, {label} AS ts, round(value, 9) AS value FROM (SELECT app_name, idx + j AS idx, (v - value) / n / {b.width} AS value FROM ({step}), LATERAL (SELECT unnest(range(n)) AS j) WHERE n IS NOT NULL)")
+        else:
+            parts.append(f"SELECT {i} AS query_id, '' AS host_name, app_name, '' AS region, '' AS ip_address, {label} AS ts, round(value, 9) AS value FROM ({group}) WHERE {label} >= {b.clamp}")
+    return f"WITH {PTS} " + " UNION ALL ".join(parts)
+
+
+def _day_queries() -> list[Q.Query]:
+    hosts = "|".join(f"host{k}" for k in [1, *range(10, 20), *range(100, 200), *range(1000, 2000), *range(10_000, 20_000)])
+    out = []
+    for day in range(DAYS):
+        more = {"rate": True, "outer": "sum"} if day % 3 == 0 else {"by": ("app",)}
+        out.append(Q.Query("/events/k" if day % 4 == 0 else _P, START + day * 86400, START + (day + 1) * 86400, 7200, fill="nan", filters={"host": hosts} if day % 2 else {}, **more))
+    return [*out, Q.Query("/not/there", START, END, STEP, fill="zero")]
+
+
+@query(_day_sql())
+def run_queries_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each day, with ranges, filters and aggregations of their own, in one scan of the points; the last one's metric is unknown."""
+    out = M.run_queries(points(spark, sf_dir, START, END), endpoints(spark, sf_dir), _day_queries(), points(spark, sf_dir).select(*K, "path").distinct())
+    return out.withColumn("value", F.round("value", 9))
+
+
+@query(f"WITH {PTS}, r AS (SELECT DISTINCT path, starts_with(host_name, 'host1') AS own FROM pts), q AS (SELECT unnest(range({DAYS})) AS d) SELECT d AS query_id, coalesce(bool_or(d % 2 = 0 OR own), false) AS known FROM q LEFT JOIN r ON path = CASE WHEN d % 4 = 0 THEN '/events/k' ELSE '{_P}' END GROUP BY d UNION ALL SELECT {DAYS}, false")
+def query_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the queries have a metric that is known."""
+    return M.slots(endpoints(spark, sf_dir), _day_queries(), points(spark, sf_dir).select(*K, "path"))
+
+
 @query(f"WITH {PTS}, {EP}, {BK}, e AS (SELECT region, max({START} + (user_id % 10) * 86400) AS earliest FROM ep GROUP BY region), a AS (SELECT region, {LABEL} AS ts, avg(value) AS value FROM ds JOIN ep USING (host_name, app_name) WHERE {LABEL} >= {RANGE.clamp} GROUP BY region, idx) SELECT '' AS host_name, '' AS app_name, region, '' AS ip_address, ts, round(value + 1e-9, 6) AS value FROM a JOIN e USING (region) WHERE ts >= earliest")
 def early_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = endpoints(spark, sf_dir)

@@ -10,6 +10,7 @@ from gaugeflow.plans.adapters import EV, rounded, seconds
 from gaugeflow.plans.registry import query
 from gaugeflow.sources.shared import scratch
 from gaugeflow.streaming import frames, jobs
+from gaugeflow.streaming.exports import NamedExports
 
 _SPAN, _DELAY = 172800, 3600
 
@@ -168,3 +169,29 @@ def stream_export_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.stream_export(_stream(spark, sf_dir).select(*K, "batch_seq", "ts"), "hooked", root, write, (note,)).awaitTermination()
     notes = spark.read.parquet(f"{root}/notes")
     return notes.groupBy("app_name").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
+
+
+_HALF = 1704067200 + 15 * 86400
+
+
+@query(f"""WITH {EV}, p AS (SELECT host_name, app_name, max(ts) AS position FROM ev WHERE ts < {_HALF} GROUP BY ALL)
+SELECT 'copied' AS reader, host_name, app_name, batch_seq, ts FROM ev LEFT JOIN p USING (host_name, app_name) WHERE position IS NULL OR ts > position UNION ALL SELECT 'reset', host_name, app_name, batch_seq, ts FROM ev WHERE app_name = 'error'""")
+def stream_reader_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader that has been handed the first half of the events; one that starts where it stands, over all events; and one that is run, set back and run again."""
+    root = scratch(spark, "readers")
+    named = NamedExports(spark, f"{root}/state")
+    rows = _stream(spark, sf_dir).select(*K, F.lit(0).alias("group_id"), "batch_seq", "ts")
+
+    def write(name: str):
+        return lambda batch, number: batch.select(F.lit(name).alias("reader"), *K, "batch_seq", "ts").write.mode("overwrite").parquet(f"{root}/out/{name}/number={number}")
+
+    named.export(rows.where(F.col("ts") < _HALF), "first", write("first")).awaitTermination()
+    named.copy_position("first", "copied")
+    named.export(rows, "copied", write("copied")).awaitTermination()
+    errors = rows.where("app_name = 'error'")
+    named.export(errors, "reset", write("reset")).awaitTermination()
+    named.start_at_beginning("reset")
+    named.export(errors, "reset", write("reset")).awaitTermination()
+    out = spark.read.parquet(f"{root}/out/copied").unionByName(spark.read.parquet(f"{root}/out/reset"))
+    # Both runs of the set-back reader wrote all its rows: those of its second generation are given.
+    return out.where("reader = 'copied' or number >= 4294967296").select("reader", *K, "batch_seq", "ts")

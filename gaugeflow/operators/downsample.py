@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.params import Buckets
+from gaugeflow.operators.mergeable import MergeableStates
 
-#: Aggregators by name; a registered one is (column function, value of no input or None, default fill).
-AGGREGATORS: dict[str, tuple[Callable[[Column], Column], float | None, str]] = {
+#: Aggregators by name: column function or mergeable states, value of no input or None, default fill.
+AGGREGATORS: dict[str, tuple[Callable[[Column], Column] | MergeableStates, float | None, str]] = {
     "avg": (F.avg, None, "none"),
     "count": (F.count, 0.0, "zero"),
     "max": (F.max, None, "none"),
@@ -29,17 +30,35 @@ def register_aggregator(name: str, function: Callable[[Column], Column], empty:
     AGGREGATORS[name] = (function, empty, default_fill)
 
 
-def aggregator(name: str) -> Callable[[Column], Column]:
+def register_mergeable(name: str, states: MergeableStates, empty: float | None = None, default_fill: str = "none") -> None:
+    """Adds an aggregator of a user's own code over partial states: each task sends one state for each group, and these are merged after the shuffle."""
+    AGGREGATORS[name] = (states, empty, default_fill)
+
+
+def aggregator(name: str) -> Callable[[Column], Column] | MergeableStates:
     if name not in AGGREGATORS:
         raise ValueError(f"no such aggregator: {name}; there are {', '.join(sorted(AGGREGATORS))}")
     return AGGREGATORS[name][0]
 
 
+def combine(rows: DataFrame, keys: list[str], agg: str) -> DataFrame:
+    """(keys, value): the aggregate of each group's values; nulls do not count."""
+    function = aggregator(agg)
+    if isinstance(function, MergeableStates):
+        return function.aggregate(rows, keys)
+    return rows.groupBy(*keys).agg(function(F.col("value")).cast("double").alias("value"))
+
+
+def fill_policy(policy: str, agg: str) -> str:
+    """A policy of "none" leaves it to the aggregator: interpolation, if that has no other default."""
+    return AGGREGATORS[agg][2] if policy == "none" else policy
+
+
 def downsample(points: DataFrame, keys: list[str], b: Buckets, agg: str = "avg") -> DataFrame:
     """(keys, idx, value): one row for each series and bucket with points."""
     cut = points.where((F.col("ts") >= b.clamp) & F.col("value").isNotNull()).withColumn("idx", b.index("ts"))
     cut = cut.where((F.col("idx") >= 0) & (F.col("idx") < b.size))
-    return cut.groupBy(*keys, "idx").agg(aggregator(agg)(F.col("value")).cast("double").alias("value"))
+    return combine(cut, [*keys, "idx"], agg)
 
 
 def grid(series: DataFrame, keys: list[str], b: Buckets) -> DataFrame:
@@ -61,10 +80,14 @@ def interpolate(buckets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fill(buckets: DataFrame, keys: list[str], b: Buckets, policy: str, agg: str = "avg", series: DataFrame | None = None) -> DataFrame:
-    """Fills gaps: zero (and any policy after a count) gives 0 in every bucket, also of series without points; nan and null leave gaps; none interpolates."""
-    if policy == "zero" or agg == "count":
+    """Fills gaps: zero gives 0 in every bucket, also of series without points; nan and null leave gaps; none is the aggregator's own default, which interpolates if it has no other.
+
+    After an aggregator with a value of no input (as a count has) no bucket is a gap: it has that value.
+    """
+    empty, policy = AGGREGATORS[agg][1], fill_policy(policy, agg)
+    if policy == "zero" or empty is not None:
         every = grid(series if series is not None else buckets, keys, b)
-        return every.join(buckets, [*keys, "idx"], "left").select(*keys, "idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+        return every.join(buckets, [*keys, "idx"], "left").select(*keys, "idx", F.coalesce("value", F.lit(0.0 if empty is None else float(empty))).alias("value"))
     if policy in ("nan", "null"):
         return buckets
     return interpolate(buckets, keys)
@@ -72,7 +95,7 @@ def fill(buckets: DataFrame, keys: list[str], b: Buckets, policy: str, agg: str
 
 def aggregate_series(filled: DataFrame, by: list[str], b: Buckets, agg: str = "avg", series: DataFrame | None = None) -> DataFrame:
     """(by, idx, value): all series of a group put together in each bucket. A count is 0 in the empty buckets of every group of `series`."""
-    out = filled.groupBy(*by, "idx").agg(aggregator(agg)(F.col("value")).cast("double").alias("value"))
+    out = combine(filled, [*by, "idx"], agg)
     if AGGREGATORS[agg][1] is not None and series is not None:
         empty = AGGREGATORS[agg][1]
         out = grid(series, by, b).join(out, [*by, "idx"], "left").select(*by, "idx", F.coalesce("value", F.lit(empty)).alias("value"))

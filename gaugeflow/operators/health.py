@@ -115,31 +115,34 @@ def retain(snapshots: DataFrame, span: float, keys: list[str]) -> DataFrame:
     return snapshots.withColumn("_last", F.max("ts").over(Window.partitionBy(*keys))).where(F.col("ts") >= F.col("_last") - span).drop("_last")
 
 
+def packed(pdf: pd.DataFrame, keys: list[str], most: int = MOST_POINTS, used: int = 0, batch: int = 0) -> pd.DataFrame:
+    """The calls of one key's snapshots, or of those of one slice: the call that is open before them has the number `batch` and `used` points."""
+    with_instance, without = (most - INSTANCE_POINTS) // FS_POINTS, most // FS_POINTS
+    pdf, rows = pdf.sort_values(["ts", "n_fs"], kind="stable"), []
+    for i, n in enumerate(pdf["n_fs"].tolist()):
+        points = INSTANCE_POINTS + FS_POINTS * n
+        if points > most:
+            batch += used > 0
+            cuts = [0, *range(with_instance, n, without), n]
+            rows += [(i, a, b - a, a == 0, batch + k) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+            batch, used = batch + len(cuts) - 1, 0
+            continue
+        if used + points > most:
+            batch, used = batch + 1, 0
+        used += points
+        rows.append((i, 0, n, True, batch))
+    out = pd.DataFrame(rows, columns=["at", "fs_from", "fs_count", "with_instance", "batch"])
+    return pd.concat([pdf[[*keys, "ts"]].iloc[out["at"]].reset_index(drop=True), out.drop(columns="at")], axis=1)
+
+
 def pack_batches(snapshots: DataFrame, keys: list[str], most: int = MOST_POINTS) -> DataFrame:
     """(keys, ts, fs_from, fs_count, with_instance, batch): snapshots in time order, each of INSTANCE_POINTS + FS_POINTS * n_fs points, put greedily into calls of at most `most` points.
 
     A snapshot over the budget alone first closes the open call; it is split so that the first call holds the instance, and further ones only filesystems.
     snapshots: keys, ts, n_fs. A sequential rule, so one key is one group: apply retain() first, which leaves 48 hours' worth.
     """
-    with_instance, without = (most - INSTANCE_POINTS) // FS_POINTS, most // FS_POINTS
-
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "n_fs"], kind="stable")
-        used, batch, rows = 0, 0, []
-        for i, n in enumerate(pdf["n_fs"].tolist()):
-            points = INSTANCE_POINTS + FS_POINTS * n
-            if points > most:
-                batch += used > 0
-                cuts = [0, *range(with_instance, n, without), n]
-                rows += [(i, a, b - a, a == 0, batch + k) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
-                batch, used = batch + len(cuts) - 1, 0
-                continue
-            if used + points > most:
-                batch, used = batch + 1, 0
-            used += points
-            rows.append((i, 0, n, True, batch))
-        out = pd.DataFrame(rows, columns=["at", "fs_from", "fs_count", "with_instance", "batch"])
-        return pd.concat([pdf[[*keys, "ts"]].iloc[out["at"]].reset_index(drop=True), out.drop(columns="at")], axis=1)
+        return packed(pdf, keys, most)
 
     rows = snapshots.select(*keys, F.col("ts").cast("double").alias("ts"), F.col("n_fs").cast("long").alias("n_fs"))
     kept = T.StructType(rows.drop("n_fs").schema.fields).add("fs_from", "long").add("fs_count", "long").add("with_instance", "boolean").add("batch", "long")

@@ -17,6 +17,7 @@ from gaugeflow.functions.params import Buckets
 from gaugeflow.functions.scalars import unescape
 from gaugeflow.model import K
 from gaugeflow.operators import downsample as D
+from gaugeflow.operators.mergeable import MergeableStates
 from gaugeflow.operators.query import TAGS, Query
 
 _TAGS = list(TAGS.values())
@@ -38,12 +39,17 @@ def _plan(q: Query) -> tuple:
     return (q.path, float(q.start), float(q.end), float(q.step), q.inner)
 
 
+def _has_zeros(q: Query) -> bool:
+    return D.AGGREGATORS[q.inner][1] == 0 or D.fill_policy(q.fill, q.inner) == "zero"
+
+
 class Request:
     """The tables of a list of queries. zero: queries whose missing series and buckets count as zeros."""
 
     def __init__(self, spark: SparkSession, queries: list[Query]):
-        for q in queries:
-            D.aggregator(q.inner), D.aggregator(q.outer)
+        for name in {x for q in queries for x in (q.inner, q.outer)}:
+            if isinstance(D.aggregator(name), MergeableStates) or D.AGGREGATORS[name][1] not in (None, 0):
+                raise ValueError(f"{name} has states or an empty value of its own: ask for it by tsdb_query")
         self.queries, self.hint = queries, (F.broadcast if len(queries) <= MOST_BROADCAST else lambda df: df)
         plans, choices = _numbered(map(_plan, queries)), _numbered(map(_choice, queries))
         rows = []
@@ -53,9 +59,9 @@ class Request:
         self.plans = spark.createDataFrame(rows, "plan int, path string, start double, end double, clamp double, first long, width long, size long, inner string")
         self.inner = sorted({q.inner for q in queries})
         self.outer = sorted({q.outer for q in queries})
-        zero = [q.fill == "zero" or q.inner == "count" for q in queries]
+        zero = [_has_zeros(q) for q in queries]
         rows = [
-            (i, plans[_plan(q)], choices[_choice(q)], q.outer, z, not z and q.fill not in ("nan", "null"), [TAGS[t] for t in q.by], q.rate, q.counter, float(q.counter_max), float(q.reset))
+            (i, plans[_plan(q)], choices[_choice(q)], q.outer, z, not z and D.fill_policy(q.fill, q.inner) not in ("nan", "null"), [TAGS[t] for t in q.by], q.rate, q.counter, float(q.counter_max), float(q.reset))
             for i, (q, z) in enumerate(zip(queries, zero))
         ]
         wanted = spark.createDataFrame(rows, "query_id int, plan int, choice int, outer string, zero boolean, between boolean, by array<string>, rate boolean, counter boolean, counter_max double, reset double")
@@ -145,7 +151,7 @@ def run_queries(points: DataFrame, endpoints: DataFrame, queries: list[Query], s
     own, which must reach beyond the range then. Zero fill knows the five named aggregators across series.
     """
     request = Request(points.sparkSession, queries)
-    odd = {q.outer for q in queries if (q.fill == "zero" or q.inner == "count") and q.outer not in ("avg", "count", "max", "min", "sum")}
+    odd = {q.outer for q in queries if _has_zeros(q) and q.outer not in ("avg", "count", "max", "min", "sum")}
     if odd:
         raise ValueError(f"zero fill across series by {', '.join(sorted(odd))}")
     own = request.hint(request.table)

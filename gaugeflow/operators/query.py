@@ -69,10 +69,11 @@ def query_parts(points: DataFrame, endpoints: DataFrame, q: Query, series: DataF
     keys = list(TAGS.values())
     series = own.join(series.select(*K).distinct(), K, "left_semi") if series is not None else found.select(*keys).distinct()
     buckets = D.downsample(time_range(found, q.start, q.end), keys, b, q.inner)
-    if q.fill == "zero" and q.inner != "count" or q.inner == "count":
+    empty = D.AGGREGATORS[q.inner][1]
+    if empty == 0 or empty is None and D.fill_policy(q.fill, q.inner) == "zero":
         out = D.aggregate_zero_filled(buckets, keys, by, b, q.outer, series)
     else:
-        filled = D.fill(buckets, keys, b, q.fill, q.inner)
+        filled = D.fill(buckets, keys, b, q.fill, q.inner, series)
         out = D.aggregate_series(filled, by, b, q.outer, series)
     if q.rate:
         out = D.rate(out, by, b, q.counter, q.counter_max, q.reset)

@@ -30,20 +30,21 @@ class Slices:
 
     order: str
     cuts: DataFrame | None
+    keys: Sequence[str] = tuple(K)
 
     def of(self, rows: DataFrame) -> DataFrame:
         """The rows with their slice's number; 0 for endpoints that are not cut."""
         if self.cuts is None:
             return rows.withColumn(SLICE, F.lit(0))
         # At most PARTS rows, so that a broadcast is bounded.
-        return rows.join(F.broadcast(self.cuts), K, "left").withColumn(SLICE, _slice(F.col(self.order))).drop("_bounds")
+        return rows.join(F.broadcast(self.cuts), list(self.keys), "left").withColumn(SLICE, _slice(F.col(self.order))).drop("_bounds")
 
     def each(self, series: DataFrame, first: str) -> DataFrame:
         """Series with each slice of their endpoint from that of the value `first` on."""
         if self.cuts is None:
             return series.withColumn(SLICE, F.lit(0))
         last = F.coalesce(F.size("_bounds"), F.lit(0))
-        own = series.join(F.broadcast(self.cuts), K, "left")
+        own = series.join(F.broadcast(self.cuts), list(self.keys), "left")
         return own.withColumn(SLICE, F.explode(F.sequence(_slice(F.col(first)), F.when(F.col("_bounds").isNull(), 0).otherwise(last)))).drop("_bounds")
 
 
@@ -51,22 +52,22 @@ def _slice(value: Column) -> Column:
     return F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda b: b < value)))
 
 
-def find_slices(rows: DataFrame, order: str = "ts", parts: int = PARTS, few: int = FEW_ROWS) -> Slices:
-    """The cuts of endpoints with more than 1 / parts of the rows, of which there are fewer than `parts`: from counts, and quantiles of those endpoints alone.
+def find_slices(rows: DataFrame, order: str = "ts", parts: int = PARTS, few: int = FEW_ROWS, keys: Sequence[str] = tuple(K)) -> Slices:
+    """The cuts of endpoints (or other keys) with more than 1 / parts of the rows, of which there are fewer than `parts`: from counts, and quantiles of those endpoints alone.
 
     One pass over the keys, and one over the hot rows; all rules of an ingest can share them. The quantiles are approximate, which shapes
     the slices only.
     """
-    counts = rows.groupBy(*K).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
-    hot = counts.where((F.col("n") > total / parts) & (F.col("n") > few)).select(*K).collect()  # fewer than `parts`
+    hot = counts.where((F.col("n") > total / parts) & (F.col("n") > few)).select(*keys).collect()  # fewer than `parts`
     if not hot:
-        return Slices(order, None)
+        return Slices(order, None, keys)
     spark = rows.sparkSession
-    keys = F.broadcast(spark.createDataFrame(hot, rows.select(*K).schema))
+    own = F.broadcast(spark.createDataFrame(hot, rows.select(*keys).schema))
     shares = [k / parts for k in range(1, parts)]
-    bounds = rows.join(keys, K, "left_semi").groupBy(*K).agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(order).cast("double"), shares))).alias("_bounds"))
-    return Slices(order, spark.createDataFrame(bounds.collect(), bounds.schema))
+    bounds = rows.join(own, list(keys), "left_semi").groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(order).cast("double"), shares))).alias("_bounds"))
+    return Slices(order, spark.createDataFrame(bounds.collect(), bounds.schema), keys)
 
 
 def compress_changes(records: DataFrame, slices: Slices, values: Sequence[str] = ("value",), keys: Sequence[str] = tuple(SERIES)) -> DataFrame:

@@ -112,6 +112,17 @@ def shift_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.shift_duplicates(rec).select("seq", "ms")
 
 
+@query(f"""WITH RECURSIVE {EV}, s AS (SELECT batch_seq // 1000 AS batch, app_name AS path, batch_seq, k % 40 AS ms, row_number() OVER (PARTITION BY batch_seq // 1000, app_name ORDER BY batch_seq) AS i FROM ev),
+r AS (SELECT batch, path, 0::BIGINT AS i, NULL::BIGINT AS batch_seq, NULL::BIGINT AS ms, []::BIGINT[] AS taken FROM (SELECT DISTINCT batch, path FROM s)
+UNION ALL SELECT s.batch, s.path, s.i, s.batch_seq, list_min(list_filter(range(s.ms, s.ms + s.i + 1), lambda x: NOT list_contains(r.taken, x))), list_append(r.taken, list_min(list_filter(range(s.ms, s.ms + s.i + 1), lambda x: NOT list_contains(r.taken, x)))) FROM r JOIN s ON s.batch = r.batch AND s.path = r.path AND s.i = r.i + 1)
+SELECT batch_seq AS seq, ms FROM r WHERE i > 0""")
+def shift_duplicates_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 1000 records, as a store takes them."""
+    e = events(spark, sf_dir)
+    rec = e.select(F.expr("batch_seq div 1000").alias("batch"), F.col("app_name").alias("path"), F.col("batch_seq").alias("seq"), (F.col("k") % 40 / 1000).alias("ts"))
+    return X.shift_duplicates(rec).select("seq", "ms")
+
+
 @query(f"""WITH {EV}, r AS (SELECT host_name, app_name, '/d' AS path, 'dist' AS kind, ts, k::DOUBLE AS value, k % 7 <> 0 AS active FROM ev UNION ALL SELECT host_name, app_name, '/v', 'int64', ts, floor(value), true FROM ev)
 SELECT host_name, app_name, path, kind, CASE WHEN kind = 'int64' THEN 64 END AS bits, CASE WHEN kind = 'dist' THEN 2 END AS n_limits, CASE WHEN kind = 'dist' THEN true END AS is_not_cumulative, count(*) AS n, max(CAST(round(ts * 1000000) AS BIGINT)) AS newest, max_by(value, ts) AS value, max_by(active, ts) AS active FROM r GROUP BY ALL""")
 def endpoint_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import scalars as C
 from gaugeflow.model import K
+from gaugeflow.operators import batches as B
 from gaugeflow.operators import endpoints as E
 from gaugeflow.operators import export as X
 from gaugeflow.operators import health as H
 from gaugeflow.operators import inventory as I
+from gaugeflow.operators import slices as L
 from gaugeflow.plans.adapters import EP, EV, PTS, endpoints, events, points, rounded, table
 from gaugeflow.plans.registry import query
 
@@ -112,6 +114,35 @@ def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
 
 
+#: The calls of the snapshots s (host_name, ts, n, i: the place in a host's order).
+_CALLS = """r AS (SELECT host_name, 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS nxt, NULL::DOUBLE AS ts, 0::BIGINT AS n, 0::BIGINT AS batch, false AS big FROM (SELECT DISTINCT host_name FROM s)
+ UNION ALL SELECT s.host_name, s.i, CASE WHEN 12 + 9 * s.n > 1000 THEN 0 WHEN r.used + 12 + 9 * s.n > 1000 THEN 12 + 9 * s.n ELSE r.used + 12 + 9 * s.n END,
+  CASE WHEN 12 + 9 * s.n > 1000 THEN r.nxt + (r.used > 0)::BIGINT + 1 + (s.n - 109 + 110) // 111 WHEN r.used + 12 + 9 * s.n > 1000 THEN r.nxt + 1 ELSE r.nxt END, s.ts, s.n,
+  CASE WHEN 12 + 9 * s.n > 1000 THEN r.nxt + (r.used > 0)::BIGINT WHEN r.used + 12 + 9 * s.n > 1000 THEN r.nxt + 1 ELSE r.nxt END, 12 + 9 * s.n > 1000 FROM r JOIN s ON s.host_name = r.host_name AND s.i = r.i + 1)
+SELECT host_name, ts, CASE WHEN big AND j > 0 THEN 109 + (j - 1) * 111 ELSE 0 END AS fs_from, CASE WHEN NOT big THEN n WHEN j = 0 THEN 109 ELSE least(111, n - 109 - (j - 1) * 111) END AS fs_count, j = 0 AS with_instance, batch + j AS batch
+FROM r, LATERAL (SELECT unnest(range(CASE WHEN big THEN 1 + (n - 109 + 110) // 111 ELSE 1 END)) AS j) WHERE i > 0"""
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("host_name", "user_id", "ts", (F.col("k") * F.when(F.col("k") % 9 == 0, 5).otherwise(1)).alias("n_fs"))
+
+
+_N_FS = "k * CASE WHEN k % 9 = 0 THEN 5 ELSE 1 END"
+
+
+@query(f"WITH RECURSIVE {EV}, m AS (SELECT *, max(ts) OVER (PARTITION BY host_name) AS m FROM ev), s AS (SELECT host_name, ts, {_N_FS} AS n, row_number() OVER (PARTITION BY host_name ORDER BY ts, {_N_FS}) AS i FROM m WHERE ts >= m - 172800), {_CALLS}")
+def pack_batches_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of the snapshots that are kept, those of a host's last 48 hours."""
+    return H.pack_batches(H.retain(_snapshots(spark, sf_dir).drop("user_id"), 172800, ["host_name"]), ["host_name"])
+
+
+@query(f"WITH RECURSIVE {EV}, o AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE host_name END AS host_name, ts, {_N_FS} AS n FROM ev), s AS (SELECT *, row_number() OVER (PARTITION BY host_name ORDER BY ts, n) AS i FROM o), {_CALLS}")
+def pack_batches_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key has a third of all snapshots: it is packed over slices."""
+    snaps = _snapshots(spark, sf_dir).withColumn("host_name", F.when(F.col("user_id") % 3 == 0, "hot").otherwise(F.col("host_name"))).drop("user_id")
+    return B.pack_batches(snaps, ["host_name"], L.find_slices(snaps, few=100, keys=["host_name"]))
+
+
 @query(f"WITH {EV}, {_ST} SELECT DISTINCT host_name, app_name, '/' AS mount_point FROM st UNION ALL SELECT DISTINCT host_name, app_name, '/boot' FROM st WHERE bs IS NOT NULL")
 def file_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.file_systems(health_obs(spark, sf_dir))

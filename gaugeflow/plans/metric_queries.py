@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from gaugeflow.model import K
 from gaugeflow.operators import downsample as D
 from gaugeflow.operators import multiquery as M
 from gaugeflow.operators import query as Q
+from gaugeflow.operators.mergeable import MergeableStates, sums
 from gaugeflow.plans.adapters import BK, DAYS, END, EP, LABEL, PTS, RANGE, START, STEP, endpoints, points, rounded
 from gaugeflow.plans.registry import query
 
@@ -222,6 +224,33 @@ def registered_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, fill="nan", inner="spread", by=("app",))
 
 
+def _moments(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return sums(group, np.stack([np.ones(len(values)), values, values**2], axis=1), n)
+
+
+def _variance(states: np.ndarray) -> np.ndarray:
+    n, s, q = states.T
+    return np.maximum(q / n - (s / n) ** 2, 0.0)
+
+
+@query(f"WITH {PTS}, {BK}, d AS (SELECT app_name, idx, var_pop(value) AS value FROM ds GROUP BY ALL) SELECT '' AS host_name, app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round(value + 1e-9, 6) AS value FROM d WHERE {LABEL} >= {RANGE.clamp}")
+def mergeable_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query by code of one's own over partial states: the variance across an application's series."""
+    D.register_mergeable("variance", MergeableStates(3, _moments, sums, _variance))
+    ep = endpoints(spark, sf_dir)
+    q = Q.Query(_P, START, END, STEP, outer="variance", fill="nan", by=("app",))
+    return rounded(Q.tsdb_query(points(spark, sf_dir, START, END), ep, q, series=ep.select(*K)), "value")
+
+
+@query(f"WITH {PTS}, {BK}, n AS (SELECT DISTINCT host_name, app_name FROM pts WHERE path = '{_P}'), g AS (SELECT * FROM n, (SELECT unnest(range({_N})) AS idx)), d AS (SELECT host_name, app_name, idx, sum(value) AS value FROM bk WHERE idx >= 0 AND idx < {_N} GROUP BY ALL), f AS (SELECT app_name, idx, coalesce(value, -1) AS value FROM g LEFT JOIN d USING (host_name, app_name, idx)) SELECT '' AS host_name, app_name, '' AS region, '' AS ip_address, {LABEL} AS ts, round(max(value) + 1e-9, 6) AS value FROM f WHERE {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx")
+def aggregator_default_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregator whose value of no input is -1: buckets without points have it."""
+    D.register_aggregator("sum_or_minus", F.sum, empty=-1.0, default_fill="zero")
+    ep = endpoints(spark, sf_dir)
+    q = Q.Query(_P, START, END, STEP, inner="sum_or_minus", outer="max", by=("app",))
+    return rounded(Q.tsdb_query(points(spark, sf_dir, START, END), ep, q, series=ep.select(*K)), "value")
+
+
 @query(f"WITH {PTS}, {BK} SELECT app_name, {LABEL} AS ts, round(avg(value) + 1e-9, 6) AS value FROM ds WHERE app_name LIKE '%i%' AND {LABEL} >= {RANGE.clamp} GROUP BY app_name, idx")
 def filter_callables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Endpoints picked by a predicate column instead of a list."""

@@ -15,16 +15,18 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def as_float64(kind: Column | str, value_double: Column | str = "value_double", value_long: Column | str = "value_long", value_bool: Column | str = "value_bool", unit: Column | str | None = None) -> Column:
-    """A value as a number: bool 1 or 0, numbers and times as they are, a duration (seconds) in its unit; other kinds null."""
-    kind, real = _c(kind), _c(value_double)
+def as_float64(kind: Column | str, value_double: Column | str = "value_double", value_long: Column | str = "value_long", value_bool: Column | str = "value_bool", unit: Column | str | None = None, value_unsigned: Column | str | None = None) -> Column:
+    """A value as a number: bool 1 or 0, numbers and times as they are, a duration (seconds) in its unit; other kinds null. value_unsigned: where unsigned values beyond a bigint are."""
+    kind, real, whole = _c(kind), _c(value_double), _c(value_long).cast("double")
+    if value_unsigned is not None:
+        whole = F.coalesce(whole, _c(value_unsigned).cast("double"))
     factor = F.lit(1.0)
     if unit is not None:
         for name, seconds in UNIT_SECONDS.items():
             factor = F.when(_c(unit) == name, F.lit(1 / seconds)).otherwise(factor)
     return (
         F.when(kind == "bool", _c(value_bool).cast("int").cast("double"))
-        .when(kind.isin(*INTEGER_KINDS), _c(value_long).cast("double"))
+        .when(kind.isin(*INTEGER_KINDS), whole)
         .when(kind.isin(*FLOAT_KINDS, "time"), real)
         .when(kind == "duration", real * factor)
     )
@@ -96,8 +98,13 @@ def json_text(x: Column | str) -> Column:
 
 
 def json_number(x: Column) -> Column:
-    """A double in its shortest decimal form, whole numbers without a point."""
-    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+    """A double in its shortest decimal form, whole numbers without a point; null for NaN and infinity, which JSON does not have."""
+    whole = F.when(F.abs(x) < 1e18, F.floor(x).cast("string")).otherwise(x.cast("string"))
+    return F.when(is_finite(x), F.when(x == F.floor(x), whole).otherwise(x.cast("string")))
+
+
+def is_finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
 def literal_or(col: Column | str, spec: str) -> Column:

@@ -34,5 +34,7 @@ OBSERVATIONS = T.StructType(
         T.StructField("value_string", T.StringType()),
         T.StructField("value_list", T.ArrayType(T.StringType())),
         T.StructField("value_dist", DIST),
+        # Unsigned values beyond a bigint; value_long is null then.
+        T.StructField("value_unsigned", T.DecimalType(20, 0)),
     ]
 )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.scalars import as_float64, json_number, json_text, path_sort_key
+from gaugeflow.functions.scalars import as_float64, is_finite, json_number, json_text, path_sort_key
 from gaugeflow.model import FLOAT_KINDS, INTEGER_KINDS, K
 
 #: Kinds that the stores take (fixed values).
@@ -52,12 +52,12 @@ def to_export_records(records: DataFrame, endpoints: DataFrame) -> DataFrame:
     return out.select(F.col("host_name").alias("host"), "path", tags.alias("tags"), *rest)
 
 
-def _number() -> Column:
-    return as_float64("kind", unit="unit")
+def _number(records: DataFrame) -> Column:
+    return as_float64("kind", unit="unit", value_unsigned="value_unsigned" if "value_unsigned" in records.columns else None)
 
 
 def to_json_payload(records: DataFrame, tenant: str, api_key: str, slashes_to_underscores: bool = False) -> DataFrame:
-    """(key, payload) of export records: one flat JSON object each, tags at its top level; strings have the value 0 and are cut to 100 bytes."""
+    """(key, payload) of export records: one flat JSON object each, tags at its top level; strings have the value 0 and are cut to 100 bytes. NaN and infinity, which JSON does not have, become null."""
     name = F.replace("path", F.lit("/"), F.lit("_")) if slashes_to_underscores else F.col("path")
     # Whole milliseconds: the rest of the microseconds is cut off.
     millis = F.floor(F.round(F.col("ts") * 1_000_000) / 1000)
@@ -66,8 +66,9 @@ def to_json_payload(records: DataFrame, tenant: str, api_key: str, slashes_to_un
     base = F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in ("@version", F.lit("1"), "tenant_id", F.lit(tenant), "apikey", F.lit(api_key), "@timestamp", when, "name", name, "host", F.col("host"))])
     strings = F.map_concat(base, "tags", F.when(F.col("kind") == "string", F.create_map(F.lit("stringValue"), text)).otherwise(F.create_map().cast("map<string,string>")))
     head = F.to_json(strings)
-    value = F.when(F.col("kind") == "string", F.lit(0.0)).otherwise(_number())
-    body = F.concat(F.expr("substring(_h, 1, length(_h) - 1)"), F.lit(',"value":'), value.cast("string"), F.lit("}"))
+    value = F.when(F.col("kind") == "string", F.lit(0.0)).otherwise(_number(records))
+    shown = F.when(value.isNull() | is_finite(value), value.cast("string")).otherwise("null")
+    body = F.concat(F.expr("substring(_h, 1, length(_h) - 1)"), F.lit(',"value":'), shown, F.lit("}"))
     return records.withColumn("_h", head).select(F.col("host").alias("key"), body.alias("payload"))
 
 
@@ -77,17 +78,21 @@ def to_influx_points(records: DataFrame) -> DataFrame:
     tags = F.map_concat(F.create_map(F.lit("@version"), F.lit("1"), F.lit("host"), F.col("host")), "tags")
     tag = F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(esc(e["key"]), F.lit("="), esc(e["value"]))), ",")
     quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
-    value = F.when(F.col("kind") == "string", quoted(F.col("value_string"))).otherwise(_number().cast("string"))
+    value = F.when(F.col("kind") == "string", quoted(F.col("value_string"))).otherwise(_number(records).cast("string"))
     nanos = F.round(F.col("ts") * 1_000_000).cast("long") * 1000
     return records.select(F.concat(esc(F.col("path")), F.lit(","), tag, F.lit(" name="), quoted(F.col("path")), F.lit(",value="), value, F.lit(" "), nanos.cast("string")).alias("line"))
 
 
 def to_tsdb_put(records: DataFrame) -> DataFrame:
-    """(payload): {"metric","timestamp" in whole seconds,"value","tags"} with HostName among the tags. Whole kinds give whole numbers, text its string, all else a number as in as_float64."""
+    """(payload): {"metric","timestamp" in whole seconds,"value","tags"} with HostName among the tags. Whole kinds give whole numbers, text its string, all else a number as in as_float64. Records with NaN or infinity, which no put row can hold, are left out."""
     tags = F.map_concat(F.create_map(F.lit("HostName"), F.col("host")), "tags")
     entries = F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(json_text(e["key"]), F.lit(":"), json_text(e["value"])))
-    value = F.when(F.col("kind").isin(*INTEGER_KINDS), F.col("value_long").cast("string")).when(F.col("kind") == "string", json_text("value_string")).otherwise(json_number(_number()))
-    return records.select(F.concat(F.lit('{"metric":'), json_text("path"), F.lit(',"timestamp":'), F.floor("ts").cast("string"), F.lit(',"value":'), value, F.lit(',"tags":{'), F.array_join(entries, ","), F.lit("}}")).alias("payload"))
+    whole = F.col("value_long").cast("string")
+    if "value_unsigned" in records.columns:
+        whole = F.coalesce(whole, F.col("value_unsigned").cast("string"))
+    number = _number(records)
+    value = F.when(F.col("kind").isin(*INTEGER_KINDS), whole).when(F.col("kind") == "string", json_text("value_string")).otherwise(json_number(number))
+    return records.where(number.isNull() | is_finite(number)).select(F.concat(F.lit('{"metric":'), json_text("path"), F.lit(',"timestamp":'), F.floor("ts").cast("string"), F.lit(',"value":'), value, F.lit(',"tags":{'), F.array_join(entries, ","), F.lit("}}")).alias("payload"))
 
 
 def _shift(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -36,20 +36,21 @@ def instance_stats(obs: DataFrame) -> DataFrame:
     def pick(path: str, kind: str, column: str) -> Column:
         return F.max(F.when((F.col("path") == path) & (F.col("kind") == kind), F.col(column)))
 
-    # One shuffle: the filesystem values of a batch come as a small array and are put together by mount inside the row.
     leaf = F.when(F.col("path").endswith("/size"), "size").when(F.col("path").endswith("/free"), "free")
-    cell = F.struct(mount_point().alias("mount"), leaf.alias("leaf"), F.when(F.col("kind") == "uint64", F.col("value_long")).alias("number"))
-    out = wanted.groupBy(*batch).agg(
+    number = F.when(F.col("kind") == "uint64", F.col("value_long"))
+    cells = wanted.select(*batch, "ts", "path", "kind", "value_double", "value_long", mount_point().alias("mount_point"), leaf.alias("leaf"), number.alias("number"))
+    # One shuffle by the batch serves both aggregations: by mount, then of the mounts.
+    mounts = cells.repartition(*batch).groupBy(*batch, "mount_point").agg(
         F.max("ts").alias("ts"),
         pick("/sys/sched/cpu/user-time-fraction", "float64", "value_double").alias("user_time_fraction"),
         pick("/sys/memory/available", "uint64", "value_long").alias("memory_free"),
         pick("/sys/memory/total", "uint64", "value_long").alias("memory_total"),
-        F.collect_list(F.when(mount_point().isNotNull(), cell)).alias("cells"),
+        F.max(F.when(F.col("leaf") == "size", F.col("number"))).alias("size"),
+        F.max(F.when(F.col("leaf") == "free", F.col("number"))).alias("free"),
     )
-    number = lambda m, leaf: F.array_max(F.transform(F.filter("cells", lambda c: (c["mount"] == m) & (c["leaf"] == leaf)), lambda c: c["number"]))
-    mounts = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["mount"])))
-    fss = F.transform(mounts, lambda m: F.struct(m.alias("mount_point"), number(m, "size").alias("size"), number(m, "free").alias("free")))
-    return out.withColumn("fss", F.when(F.size("cells") > 0, fss)).drop("cells")
+    names = ("ts", "user_time_fraction", "memory_free", "memory_total")
+    out = mounts.groupBy(*batch).agg(*[F.max(c).alias(c) for c in names], F.array_sort(F.collect_list(F.when(F.col("mount_point").isNotNull(), F.struct("mount_point", "size", "free")))).alias("fss"))
+    return out.withColumn("fss", F.when(F.size("fss") > 0, F.col("fss")))
 
 
 def cpu_percent(fraction: Column | str) -> Column:

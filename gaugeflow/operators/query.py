@@ -121,7 +121,7 @@ def to_grid(points: DataFrame, keys: list[str], start: float, end: float, step:
 
 
 def series_to_json(points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, series): {"second":value,...} ascending; seconds are truncated."""
+    """(keys, series): {"second":value,...} ascending; seconds are truncated. Points that are null, NaN or infinite are left out."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col("ts").cast("long").alias("s"), F.col("value").alias("v"))))
     entry = F.transform(pairs, lambda p: F.concat(F.lit('"'), p["s"].cast("string"), F.lit('":'), json_number(p["v"])))
     return points.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(entry, ","), F.lit("}")).alias("series"))

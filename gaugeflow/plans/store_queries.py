@@ -10,6 +10,7 @@ from gaugeflow.operators import series as S
 from gaugeflow.plans.adapters import EV, LV, START, events, levels
 from gaugeflow.plans.registry import ORACLES, query
 from gaugeflow.plans.series_queries import _COMPRESSED
+from gaugeflow.sources.names import NameIndex
 from gaugeflow.sources.shared import scratch
 from gaugeflow.sources.store import ChangeStore, read_observations, write_observations
 
@@ -51,3 +52,27 @@ def observations_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_observations(obs.where("batch_seq % 2 = 0"), path, "even")
     write_observations(obs.where("batch_seq % 2 = 1"), path, "odd")
     return read_observations(spark, path, START + 7.5 * _DAY, START + 9 * _DAY).select(*K, "batch_seq", F.coalesce("ts", "batch_ts").alias("ts"), "value_double")
+
+
+_NAMES = "nm AS (SELECT DISTINCT 'host/' || host_name || '/' || app_name AS name FROM ev)"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> NameIndex:
+    """Names of hosts' applications, in three batches that repeat names, of which the first two are put together."""
+    e = events(spark, sf_dir).select(F.lit("metrics").alias("type"), F.concat(F.lit("host/"), "host_name", F.lit("/"), "app_name").alias("name"), "k")
+    index = NameIndex(spark, scratch(spark, "names"))
+    index.add(e.where("k % 3 = 0"), "0")
+    index.add(e.where("k % 3 <= 1"), "1")
+    index.compact()
+    index.add(e, "2")
+    return index
+
+
+@query(f"WITH {EV}, {_NAMES} SELECT 'metrics' AS type, name FROM nm")
+def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).names()
+
+
+@query(f"WITH {EV}, {_NAMES} SELECT name FROM nm WHERE starts_with(name, 'host/host1') ORDER BY name LIMIT 25")
+def suggest_from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).suggest("metrics", "host/host1")

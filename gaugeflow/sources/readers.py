@@ -22,9 +22,16 @@ def typed_values(df: DataFrame, value: str = "value", kind: str = "kind") -> Dat
         F.when(k == "string", v).alias("value_string"),
         F.when(k == "list", F.from_json(v, "array<string>")).alias("value_list"),
         F.when(k == "dist", distribution(v)).alias("value_dist"),
+        F.when((k == "uint64") & v.try_cast("bigint").isNull(), unsigned(v)).alias("value_unsigned"),
     )
 
 
+def unsigned(text: Column) -> Column:
+    """A whole number from 0 to 2^64 - 1, exactly; else null."""
+    number = F.when(text.rlike("^[0-9]{1,20}$"), text).try_cast("decimal(20,0)")
+    return F.when(number <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), number)
+
+
 def distribution(text: Column) -> Column:
     """A distribution from its JSON {"sum","generation","isNotCumulative","ranges":[{"lower","upper","count"},…]}; the last range has no upper limit."""
     d = F.from_json(text, "struct<sum: double, generation: bigint, isNotCumulative: boolean, ranges: array<struct<upper: double, count: bigint>>>")

@@ -13,6 +13,7 @@ from gaugeflow.functions import scalars as C
 from gaugeflow.operators import export as X
 from gaugeflow.operators import health as H
 from gaugeflow.operators import merge as M
+from gaugeflow.operators import query as Q
 from gaugeflow.operators import series as S
 from gaugeflow.plans import adapters, metric_queries
 from gaugeflow.sources import readers
@@ -177,3 +178,25 @@ def test_ranges_and_columns_reach_the_scan(spark):
     plan = metric_queries._query(spark, DATA, metric_queries.Q.Query("/events/value", adapters.START, adapters.END, adapters.STEP, fill="nan"))._jdf.queryExecution().executedPlan().toString()
     ranges = [line for line in plan.split("\n") if "GreaterThanOrEqual(ts," in line and "LessThan(ts," in line]
     assert ranges and all("props" not in line.split("ReadSchema")[1] for line in ranges)
+
+
+def test_large_unsigned_values_survive(spark, tmp_path):
+    big, over = 2**64 - 1, 2**64
+    (tmp_path / "m.json").write_text(json.dumps([{"path": p, "kind": "uint64", "value": v, "timestamp": 1.0} for p, v in (("/a", big), ("/b", 2**63), ("/c", 5), ("/d", over), ("/e", -1))]))
+    got = readers.read_metrics_json(spark, str(tmp_path / "m.json"))
+    values = {r.path: (r.value_long, None if r.value_unsigned is None else int(r.value_unsigned)) for r in got.collect()}
+    assert values == {"/a": (None, big), "/b": (None, 2**63), "/c": (5, None), "/d": (None, None), "/e": (-1, None)}
+    rec = got.where("path in ('/a', '/c')").selectExpr("'h' AS host", "path", "map('appname', 'a') AS tags", "ts", "kind", "unit", "value_double", "value_long", "value_bool", "value_string", "value_unsigned")
+    put = sorted((json.loads(r.payload) for r in X.to_tsdb_put(rec).collect()), key=lambda p: p["metric"])
+    assert [p["value"] for p in put] == [big, 5]
+    assert sorted(json.loads(r.payload)["value"] for r in X.to_json_payload(rec, "t", "k").collect()) == [5.0, float(big)]
+
+
+def test_values_that_json_does_not_have(spark):
+    rows = [("/a", float("nan")), ("/b", float("inf")), ("/c", float("-inf")), ("/d", 1.5), ("/e", 1e300)]
+    rec = spark.createDataFrame([("h", p, {"appname": "a"}, 1.0, "float64", "", v, None, None, None) for p, v in rows], "host string, path string, tags map<string,string>, ts double, kind string, unit string, value_double double, value_long long, value_bool boolean, value_string string")
+    strict = lambda text: json.loads(text, parse_constant=lambda c: pytest.fail(c))
+    assert {p["name"]: p["value"] for p in (strict(r.payload) for r in X.to_json_payload(rec, "t", "k").collect())} == {"/a": None, "/b": None, "/c": None, "/d": 1.5, "/e": 1e300}
+    assert sorted(strict(r.payload)["value"] for r in X.to_tsdb_put(rec).collect()) == [1.5, 1e300]
+    points = spark.createDataFrame([("s", float(i), v) for i, (_, v) in enumerate(rows)], "s string, ts double, value double")
+    assert strict(Q.series_to_json(points, ["s"]).first().series) == {"3": 1.5, "4": 1e300}

@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.scalars import as_float64, is_finite, json_number, json_text, path_sort_key
@@ -203,9 +203,11 @@ def to_dashboard_payload(rollup: DataFrame, data_center: str, default_account: s
     return out.select("instance", "ts", F.concat(F.lit('{"metrics":{"datasets":['), F.col("sets"), F.lit("]}}")).alias("payload"))
 
 
-def endpoint_metrics(records: DataFrame) -> DataFrame:
+def endpoint_metrics(records: DataFrame, most: int | None = None) -> DataFrame:
     """(endpoint, path, document), by endpoint and path components: one JSON document for each metric (all info but the group id) with its values newest first.
 
+    most: values of one document at most; a metric with more has several, numbered by a column `page` from 0, the newest first. Without it, bound the records: a document
+    holds its metric's whole history.
     records: path, kind, unit, description, ts, value, active, and, where they have them, sub_type, upper_limits and is_not_cumulative
     (of distributions). Fields that are null or false are left out of a document; a time is text, seconds with nine decimals.
     """
@@ -213,7 +215,11 @@ def endpoint_metrics(records: DataFrame) -> DataFrame:
     names = {"sub_type": "subType", "upper_limits": "upperLimits", "is_not_cumulative": "isNotCumulative"}
     bits = F.nullif(F.regexp_extract("kind", r"(\d+)$", 1), F.lit("")).cast("int")
     values = F.reverse(F.array_sort(F.collect_list(F.struct("ts", "value", "active"))))
-    out = records.groupBy(*K, "path", "kind", "unit", "description", *more).agg(values.alias("values"))
+    metric, page = [*K, "path", "kind", "unit", "description", *more], []
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy(*metric).orderBy(F.desc("ts"), F.desc("value"), F.desc("active")))
+        records, page = records.withColumn("page", F.floor((place - 1) / most).cast("int")), ["page"]
+    out = records.groupBy(*metric, *page).agg(values.alias("values"))
 
     def shown(v: Column) -> Column:
         micros = F.round(v["ts"] * 1_000_000).cast("long")
@@ -225,4 +231,4 @@ def endpoint_metrics(records: DataFrame) -> DataFrame:
     for c in more:
         value = F.nullif(c, F.lit("")) if c == "sub_type" else F.when(F.col(c), True) if c == "is_not_cumulative" else F.col(c)
         fields.append(value.alias(names[c]))
-    return out.select(*K, "path", F.to_json(F.struct(*fields)).alias("document")).orderBy(*K, path_sort_key("path"))
+    return out.select(*K, "path", *page, F.to_json(F.struct(*fields)).alias("document")).orderBy(*K, path_sort_key("path"), *page)

@@ -138,6 +138,17 @@ def endpoint_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc.select(*K, "path", d["kind"].alias("kind"), d["bits"].alias("bits"), F.when(d["upperLimits"].isNotNull(), F.size(d["upperLimits"])).alias("n_limits"), d["isNotCumulative"].alias("is_not_cumulative"), F.size(d["values"]).cast("long").alias("n"), micros.alias("newest"), first["value"].alias("value"), first["active"].alias("active"))
 
 
+@query(f"""WITH {EV}, p AS (SELECT app_name, ts, value, (row_number() OVER (PARTITION BY app_name ORDER BY ts DESC, value DESC) - 1) // 100 AS page FROM ev)
+SELECT app_name, page::INTEGER AS page, count(*) AS n, round(max_by(value, ts), 6) AS newest, round(min_by(value, ts), 6) AS oldest FROM p GROUP BY ALL""")
+def endpoint_metrics_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of at most a hundred values: their number of values, first and last one."""
+    e = events(spark, sf_dir)
+    rec = e.select(F.lit("all").alias("host_name"), "app_name", F.lit("/v").alias("path"), F.lit("float64").alias("kind"), F.lit("").alias("unit"), F.lit("").alias("description"), "ts", "value", F.lit(True).alias("active"))
+    values = F.from_json("document", "struct<values: array<struct<value: double>>>")["values"]
+    doc = X.endpoint_metrics(rec, 100).withColumn("v", values)
+    return doc.select("app_name", "page", F.size("v").cast("long").alias("n"), F.round(F.col("v")[0]["value"], 6).alias("newest"), F.round(F.element_at("v", -1)["value"], 6).alias("oldest"))
+
+
 @query(f"WITH {PTS}, {EP} SELECT 'metrics' AS type, path AS name FROM pts GROUP BY path UNION ALL SELECT DISTINCT 'tagv', host_name FROM ep UNION ALL SELECT DISTINCT 'tagv', ip_address FROM ep")
 def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = points(spark, sf_dir).withColumn("kind", F.lit("float64")).join(endpoints(spark, sf_dir).select(*K, "ip_address"), K)

@@ -37,8 +37,8 @@ BEGINNINGS = (4, 5, 6, 7)
 LANDMARKS = 64
 #: Log likelihood ratio of a landmark, beyond that of chance among all candidates.
 CERTAIN = 8
-#: Share of the toxic texts that a further landmark must mark, each text halved for each landmark that it has already.
-NEW_SHARE = 0.01
+#: Toxic texts that a further landmark must mark, each halved for each landmark that it has already; words of a text that a landmark may have to begin.
+NEW_TEXTS, MOST_TIMES = 1.0, 3
 THRESHOLD = 0.7
 
 
@@ -236,48 +236,53 @@ def text_features(landmarks: Landmarks, texts: list[str]) -> np.ndarray:
     return out
 
 
-def _strings_of(text: str) -> set[str]:
-    """Words of three or more letters or digits, and their beginnings: candidates for landmarks."""
+def _strings_of(text: str) -> Counter:
+    """Words of three or more letters or digits, and their beginnings: candidates for landmarks, with the number of distinct words that each begins."""
     words = {w for w in (w.strip(".,!?;:\"'()%&$#*|-") for w in text.lower().split()) if len(w) >= 3 and w.isalnum()}
-    return {w[:k] for w in words for k in (*BEGINNINGS, len(w)) if k <= len(w)}
+    return Counter(x for w in words for x in {w[:k] for k in (*BEGINNINGS, len(w)) if k <= len(w)})
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """Strings that mark toxic texts beyond doubt, greedily by what they still cover."""
+    """Strings that mark toxic texts beyond doubt, greedily by what they still cover.
+
+    A string marks a text if it begins at least so many distinct words of it, one to MOST_TIMES: some begin a word of many texts, and several
+    of toxic ones alone.
+    """
     marked, others = np.flatnonzero(toxic), np.flatnonzero(toxic == 0)
-    in_texts = Counter(w for i in marked for w in _strings_of(texts[i]))
     # A string of one toxic text is no evidence.
-    bad = {w: n for w, n in in_texts.items() if n > 1}
-    del in_texts
-    good = dict.fromkeys(bad, 0)
+    seen = Counter(w for i in marked for w in _strings_of(texts[i]))
+    seen = {w for w, n in seen.items() if n > 1}
+    holders: dict[tuple[str, int], list[int]] = {}
+    for i in marked:
+        for w, n in _strings_of(texts[i]).items():
+            for times in range(1, min(n, MOST_TIMES) + 1 if w in seen else 0):
+                holders.setdefault((w, times), []).append(i)
+    good = dict.fromkeys(holders, 0)
     for i in others:
-        for w in _strings_of(texts[i]):
-            if w in good:
-                good[w] += 1
+        for w, n in _strings_of(texts[i]).items():
+            for times in range(1, min(n, MOST_TIMES) + 1 if w in seen else 0):
+                if (w, times) in good:
+                    good[w, times] += 1
     # Evidence: the log likelihood ratio of two shares against one, which chance among so many strings does not reach.
     rated = {}
-    for w, n in bad.items():
-        p, q, both = n / len(marked), (good[w] + 0.5) / (len(others) + 1), (n + good[w] + 0.5) / (len(texts) + 1)
-        if p > q and n * np.log(p / both) + good[w] * np.log(q / both) > np.log(len(bad)) + CERTAIN:
-            rated[w] = np.log(p / q)
-    holders: dict[str, list[int]] = {w: [] for w in rated}
-    for i in marked:
-        for w in _strings_of(texts[i]):
-            if w in holders:
-                holders[w].append(i)
+    for x, own in holders.items():
+        n = len(own)
+        p, q, both = n / len(marked), (good[x] + 0.5) / (len(others) + 1), (n + good[x] + 0.5) / (len(texts) + 1)
+        if n > 1 and p > q and n * np.log(p / both) + good[x] * np.log(q / both) > np.log(len(holders)) + CERTAIN:
+            rated[x] = np.log(p / q)
     chosen, covered = [], np.zeros(len(texts))
-    held = {w: np.array(h) for w, h in holders.items()}
+    held = {x: np.array(holders[x]) for x in rated}
     while len(chosen) < most and rated:
         # A text covered n times counts 1 / 2^n.
-        gain = {w: float((0.5 ** covered[held[w]]).sum()) * r for w, r in rated.items()}
-        w = max(gain, key=lambda x: (gain[x], x))
-        if (0.5 ** covered[held[w]]).sum() < NEW_SHARE * len(marked):
+        gain = {x: float((0.5 ** covered[held[x]]).sum()) * r for x, r in rated.items()}
+        x = max(gain, key=lambda y: (gain[y], y))
+        if (0.5 ** covered[held[x]]).sum() < NEW_TEXTS:
             break
         # The longest string that marks nearly the same texts.
-        w = max((x for x in rated if x.startswith(w) and len(held[x]) >= 0.9 * len(held[w])), key=lambda x: (len(x), gain[x], x))
-        chosen.append(w)
-        covered[held[w]] += 1
-        rated = {x: r for x, r in rated.items() if not (x.startswith(w) or w.startswith(x))}
+        x = max((y for y in rated if y[0].startswith(x[0]) and len(held[y]) >= 0.9 * len(held[x])), key=lambda y: (len(y[0]), gain[y], y))
+        chosen.append(x[0])
+        covered[held[x]] += 1
+        rated = {y: r for y, r in rated.items() if not (y[0].startswith(x[0]) or x[0].startswith(y[0]))}
     return chosen
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm import spans
 from gaugeflow.llm.components import components
-from gaugeflow.llm.shared import stored
+from gaugeflow.llm.shared import made, release, remove_stored, stored
 
 WORDS, PER_KEY, KEYS, PERCENT = 5, 4, 20, 80
 #: Shingles of one block of a candidate group: a task holds two blocks.
@@ -168,7 +168,9 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     pairs = sides.where((F.size("a") > 0) & (F.size("b") > 0)).select("node", "b", F.explode("a").alias("x")).select("node", "x", F.explode("b").alias("y"))
     tables = stored(pairs.select("node", F.xxhash64("x", "y").alias("key")), "tables")
     leaders = tables.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("hi")).where("v <> hi").select("key", "v")
-    return tables.join(leaders, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    out = tables.join(leaders, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    out.tables = tables
+    return out
 
 
 def _family_links(texts: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame | None:
@@ -204,12 +206,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_
     columns are ignored. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    same = ["same1", "same2"]
+    same, before = ["same1", "same2"], set(made())
     rows = stored(docs.mapInArrow(_signature_rows, "doc_id bigint, n_shingles bigint, same1 bigint, same2 bigint, a array<bigint>, b array<bigint>"), "signatures")
     full = rows.where("n_shingles > 0")
     sets = full.where("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     sets = stored(sets, "sets")
-    groups = components(candidate_edges(sets))
+    edges = candidate_edges(sets)
+    groups = components(edges)
+    release(edges.tables)  # the components have read the edges
     # Blocks of a group are dealt by hash; a group's weight, not its number of documents, decides how many.
     member = stored(groups.select("node", F.col("component").alias("grp")).join(sets.groupBy("node").agg(F.sum("n").alias("n")), "node"), "members")
     weight = stored(member.groupBy("grp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")), "weights")
@@ -231,6 +235,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK_
     if more is not None and not more.isEmpty():
         classes = components(more.unionByName(classes.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     final = stored(sets.join(classes, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "classes")
+    # The result reads the signatures and the classes alone.
+    remove_stored(docs.sparkSession, [p for p in made() if p not in before and p not in (rows.stored_at, final.stored_at)])
     found = full.select("doc_id", "n_shingles", *same).join(final, same, "left").select("doc_id", "n_shingles", "component_id")
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_MADE: list[str] = []
+#: Folders made and not deleted, with the thread that made them: runs side by side in one process do not touch each other's.
+_MADE: dict[str, int] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -25,8 +27,9 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    _MADE.append(f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = threading.get_ident()
+    return path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -35,15 +38,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def made() -> list[str]:
-    """The folders that operators of this process have made in the shared folder and not deleted."""
-    return list(_MADE)
+    """The folders that operators of this thread have made in the shared folder and not deleted."""
+    return [path for path, thread in list(_MADE.items()) if thread == threading.get_ident()]
 
 
 def remove_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Deletes folders that operators have made (all, or those given); call it once their results are written elsewhere."""
     for path in made() if paths is None else paths:
         if path in _MADE:
-            _MADE.remove(path)
+            del _MADE[path]
             _delete(spark, path)
 
 

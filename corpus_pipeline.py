@@ -6,6 +6,7 @@ first deletes the tables that the operator of the stage before it has left in th
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import neardup, packing, substring, toxicity
-from gaugeflow.llm.shared import made, remove_stored, stored, tables
+from gaugeflow.llm.shared import made, release, remove_stored, stored, tables
 
 #: Similarity from which the pipeline takes documents as near-duplicates.
 NEAR_PERCENT = 80
@@ -41,17 +42,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-_left: list[str] = []
+#: What the last stage of a run left in the shared folder, by the run's thread.
+_left: dict[int, list[str]] = {}
 
 
 def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame], first: bool) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if not first:  # what the last stage of an earlier run left may still be read
-            remove_stored(spark, list(_left))
+            remove_stored(spark, _left.pop(threading.get_ident(), []))
         before = set(made())
         out = stage(spark, docs, sf_dir)
-        _left[:] = [p for p in made() if p not in before]
+        _left[threading.get_ident()] = [p for p in made() if p not in before]
         return out
 
     return run
@@ -66,6 +68,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
     docs = tables(spark, sf_dir, "documents")
+    read = None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else stored(docs, "stage"), sf_dir)
+        if k:
+            docs = stored(docs, "stage")
+            if read is not None:  # what the stage before has read
+                release(read)
+            read = docs
+        docs = stage(spark, docs, sf_dir)
     return docs

@@ -263,3 +263,22 @@ def test_one_very_long_text_aligned():
     text = "word日① " * 40_000
     sizes, digests, links, bounds = alignment.Aligner(BYTES, PIECES).texts([text, None, "x"])
     assert sizes[0, 2] > 40_000 and bounds.tolist() == [0, len(links) - sizes[2, 3], len(links) - sizes[2, 3], len(links)] and digests[1] == ""
+
+
+def test_fingerprints_of_one_id_spread_over_ranges(spark):
+    """Rows that all have no id keep the order of their texts over several ranges."""
+    from gaugeflow.llm import fingerprint
+
+    texts = sorted(f"text {i % 90} {'x' * (i % 70)}" for i in range(400))
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(7, "first")], "doc_id long, text string").repartition(6)
+    rows = fingerprint.compare_with_next(docs).collect()
+    own = {r.fingerprint: r for r in rows}
+    lanes = [fingerprint.compare_with_next(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().fingerprint for t in (texts[0], texts[-1])]
+    assert len(rows) == 401 and own[lanes[0]].near_next > 0 and own[lanes[1]].n_chars == len(texts[-1])
+    edited = sorted(r.edited_sha256 for r in rows)
+    order = ["first", *texts]
+    expected = []
+    for t, after in zip(order, [*order[1:], order[0]]):
+        n = len(t) // 3
+        expected.append(hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest())
+    assert edited == sorted(expected)

@@ -28,7 +28,7 @@ ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql
 
 
 class Frames(StatefulProcessor):
-    """The open frame of each key. Subclasses say what a row's partial results are (`partial`), how those of one sub-key are put together (`merged`) and what a closed frame gives (`closed`)."""
+    """The open frame of each key. Subclasses say what a row's partial results are (`partial`, with the rows' index), how those of one run and sub-key are put together (`merged`) and what a closed frame gives (`closed`)."""
 
     #: Columns of the key, and the schema of one partial result.
     keys: Sequence[str]
@@ -52,11 +52,12 @@ class Frames(StatefulProcessor):
     def closed(self, parts: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
-    def _emit(self, key: tuple, frame: float, parts: pd.DataFrame) -> pd.DataFrame:
-        return self.closed(parts).assign(**dict(zip(self.keys, key)), ts=frame)
+    def _emit(self, key: tuple, frames: np.ndarray, parts: pd.DataFrame) -> pd.DataFrame:
+        """Closed frames: `_run` of a part is the place of its frame in `frames`."""
+        return self.closed(parts).assign(**dict(zip(self.keys, key)), ts=frames[parts["_run"].to_numpy(int)])
 
-    def _held(self) -> pd.DataFrame:
-        return pd.DataFrame([tuple(r) for r in self.parts.get()] if self.parts.exists() else [], columns=self.names)
+    def _held(self, run: int) -> pd.DataFrame:
+        return pd.DataFrame([tuple(r) for r in self.parts.get()] if self.parts.exists() else [], columns=self.names).assign(_run=run)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
@@ -69,29 +70,24 @@ class Frames(StatefulProcessor):
             rows = rows.iloc[np.argsort(~own[rows.index].to_numpy(), kind="stable")]
         if not len(rows):
             return
-        turn = (rows["frame"] != rows["frame"].shift()) | (rows["period"] != rows["period"].shift())
-        runs = [run for _, run in rows.groupby(turn.cumsum().to_numpy(), sort=False)]
-        out, now = [], None
-        for k, run in enumerate(runs):
-            frame, period = float(run["frame"].iloc[0]), float(run["period"].iloc[0])
-            parts = self.partial(run)
-            if k == 0 and held is not None and not held[3]:
-                if (frame, period) == (held[0], held[1]):
-                    parts = pd.concat([x for x in (self._held(), parts) if len(x)] or [parts], ignore_index=True)
-                else:
-                    out.append(self._emit(key, held[0], self._held()))
-            now = (frame, period, self.merged(parts))
-            if k + 1 < len(runs):
-                out.append(self._emit(key, frame, now[2]))
-        frame, period, parts = now
+        # Runs of one frame, in the order of time; what is held is the first run's or stands before it.
+        frame, period = rows["frame"].to_numpy(float), rows["period"].to_numpy(float)
+        turn = np.append(True, (frame[1:] != frame[:-1]) | (period[1:] != period[:-1]))
+        run, frames, periods = np.cumsum(turn), np.append(np.nan, frame[turn]), np.append(np.nan, period[turn])
+        parts = [self.partial(rows).assign(_run=pd.Series(run, rows.index))]
+        if held is not None and not held[3]:
+            frames[0] = held[0]
+            parts.insert(0, self._held(1 if (frames[1], periods[1]) == (held[0], held[1]) else 0))
+        parts = self.merged(pd.concat([x for x in parts if len(x)] or parts[:1], ignore_index=True))
+        newest = parts["_run"] == len(frames) - 1
         last = max(float(rows["ts"].max()), held[2] if held is not None else -np.inf)
-        self.frame.update((frame, period, last, False))
-        self._keep(parts)
+        self.frame.update((float(frames[-1]), float(periods[-1]), last, False))
+        self._keep(parts[newest])
         if self.timeout is not None:
-            self.handle.registerTimer(self._due(frame, period))
-        out = [x for x in out if len(x)]
-        if out:
-            yield pd.concat(out, ignore_index=True)
+            self.handle.registerTimer(self._due(float(frames[-1]), float(periods[-1])))
+        out = self._emit(key, frames, parts[~newest].reset_index(drop=True))
+        if len(out):
+            yield out
 
     def _keep(self, parts: pd.DataFrame) -> None:
         if len(parts):
@@ -106,7 +102,7 @@ class Frames(StatefulProcessor):
         frame, period, last, closed = self.frame.get() if self.frame.exists() else (0.0, 0.0, 0.0, True)
         if closed or self._due(frame, period) > expiredTimerInfo.getExpiryTimeInMs():
             return  # the frame that the timer was for has been closed by later data
-        out = self._emit(key, frame, self._held())
+        out = self._emit(key, np.array([frame]), self.merged(self._held(0)))
         self.frame.update((frame, period, last, True))
         self.parts.clear()
         if len(out):
@@ -131,9 +127,9 @@ class RollupFrames(Frames):
 
     def merged(self, parts: pd.DataFrame) -> pd.DataFrame:
         parts = parts.sort_values("first_ts", kind="stable")
-        by = ["path", "numeric"]
+        by = ["_run", "path", "numeric"]
         sums = parts.groupby(by, sort=False)[["total", "n"]].sum().reset_index()
-        return parts.drop(columns=["total", "n"]).drop_duplicates(by).merge(sums, on=by)[self.names]
+        return parts.drop(columns=["total", "n"]).drop_duplicates(by).merge(sums, on=by)[["_run", *self.names]]
 
     def closed(self, parts: pd.DataFrame) -> pd.DataFrame:
         numeric, n = parts["numeric"].astype(bool), parts["n"].astype(float)
@@ -160,14 +156,14 @@ class VariableFrames(Frames):
         return pd.DataFrame(out)
 
     def merged(self, parts: pd.DataFrame) -> pd.DataFrame:
-        groups = parts.groupby("sub", sort=False)
+        groups = parts.groupby(["_run", "sub"], sort=False)
         out = {}
         for v in self.variables:
             out |= {f"{v}_count": groups[f"{v}_count"].sum(), f"{v}_min": groups[f"{v}_min"].min(), f"{v}_max": groups[f"{v}_max"].max(), f"{v}_sum": groups[f"{v}_sum"].sum(min_count=1)}
         return pd.DataFrame(out).reset_index()
 
     def closed(self, parts: pd.DataFrame) -> pd.DataFrame:
-        return parts.rename(columns={"sub": self.sub or "_sub"}).drop(columns=[] if self.sub else ["_sub"])
+        return parts.drop(columns="_run").rename(columns={"sub": self.sub or "_sub"}).drop(columns=[] if self.sub else ["_sub"])
 
 
 def _run(rows: DataFrame, keys: Sequence[str], processor: Frames, schema: str, timeout: float | None) -> DataFrame:

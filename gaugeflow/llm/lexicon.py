@@ -10,6 +10,7 @@ accept is merged exactly, by the vocabulary's ranks.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import tempfile
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from gaugeflow.llm.wordcache import TextEncoder
 
 #: Words compiled at most (a few MB), and the distinct words whose counts a task holds before it hands them on.
 LEXICON_WORDS, HELD_WORDS = 1 << 16, 300_000
+#: Longer words (in bytes) are merged alone, by a heap.
+LONG_WORD = 256
 
 
 class ExactMerge:
@@ -46,6 +49,7 @@ class ExactMerge:
             keys.append(vocab[a] << 20 | vocab[b])
             ranks.append(rank)
             made.append(vocab[a + b])
+        self.pairs: dict[int, tuple[int, int]] = {}
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = np.array(keys)[order], np.array(ranks)[order], np.array(made)[order]
 
@@ -53,6 +57,9 @@ class ExactMerge:
         """Ids of each word (not empty)."""
         out: list[np.ndarray] = [None] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order and len(words[order[-1]]) > LONG_WORD:
+            i = order.pop()
+            out[i] = self._one(words[i])
         for k in range(0, len(order), 20_000):
             part = order[k : k + 20_000]
             # Words of like length go together, so that long ones do not widen the others' rows.
@@ -64,6 +71,35 @@ class ExactMerge:
                     out[i] = ids
         return out
 
+    def _one(self, word: bytes) -> np.ndarray:
+        """A long word by a heap of its pairs, the leftmost of the lowest rank first: n log n steps."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        ids = [*self.inner[np.frombuffer(word[:-1], np.uint8)].tolist(), int(self.final[word[-1]])]
+        n = len(ids)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = []
+
+        def offer(i: int, j: int) -> None:
+            found = self.pairs.get(ids[i] << 20 | ids[j])
+            if found is not None:
+                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, a, b, made = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            ids[i], ids[j], after[i] = made, -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return np.array([x for x in ids if x >= 0], np.uint32)
+
     def _merge(self, words: list[bytes]) -> list[np.ndarray]:
         size = np.array([len(w) for w in words])
         n, width = len(words), size.max()

@@ -282,3 +282,29 @@ def test_fingerprints_of_one_id_spread_over_ranges(spark):
         n = len(t) // 3
         expected.append(hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest())
     assert edited == sorted(expected)
+
+
+def test_very_long_texts_of_the_other_operators(spark):
+    """A word of 200,000 letters, one of random letters and 150,000 words: ids as the library's, and a score."""
+    from tokenizers import Tokenizer
+
+    from gaugeflow.llm import idfiles, lexicon, packing, toxicity
+    from gaugeflow.llm.shared import new_folder
+
+    rng, words = random.Random(9), public_tokenizers.path("word_bpe_49k.json")
+    texts = ["z" * 200_000, "".join(rng.choices("abcdefgh", k=60_000)), " ".join(f"word{rng.randrange(5000)}" for _ in range(150_000)), "日本" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_words = [Tokenizer.from_file(words).encode(t, add_special_tokens=False).ids for t in texts]
+    got = {r.doc_id: r for r in lexicon.encode_decode(docs, words, 100).collect()}
+    packed = packing.pack(docs, words).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in packed} == {i: len(x) + 1 for i, x in enumerate(by_words)}
+    for i, ids in enumerate(by_words):
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    folder = new_folder(spark, "ids")
+    idfiles.write_ids(docs, BYTES, folder)
+    for r in idfiles.read_ids(spark, folder).collect():
+        ids = [*Tokenizer.from_file(BYTES).encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    model = toxicity.fit([f"you awful dimwit {i}" if i % 3 == 0 else f"a fine day {i}" for i in range(90)], np.array([int(i % 3 == 0) for i in range(90)]))
+    scores = {r.doc_id: r.score for r in toxicity.score(docs.unionByName(spark.createDataFrame([(9, "dimwit " * 50_000)], "doc_id long, text string")), model).collect()}
+    assert all(s < 0.7 for i, s in scores.items() if i < 9) and scores[9] > 0.7

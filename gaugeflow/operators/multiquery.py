@@ -44,7 +44,7 @@ def _has_zeros(q: Query) -> bool:
 
 
 class Request:
-    """The tables of a list of queries. zero: queries whose missing series and buckets count as zeros."""
+    """The tables of a list of queries: plans, choices with their filters, and the queries with the numbers of both."""
 
     def __init__(self, spark: SparkSession, queries: list[Query]):
         for name in {x for q in queries for x in (q.inner, q.outer)}:

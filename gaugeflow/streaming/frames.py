@@ -128,14 +128,16 @@ class RollupFrames(Frames):
     def merged(self, parts: pd.DataFrame) -> pd.DataFrame:
         parts = parts.sort_values("first_ts", kind="stable")
         by = ["_run", "path", "numeric"]
-        sums = parts.groupby(by, sort=False)[["total", "n"]].sum().reset_index()
-        return parts.drop(columns=["total", "n"]).drop_duplicates(by).merge(sums, on=by)[["_run", *self.names]]
+        sums = parts.groupby(by, sort=False, dropna=False)[["total", "n"]].sum()
+        # Both are in the order in which the groups are met first.
+        return parts.drop_duplicates(by).assign(total=sums["total"].to_numpy(), n=sums["n"].to_numpy())[["_run", *self.names]]
 
     def closed(self, parts: pd.DataFrame) -> pd.DataFrame:
-        numeric, n = parts["numeric"].astype(bool), parts["n"].astype(float)
-        mean = parts["total"].astype(float) / n.where(n > 0)
-        mean = mean.where(~parts["kind"].isin(INTEGER_KINDS), np.floor(mean + 0.5))
-        return pd.DataFrame({"path": parts["path"], "kind": parts["kind"], "value": mean.where(numeric, parts["value"].astype(float)), "value_string": parts["value_string"].where(~numeric, None)})
+        numeric, n = parts["numeric"].to_numpy(bool), parts["n"].to_numpy(float)
+        mean = parts["total"].to_numpy(float) / np.where(n > 0, n, np.nan)
+        mean = np.where(np.isin(parts["kind"].to_numpy(str), INTEGER_KINDS), np.floor(mean + 0.5), mean)
+        value = np.where(numeric, mean, parts["value"].to_numpy(float))
+        return pd.DataFrame({"path": parts["path"], "kind": parts["kind"], "value": value, "value_string": np.where(numeric, None, parts["value_string"].to_numpy(object))})
 
 
 class VariableFrames(Frames):

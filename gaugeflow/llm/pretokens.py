@@ -77,7 +77,7 @@ def byte_level_starts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     before[edge] = 255
     solid_next = np.zeros(n, bool)
     solid_next[:-1] = ~white[1:] & ~edge[1:]
-    start = np.where(white, (before < SPACE) | (before == 255) | solid_next, (before != kind) & (before != SPACE))
+    start = white & ((before < SPACE) | (before == 255) | solid_next) | ~white & (before != kind) & (before != SPACE)
     two = contractions(points, edge)
     at = np.flatnonzero((two > 0) & start)
     two = two[at]

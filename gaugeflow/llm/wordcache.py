@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -36,6 +36,7 @@ class WordTable:
         self.longer: dict[bytes, int] = {}
         self.bounds, self.flat, self.n = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
         self.used = np.zeros(0, np.int64)
+        self.room: dict[str, np.ndarray] = {}
         self.generation = getattr(self, "generation", -1) + 1
 
     def _forget(self) -> None:
@@ -53,16 +54,26 @@ class WordTable:
         self.keys, self.place, self.known, self.longer = keys[place >= 0], place[place >= 0], known, longer
         self.bounds, self.flat, self.n, self.used = bounds, flat, len(stay), np.zeros(len(stay), np.int64)
 
+    def _append(self, name: str, more: np.ndarray) -> None:
+        """Puts rows after those of an array; its room doubles when full, as copying it for each chunk would cost more than the new words."""
+        old, room = getattr(self, name), self.room.get(name)
+        n = len(old) + len(more)
+        if room is None or n > len(room):
+            room = self.room[name] = np.empty((2 * n, *old.shape[1:]), old.dtype)
+            room[: len(old)] = old
+        room[len(old) : n] = more
+        setattr(self, name, room[:n])
+
     def _add(self, words: list[bytes], edges: np.ndarray) -> np.ndarray:
         """Places of new words."""
         found = self.encode(words)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         at = np.arange(self.n, self.n + len(words))
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, ids])
-        self.known = np.concatenate([self.known, edges])
-        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+        self._append("bounds", self.bounds[-1] + np.cumsum(sizes))
+        self._append("flat", ids)
+        self._append("known", edges)
+        self._append("used", np.zeros(len(words), np.int64))
         self.n += len(words)
         return at
 
@@ -78,7 +89,10 @@ class WordTable:
             spot = np.minimum(np.searchsorted(self.keys, key[order]), len(self.keys) - 1)
             # Up to 16 bytes, a word is its edges; a longer one, or another word's key, is looked up by its bytes.
             at = self.place[spot]
-            same = (self.keys[spot] == key[order]) & (self.known[at] == own[order]).all(axis=1) & (own[order, 2] <= 16)
+            known, asked = self.known[at], own[order]
+            same = (self.keys[spot] == key[order]) & (asked[:, 2] <= 16)
+            for k in range(3):
+                same &= known[:, k] == asked[:, k]
             place[order[same]] = at[same]
         rest = np.flatnonzero(place < 0)
         raw = data.tobytes()
@@ -132,23 +146,24 @@ class TextEncoder:
 
     def _library(self, words: list[bytes]) -> list:
         """The model's ids of single pretokens, which need no further splitting: their bytes in the byte-level alphabet."""
-        model, shown = self.tokenizer.model, self.shown
-        return [[t.id for t in model.tokenize(w.decode("latin-1").translate(shown))] for w in words]
+        tokenize, ends = self.tokenizer.model.tokenize, list(accumulate(map(len, words)))
+        text = b"".join(words).decode("latin-1").translate(self.shown)  # a character for each byte
+        return [[t.id for t in tokenize(text[a:b])] for a, b in zip([0, *ends], ends)]
 
     def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(places of all pretokens, bounds of each text's) of texts without special strings."""
         if self.by_word:
             texts = P.normalized_all(texts, self.tokenizer.normalizer.normalize_str)
         points, offsets = P.code_points(texts)
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
         if self.by_word:
             starts, ends = P.word_level_spans(points, offsets)
         else:
             starts = np.flatnonzero(P.byte_level_starts(points, offsets))
             ends = np.append(starts[1:], len(points)) if len(starts) else starts
         bounds = np.searchsorted(starts, offsets)
-        at = np.zeros(len(points) + 1, np.int64)
-        np.cumsum(P.byte_widths(points), out=at[1:])
-        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        # Where code points start in the bytes: at all but those that go on with one.
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         return self.table.find(data, at[starts], at[ends]), bounds
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

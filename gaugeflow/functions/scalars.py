@@ -36,6 +36,26 @@ def is_numeric(kind: Column | str) -> Column:
     return _c(kind).isin(*NUMERIC_KINDS)
 
 
+#: Parts of a unit in which the fractions of values of whole kinds are added up.
+FRACTIONS = 1e9
+
+
+def addends(value: Column | str, kind: Column | str) -> tuple[Column, Column]:
+    """A value in two parts, whose sums are put together by `mean_of`: (itself, 0) or, of a whole kind, (its whole part, its fraction in whole 10^-9).
+
+    Sums of whole numbers are exact below 2^53, so that the mean of a whole kind does not depend on the order of addition: an exact half rounds up whatever the order.
+    """
+    value = _c(value)
+    whole = F.coalesce(_c(kind).isin(*INTEGER_KINDS), F.lit(False))
+    return F.when(whole, F.rint(value)).otherwise(value), F.when(whole, F.rint((value - F.rint(value)) * FRACTIONS)).when(value.isNotNull(), 0.0)
+
+
+def mean_of(value: Column | str, kind: Column | str) -> Column:
+    """Aggregate: the mean, exact for whole kinds."""
+    part, rest = addends(value, kind)
+    return F.try_divide(F.sum(part) + F.sum(rest) / FRACTIONS, F.count(_c(value)))
+
+
 def tsdb_escape(x: Column | str) -> Column:
     """Bytes outside [-./0-9A-Za-z] become _HH (upper-case hex); so the underscore becomes _5F."""
     pairs = F.regexp_extract_all(F.hex(F.encode(_c(x), "UTF-8")), F.lit("(..)"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.scalars import frame_id, is_numeric
+from gaugeflow.functions.scalars import frame_id, is_numeric, mean_of
 from gaugeflow.model import INTEGER_KINDS, K
 
 
@@ -29,7 +29,7 @@ def rollup(records: DataFrame, span: float, keys: Sequence[str] = ("path",), mos
     """
     cut = chop_incomplete(records, span, most_frames).where("active").withColumn("numeric", is_numeric("kind"))
     first = F.min_by(F.struct("kind", "value", "value_string"), "ts")
-    out = cut.groupBy(*K, *keys, "numeric", "frame").agg(first.alias("f"), F.avg("value").alias("mean"))
+    out = cut.groupBy(*K, *keys, "numeric", "frame").agg(first.alias("f"), mean_of("value", "kind").alias("mean"))
     mean = F.when(F.col("f.kind").isin(*INTEGER_KINDS), F.floor(F.col("mean") + 0.5).cast("double")).otherwise(F.col("mean"))
     return out.select(*K, *keys, F.col("frame").alias("ts"), "f.kind", F.when(F.col("numeric"), mean).otherwise(F.col("f.value")).alias("value"), F.when(~F.col("numeric"), F.col("f.value_string")).alias("value_string"))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.scalars import is_numeric
+from gaugeflow.functions.scalars import is_numeric, mean_of
 from gaugeflow.model import INTEGER_KINDS, KINDS, K
 from gaugeflow.operators.health import INSTANCE, fs_used, health_percents, used_percent, variable
 from gaugeflow.operators.series import MARKER_GAP
@@ -89,12 +89,12 @@ def _centre(period: int) -> Column:
 def stream_rollup(records: DataFrame, span: int, delay: str = "0 seconds", keys: tuple[str, ...] = (*K, "path")) -> DataFrame:
     """(keys, ts, kind, value, value_string) of frames centred on multiples of the span, each emitted once the watermark has passed it, as in the batch roll-up.
 
-    Numbers average, whole kinds round half up; other kinds take the first value. The kind is that of the frame's first record; inactive records
+    Numbers average, whole kinds round half up, whatever the order in which records come; other kinds take the first value. The kind is that of the frame's first record; inactive records
     do not count. records: event_time, kind, value (double), value_string, active.
     """
     own = records.where("active").withColumn("numeric", is_numeric("kind")).withWatermark("event_time", delay)
     first = F.min_by(F.struct("kind", "value", "value_string"), "event_time")
-    out = own.groupBy(*keys, "numeric", _frame(span).alias("w")).agg(first.alias("f"), F.avg("value").alias("mean"))
+    out = own.groupBy(*keys, "numeric", _frame(span).alias("w")).agg(first.alias("f"), mean_of("value", "kind").alias("mean"))
     mean = F.when(F.col("f.kind").isin(*INTEGER_KINDS), F.floor(F.col("mean") + 0.5).cast("double")).otherwise(F.col("mean"))
     return out.select(*keys, _centre(span).alias("ts"), "f.kind", F.when(F.col("numeric"), mean).otherwise(F.col("f.value")).alias("value"), F.when(~F.col("numeric"), F.col("f.value_string")).alias("value_string"))
 

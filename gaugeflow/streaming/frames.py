@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from gaugeflow.functions.scalars import is_numeric
+from gaugeflow.functions.scalars import FRACTIONS, is_numeric
 from gaugeflow.model import INTEGER_KINDS, K
 from gaugeflow.operators.health import INSTANCE, fs_used, health_percents, used_percent
 
@@ -116,25 +116,27 @@ class RollupFrames(Frames):
     """Records of an endpoint's timestamp group: numbers average, other kinds keep the first value."""
 
     keys = [*K, "group_id"]
-    schema = "path string, numeric boolean, first_ts double, kind string, value double, value_string string, total double, n bigint"
+    schema = "path string, numeric boolean, first_ts double, kind string, value double, value_string string, total double, rest double, n bigint"
 
     def partial(self, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows[rows["active"]]
+        value = rows["value"].astype(float)
+        part = value.where(~rows["kind"].isin(INTEGER_KINDS), np.rint(value))  # the sums of `scalars.addends`
         return pd.DataFrame({
             "path": rows["path"], "numeric": rows["numeric"], "first_ts": rows["ts"], "kind": rows["kind"], "value": rows["value"], "value_string": rows["value_string"],
-            "total": rows["value"].fillna(0.0).astype(float), "n": rows["value"].notna().astype("int64"),
+            "total": part.fillna(0.0), "rest": np.rint((value - part) * FRACTIONS).fillna(0.0), "n": value.notna().astype("int64"),
         })
 
     def merged(self, parts: pd.DataFrame) -> pd.DataFrame:
         parts = parts.sort_values("first_ts", kind="stable")
         by = ["_run", "path", "numeric"]
-        sums = parts.groupby(by, sort=False, dropna=False)[["total", "n"]].sum()
+        sums = parts.groupby(by, sort=False, dropna=False)[["total", "rest", "n"]].sum()
         # Both are in the order in which the groups are met first.
-        return parts.drop_duplicates(by).assign(total=sums["total"].to_numpy(), n=sums["n"].to_numpy())[["_run", *self.names]]
+        return parts.drop_duplicates(by).assign(**{c: sums[c].to_numpy() for c in sums})[["_run", *self.names]]
 
     def closed(self, parts: pd.DataFrame) -> pd.DataFrame:
         numeric, n = parts["numeric"].to_numpy(bool), parts["n"].to_numpy(float)
-        mean = parts["total"].to_numpy(float) / np.where(n > 0, n, np.nan)
+        mean = (parts["total"].to_numpy(float) + parts["rest"].to_numpy(float) / FRACTIONS) / np.where(n > 0, n, np.nan)
         mean = np.where(np.isin(parts["kind"].to_numpy(str), INTEGER_KINDS), np.floor(mean + 0.5), mean)
         value = np.where(numeric, mean, parts["value"].to_numpy(float))
         return pd.DataFrame({"path": parts["path"], "kind": parts["kind"], "value": value, "value_string": np.where(numeric, None, parts["value_string"].to_numpy(object))})

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import rollup as R
-from gaugeflow.streaming import jobs
+from gaugeflow.streaming import frames, jobs
 
 RECORDS = "host_name string, app_name string, group_id int, path string, ts double, kind string, value double, value_string string, active boolean"
 #: Mean 8.5; added in these orders as binary numbers it comes out as 8.5 or just below.
@@ -49,3 +50,14 @@ def test_stream_by_watermark(spark, tmp_path):
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     out = jobs.to_parquet(jobs.stream_rollup(s, 60), str(tmp_path / "out")).where("ts = 0")
     assert {r.value for r in out.collect()} == {9.0} and out.count() == 40
+
+
+@pytest.mark.parametrize("timeout", [None, 50.0])
+def test_stream_by_group(spark, tmp_path, timeout):
+    """Sums are kept from one micro-batch to the next."""
+    every = rows(range(40))
+    for k in range(6):
+        spark.createDataFrame([r for r in every if r[4] // 3 == k or k == 5 and r[4] > 18], RECORDS).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    s = spark.readStream.schema(RECORDS).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in*"))
+    out = jobs.to_parquet(frames.stream_group_rollup(s, 60, timeout), str(tmp_path / "out")).where("ts = 0")
+    assert {r.value for r in out.collect()} == {9.0} and out.count() == 40

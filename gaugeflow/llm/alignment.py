@@ -37,6 +37,10 @@ from gaugeflow.llm.wordcache import WordTable
 #: Bytes of text of one block (a longer text is a block of its own), and distinct segments that a worker keeps.
 BLOCK_BYTES, KEPT_SEGMENTS = 4 << 20, 200_000
 
+#: Segments that the libraries see at once (their tokens as objects take a kilobyte a segment), and blocks of one stored file: Spark reads
+#: and writes a file's rows, of some MB each, thousands at a time.
+SEGMENTS_AT_ONCE, FILE_BLOCKS = 2000, 8
+
 
 #: Stands before a segment when B reads it: it is in no piece, so that the dummy prefix stays apart.
 FENCE = "\n"
@@ -100,6 +104,12 @@ class SpanAligner:
 
     def __call__(self, segments: list[bytes]) -> list[list[int]]:
         """For each segment: number of groups, then each group's numbers of A and B tokens and their ids. No groups where the bytes of the tokens are not the segment's."""
+        out = []
+        for at in range(0, len(segments), SEGMENTS_AT_ONCE):
+            out += self._groups(segments[at : at + SEGMENTS_AT_ONCE])
+        return out
+
+    def _groups(self, segments: list[bytes]) -> list[list[int]]:
         texts = [s.decode() for s in segments]
         found_a = self.a.encode_batch(texts, add_special_tokens=False)
         found_b = self.b.encode([FENCE + t for t in texts], return_type="proto", num_threads=1)
@@ -214,7 +224,17 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-_BLOCK = "block bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, size array<int>, link array<int>, times array<int>, pairs array<bigint>, docs array<int>"
+_BLOCK = "block bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, size array<int>, link binary, times binary, pairs array<bigint>, docs array<int>, n_pairs int"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in the fewest bytes that hold them all, after a byte that says how many: Spark carries them as they are."""
+    width = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
 def _blocks(path_a: str, path_b: str, block_bytes: int):
@@ -231,9 +251,9 @@ def _blocks(path_a: str, path_b: str, block_bytes: int):
         link = key & 0xFFFFFFFF
         own = {
             "block": number, "doc_id": ids, **{c: sizes[:, k] for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}, "groups_sha256": digests,
-            "size": np.bincount(key >> 32, minlength=len(sizes)), "link": link, "times": times, "pairs": pairs, "docs": np.bincount(link, minlength=len(pairs)),
+            "size": np.bincount(key >> 32, minlength=len(sizes)), "link": _packed(link), "times": _packed(times), "pairs": pairs, "docs": np.bincount(link, minlength=len(pairs)), "n_pairs": len(pairs),
         }
-        kinds = {"block": pa.int64(), "groups_sha256": pa.list_(pa.string()), **{c: pa.list_(pa.int32()) for c in ("size", "link", "times", "docs")}}
+        kinds = {"block": pa.int64(), "n_pairs": pa.int32(), "link": pa.binary(), "times": pa.binary(), "groups_sha256": pa.list_(pa.string()), **{c: pa.list_(pa.int32()) for c in ("size", "docs")}}
         return pa.RecordBatch.from_pydict({c: pa.array([x], kinds.get(c, pa.list_(pa.int64()))) for c, x in own.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +277,11 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in batch.schema.names}
-            size, link, times = (np.asarray(row[c].values) for c in ("size", "link", "times"))
-            known = row["known"].values
-            counts, best = np.zeros(len(row["pairs"].values), np.int64), np.zeros(len(row["pairs"].values), np.int64)
-            if known is not None and len(known):
-                place = np.asarray(known.field("place"))
-                counts[place], best[place] = np.asarray(known.field("n")), np.asarray(known.field("best"))
+            size, link, times = np.asarray(row["size"].values), _unpacked(row["link"].as_py()), _unpacked(row["times"].as_py())
+            counts, best = np.zeros((2, row["n_pairs"].as_py()), np.int64)
+            if row["place"].is_valid:
+                place, figure = np.asarray(row["place"].values), np.asarray(row["figure"].values)
+                counts[place], best[place] = figure >> 1, figure & 1
             owner = np.repeat(np.arange(len(size)), size)
             total = np.zeros((2, len(size)), np.int64)
             np.add.at(total[0], owner, best[link] * times)
@@ -278,11 +297,17 @@ def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BY
     counts of all links. Null and empty texts, and those whose tokens do not spell a space and the text, have zeros and ''. Rows keep
     their number; one that repeats a doc_id counts as a document of its own. Other columns are ignored.
     """
-    blocks = stored(docs.select("doc_id", "text").mapInArrow(_blocks(path_a, path_b, block_bytes), _BLOCK), "blocks")
+    return _scores(stored(docs.select("doc_id", "text").mapInArrow(_blocks(path_a, path_b, block_bytes), _BLOCK), "blocks", FILE_BLOCKS))
+
+
+def _scores(blocks: DataFrame) -> DataFrame:
     listed = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("pair"), F.col("x.docs").alias("docs"))
     counts = stored(pair_counts(listed), "counts")
-    known = listed.select("block", "place", "pair").join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("place", "n", "best")).alias("known"))
-    joined = blocks.drop("docs").join(known, "block", "left")
+    # A task gets some MB of blocks, however many there are: their rows are sorted and sent to Python together. The two lists of a block are in one order.
+    tasks = max(1, blocks.count() // FILE_BLOCKS)
+    known = listed.select("block", "place", "pair").join(counts, "pair").select("block", "place", (F.col("n") * 2 + F.col("best")).alias("figure"))
+    known = known.repartition(tasks, "block").groupBy("block").agg(F.collect_list("place").alias("place"), F.collect_list("figure").alias("figure"))
+    joined = blocks.drop("pairs", "docs").repartition(tasks, "block").join(known, "block", "left")
     ddl = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
     return joined.mapInArrow(_scored, ddl)
 

@@ -50,10 +50,10 @@ def remove_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
             _delete(spark, path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """The rows written once to the shared folder: cuts the lineage and survives lost executors. file_rows: the most rows of one file, for very large rows (0: any number)."""
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

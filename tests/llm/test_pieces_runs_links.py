@@ -308,3 +308,27 @@ def test_very_long_texts_of_the_other_operators(spark):
     model = toxicity.fit([f"you awful dimwit {i}" if i % 3 == 0 else f"a fine day {i}" for i in range(90)], np.array([int(i % 3 == 0) for i in range(90)]))
     scores = {r.doc_id: r.score for r in toxicity.score(docs.unionByName(spark.createDataFrame([(9, "dimwit " * 50_000)], "doc_id long, text string")), model).collect()}
     assert all(s < 0.7 for i, s in scores.items() if i < 9) and scores[9] > 0.7
+
+
+def test_blocks_are_stored_and_joined_in_bounded_pieces(spark):
+    """At most eight blocks in a file; what Python alone reads of them is packed, and no task of the join is given many."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from gaugeflow.llm.shared import made
+
+    for x in ([], [0, 255], [256], [1 << 16, 3], [1 << 33]):
+        raw = alignment._packed(np.array(x, np.int64))
+        assert alignment._unpacked(raw).tolist() == x and len(raw) <= 1 + 8 * len(x)
+    docs = spark.createDataFrame([(i, f"some words {i} and more words {i % 7}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    at_once, before = "spark.sql.execution.arrow.maxRecordsPerBatch", set(made())
+    spark.conf.set(at_once, "4")
+    try:
+        got = sorted(map(tuple, alignment.align(docs, BYTES, PIECES, block_bytes=1).collect()))
+    finally:
+        spark.conf.unset(at_once)
+    folder = next(p for p in made() if p not in before and "/blocks-" in p).removeprefix("file://")
+    rows = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{folder}/*.parquet")]
+    assert max(rows) <= 8 and sum(rows) == 15
+    assert got == sorted(map(tuple, alignment.align(docs, BYTES, PIECES).collect()))

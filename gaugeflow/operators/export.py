@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,37 +97,62 @@ def to_tsdb_put(records: DataFrame) -> DataFrame:
     return records.where(number.isNull() | is_finite(number)).select(F.concat(F.lit('{"metric":'), json_text("path"), F.lit(',"timestamp":'), F.floor("ts").cast("string"), F.lit(',"value":'), value, F.lit(',"tags":{'), F.array_join(entries, ","), F.lit("}}")).alias("payload"))
 
 
+class _Shift:
+    """Moves times to the first free millisecond of their group from their own on. `free` leads on from a taken one, and is shortened on the way."""
+
+    def __init__(self):
+        self.free: dict[int, int] = {}
+
+    def __call__(self, times: list[int | None], begins: list[bool]) -> list[int | None]:
+        """begins: whether a time is the first of its group; else it goes on with the one before, of an earlier call too."""
+        free, out = self.free, []
+        for at, begin in zip(times, begins):
+            if begin:
+                free = {}
+            if at in free:
+                passed = []
+                while at in free:
+                    passed.append(at)
+                    at = free[at]
+                for p in passed:
+                    free[p] = at + 1
+            if at is not None:
+                free[at] = at + 1
+            out.append(at)
+        self.free = free
+        return out
+
+
 def _shift(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each row to the first free millisecond from its own on; `free` leads on from a taken one, and is shortened on the way."""
-    free: dict[int, int] = {}
-    out = []
-    for ms in pdf["ms"].tolist():
-        at, passed = ms, []
-        while at in free:
-            passed.append(at)
-            at = free[at]
-        for p in passed:
-            free[p] = at + 1
-        free[at] = at + 1
-        out.append(at)
-    return pdf.assign(ms=out)
+    """The rows of one group, in their order."""
+    return pdf.assign(ms=_Shift()(pdf["ms"].tolist(), [False] * len(pdf)))
+
+
+def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of batch, path and seq, with their ms moved: many groups go through Python at once, and a large one in pieces."""
+    shift, last = _Shift(), None
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        keys = [rows.column(rows.schema.get_field_index(c)) for c in ("batch", "path")]
+        # A row without a batch or path is a group of its own.
+        same = [pc.fill_null(pc.equal(x[1:], x[:-1]), False).to_numpy(zero_copy_only=False) for x in keys]
+        first = [x[0].as_py() for x in keys]
+        begins = [first != last or None in first, *(~(same[0] & same[1])).tolist()]
+        last = [x[-1].as_py() for x in keys]
+        at = rows.schema.get_field_index("ms")
+        yield rows.set_column(at, rows.schema.field(at), pa.array(shift(rows.column(at).to_pylist(), begins), pa.int64()))
 
 
 def shift_duplicates(records: DataFrame) -> DataFrame:
     """Adds ms (cut to whole milliseconds): of one batch's records of a path at the same millisecond, later ones (by seq) move on to the next free one.
 
-    records: batch, path, seq, ts. The rule is sequential, so the records of one path in one batch are one group: a batch is what a store takes
+    records: batch, path, seq, ts. The rule is sequential, so the records of one path in one batch are in one task: a batch is what a store takes
     in one call, 1000 records by default.
     """
     rows = records.withColumn("ms", (F.col("ts") * 1000).cast("long"))
-    clash = rows.groupBy("batch", "path", "ms").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("batch", "path").distinct()
-    moved = rows.join(clash, ["batch", "path"], "left_semi")
-
-    def shift(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _shift(pdf.sort_values("seq", kind="stable"))
-
-    # Only batches with a clash need the sequential helper.
-    return rows.join(clash, ["batch", "path"], "left_anti").unionByName(moved.groupBy("batch", "path").applyInPandas(shift, rows.schema))
+    dealt = rows.repartition("batch", "path").sortWithinPartitions("batch", "path", F.asc_nulls_last("seq"))
+    return dealt.mapInArrow(_shifted, rows.schema)
 
 
 #: Columns of the dashboard's instance and filesystem rows, and their asset types (fixed values).

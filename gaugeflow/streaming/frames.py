@@ -1,7 +1,7 @@
 """Streamed roll-ups whose frames are closed by each key's own later data, not by a watermark over all keys.
 
-A key (an endpoint's timestamp group, a machine) has one open frame. Its partial results are keyed state with a schema: one list entry for
-each metric or mount. Data of another frame of the key closes it: it is emitted and its state cleared. So a
+A key (an endpoint's timestamp group, a machine) has one open frame. Its partial results are keyed state with a schema: a row for
+each metric or mount. Keys are worked on many at a time (`parts`). Data of another frame of the key closes it: it is emitted and its state cleared. So a
 slow key is not cut off by a fast one, and a fast key does not wait. With a timeout, a key that falls silent closes its frame by
 an event-time timer, once some key's frame ends that much later; data of that frame or an earlier one is late then.
 
@@ -22,16 +22,17 @@ from pyspark.sql.streaming import StatefulProcessor
 from gaugeflow.functions.scalars import FRACTIONS, is_numeric
 from gaugeflow.model import INTEGER_KINDS, K
 from gaugeflow.operators.health import INSTANCE, fs_used, health_percents, used_percent
+from gaugeflow.streaming.parts import Chunks, dealt
 
 #: Stateful operators with several state variables need this store.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 class Frames(StatefulProcessor):
-    """The open frame of each key. Subclasses say what a row's partial results are (`partial`, with the rows' index), how those of one run and sub-key are put together (`merged`) and what a closed frame gives (`closed`)."""
+    """The open frames of a part's keys. Subclasses say what a row's partial results are (`partial`, with the rows' index), how those of one run and sub-key are put together (`merged`) and what a closed frame gives (`closed`, a row for each part)."""
 
-    #: Columns of the key, and the schema of one partial result.
-    keys: Sequence[str]
+    #: Columns of the key with their types, and the schema of one partial result.
+    key_schema: str
     schema: str
 
     def __init__(self, timeout: float | None):
@@ -39,9 +40,12 @@ class Frames(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.frame = handle.getValueState("frame", "frame double, period double, last double, closed boolean")
-        self.parts = handle.getListState("parts", self.schema)
+        self.keys = [c.split()[0] for c in self.key_schema.split(", ")]
         self.names = [c.split()[0] for c in self.schema.split(", ")]
+        self.open = Chunks(handle, "open", f"{self.key_schema}, frame double, period double, last double, closed boolean")
+        # owner: the place of the key among those of its chunk.
+        self.parts = Chunks(handle, "parts", f"owner bigint, {self.schema}")
+        self.earliest = handle.getValueState("earliest", "due bigint")
 
     def partial(self, rows: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
@@ -52,61 +56,105 @@ class Frames(StatefulProcessor):
     def closed(self, parts: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
-    def _emit(self, key: tuple, frames: np.ndarray, parts: pd.DataFrame) -> pd.DataFrame:
-        """Closed frames: `_run` of a part is the place of its frame in `frames`."""
-        return self.closed(parts).assign(**dict(zip(self.keys, key)), ts=frames[parts["_run"].to_numpy(int)])
+    def _emit(self, keys: pd.DataFrame, frame: np.ndarray, parts: pd.DataFrame) -> pd.DataFrame:
+        """Closed frames: keys and frame of each row of parts."""
+        return self.closed(parts.reset_index(drop=True)).assign(**{c: keys[c].to_numpy() for c in self.keys}, ts=frame)
 
-    def _held(self, run: int) -> pd.DataFrame:
-        return pd.DataFrame([tuple(r) for r in self.parts.get()] if self.parts.exists() else [], columns=self.names).assign(_run=run)
+    @staticmethod
+    def _owners(keys: pd.DataFrame, parts: pd.DataFrame) -> np.ndarray:
+        """The row of keys that each part belongs to; both as read, in the order of chunks."""
+        return np.searchsorted(keys["chunk"].to_numpy(), parts["chunk"].to_numpy(), "left") + parts["owner"].to_numpy(np.int64)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable")
-        held = self.frame.get() if self.frame.exists() else None
-        if held is not None:
-            frame, period, last, closed = held
-            own = (rows["frame"] == frame) & (rows["period"] == period)
-            rows = rows[(rows["ts"] > last) & ~own if closed else own | (rows["ts"] >= last)]
-            # What belongs to the open frame comes first.
-            rows = rows.iloc[np.argsort(~own[rows.index].to_numpy(), kind="stable")]
-        if not len(rows):
+        rows = pd.concat(list(rows), ignore_index=True)
+        chunks = np.unique(rows["chunk"])
+        held, kept = self.open.read(chunks), self.parts.read(chunks)
+        # Keys by number: those held first, in their order.
+        named = [*self.keys, "chunk"]
+        every = pd.concat([held[named], rows[named]], ignore_index=True) if len(held) else rows[named]
+        number = every.groupby(self.keys, sort=False, dropna=False).ngroup().to_numpy()
+        keys = every.iloc[np.unique(number, return_index=True)[1]].reset_index(drop=True)
+        own, n = number[len(held) :], len(keys)
+        frame, period, last, closed = (np.concatenate([held[c].to_numpy(kind), np.full(n - len(held), fill, kind)]) for c, fill, kind in (("frame", np.nan, float), ("period", np.nan, float), ("last", -np.inf, float), ("closed", False, bool)))
+        of, ts = rows["frame"].to_numpy(float), rows["ts"].to_numpy(float)
+        to = rows["period"].to_numpy(float)
+        inside = (of == frame[own]) & (to == period[own])
+        good = np.where(closed[own], (ts > last[own]) & ~inside, inside | (ts >= last[own]) | np.isnan(frame[own]))
+        at = np.flatnonzero(good)
+        if not len(at):
             return
-        # Runs of one frame, in the order of time; what is held is the first run's or stands before it.
-        frame, period = rows["frame"].to_numpy(float), rows["period"].to_numpy(float)
-        turn = np.append(True, (frame[1:] != frame[:-1]) | (period[1:] != period[:-1]))
-        run, frames, periods = np.cumsum(turn), np.append(np.nan, frame[turn]), np.append(np.nan, period[turn])
-        parts = [self.partial(rows).assign(_run=pd.Series(run, rows.index))]
-        if held is not None and not held[3]:
-            frames[0] = held[0]
-            parts.insert(0, self._held(1 if (frames[1], periods[1]) == (held[0], held[1]) else 0))
-        parts = self.merged(pd.concat([x for x in parts if len(x)] or parts[:1], ignore_index=True))
-        newest = parts["_run"] == len(frames) - 1
-        last = max(float(rows["ts"].max()), held[2] if held is not None else -np.inf)
-        self.frame.update((float(frames[-1]), float(periods[-1]), last, False))
-        self._keep(parts[newest])
+        # What belongs to a key's open frame comes first, the rest in the order of time.
+        at = at[np.lexsort((ts[at], ~inside[at], own[at]))]
+        rows, own, of, to, ts = rows.iloc[at].reset_index(drop=True), own[at], of[at], to[at], ts[at]
+        # Runs of one key and frame; what is held is the key's first run's or a run before it.
+        turn = np.append(True, (own[1:] != own[:-1]) | (of[1:] != of[:-1]) | (to[1:] != to[:-1]))
+        run, run_key, run_frame, run_period = np.cumsum(turn) - 1, own[turn], of[turn], to[turn]
+        begins, newest = np.append(True, run_key[1:] != run_key[:-1]), np.append(run_key[1:] != run_key[:-1], True)
+        first = np.full(n, -1)
+        first[run_key[begins]] = np.flatnonzero(begins)
+        counted = self.partial(rows)
+        parts = [counted.assign(_run=run[counted.index.to_numpy(int)])]
+        owner = self._owners(held, kept)
+        met = first[owner] >= 0
+        before = owner[met]
+        joins = (run_frame[first[before]] == frame[before]) & (run_period[first[before]] == period[before])
+        parts.insert(0, kept.loc[met, self.names].assign(_run=np.where(joins, first[before], len(run_key) + before)))
+        run_key, run_frame, newest = np.append(run_key, np.arange(n)), np.append(run_frame, frame), np.append(newest, np.zeros(n, bool))
+        parts = self.merged(pd.concat([x for x in parts if len(x)] or parts[1:], ignore_index=True))
+        place = parts["_run"].to_numpy(int)
+        stay = newest[place]
+        moved = run_key[newest]
+        frame[moved], period[moved], closed[moved] = run_frame[newest], run_period[newest[: len(run_period)]], False
+        np.maximum.at(last, own, ts)
+        chunk = keys["chunk"].to_numpy()
+        by = np.argsort(chunk, kind="stable")
+        spot = np.empty(n, np.int64)
+        spot[by] = np.arange(n) - np.searchsorted(chunk[by], chunk[by], "left")
+        touched = np.unique(chunk[moved])
+        self.open.write(keys.assign(frame=frame, period=period, last=last, closed=closed).iloc[by], touched)
+        still = [kept.loc[~met, self.names].assign(_key=owner[~met]), parts.loc[stay, self.names].assign(_key=run_key[place[stay]])]
+        still = pd.concat([x for x in still if len(x)] or still[1:], ignore_index=True)
+        still = still.assign(owner=spot[still["_key"].to_numpy(int)], chunk=chunk[still["_key"].to_numpy(int)])
+        self.parts.write(still.sort_values("chunk", kind="stable"), touched)
         if self.timeout is not None:
-            self.handle.registerTimer(self._due(float(frames[-1]), float(periods[-1])))
-        out = self._emit(key, frames, parts[~newest].reset_index(drop=True))
-        if len(out):
-            yield out
-
-    def _keep(self, parts: pd.DataFrame) -> None:
-        if len(parts):
-            self.parts.put([tuple(None if pd.isna(x) else x for x in r) for r in parts[self.names].astype(object).itertuples(index=False)])
-        else:
-            self.parts.clear()
-
-    def _due(self, frame: float, period: float) -> int:
-        return int((frame + period / 2) * 1000)  # the watermark is behind by the timeout
+            due = np.unique(self._due(frame[moved], period[moved]))
+            for t in due.tolist():
+                self.handle.registerTimer(t)
+            known = self.earliest.get() if self.earliest.exists() else None
+            self.earliest.update((int(due[0]) if known is None else min(int(due[0]), known[0]),))
+        if not stay.all():
+            place = place[~stay]
+            yield self._emit(keys.iloc[run_key[place]], run_frame[place], parts[~stay])
+
+    @staticmethod
+    def _due(frame: np.ndarray, period: np.ndarray) -> np.ndarray:
+        return ((frame + period / 2) * 1000).astype(np.int64)  # the watermark is behind by the timeout
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        frame, period, last, closed = self.frame.get() if self.frame.exists() else (0.0, 0.0, 0.0, True)
-        if closed or self._due(frame, period) > expiredTimerInfo.getExpiryTimeInMs():
-            return  # the frame that the timer was for has been closed by later data
-        out = self._emit(key, np.array([frame]), self.merged(self._held(0)))
-        self.frame.update((frame, period, last, True))
-        self.parts.clear()
-        if len(out):
-            yield out
+        """Closes all frames of the part that are due: the other timers up to now find nothing left to do."""
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        known = self.earliest.get() if self.earliest.exists() else None
+        if known is None or known[0] > now:
+            return  # the frames that the timer was for have been closed by later data
+        held, kept = self.open.read_all(), self.parts.read_all()
+        due, is_open = self._due(held["frame"].to_numpy(float), held["period"].to_numpy(float)), ~held["closed"].to_numpy(bool)
+        ends = is_open & (due <= now)
+        left = due[is_open & ~ends]
+        if len(left):
+            self.earliest.update((int(left.min()),))
+        else:
+            self.earliest.clear()
+        if not ends.any():
+            return
+        owner = self._owners(held, kept)
+        out = ends[owner]
+        touched = np.unique(held["chunk"].to_numpy()[ends])
+        self.open.write(held.assign(closed=held["closed"].to_numpy(bool) | ends), touched)
+        self.parts.write(kept[~out], touched)
+        parts = self.merged(kept.loc[out, self.names].assign(_run=owner[out]))
+        if len(parts):
+            place = parts["_run"].to_numpy(int)
+            yield self._emit(held.iloc[place], held["frame"].to_numpy(float)[place], parts)
 
     def close(self) -> None:
         pass
@@ -115,7 +163,7 @@ class Frames(StatefulProcessor):
 class RollupFrames(Frames):
     """Records of an endpoint's timestamp group: numbers average, other kinds keep the first value."""
 
-    keys = [*K, "group_id"]
+    key_schema = "host_name string, app_name string, group_id int"
     schema = "path string, numeric boolean, first_ts double, kind string, value double, value_string string, total double, rest double, n bigint"
 
     def partial(self, rows: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +193,7 @@ class RollupFrames(Frames):
 class VariableFrames(Frames):
     """Variables of a machine, or of its mounts (`sub`): count, min, max and sum of each."""
 
-    keys = INSTANCE
+    key_schema = ", ".join(f"{c} string" for c in INSTANCE)
 
     def __init__(self, timeout: float | None, names: Sequence[str], sub: str | None):
         super().__init__(timeout)
@@ -171,11 +219,12 @@ class VariableFrames(Frames):
 
 
 def _run(rows: DataFrame, keys: Sequence[str], processor: Frames, schema: str, timeout: float | None) -> DataFrame:
+    rows = dealt(rows, keys)
     if timeout is not None:
         # By the ends of frames: a row is late for Spark only if its frame is.
         end = F.timestamp_micros(F.round((F.col("frame") + F.col("period") / 2) * 1e6).cast("long"))
         rows = rows.withColumn("event_time", end).withWatermark("event_time", f"{int(timeout * 1000)} milliseconds")
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime" if timeout is not None else "None")
+    return rows.groupBy("part").transformWithStateInPandas(processor, schema, "Append", "EventTime" if timeout is not None else "None")
 
 
 def _framed(rows: DataFrame, period) -> DataFrame:
@@ -191,7 +240,7 @@ def stream_group_rollup(records: DataFrame, span: float, timeout: float | None =
     """
     rows = _framed(records, F.lit(float(span))).withColumn("numeric", is_numeric("kind")).select(*K, "group_id", "path", "ts", "kind", "value", "value_string", "active", "numeric", "frame", "period")
     schema = "host_name string, app_name string, group_id int, path string, ts double, kind string, value double, value_string string"
-    return _run(rows, RollupFrames.keys, RollupFrames(timeout), schema, timeout)
+    return _run(rows, [*K, "group_id"], RollupFrames(timeout), schema, timeout)
 
 
 def _variables(names: Sequence[str], whole: Sequence[str]) -> str:

@@ -17,6 +17,7 @@ from gaugeflow.operators.health import INSTANCE, fs_used, health_percents, used_
 from gaugeflow.operators.series import MARKER_GAP
 from gaugeflow.streaming.frames import ROCKSDB
 from gaugeflow.streaming.ingest import Ingest
+from gaugeflow.streaming.parts import dealt
 
 CHANGES = "host_name string, app_name string, path string, group_id int, ts double, value double, active boolean"
 
@@ -72,10 +73,10 @@ def stream_ingest(obs: DataFrame, keep: float | None = None) -> DataFrame:
     """Change records of a stream of polls (endpoint, batch_seq, path, group_id, ts, batch_ts, value, and, where they have them, kind and seq, the place in the poll).
 
     Validation, default timestamps, late drop, change compression and inactive markers, as `ingest_batch` says for one poll, on typed state: an entry for each metric and group of an
-    endpoint, of which those that change are written. keep: seconds of its group's time after which an inactive metric is forgotten; a value of it then is a new metric's. A task holds one
-    endpoint's polls of a micro-batch: bound these by files per trigger.
+    endpoint, of which those that change are written with their chunk (`parts`). keep: seconds of its group's time after which an inactive metric is forgotten; a value of it then is a new metric's. A task holds a
+    micro-batch's polls of one part of the endpoints: bound these by files per trigger.
     """
-    return obs.groupBy(*K).transformWithStateInPandas(Ingest(keep), CHANGES, "Append", "None")
+    return dealt(obs, K).groupBy("part").transformWithStateInPandas(Ingest(keep), CHANGES, "Append", "None")
 
 
 def _frame(period: int) -> Column:

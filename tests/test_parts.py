@@ -4,7 +4,9 @@ import random
 
 import pandas as pd
 
-from gaugeflow.streaming import frames, parts
+from test_streams import listed, plain, polls
+
+from gaugeflow.streaming import frames, ingest, parts
 
 
 class Handle:
@@ -117,3 +119,18 @@ def test_a_key_with_nothing_but_inactive_records():
     rows = records(1, 3, 0, 5).iloc[:1].assign(active=False)
     out, _ = run([rows, rows.assign(ts=12.0, frame=10.0, active=True), rows.assign(ts=42.0, frame=40.0)], False)
     assert [r[1] for r in out] == [10.0]
+
+
+def test_endpoints_polled_together_are_the_plain_rule():
+    """Endpoints with different numbers of polls, in micro-batches, on state with few calls."""
+    hosts = {f"h{i}": polls(500 + i, 2 + i % 23) for i in range(120)}
+    every = pd.DataFrame([{"host_name": h, "app_name": "a", "chunk": int(h[1:]) % parts.CHUNKS, **r} for h, rows in hosts.items() for r in rows])
+    handle, processor, found = Handle(), ingest.Ingest(None), []
+    processor.init(handle)
+    for lo in (0, 5, 12):
+        batch = every[(every["batch_seq"] >= lo) & (every["batch_seq"] < {0: 5, 5: 12, 12: 99}[lo])].astype({"ts": float, "value": float})
+        found += processor.handleInputRows((0,), iter([batch.sample(frac=1, random_state=lo)]), None)
+    out = pd.concat(found)
+    for h, rows in hosts.items():
+        assert sorted(listed(out[out["host_name"] == h])) == plain(rows)
+    assert handle.calls <= 3 * 4 * parts.CHUNKS
